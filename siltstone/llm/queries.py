@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import media_ogg, packing, token_output
+from siltstone.llm import media_ogg, packing, simhash, token_output
 from siltstone.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.op1(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.op2(table(spark, sf_dir, "documents"))
+
+
 def op4_media_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_ogg.op4(table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_output": op1_token_output,
+    "op2_simhash": op2_simhash,
     "op4_media_ogg": op4_media_ogg,
     "op9_packing": op9_packing,
 }

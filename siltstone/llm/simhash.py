@@ -1,0 +1,217 @@
+"""SimHash near-duplicates found by covering locality-sensitive hashing.
+
+Every bit place is given a non-zero vector of radius + 1 bits. For each non-zero
+vector v there is one table, keyed by the fingerprint's bits whose vectors have an
+odd product with v. Any ``radius`` differing places span less than the whole
+space, so some v is orthogonal to all of them and that table's key has none of
+them: every pair within the radius meets in at least one of 2^(radius+1) - 1
+tables, and pairs that meet are compared in full. No link is lost or guessed.
+
+Tables hold distinct fingerprints only, range-sorted by (table, key,
+fingerprint), so a large bucket spreads over several tasks; its blocks are then
+compared pair by pair. Tasks emit spanning forests, never all pairs. Components
+come from alternating large and small stars on written tables.
+
+Nulls and empties: a text without words, or null, has fingerprint zero and is
+linked like any other. Repeated rows are separate rows of one fingerprint. A null
+doc_id is no representative. An empty table gives no rows. Extra columns are
+ignored. Texts of any length are hashed whole.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from siltstone.llm.common import materialize, renamed
+
+BITS = 64
+SEED = 42
+#: Fingerprints that are compared in memory at once.
+BLOCK = 16_384
+
+
+def masks(radius: int, bits: int = BITS) -> list[int]:
+    """The tables' masks: 2^(radius+1) - 1 sets of places, about half of them each."""
+    vectors = [i % (2 ** (radius + 1) - 1) + 1 for i in range(bits)]
+    return [sum(1 << i for i, x in enumerate(vectors) if (x & v).bit_count() % 2) for v in range(1, 2 ** (radius + 1))]
+
+
+def fingerprint(text: str | None, shingle: int) -> int:
+    """Of lower-cased words' shingles, repeats included; fewer words are one shingle, none gives zero."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = [0, *(ends[:-1] + 1).tolist()]
+    ends = ends.tolist()
+    width = min(shingle, len(words))
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :], strict=False)], np.uint64)
+    counts = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def fingerprints(docs: DataFrame, shingle: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and its fingerprint as a signed 64-bit number."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = [_signed(fingerprint(t, shingle)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.int64())], ["doc_id", "fp"])
+
+    return renamed(docs, **{doc_id: "doc_id", text: "text"}).mapInArrow(rows, "doc_id long, fp long")
+
+
+def forest(x: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Edges that span the components of distinct fingerprints under distance <= radius.
+
+    Each member is compared with those not reached yet, so a dense bucket costs little more than its size.
+    """
+    bits = x.view(np.uint64)
+    left = np.arange(len(x))
+    edges = []
+    while len(left) > 1:
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            at = queue.pop()
+            near = np.bitwise_count(bits[left] ^ bits[at]) <= radius
+            if near.any():
+                found = left[near]
+                left = left[~near]
+                queue.extend(found)
+                edges.extend((int(x[j]), int(x[at])) for j in found)
+    return edges
+
+
+FOUND = "a long, b long, t int, key long, members array<long>"
+FOUND_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("t", pa.int32()), ("key", pa.int64()), ("members", pa.list_(pa.int64()))])
+
+
+def _found(edges: list[tuple[int, int]], blocks: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+    none_e, none_b = [None] * len(edges), [None] * len(blocks)
+    columns = [
+        [a for a, _ in edges] + none_b,
+        [b for _, b in edges] + none_b,
+        none_e + [t for t, _, _ in blocks],
+        none_e + [k for _, k, _ in blocks],
+        none_e + [m for _, _, m in blocks],
+    ]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FOUND_ARROW, strict=True)], schema=FOUND_ARROW)
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], radius: int, block: int) -> Iterator[pa.RecordBatch]:
+    """Links within the runs of one (table, key) of a sorted partition.
+
+    A run that may go on in another partition, or is longer than a block, is also
+    handed on as blocks.
+    """
+    t = key = fp = np.zeros(0, np.int64)
+    open_run = True  # the first run may have begun in the partition before
+    for batch in batches:
+        t = np.concatenate([t, batch.column("t").to_numpy()])
+        key = np.concatenate([key, batch.column("key").to_numpy()])
+        fp = np.concatenate([fp, batch.column("fp").to_numpy()])
+        starts = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (key[1:] != key[:-1])]))
+        sizes = np.diff(starts)  # the last run stays
+        edges: list[tuple[int, int]] = []
+        blocks: list[tuple[int, int, np.ndarray]] = []
+        if len(sizes) and open_run:
+            blocks.append((int(t[0]), int(key[0]), fp[: sizes[0]]))
+            open_run = False
+        two = starts[:-1][sizes == 2]
+        two = two[np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= radius]
+        edges.extend(zip(fp[two + 1].tolist(), fp[two].tolist(), strict=True))
+        for i in np.flatnonzero(sizes > 2):
+            edges.extend(forest(fp[starts[i] : starts[i] + sizes[i]], radius))
+        last = starts[-1] if len(starts) else 0
+        while len(fp) - last > block:
+            blocks.append((int(t[last]), int(key[last]), fp[last : last + block]))
+            edges.extend(forest(blocks[-1][2], radius))
+            last += block
+            open_run = True  # the rest of this run belongs to those blocks
+        t, key, fp = t[last:], key[last:], fp[last:]
+        if edges or blocks:
+            yield _found(edges, blocks)
+    if len(fp):
+        yield _found(forest(fp, radius), [(int(t[0]), int(key[0]), fp)])
+
+
+def links(prints: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) that span the components of the distinct values of ``fp`` under the radius."""
+    distinct = prints.select("fp").distinct()
+    keyed = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks(radius))])
+    spread = distinct.select("fp", F.explode(keyed).alias("k")).select(F.col("k.t").alias("t"), F.col("k.key").alias("key"), "fp")
+    ordered = spread.repartitionByRange("t", "key", "fp").sortWithinPartitions("t", "key", "fp")
+    found = materialize(ordered.mapInArrow(lambda it: _buckets(it, radius, block), FOUND), "links")
+    blocks = found.where("members is not null").select("t", "key", "members")
+    one, other = blocks.withColumnRenamed("members", "one"), blocks.withColumnRenamed("members", "other")
+    pairs = one.join(other, ["t", "key"]).where(F.col("one")[0] < F.col("other")[0]).select("one", "other")
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                both = np.concatenate([batch.column(c)[i].values.to_numpy() for c in ("one", "other")])
+                edges = forest(both, radius)
+                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return found.where("a is not null").select("a", "b").unionByName(pairs.mapInArrow(cross, "a long, b long")).distinct()
+
+
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, root) for every node that has an edge; the root is the component's smallest node.
+
+    Alternating large and small stars; each round is a written table. A hub's
+    edges are aggregated before they move, and the joins are such that Spark can
+    split a hub's partition.
+    """
+    up = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
+    edges = materialize(edges.where("a != b").select(*up).distinct(), "edges")
+    for _ in range(most_rounds):
+        ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+        ends = ends.unionAll(edges.select(F.col("b").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        open_ends = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)")
+        if open_ends.isEmpty():
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = materialize(small.unionAll(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, block: int = BLOCK) -> DataFrame:
+    """doc_id, fp, component_id (the smallest doc_id reachable) for every row of ``docs``."""
+    prints = materialize(fingerprints(docs, shingle), "fingerprints")
+    roots = components(links(prints, radius, block))
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    rooted = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    rooted = rooted.select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    heads = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = rooted.join(heads, "root").select("fp", "component_id")
+    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
+    """``docs`` with one row of each group: that of the smallest doc_id. Rows of a null doc_id stay."""
+    groups = near_duplicates(docs, shingle, radius)
+    heads = groups.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(heads, "doc_id", "left_semi")
+    return kept.unionByName(docs.where("doc_id is null"))
+
+
+def op2(docs: DataFrame) -> DataFrame:
+    out = near_duplicates(docs, shingle=4, radius=4)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
