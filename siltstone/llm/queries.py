@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import html_extract, media_ogg, packing, simhash, token_output
+from siltstone.llm import html_extract, media_ogg, packing, simhash, suffix_dedup, token_output
 from siltstone.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -38,6 +42,7 @@ QUERIES: dict[str, Query] = {
     "op2_simhash": op2_simhash,
     "op4_media_ogg": op4_media_ogg,
     "op7_html_extract": op7_html_extract,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_packing": op9_packing,
 }
 
