@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import html_extract, media_ogg, packing, simhash, suffix_dedup, token_output
+from siltstone.llm import html_extract, media_ogg, mixing, packing, simhash, suffix_dedup, token_output
 from siltstone.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op4_media_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_ogg.op4(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op5(table(spark, sf_dir, "documents"))
+
+
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -41,6 +45,7 @@ QUERIES: dict[str, Query] = {
     "op1_token_output": op1_token_output,
     "op2_simhash": op2_simhash,
     "op4_media_ogg": op4_media_ogg,
+    "op5_mixing": op5_mixing,
     "op7_html_extract": op7_html_extract,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_packing": op9_packing,
