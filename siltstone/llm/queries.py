@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import html_extract, media_ogg, mixing, packing, simhash, suffix_dedup, token_output
+from siltstone.llm import decision_list, html_extract, media_ogg, mixing, packing, quality, simhash, suffix_dedup, token_output
 from siltstone.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op5(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op6(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -41,14 +45,20 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decision_list.op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_output": op1_token_output,
     "op2_simhash": op2_simhash,
     "op4_media_ogg": op4_media_ogg,
     "op5_mixing": op5_mixing,
+    "op6_quality": op6_quality,
     "op7_html_extract": op7_html_extract,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_packing": op9_packing,
+    "op10_decision_list": op10_decision_list,
 }
 
 ORACLE_SQL: dict[str, str] = {}
