@@ -157,9 +157,12 @@ def mix(sizes: DataFrame, weights: list[int], share: float = 1.5, most: float =
 
 
 def repeated(docs: DataFrame, weights: list[int], share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """``docs`` as the mix takes them: a document's row as often as it has copies. doc_ids must be unique."""
-    copies = mix(sized(docs), weights, share, most).where("copies > 0")
-    copies = copies.select(F.col("doc_id").alias("__id"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy"))
+    """``docs`` as the mix takes them: a document's row as often as it has copies, with all its columns.
+
+    Rows that share a doc_id all come as often as the one of them with the most copies.
+    """
+    copies = mix(sized(docs), weights, share, most).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
+    copies = copies.select(F.col("doc_id").alias("__id"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("__copy"))
     return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
