@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import decision_list, html_extract, media_ogg, mixing, packing, quality, simhash, suffix_dedup, token_output
+from siltstone.llm import decision_list, html_extract, license_scan, media_ogg, mixing, packing, quality, simhash, suffix_dedup, token_output
 from siltstone.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op2(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.op3(table(spark, sf_dir, "documents"))
+
+
 def op4_media_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_ogg.op4(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_token_output": op1_token_output,
     "op2_simhash": op2_simhash,
+    "op3_license_scan": op3_license_scan,
     "op4_media_ogg": op4_media_ogg,
     "op5_mixing": op5_mixing,
     "op6_quality": op6_quality,
