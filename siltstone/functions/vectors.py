@@ -1,0 +1,63 @@
+"""Vector functions."""
+
+from __future__ import annotations
+
+import hashlib
+import unicodedata
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def norm(v: Column | str) -> Column:
+    return F.sqrt(F.aggregate(F.transform(v, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x))
+
+
+def literal(vector: list[float]) -> Column:
+    """A query vector inside the plan, so that scoring a table needs no join."""
+    return F.lit(np.asarray(vector, float))
+
+
+def cosine(v: Column, query: list[float]) -> Column:
+    size = float(np.sqrt(np.square(np.asarray(query, float)).sum()))
+    return dot(v, literal(query)) / (norm(v) * F.lit(size))
+
+
+def normalized(v: Column | str, dimensions: int) -> Column:
+    """Unit length; an error for a wrong dimension, a zero vector or one that isn't finite."""
+    v = F.col(v) if isinstance(v, str) else v
+    size = norm(v)
+    bad = (F.size(v) != dimensions) | F.isnan(size) | (size == 0) | (size == float("inf"))
+    return F.when(bad, F.raise_error(F.lit("invalid vector"))).otherwise(F.transform(v, lambda x: (x / size).cast("float")))
+
+
+def vector_hash(v: Column | str) -> Column:
+    """A digest of a vector at five decimals."""
+    return F.sha2(F.array_join(F.transform(v, lambda x: F.format_number(x.cast("double"), 5)), ","), 256)
+
+
+def fixture_embedding(dimensions: int, salt: str):
+    """A deterministic embedding: signed feature hashing of words and character bi- and trigrams."""
+
+    def one(text: str) -> list[float]:
+        x = unicodedata.normalize("NFKC", text or "").lower()
+        features = set(x.split()) | {x[i : i + n] for n in (2, 3) for i in range(len(x) - n + 1)}
+        out = np.zeros(dimensions, np.float32)
+        for f in features:
+            d = hashlib.sha256(f"{salt}\n{f}".encode()).digest()
+            out[(d[0] << 8 | d[1]) % dimensions] += 1 if d[2] % 2 == 0 else -1
+        return out.tolist()
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def embed(text: pd.Series) -> pd.Series:
+        return text.map(one)
+
+    # or Catalyst would move it into the lambdas of later expressions, once for each use
+    return embed.asNondeterministic()

@@ -1,0 +1,95 @@
+"""Structured Streaming: event hints, sessions, change batches and delete grace."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
+
+
+def hint_buckets(events: DataFrame, ts: str, keys: list[str], width: str = "250 milliseconds", late: str | None = None) -> DataFrame:
+    """Hints per key and bucket of time. On a stream, ``late`` is how long a bucket waits; batches need none."""
+    if late and events.isStreaming:
+        events = events.withWatermark(ts, late)
+    return events.groupBy(*keys, F.window(ts, width).alias("w")).agg(F.count("*").alias("n")).select(*keys, F.col("w.start").alias("bucket"), "n")
+
+
+def dedupe_hints(events: DataFrame, ts: str, keys: list[str], late: str) -> DataFrame:
+    """The first of equal hints within the time that state is kept for."""
+    return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
+
+
+def sessions(events: DataFrame, ts: str, key: str, gap: str) -> DataFrame:
+    """(key, session_start, session_end, n): runs of events with no gap of ``gap`` or more between them."""
+    grouped = events.groupBy(key, F.session_window(ts, gap).alias("s")).agg(F.count("*").alias("n"), F.max(ts).alias("last"))
+    return grouped.select(key, F.col("s.start").alias("session_start"), F.col("last").alias("session_end"), "n")
+
+
+def change_batches(changes: DataFrame, order: list[str], most: int = 500) -> DataFrame:
+    """Changes in numbered batches of at most ``most``, with a key by which a batch handed over twice is known.
+
+    Numbers come from counts of range partitions, so that no task holds them all.
+    """
+    placed = changes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    part = F.shiftright("at", 33)
+    within = F.floor(F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) / most)
+    return placed.withColumn("batch", F.concat_ws("-", part.cast("string"), within.cast("string"))).drop("at")
+
+
+def without_own_writes(changes: DataFrame, receipts: DataFrame, ttl_seconds: int = 30) -> DataFrame:
+    """Changes (path, hash, at) that no receipt (path, hash, written_at) of this engine's own writes explains."""
+    r = receipts.select("path", "hash", "written_at")
+    fresh = (changes["at"] >= r["written_at"]) & (F.unix_micros(changes["at"]) - F.unix_micros(r["written_at"]) <= ttl_seconds * 1_000_000)
+    return changes.join(r, (changes["path"] == r["path"]) & (changes["hash"] == r["hash"]) & fresh, "left_anti")
+
+
+def _grace(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, grace_ms: int) -> Iterator[pd.DataFrame]:
+    """Missing paths become deleted when their grace has passed without a sighting."""
+    columns = ["path", "kind", "at"]
+    if state.hasTimedOut:
+        (since,) = state.get
+        state.remove()
+        yield pd.DataFrame([(key[0], "deleted", pd.Timestamp(since, unit="ms"))], columns=columns)
+        return
+    rows = pd.concat(list(batches)).sort_values("ts")
+    out = []
+    for seen, ts in zip(rows["present"], rows["ts"], strict=True):
+        if seen:
+            if state.exists:
+                out.append((key[0], "returned", ts))
+                state.remove()
+        elif not state.exists:
+            state.update((int(ts.timestamp() * 1000),))
+            out.append((key[0], "missing_pending", ts))
+    if state.exists:
+        state.setTimeoutTimestamp(max(state.get[0] + grace_ms, state.getCurrentWatermarkMs() + 1))
+    yield pd.DataFrame(out, columns=columns)
+
+
+def delete_grace(observations: DataFrame, late: str, grace_ms: int) -> DataFrame:
+    """A stream of (path, present, ts) to missing_pending, returned and deleted events: the grace is an event-time timer per path."""
+    stream = observations.withWatermark("ts", late)
+    return stream.groupBy("path").applyInPandasWithState(
+        lambda k, b, s: _grace(k, b, s, grace_ms), "path string, kind string, at timestamp", "since long", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def write_once(batch: DataFrame, batch_id: int, path: str) -> None:
+    """A ``foreachBatch`` sink whose repeat of a batch replaces that batch alone."""
+    batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def due(connections: DataFrame, now, most: int = 20) -> DataFrame:
+    """The connections to scan first."""
+    return connections.where(F.col("next_scan_at") <= F.lit(now)).orderBy("next_scan_at", "connection_id").limit(most)
+
+
+def session_rows(events: DataFrame, ts: str, key: str, gap_seconds: int) -> DataFrame:
+    """Each event with its session's number within its key: for batches, by the time since the event before."""
+    w = Window.partitionBy(key).orderBy(ts, "event_id")
+    new = (F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w)) >= gap_seconds * 1_000_000).cast("long")
+    return events.withColumn("session", F.sum(F.coalesce(new, F.lit(1))).over(w))

@@ -1,0 +1,304 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from siltstone.functions.text import sha256
+from siltstone.operators import claims, evidence, fulltext, graph, retrieval, topics, vector, versioning
+from siltstone.schemas import INVENTORY, OBSERVATION
+from siltstone.sources import files, generations, parsers
+from siltstone.streaming import events as ev
+from siltstone.streaming.run import drain
+
+
+def table(spark, schema, *rows):
+    return spark.createDataFrame(list(rows), schema)
+
+
+def got(df, *columns):
+    return sorted((tuple(r) for r in (df.select(*columns) if columns else df).collect()), key=str)
+
+
+def test_snapshot_diff(spark):
+    s = "logical_path string, blob_sha256 string"
+    old, new = table(spark, s, ("a", "1"), ("b", "1"), ("c", "1")), table(spark, s, ("a", "1"), ("b", "2"), ("d", "1"))
+    assert got(versioning.snapshot_diff(old, new)) == [("b", "modified", "1", "2"), ("c", "deleted", "1", None), ("d", "added", None, "1")]
+
+
+def observation(path, digest, state="active", since=None, identity=None):
+    return ("o", path, path, identity, digest, state, since, 1)
+
+
+def test_change_classification(spark):
+    now = dt.datetime(2024, 1, 1, 0, 1)
+    old = table(
+        spark, OBSERVATION, observation("same", "1"), observation("edit", "1"), observation("back", "5", "deleted"), observation("moved", "m"), observation("inode", "i", identity="7"),
+        observation("gone", "g", "missing_pending", dt.datetime(2024, 1, 1)), observation("late", "l", "missing_pending", dt.datetime(2024, 1, 1, 0, 0, 50)), observation("first", "f"),
+        observation("twin1", "t"), observation("twin2", "t"),
+    )
+    new = table(spark, INVENTORY, *[(p, p, i, h) for p, h, i in (("same", "1", None), ("edit", "2", None), ("back", "5", None), ("z1", "m", None), ("z2", "m", None), ("z3", "q", "7"), ("z4", "t", None))])
+    out = versioning.classify_changes(old, new, now, 30_000)
+    assert got(out, "relative_path", "kind", "previous_path") == [
+        ("back", "restored", None), ("edit", "modified", None), ("first", "missing_pending", None), ("gone", "deleted", None), ("late", "missing_pending", None), ("twin1", "missing_pending", None),
+        ("twin2", "missing_pending", None), ("z1", "renamed", "moved"), ("z2", "created", None), ("z3", "renamed", "inode"), ("z4", "created", None),
+    ]
+
+
+def test_chunk_alignment(spark):
+    s = "document_id string, chunk_id string, content_hash string, content_text string, anchor_key string, ordinal int"
+    old = table(spark, s, ("d", "c1", "h1", "alpha beta", "a1", 0), ("d", "c2", "h2", "gamma delta epsilon", "a2", 1), ("d", "c3", "h3", "zeta", "a3", 2))
+    new = table(spark, s, ("d", None, "h1", "alpha beta", "x", 0), ("d", None, "n1", "gamma delta eta", "y", 1), ("d", None, "n2", "entirely new", "a3", 2), ("d", None, "n3", "other things", "z", 3)).drop("chunk_id")
+    out = got(versioning.align_chunks(old, new), "ordinal", "relation", "previous_chunk_id")
+    assert (0, "exact", "c1") in out and (1, "modified", "c2") in out and (2, "modified", "c3") in out and (3, "created", None) in out
+    assert sum(r[1] == "tombstoned" for r in out) == 2
+
+
+def test_renames_tombstones_upserts(spark):
+    docs = table(spark, "document_id string, logical_path string, state string", ("1", "a", "active"), ("2", "b", "active"))
+    moved = versioning.apply_renames(docs, table(spark, "kind string, previous_path string, relative_path string", ("renamed", "a", "c")))
+    assert got(moved, "document_id", "logical_path") == [("1", "c"), ("2", "b")]
+    assert got(versioning.tombstones(moved, table(spark, "logical_path string", ("c",))), "document_id", "state") == [("1", "active"), ("2", "tombstoned")]
+    rows = table(spark, "k string, v int", ("a", 1), ("b", 1))
+    fresh = table(spark, "k string, v int", ("b", 2), ("c", 2))
+    assert got(generations.upsert(rows, fresh, ["k"])) == [("a", 1), ("b", 2), ("c", 2)]
+    assert got(generations.insert_ignore(rows, fresh, ["k"])) == [("a", 1), ("b", 1), ("c", 2)]
+
+
+def test_compare_and_set_and_undo(spark):
+    state = table(spark, "id string, value string", ("a", "1"), ("b", "1"))
+    changes = table(spark, "id string, before string, after string", ("a", "1", "2"), ("b", "9", "2"), ("c", None, "3"))
+    after = versioning.compare_and_set(state, changes, "id")
+    assert got(after) == [("a", "2", True), ("b", "1", False), ("c", "3", True)]
+    back = versioning.compare_and_set(after.select("id", "value"), versioning.inverse(changes.where("id = 'a'")), "id")
+    assert ("a", "1", True) in got(back)
+
+
+def test_generations(spark, tmp_path):
+    store = generations.GenerationStore(spark, f"file://{tmp_path}/t")
+    rows = table(spark, "k string, v int", ("a", 1))
+    assert store.current() is None
+    store.write("1", rows)
+    store.activate("1")
+    store.refresh("2", table(spark, "k string, v int", ("a", 2), ("b", 1)), "k")
+    with pytest.raises(ValueError, match="bad rows"):
+        store.activate("2", lambda x: x.where("v > 1"))
+    assert got(store.read()) == [("a", 1)]
+    store.activate("2")
+    assert got(store.read()) == [("a", 2), ("b", 1)]
+    with pytest.raises(Exception, match="already exists|ALREADY_EXISTS"):
+        store.write("1", rows)
+
+
+def test_files(spark, tmp_path):
+    for name, text in (("a/x.md", "# X\n[[y]]"), ("a/y.txt", "y"), (".git/z", "z"), ("key.pem", "k"), ("p.html", "<h1>P</h1>")):
+        (tmp_path / name).parent.mkdir(exist_ok=True, parents=True)
+        (tmp_path / name).write_text(text)
+    read = files.read_files(spark, str(tmp_path))
+    assert [r[0] for r in got(read, "logical_path")] == ["a/x.md", "a/y.txt", "key.pem", "p.html"]
+    assert [r[0] for r in got(files.read_files(spark, str(tmp_path), markdown_only=True), "logical_path")] == ["a/x.md"]
+    docs = {r.logical_path: r for r in parsers.parse(read).collect()}
+    assert docs["a/x.md"].title == "X" and docs["key.pem"].error == "skipped"
+    none = spark.createDataFrame([], "normalized_path_key string, size_bytes long, mtime timestamp, quick_fingerprint string, content_hash string")
+    first = files.inventory(read, none, [], ["**/*.txt"])
+    assert {r.logical_path: r.ignored for r in first.collect()} == {"a/x.md": None, "a/y.txt": "excluded", "key.pem": "sensitive", "p.html": None}
+    again = files.inventory(read, first, [], [])
+    assert {r.logical_path for r in again.collect() if r.reused} == {"a/x.md", "p.html"}
+    assert files.damaged(read.select(F.sha2("content", 256).alias("sha256"), "content")).isEmpty()
+    assert files.blobs(read).count() == 4 and generations.backup_manifest(spark, str(tmp_path)).count() == 4
+    assert [files.source_kind(u) for u in ("-", "https://x", "/a")] == ["stdin", "web", "path"]
+
+
+def test_bm25_ranks_and_falls_back(spark):
+    rows = table(spark, "id long, content string, title string", (1, "spark spark engine", "x"), (2, "an engine", "spark"), (3, "nothing", None), (4, None, "y"))
+    out = fulltext.search(rows, "spark ENGINE", "id", {"content": 1.0, "title": 1.5}, "content").orderBy("rank").collect()
+    assert {r.id for r in out} == {1, 2} and [r.rank for r in out] == [1, 2]
+    assert [r.id for r in fulltext.search(rows, "an", "id", {"content": 1.0}, "content").collect()] == [2]
+    assert fulltext.query_tokens("ab  ABC abc de") == ["abc"]
+    assert got(fulltext.coverage(rows, rows.where("id < 3").union(table(spark, "id long, content string, title string", (9, "", ""))), "id")) == [(3, "missing"), (4, "missing"), (9, "orphan")]
+
+
+def test_nearest(spark):
+    v = table(spark, "id long, embedding array<float>", (1, [1.0, 0.0, 0.0]), (3, [0.9, 0.1, 0.0]), (4, [0.0, 0.0, 1.0]))
+    assert [r.id for r in vector.nearest(v, [1.0, 0.0, 0.0], "id", "embedding", 2).collect()] == [1, 3]
+    n = vector.semantic_neighbors(v, "id", "embedding", 1, block=2)
+    assert got(n, "id", "neighbor")[:2] == [(1, 3), (3, 1)]
+
+
+def test_embedding_upkeep(spark):
+    chunks = table(spark, "chunk_id string, content_hash string, text string", ("a", "1", "x"), ("b", "2", "y"), ("c", "3", "z"))
+    have = table(spark, "chunk_id string, content_hash string", ("a", "1"), ("b", "old"), ("d", "4"))
+    assert got(vector.coverage(chunks, have)) == [(3, 1, 3)]
+    assert got(vector.stale(chunks, have)) == [("b", "stale"), ("c", "missing"), ("d", "gone")]
+    assert got(vector.embed_missing(chunks, have, lambda t: F.length(t), "text"), "chunk_id") == [("b",), ("c",)]
+
+
+def test_fusion(spark):
+    a, b = table(spark, "id string, rank int", ("x", 1), ("y", 2)), table(spark, "id string, rank int", ("y", 1), ("z", 2))
+    out = retrieval.top(retrieval.fuse({"fts": a, "vector": b}, "id"), "id", 10).collect()
+    assert [r.id for r in out] == ["y", "x", "z"] and out[0].score == pytest.approx(1 / 62 + 1 / 61)
+
+
+def test_plans_grow():
+    p = [retrieval.retrieval_plan(d) for d in ("shallow", "normal", "deep")]
+    assert p[0].seeds < p[1].seeds < p[2].seeds and p[0].budget < p[1].budget < p[2].budget
+    assert retrieval.retrieval_plan("deep", 99).budget == 99
+    with pytest.raises(ValueError, match="since"):
+        retrieval.Filters(since="2024-02-01", until="2024-01-01")
+
+
+def test_hybrid(spark):
+    rows = table(spark, "chunk_id string, content string, title string, source string", ("1", "spark engine", "spark", "s"), ("2", "engine spark spark", "t", "s"), ("3", "spark", "u", "other"))
+    out = retrieval.hybrid_search(rows, "spark", filters=retrieval.Filters(source="s"))
+    assert out.warnings and {r.chunk_id for r in out.rows.collect()} == {"1", "2"}
+    vectors = table(spark, "chunk_id string, embedding array<float>", ("1", [1.0, 0.0]), ("2", [0.0, 1.0]))
+    both = retrieval.hybrid_search(rows, "spark", vectors=vectors, query_vector=[0.0, 1.0])
+    assert not both.warnings and both.rows.count() == 3
+    with pytest.raises(ValueError, match="vector space"):
+        retrieval.hybrid_search(rows, "spark", mode="vector")
+
+
+def test_context(spark):
+    seeds = table(spark, "chunk_id string, position int, token_estimate int, content string", ("c1", 1, 100, "x" * 400), ("c2", 2, 100, "y" * 400))
+    g = table(spark, "chunk_id string, claim_id string, position int, token_estimate int, content string, role string", ("c9", "k", 1, 50, "z" * 200, "contradict"), ("c9", "k", 2, 50, "z" * 200, "support"))
+    out = retrieval.assemble_context(seeds, g, 230).orderBy("position").collect()
+    assert [(r.chunk_id, r.role, r.taken) for r in out] == [("c9", "graph_contradict", 50), ("c1", "seed", 100), ("c2", "seed", 80)]
+    assert [len(r.excerpt) for r in out] == [200, 400, 320]
+
+
+def test_answers(spark):
+    e = table(spark, "evidence_key string, content string, source_id string, claim_status string", ("E1", "water is wet", "s1", "x"), ("E2", "so water is wet", "s2", "x"), ("E3", "fire", "s1", "disputed"))
+    s = table(
+        spark, "statement_id int, kind string, text string, evidence_keys array<string>", (1, "fact", "water is wet", ["E1", "E2"]), (2, "fact", "water is wet", ["E1"]), (3, "fact", "dry", ["E1"]),
+        (4, "inference", "so", ["E1"]), (5, "fact", "fire", ["E3"]), (6, "fact", "x", []), (7, "fact", "x", ["E9"]),
+    )
+    assert got(retrieval.validate_answer(s, e)) == [
+        (1, None, "fact"), (2, None, "single_source"), (3, "not_in_evidence", None), (4, "inference_needs_two", None), (5, None, "conflict"), (6, "citation_required", None), (7, "unknown_evidence", None),
+    ]
+
+
+EDGE = "subject string, predicate string, object string"
+
+
+def test_walks(spark):
+    edges = table(spark, EDGE, ("a", "p", "b"), ("b", "p", "c"), ("c", "p", "a"), ("c", "p", "d"), ("d", "similar_to", "e"), ("d", "q", "f"))
+    start = table(spark, "node string", ("a",))
+    assert got(graph.neighborhood(edges, start, 2)) == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]
+    assert got(graph.neighborhood(edges, start, 4, ["p"])) == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]
+    assert [tuple(r) for r in graph.shortest_path(edges, "a", "f").collect()] == [(3, ["a", "c", "d", "f"])]
+    assert graph.shortest_path(edges, "a", "e").isEmpty()
+    rows, more = graph.bounded(edges, ["subject", "object"], 2)
+    assert more and rows.count() == 2
+
+
+def test_links(spark):
+    text = "see [[Page|p]] and ![[pic.png]] [x](../b.md) [y](https://z) [@cite] [[Twin]]"
+    refs = graph.references(table(spark, "id string, t string", ("1", text)), "id", "t")
+    assert got(refs, "kind", "target") == [("citation", "cite"), ("embed", "pic.png"), ("markdown", "../b.md"), ("wiki", "Page"), ("wiki", "Twin")]
+    docs = table(spark, "document_id string, path string, title string", ("d1", "notes/page.md", "One"), ("d2", "x/twin.md", None), ("d3", "y/twin.md", None), ("d4", "b.md", None))
+    out = graph.resolve_links(refs, docs, "id")
+    assert got(out, "target", "state", "document_id") == [("../b.md", "resolved", "d4"), ("Page", "resolved", "d1"), ("Twin", "ambiguous", None), ("cite", "missing", None), ("pic.png", "missing", None)]
+
+
+def test_relations_redirects_verify_carry(spark):
+    registry = table(spark, "predicate string, domain array<string>, range array<string>, symmetric boolean", ("knows", ["person"], ["person"], True))
+    nodes = table(spark, "node_id string, kind string", ("a", "person"), ("b", "person"), ("c", "place"))
+    edges = table(spark, EDGE, ("b", "knows", "a"), ("a", "knows", "b"), ("a", "knows", "c"), ("a", "eats", "b"), ("a", "knows", "x"))
+    assert got(graph.relations(edges, registry, nodes)) == [("a", "eats", "b", "unknown_predicate"), ("a", "knows", "b", None), ("a", "knows", "c", "range"), ("a", "knows", "x", "missing_node")]
+    pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("y", "x"), ("w", "x")], ["from", "to"])
+    assert got(graph.redirects(pairs)) == [("a", "d"), ("b", "d"), ("c", "d"), ("w", None), ("x", None), ("y", None)]
+    claim = table(spark, "claim_id string, subject string", ("k1", "a"), ("k2", "zz"))
+    bad = graph.verify(nodes, edges, claim, table(spark, "claim_id string", ("k1",)))
+    assert got(bad) == [("claim_evidence", "k2"), ("claim_subject", "zz"), ("edge_object", "x")]
+    assert ("a", "knows", "c", "stale") in got(graph.carry_forward(edges, table(spark, "node string", ("c",))))
+    assert graph.generation_diff(edges, edges.where("predicate = 'knows'"), ["subject", "predicate", "object"]).count() == 1
+
+
+def test_exports(spark):
+    nodes = table(spark, "node_id string, label string", ("a", 'A & "B"'), ("b", None))
+    edges = table(spark, EDGE, ("a", "p", "b"))
+    text = "".join(r.value for r in generations.graphml(nodes, edges).collect())
+    assert text.startswith("<graphml") and text.endswith("</graphml>") and "A &amp; &quot;B&quot;" in text and 'source="a"' in text
+    import xml.dom.minidom
+
+    xml.dom.minidom.parseString(text)
+    assert '"@id":"a"' in generations.json_ld(nodes, edges).where("value like '%relations%'").first().value
+    assert generations.manifest(nodes, edges).count() == 3
+
+
+TEXT = "@entity e1|person|Ada|A,B|ada\n@entity e2|place|London\n@claim e1|lives_in|e2|Ada lives in London|fact|direct|home\n@claim e1|age|$36|Ada is 36\n@claim bad\nplain"
+
+
+def test_extraction(spark):
+    chunks = table(spark, "chunk_id string, content_text string", ("c1", TEXT), ("c2", TEXT), ("c3", "none")).withColumn("content_hash", sha256("content_text"))
+    ents = claims.extract_once(chunks, claims.extract_entities)
+    assert ents.count() == 4
+    ids = claims.entity_ids(ents, "chunk_id")
+    assert ids.select("entity_id").distinct().count() == 3  # Ada by key once, London per chunk
+    made = claims.extract_once(chunks, claims.extract_claims)
+    assert got(made.where("chunk_id = 'c1'"), "predicate", "object_local_id", "value", "epistemic_status", "directness") == [("age", None, "36", "fact", "direct"), ("lives_in", "e2", None, "fact", "direct")]
+    named = claims.claim_ids(made.withColumnsRenamed({"subject_local_id": "subject", "object_local_id": "object"}))
+    assert named.select("claim_id").distinct().count() == 2
+    issues = claims.check_grounding(ents, made, chunks, table(spark, "predicate string", ("age",)), "chunk_id")
+    assert got(issues, "issue", "item") == [("unknown_predicate", "lives_in"), ("unknown_predicate", "lives_in")]
+
+
+def test_conflicts(spark):
+    rows = table(spark, "claim_id string, subject string, scope string, position string", ("1", "a", "s", "x"), ("2", "a", "s", "y"), ("3", None, "s", "x"), ("4", None, "s", "y"), ("5", "b", "s", "x"))
+    assert got(claims.conflicts(rows, ["subject", "scope"], "position"), "subject", "n_positions") == [("a", 2), (None, 2)]
+    assert got(claims.conflict_pairs(rows, ["subject", "scope"], "position")) == [("1", "2"), ("3", "4")]
+
+
+def test_topics(spark):
+    c = table(
+        spark, "claim_id string, topic string, status string, n_conflicts int, epistemic_status string, confidence_level string", ("k1", "t", "proposed", 0, "fact", "medium"),
+        ("k2", "t", "proposed", 0, "fact", "low"), ("k3", "t", "proposed", 0, "user_opinion", "low"), ("k4", "t", "proposed", 0, "inference", "low"), ("k5", "u", "disputed", 0, "fact", "disputed"), ("k6", "t", "proposed", 0, "fact", "high"),
+    )
+    e = table(spark, "claim_id string, source_lineage_key string", ("k1", "l1"), ("k1", "l2"), ("k1", "l2"), ("k2", "l1"), ("k2", "l1"), ("k3", "l1"), ("k4", "l1"), ("k5", "l1"))
+    made = topics.classify(c, e)
+    assert got(made, "claim_id", "conclusion_type", "repost_count") == [("k1", "consensus", 1), ("k2", "single_source", 1), ("k3", "user_opinion", 0), ("k4", "inference", 0), ("k5", "conflict", 0)]
+    r = topics.report(made, ["topic"])
+    assert got(r, "topic", "health_status", "confidence_level", "decisive_rule") == [("t", "healthy", "medium", "strongest_key_claims"), ("u", "needs_review", "disputed", "unresolved_conflict")]
+    assert got(topics.gaps(r, ["topic"]), "topic", "severity") == [("t", "medium"), ("u", "high")]
+    pages = topics.page_ir(r, topics.sections(made, ["topic"]), topics.gaps(r, ["topic"]), "topic")
+    assert topics.invalid_pages(pages).isEmpty()
+    assert topics.invalid_pages(pages.withColumn("page", F.replace("page", F.lit('"hero"'), F.lit('"zzz"')))).count() == 2
+    assert topics.markdown_page(topics.sections(made, ["topic"]), "topic").count() == 2
+
+
+def test_evidence(spark):
+    seeds = table(spark, "chunk_id string", ("c1",))
+    mentions = table(spark, "chunk_id string, entity string", ("c1", "e1"))
+    c = table(spark, "claim_id string, subject string, object string, status string", ("k1", "x", "y", "proposed"), ("k2", "e1", "y", "proposed"), ("k3", "x", "e1", "rejected"))
+    e = table(spark, "claim_id string, chunk_id string, role string", ("k1", "c1", "support"), ("k2", "c2", "contradict"), ("k3", "c1", "support"))
+    assert got(evidence.expand(seeds, mentions, c, e)) == [("k1", "c1", "support", 0), ("k2", "c2", "contradict", 1)]
+    blobs = table(spark, "content string", ("hello",)).select(F.sha2("content", 256).alias("sha256"), F.encode("content", "utf-8").alias("content"))
+    h = blobs.first().sha256
+    items = table(spark, "item_id int, blob_sha256 string, start int, length int, quote string", (1, h, 1, 4, "hell"), (2, h, 1, 4, "heck"), (3, "none", 1, 1, "x"))
+    assert got(evidence.trace(items, blobs)) == [(1, "verified"), (2, "moved"), (3, "missing")]
+    chain = table(spark, "revision_id string, parent_revision_id string, document_id string", ("r1", None, "d"), ("r2", "r1", "d"), ("r3", "r1", "e"), ("r4", "zz", "d"))
+    assert got(evidence.broken_chains(chain), "id") == [("r3",), ("r4",)]
+    stale = evidence.invalidate(table(spark, "answer string", ("a",), ("b",)), table(spark, "answer string, chunk string", ("a", "c1"), ("b", "c2")), table(spark, "chunk string", ("c1",)), "answer", "chunk")
+    assert got(stale) == [("a", "stale"), ("b", "active")]
+
+
+def test_streams(spark, tmp_path):
+    base = dt.datetime(2024, 1, 1)
+    src = f"{tmp_path}/in"
+    rows = [("a", False, base), ("b", False, base), ("b", True, base + dt.timedelta(seconds=5)), ("z", True, base + dt.timedelta(hours=1))]
+    for i, r in enumerate(rows):
+        table(spark, "path string, present boolean, ts timestamp", r).coalesce(1).write.mode("append").parquet(f"{src}/{i}")
+    stream = spark.readStream.schema("path string, present boolean, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
+    out = got(drain(ev.delete_grace(stream, "0 seconds", 30_000)), "path", "kind")
+    assert ("a", "missing_pending") in out and ("a", "deleted") in out and ("b", "returned") in out and ("b", "deleted") not in out
+    hints = drain(ev.hint_buckets(stream, "ts", ["path"], "250 milliseconds", "1 second"), "complete")
+    assert hints.count() == 4
+
+
+def test_change_batches_and_own_writes(spark):
+    changes = spark.range(1203).select(F.concat(F.lit("p"), "id").alias("path"))
+    sizes = [r["count"] for r in ev.change_batches(changes, ["path"], 100).groupBy("batch").count().collect()]
+    assert sum(sizes) == 1203 and max(sizes) <= 100
+    t = dt.datetime(2024, 1, 1)
+    c = table(spark, "path string, hash string, at timestamp", ("a", "1", t + dt.timedelta(seconds=5)), ("b", "1", t + dt.timedelta(seconds=50)))
+    r = table(spark, "path string, hash string, written_at timestamp", ("a", "1", t), ("b", "1", t))
+    assert got(ev.without_own_writes(c, r), "path") == [("b",)]
