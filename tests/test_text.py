@@ -127,7 +127,7 @@ def test_html():
     d = parse_one("p.html", "text/html", "html", page)
     assert d["title"] == "T & U" and "bad" not in d["text"] and "a A" in d["text"]
     assert d["links"][0]["target"] == "/x?a=1&b=2" and d["links"][0]["label"] == "go  on"
-    assert ("list", "- one") in [(b["kind"], b["text"]) for b in d["blocks"]]
+    assert ("list", "- one go on") in [(b["kind"], b["text"]) for b in d["blocks"]]
 
 
 def test_jsonl_and_bad_input():
