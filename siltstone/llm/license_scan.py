@@ -117,11 +117,11 @@ class Scanner:
             need, most = n * self.least / (2 - self.least), n * (2 - self.least) / self.least
             if len(places) >= need - 1e-9:
                 found += [(dice, n, t, name, a, m) for dice, a, m in self._windows(words, bigrams, n, places, need, most)]
-        taken: list[tuple[int, int]] = []
+        taken = bytearray(len(words))
         out = []
         for dice, _, _, name, a, m in sorted(found, key=lambda x: (-x[0], -x[1], x[4], x[2])):
-            if all(a + m <= s or e <= a for s, e in taken):
-                taken.append((a, a + m))
+            if 1 not in taken[a : a + m]:
+                taken[a : a + m] = b"\1" * m
                 out.append((name, dice, a, m))
         return sorted(out, key=lambda x: x[2])
 
