@@ -57,8 +57,8 @@ def drop_scratch(spark: SparkSession) -> None:
 
 
 def renamed(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the named columns, under this library's own names.
+    """Only the named columns (own name: this library's), under this library's names.
 
     Operators begin with this, so extra columns of the input can't clash.
     """
-    return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
+    return df.select(*[F.col(f"`{old}`").alias(new) for old, new in columns.items()])

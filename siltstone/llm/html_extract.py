@@ -245,11 +245,24 @@ def choose(nodes: list[Node]) -> list[Node]:
     onpath = {id(n) for n in path}
     for n in nodes:
         if n.parent and id(n.parent) in onpath and id(n.parent) != id(best) and id(n) not in onpath and not n.cut:
-            if n.density >= threshold and n.C and not _menu(n) or n.tag in ("h1", "h2"):
+            if n.C and (n.density >= threshold and not _menu(n) or _headings_only(n)):
                 chosen[id(n)] = n
     return [n for n in nodes if id(n) in chosen]
 
 
+def _headings_only(n: Node) -> bool:
+    """Whether all text of a subtree is in first or second headings."""
+    todo = [n]
+    while todo:
+        x = todo.pop()
+        if x.tag in ("h1", "h2") or x.cut:
+            continue
+        if any(isinstance(c, str) and c.strip() for c in x.content):
+            return False
+        todo.extend(c for c in x.content if isinstance(c, Node))
+    return True
+
+
 def _within(n: Node, tops: list[Node]) -> bool:
     p = n.parent
     while p:

@@ -129,13 +129,14 @@ def sites(known: DataFrame) -> DataFrame:
     paths = materialize(known.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("y").alias("s")), "sites")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
     total = hosts.agg(F.sum("hn").alias("n"), F.sum("hs").alias("s"), F.count("*").alias("groups")).first()
-    share = total.s / total.n if total.n else 0.5
+    rows = total.n or 0
+    share = total.s / rows if rows else 0.5
     spread = hosts.agg((F.sum(F.col("hn") * F.pow(F.col("hs") / F.col("hn") - share, 2)) / F.sum("hn")).alias("v")).first().v or 0.0
-    k = strength(share, spread, share * (1 - share) * total.groups / max(total.n, 1))
+    k = strength(share, spread, share * (1 - share) * total.groups / max(rows, 1))
     rated = hosts.select("host", ((F.col("hs") + k * share) / (F.col("hn") + k)).alias("host_rate"), (F.col("hs") / F.col("hn")).alias("raw"))
     both = paths.join(rated, paths["host"].eqNullSafe(rated["host"])).drop(rated["host"])
     inner = both.agg((F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - F.col("raw"), 2)) / F.sum("n")).alias("v"), F.count("*").alias("groups")).first()
-    kp = strength(share, inner.v or 0.0, share * (1 - share) * inner.groups / max(total.n, 1))
+    kp = strength(share, inner.v or 0.0, share * (1 - share) * inner.groups / max(rows, 1))
     return both.select("host", "path", "host_rate", ((F.col("s") + kp * F.col("host_rate")) / (F.col("n") + kp)).alias("path_rate"))
 
 
