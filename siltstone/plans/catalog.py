@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from siltstone.functions import text as tx
 from siltstone.functions import vectors as vx
-from siltstone.operators import chunking, claims, evidence, fulltext, graph, retrieval, topics, vector, versioning
+from siltstone.operators import chunking, claims, evidence, fulltext, graph, maintenance, retrieval, topics, vector, versioning
 from siltstone.sources import files, generations, parsers
 from siltstone.streaming import events as ev
 from siltstone.streaming.run import drain
@@ -593,6 +593,40 @@ def conversation_turns(spark, sf_dir):
     return c.select("conv_id", "turn", F.lag("role").over(w).alias("previous_role"), F.sum(tx.token_estimate("text")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("tokens_so_far"))
 
 
+@query
+def line_to_chunk(spark, sf_dir):
+    """Every line of a document, blank ones too, to the chunk of ten lines with words that it falls in."""
+    d = table(spark, sf_dir, "documents")
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("line")) - 1
+    made = chunking.line_blocks(d, "doc_id").withColumn("ordinal", F.floor(nth / 10))
+    made = made.groupBy("doc_id", "ordinal").agg(F.min("line").alias("start_line"), F.max("line").alias("end_line"))
+    lines = d.select("doc_id", F.explode(F.sequence(F.lit(1), F.size(F.split("text", "\n")) + 1)).alias("line"))
+    return maintenance.chunk_at_line(lines, made, "doc_id")
+
+
+@query
+def event_percentiles(spark, sf_dir):
+    return maintenance.percentiles(table(spark, sf_dir, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
+
+
+@query
+def build_candidates(spark, sf_dir):
+    """Documents as sources; those that are labelled have been built."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), F.sha2("text", 256).alias("snapshot_id"))
+    done = d.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("source_id")), "source_id", "left_semi")
+    runs = done.select(maintenance.run_key(F.col("snapshot_id"), "v1").alias("run_key"), F.lit("ready").alias("state"))
+    return maintenance.build_candidates(d, runs, "v1").select("source_id")
+
+
+@query
+def restorable_resources(spark, sf_dir):
+    """Event types as operations on users, one of them taken for a delete."""
+    e = table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "click", "delete").otherwise("update")
+    log = e.select("user_id", "ts", "event_id", kind.alias("kind"), F.col("event_type").alias("before"), F.lit(None).cast("string").alias("after"))
+    return maintenance.restorable(log, ["user_id"], ["ts", "event_id"])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents to lines, token-budgeted chunks, and the ten that answer a query best."""
     d = table(spark, sf_dir, "documents")

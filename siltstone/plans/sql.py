@@ -233,4 +233,10 @@ SQL: dict[str, str] = {
     "event_props_json": "SELECT event_type, count(json_extract(props, '$.k')) AS n, sum((json_extract(props, '$.k'))::BIGINT)::BIGINT AS total FROM events GROUP BY event_type",
     "conversation_turns": f"""SELECT conv_id, turn, lag(role) OVER w AS previous_role, (sum({tokens('text')}) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))::BIGINT AS tokens_so_far
         FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
+    "line_to_chunk": f"""WITH c AS (SELECT doc_id, o AS ordinal, min(line) AS s, max(line) AS e FROM (SELECT doc_id, line, (row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1) // 10 AS o FROM {LINES}) GROUP BY 1, 2),
+        l AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 2)) AS line FROM documents)
+        SELECT l.doc_id, line, coalesce(min(ordinal) FILTER (line BETWEEN s AND e), min(ordinal)) AS ordinal, count(*) FILTER (line BETWEEN s AND e) > 0 AS inside FROM l LEFT JOIN c USING (doc_id) GROUP BY 1, 2""",
+    "event_percentiles": "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type",
+    "build_candidates": "SELECT doc_id AS source_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))",
+    "restorable_resources": """SELECT user_id, NULL::VARCHAR AS before, event_type AS after FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 AND event_type = 'click'""",
 }

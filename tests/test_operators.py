@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import sha256
-from siltstone.operators import claims, evidence, fulltext, graph, retrieval, topics, vector, versioning
+from siltstone.operators import claims, evidence, fulltext, graph, maintenance, retrieval, topics, vector, versioning
 from siltstone.schemas import INVENTORY, OBSERVATION
 from siltstone.sources import files, generations, parsers
 from siltstone.streaming import events as ev
@@ -302,3 +302,19 @@ def test_change_batches_and_own_writes(spark):
     c = table(spark, "path string, hash string, at timestamp", ("a", "1", t + dt.timedelta(seconds=5)), ("b", "1", t + dt.timedelta(seconds=50)))
     r = table(spark, "path string, hash string, written_at timestamp", ("a", "1", t), ("b", "1", t))
     assert got(ev.without_own_writes(c, r), "path") == [("b",)]
+
+
+def test_maintenance(spark):
+    m = maintenance
+    assert m.config_fingerprint({"a": "1"}, {"x": 1, "y": 2}) == m.config_fingerprint({"a": "1"}, {"y": 2, "x": 1}) != m.config_fingerprint({"a": "2"}, {"x": 1, "y": 2})
+    assert m.space_fingerprint({"a": 1, "b": 2}) == m.space_fingerprint({"b": 2, "a": 1})
+    log = table(spark, "id string, seq int, kind string, before string, after string", ("a", 1, "update", None, "x"), ("a", 2, "delete", "x", None), ("b", 1, "delete", "y", None), ("b", 2, "update", None, "z"))
+    assert got(m.restorable(log, ["id"], ["seq"])) == [("a", None, "x")]
+    assert got(m.purge(log, table(spark, "id string", ("a",)), "id"), "id") == [("b",), ("b",)]
+    entries = table(spark, "snapshot_id string, logical_path string, blob_sha256 string", ("s1", "p", "h1"), ("s2", "p", "h2"))
+    snaps = table(spark, "snapshot_id string, source_id string, sequence int", ("s1", "x", 1), ("s2", "x", 2))
+    assert got(m.snapshot_entries(entries, table(spark, "sha256 string, size_bytes int", ("h2", 9)), snaps, "x"), "logical_path", "size_bytes") == [("p", 9)]
+    now, then = table(spark, "sentinel string, vector_hash string", ("a", "1"), ("b", "2"), ("c", "3")), table(spark, "sentinel string, vector_hash string", ("a", "1"), ("b", "9"))
+    assert got(m.drift(now, then)) == [("a", "match"), ("b", "drift"), ("c", "baseline")]
+    cache = m.QueryCache(lambda q: [float(len(q))])
+    assert cache.get("s", "abc") == cache.get("s", "abc") == [3.0] and cache.hits["s", "abc"] == 1
