@@ -32,7 +32,7 @@ DOUBLE = "[\\s\\v\\x85\\pZ]{2}|[\\x1c-\\x1f]"
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Entries of each of the cache's two generations.
-CACHE_ENTRIES = 450_000
+CACHE_ENTRIES = 200_000
 #: Bytes of text that are encoded at once; a longer text alone.
 SLICE = 6 << 20
 

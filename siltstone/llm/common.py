@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +65,26 @@ def renamed(df: DataFrame, **columns: str) -> DataFrame:
     Operators begin with this, so extra columns of the input can't clash.
     """
     return df.select(*[F.col(f"`{old}`").alias(new) for old, new in columns.items()])
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def map_arrow(df: DataFrame, rows: Callable[[Batches], Batches], schema) -> DataFrame:
+    """``mapInArrow`` whose worker, which later tasks share, keeps no freed memory between tasks."""
+
+    def task(batches: Batches) -> Batches:
+        try:
+            yield from rows(batches)
+        finally:
+            release_memory()
+
+    return df.mapInArrow(task, schema)

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from siltstone.llm.common import renamed
+from siltstone.llm.common import map_arrow, renamed
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
@@ -318,4 +318,4 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
     own = renamed(pages, **{page_id: "page_id", url: "url", page: "html"})
-    return own.mapInArrow(rows, "page_id long, url string, text string, n_chars long")
+    return map_arrow(own, rows, "page_id long, url string, text string, n_chars long")

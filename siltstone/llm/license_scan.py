@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from siltstone.llm.common import renamed
+from siltstone.llm.common import map_arrow, renamed
 
 #: Least coefficient of a match.
 LEAST = 0.8
@@ -168,7 +168,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least:
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "licenses", "n_matches", "best_dice", "spans"])
 
-    return renamed(docs, **{doc_id: "doc_id", text: "text"}).mapInArrow(rows, MATCH)
+    return map_arrow(renamed(docs, **{doc_id: "doc_id", text: "text"}), rows, MATCH)
 
 
 def op3(docs: DataFrame) -> DataFrame:

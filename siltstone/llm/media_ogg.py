@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import materialize, renamed
+from siltstone.llm.common import map_arrow, materialize, renamed
 
 PAGE = struct.Struct("<4sBBqIIIB")
 CONTINUED, FIRST, LAST = 1, 2, 4
@@ -223,7 +223,7 @@ def inspect(media: DataFrame, id_column: str, media_column: str) -> DataFrame:
         ]
     )
     schema = pa.schema([("id", pa.int64()), ("error", pa.string()), ("streams", pa.list_(stream))])
-    return renamed(media, **{id_column: "id", media_column: "media"}).mapInArrow(rows, INSPECTED)
+    return map_arrow(renamed(media, **{id_column: "id", media_column: "media"}), rows, INSPECTED)
 
 
 def pad(data: bytes, unit: int = 64) -> bytes:
@@ -257,8 +257,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def store_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Texts as a written table of Ogg values: doc_id, n_bytes, media. A null text counts as empty."""
     own = renamed(docs, **{doc_id: "doc_id", text: "text"})
-    return materialize(own.mapInArrow(_stored, "doc_id long, n_bytes long, media binary"), "media")
+    return materialize(map_arrow(own, _stored, "doc_id long, n_bytes long, media binary"), "media")
 
 
 def op4(docs: DataFrame) -> DataFrame:
-    return store_texts(docs).mapInArrow(_digests, DIGEST).select(*[F.col(x.split()[0]) for x in DIGEST.split(", ")])
+    return map_arrow(store_texts(docs), _digests, DIGEST).select(*[F.col(x.split()[0]) for x in DIGEST.split(", ")])

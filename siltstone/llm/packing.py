@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.llm.bpe_words import word_bpe
-from siltstone.llm.common import materialize, renamed
+from siltstone.llm.common import map_arrow, materialize, renamed
 
 #: Rounds of multiplicative weights. It bounds the driver's work, not the result: what a round leaves is best-fit packed.
 ROUNDS = 400
@@ -183,7 +183,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, capa
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece, with its rank among the pieces of its length in its partition."""
     own = renamed(docs, **{doc_id: "doc_id", text: "text"})
-    return own.mapInArrow(lambda it: _pieces(it, tokenizer, end_id, capacity), PIECE)
+    return map_arrow(own, lambda it: _pieces(it, tokenizer, end_id, capacity), PIECE)
 
 
 def assign(cut: DataFrame, capacity: int, rounds: int = ROUNDS) -> DataFrame:
@@ -214,7 +214,7 @@ def assign(cut: DataFrame, capacity: int, rounds: int = ROUNDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return ranked.mapInArrow(place, schema)
+    return map_arrow(ranked, place, schema)
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import materialize, renamed
+from siltstone.llm.common import map_arrow, materialize, renamed
 
 #: Labelled rows that the regression is fitted on, at most.
 SAMPLE = 20_000
@@ -63,7 +63,7 @@ def features(docs: DataFrame, host: str, path: str, doc_id: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "host", "path")], f], ["doc_id", "host", "path", "f"])
 
     own = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in ((doc_id, "doc_id"), (host, "host"), (path, "path"), (text, "text"))])
-    return materialize(own.mapInArrow(rows, "doc_id long, host string, path string, f array<float>"), "features")
+    return materialize(map_arrow(own, rows, "doc_id long, host string, path string, f array<float>"), "features")
 
 
 class Regression:
@@ -114,7 +114,7 @@ def evidence(table: DataFrame, model: Regression | None) -> DataFrame:
             columns = [*[batch.column(c) for c in ("doc_id", "host", "path")], pa.array(model.evidence(x), pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "host", "path", "llr"])
 
-    return table.mapInArrow(rows, "doc_id long, host string, path string, llr double")
+    return map_arrow(table, rows, "doc_id long, host string, path string, llr double")
 
 
 def strength(share: float, spread: float, sampling: float) -> float:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import materialize, renamed
+from siltstone.llm.common import map_arrow, materialize, renamed
 
 BITS = 64
 SEED = 42
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, doc_id: str = "doc_id", text
             prints = [_signed(fingerprint(t, shingle)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.int64())], ["doc_id", "fp"])
 
-    return renamed(docs, **{doc_id: "doc_id", text: "text"}).mapInArrow(rows, "doc_id long, fp long")
+    return map_arrow(renamed(docs, **{doc_id: "doc_id", text: "text"}), rows, "doc_id long, fp long")
 
 
 def forest(x: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -153,7 +153,7 @@ def links(prints: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
     keyed = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks(radius))])
     spread = distinct.select("fp", F.explode(keyed).alias("k")).select(F.col("k.t").alias("t"), F.col("k.key").alias("key"), "fp")
     ordered = spread.repartitionByRange("t", "key", "fp").sortWithinPartitions("t", "key", "fp")
-    found = materialize(ordered.mapInArrow(lambda it: _buckets(it, radius, block), FOUND), "links")
+    found = materialize(map_arrow(ordered, lambda it: _buckets(it, radius, block), FOUND), "links")
     blocks = found.where("members is not null").select("t", "key", "members")
     one, other = blocks.withColumnRenamed("members", "one"), blocks.withColumnRenamed("members", "other")
     pairs = one.join(other, ["t", "key"]).where(F.col("one")[0] < F.col("other")[0]).select("one", "other")
@@ -165,7 +165,7 @@ def links(prints: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
                 edges = forest(both, radius)
                 yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return found.where("a is not null").select("a", "b").unionByName(pairs.mapInArrow(cross, "a long, b long")).distinct()
+    return found.where("a is not null").select("a", "b").unionByName(map_arrow(pairs, cross, "a long, b long")).distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

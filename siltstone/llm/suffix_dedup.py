@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import materialize, renamed
+from siltstone.llm.common import map_arrow, materialize, renamed
 
 #: Text bytes whose names are held at once, and block rows that are combined at once.
 SLICE, COMBINE = 2 << 20, 400_000
@@ -359,13 +359,13 @@ def repeats(docs: DataFrame, length: int) -> DataFrame:
     if length < 4:
         raise ValueError("length must be at least 4")
     side = (length - (1 << (length // 2).bit_length() - 1)) // 2
-    blocks = docs.mapInArrow(lambda it: _send(it, length), ROW)
+    blocks = map_arrow(docs, lambda it: _send(it, length), ROW)
     sorted_blocks = blocks.repartition("fp").sortWithinPartitions("fp", "bh", "d", "place")
-    marks = materialize(sorted_blocks.mapInArrow(lambda it: _receive(it, side), MARK), "marks")
+    marks = materialize(map_arrow(sorted_blocks, lambda it: _receive(it, side), MARK), "marks")
     todo = marks.where(F.col("mark").bitwiseAND(F.lit(3)) == OPEN).groupBy("d").agg(F.collect_list("mark").alias("marks"))
-    starts = docs.join(todo, "d").select("d", "text", "marks").mapInArrow(lambda it: _rank(it, length), WINDOW)
+    starts = map_arrow(docs.join(todo, "d").select("d", "text", "marks"), lambda it: _rank(it, length), WINDOW)
     ranked = starts.repartition("r1").sortWithinPartitions("r1", "r2", "d", "mark")
-    later = materialize(ranked.mapInArrow(_rerank, MARK), "later")
+    later = materialize(map_arrow(ranked, _rerank, MARK), "later")
     gone = marks.where(F.col("mark").bitwiseAND(F.lit(3)) == GONE).unionByName(later)
     return gone.groupBy("d").agg(F.collect_list("mark").alias("marks"))
 
@@ -414,7 +414,7 @@ def digests(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: st
 
     own = keyed(docs, doc_id, text)
     found = repeats(own.select("d", "text"), length)
-    return own.join(found, "d", "left").select("doc_id", "text", "marks").mapInArrow(rows, DIGEST)
+    return map_arrow(own.join(found, "d", "left").select("doc_id", "text", "marks"), rows, DIGEST)
 
 
 def cut_texts(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -437,4 +437,4 @@ def cut_texts(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text:
             columns = [pa.array(texts, pa.string()) if c == text else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return joined.mapInArrow(rows, docs.schema)
+    return map_arrow(joined, rows, docs.schema)

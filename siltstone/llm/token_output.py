@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from siltstone.llm.bpe_words import word_bpe
-from siltstone.llm.common import renamed, scratch_path
+from siltstone.llm.common import map_arrow, renamed, scratch_path
 
 #: A segment is closed when it holds this many ids; a longer document has one of its own.
 SEGMENT_IDS = 1 << 20
@@ -152,7 +152,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id
     Texts move once, in a range exchange on doc_id; ids go straight to their files.
     """
     ordered = renamed(docs, **{doc_id: "doc_id", text: "text"}).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(lambda it: _segments(it, tokenizer, end_id), SEGMENT).write.option("compression", "zstd").parquet(path)
+    map_arrow(ordered, lambda it: _segments(it, tokenizer, end_id), SEGMENT).write.option("compression", "zstd").parquet(path)
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
@@ -192,7 +192,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """One row per document of a dataset, decoded from its files."""
     columns = ["start", "id_width", "doc_ids", "boundaries", "ids"]
-    return read_segments(spark, path).select(*columns).mapInArrow(_documents, DOCUMENT)
+    return map_arrow(read_segments(spark, path).select(*columns), _documents, DOCUMENT)
 
 
 def read_ids(segment: dict, ordinal: int) -> np.ndarray:
