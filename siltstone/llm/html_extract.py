@@ -68,6 +68,9 @@ WORDS = set(
     "recommendations recommended related remark replies reply respond response responses reviews share sharing shoutbox sidebar sidenav signup "
     "skip social sponsor sponsored sponsors subscribe subscription toc toolbar topbar widget widgets".split()
 )
+#: With these words beside it, or within an article, "header" is the text's own; with the others the element only lies beside furniture.
+OWN = set("article body content entry post story text".split())
+BESIDE = set("has no with without".split())
 CONTENT = ("article", "main")
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 
@@ -179,8 +182,8 @@ def _cut(nodes: list[Node]) -> None:
             n.cut = False
         elif n.tag in FURNITURE or n.tag == "header" and id(n) not in inside:
             n.cut = True
-        elif n.words & WORDS and not (n.tag == "main" or n.tag in HEADINGS or n.tag == "header"):
-            n.cut = True
+        elif (words := n.words & WORDS) and not (n.tag == "main" or n.tag in HEADINGS or n.tag == "header" or n.words & BESIDE):
+            n.cut = words != {"header"} or not (id(n) in inside or n.words & OWN)
 
 
 def _log(x: float) -> float:

@@ -146,6 +146,8 @@ NOISE = "This is a rather long text of its own that anybody could take for the a
         f"<body><article><header><h1>A title</h1></header>{ARTICLE.replace('</p>', '')}<aside>{NOISE}</aside><form><p>{NOISE}</p><input></form></article>",
         f"<body><article><h1>A title</h1>{ARTICLE.replace(' ipsum ', ' <b>ipsum</b> ')}<ul>" + "".join(f"<li><a href=/{i}>More {i}</a>" for i in range(5)) + "</ul></article>",
         f"<body><div class=post><h1>A&#32;title</h1>{ARTICLE}</div><script>var s = '<p>{NOISE}</p>';</script><style>p{{}}</style><!-- <p>{NOISE}</p> --><div aria-hidden=true>{NOISE}</div>",
+        f"<body class=has-sidebar><div class='layout with-sidebar'><div class='post-header'><h1>A title</h1></div><div>{ARTICLE}</div><div class=sidebar>{NOISE}</div></div></body>",
+        f"<body><div class=site-header><p>{NOISE}</p></div><article><div class=header><h1>A title</h1></div>{ARTICLE}<div class='comment-list'><p>{NOISE}</p></div></article></body>",
     ],
 )
 def test_main_text(page):
