@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from siltstone.llm import mixing, packing, quality, simhash, suffix_dedup
 from siltstone.llm.common import materialize, table
 
-#: Near-duplicates: five-word shingles, at least 58 of 64 fingerprint bits alike.
-SHINGLE, RADIUS = 5, 6
+#: Near-duplicates: five-word shingles of a Jaccard similarity of 8 tenths; 58 of 64 equal fingerprint bits are looked at first.
+SHINGLE, RADIUS, TENTHS = 5, 6, 8
 #: Shortest repeat that is cut, in bytes.
 REPEAT = 100
 
@@ -27,7 +27,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that of the smallest doc_id."""
-    return simhash.keep_one(docs, SHINGLE, RADIUS)
+    return simhash.keep_one_similar(docs, SHINGLE, RADIUS, TENTHS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,22 +42,32 @@ def masks(radius: int, bits: int = BITS) -> list[int]:
     return [sum(1 << i for i, x in enumerate(vectors) if (x & v).bit_count() % 2) for v in range(1, 2 ** (radius + 1))]
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """Of lower-cased words' shingles, repeats included; fewer words are one shingle, none gives zero."""
+def shingles(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of lower-cased words' shingles, repeats included; fewer words are one shingle, none gives none."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
     ends = ends.tolist()
     width = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :], strict=False)], np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :], strict=False)], np.uint64)
+
+
+def _print(hashes: np.ndarray) -> int:
+    if not len(hashes):
+        return 0
     counts = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str | None, shingle: int) -> int:
+    """Of lower-cased words' shingles, repeats included; fewer words are one shingle, none gives zero."""
+    return _print(shingles(text, shingle))
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -215,3 +225,174 @@ def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
 def op2(docs: DataFrame) -> DataFrame:
     out = near_duplicates(docs, shingle=4, radius=4)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Shared prefix shingles that a pair of similar sets has at least, where the sets are that large.
+SHARED = 4
+#: Texts that are sampled for the order of shingles, and how often a frequent one occurs in them.
+SAMPLED, FREQUENT, MOST_FREQUENT = 10_000, 8, 500_000
+SETS = "doc_id long, sid long, fp long, n int, shingles array<long>"
+
+
+#: Bits of the filter that spares sets without candidates the exchange.
+FILTER = 1 << 24
+
+
+def _filter(sids: DataFrame) -> np.ndarray:
+    """Bytes with the bits of these sets' places set; the driver gets at most FILTER / 32 rows."""
+    place = F.col("sid").bitwiseAND(F.lit(FILTER - 1))
+    words = sids.select(place.alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("bits")).toArrow()
+    out = np.zeros(FILTER // 32, np.uint32)
+    out[words.column("w").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
+    return out
+
+
+def _sets(docs: DataFrame, shingle: int, only: np.ndarray | None = None) -> DataFrame:
+    """Every row's set of shingles, the set's own hash and the fingerprint; with a filter, at least of the sets in it.
+
+    Sets take more room than texts, so they are computed again where they are needed and never written whole.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                hashes = [shingles(t, shingle) for t in part.column("text").to_pylist()]
+                sets = [np.unique(h) for h in hashes]
+                columns = [
+                    part.column("doc_id"),
+                    pa.array([_signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)) for x in sets], pa.int64()),
+                    pa.array([_signed(_print(h)) for h in hashes], pa.int64()),
+                    pa.array(list(map(len, sets)), pa.int32()),
+                    pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())),
+                ]
+                out = pa.RecordBatch.from_arrays(columns, ["doc_id", "sid", "fp", "n", "shingles"])
+                if only is not None:
+                    place = out.column("sid").to_numpy() & (FILTER - 1)
+                    out = out.filter(pa.array((only[place >> 5] >> (place & 31).astype(np.uint32) & 1).astype(bool)))
+                yield out
+
+    return map_arrow(renamed(docs, doc_id="doc_id", text="text"), rows, SETS)
+
+
+def _least_shared(n, tenths: int):
+    """The least overlap that a set of n has with a set of that similarity, in whole numbers."""
+    return (n * tenths + 9) // 10
+
+
+def _shared(docs: DataFrame, total: int, shingle: int, tenths: int) -> DataFrame:
+    """(h, sid): the shingles in the prefixes of two distinct sets or more.
+
+    Shingles have one order for all sets, frequent ones last; any order is exact.
+    Two sets of the similarity have SHARED shingles (or as many as the smaller
+    bound allows) in common among the first n - bound + SHARED of each.
+    """
+    share = min(1.0, SAMPLED / max(1, total))
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    often = _sets(sample, shingle).select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "h").limit(MOST_FREQUENT)
+    frequent = np.sort(often.select("h").toArrow().column("h").to_numpy())
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                firsts = []
+                for x in part.column("shingles"):
+                    x = x.values.to_numpy()
+                    if len(frequent) and len(x):
+                        late = frequent[np.minimum(np.searchsorted(frequent, x), len(frequent) - 1)] == x
+                        x = np.concatenate([x[~late], x[late]])
+                    bound = _least_shared(len(x), tenths)
+                    firsts.append(x[: len(x) - bound + min(SHARED, bound)])
+                sids = np.repeat(part.column("sid").to_numpy(), [len(x) for x in firsts])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*firsts, np.zeros(0, np.int64)])), pa.array(sids)], ["h", "sid"])
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = sid = np.zeros(0, np.int64)
+        for batch in _then_none(batches):
+            if batch is not None:
+                h, sid = np.concatenate([h, batch.column("h").to_numpy()]), np.concatenate([sid, batch.column("sid").to_numpy()])
+                new = np.concatenate([[True], (h[1:] != h[:-1]) | (sid[1:] != sid[:-1])])[: len(h)]
+                h, sid = h[new], sid[new]
+            whole = len(h) if batch is None else int(np.searchsorted(h, h[-1])) if len(h) else 0
+            x, y = h[:whole], sid[:whole]
+            h, sid = h[whole:], sid[whole:]
+            same = x[1:] == x[:-1]
+            several = np.concatenate([[False], same])[: len(x)] | np.concatenate([same, [False]])[: len(x)]
+            yield pa.RecordBatch.from_arrays([pa.array(x[several]), pa.array(y[several])], ["h", "sid"])
+
+    pieces = map_arrow(_sets(docs, shingle).select("sid", "shingles"), prefixes, "h long, sid long")
+    return map_arrow(pieces.repartition("h").sortWithinPartitions("h", "sid"), runs, "h long, sid long")
+
+
+def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
+    """The pairs (a, b) of sets whose Jaccard similarity is at least that, counted exactly."""
+    one = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x"))
+    other = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y"))
+    both = pairs.join(one, "a").join(other, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
+    return both.where(F.col("common") * 10 >= tenths * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
+
+
+def _pairs(shared: DataFrame, sets: DataFrame, edges: DataFrame, tenths: int, stars: bool) -> DataFrame:
+    """Pairs of different components that share a prefix shingle: all that the sizes allow, or each with the nearest of the largest component."""
+    roots = components(edges).withColumnRenamed("node", "sid")
+    named = sets.select("sid", "fp", "n").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    buckets = shared.join(named, "sid").groupBy("h").agg(F.collect_list(F.struct("sid", "root", "fp", "n")).alias("m"), F.min("root").alias("r"), F.max("root").alias("s"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for members in batch.column("m"):
+                sid, root, fp, n = (members.values.field(c).to_numpy().astype(np.int64) for c in ("sid", "root", "fp", "n"))
+                bound = _least_shared(n, tenths)
+                values, counts = np.unique(root, return_counts=True)
+                home = np.flatnonzero(root == values[counts.argmax()])
+                for i in range(len(sid)):
+                    if stars:
+                        if root[i] == root[home[0]]:
+                            continue
+                        near = home[[np.bitwise_count((fp[home] ^ fp[i]).view(np.uint64)).argmin()]]
+                    else:
+                        near = np.flatnonzero((root[i + 1 :] != root[i]) & (np.minimum(n[i + 1 :], n[i]) >= np.maximum(bound[i + 1 :], bound[i]))) + i + 1
+                    if len(near):
+                        a, b = np.minimum(sid[near], sid[i]), np.maximum(sid[near], sid[i])
+                        need = np.minimum(SHARED, np.minimum(bound[near], bound[i]))
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(need)], ["a", "b", "need"])
+
+    found = map_arrow(buckets.where("r < s").select("m"), rows, "a long, b long, need long").groupBy("a", "b").agg(F.count("*").alias("c"), F.min("need").alias("need"))
+    return found.where("c >= need").select("a", "b")
+
+
+def similar(docs: DataFrame, shingle: int = 5, radius: int = 6, tenths: int = 8) -> DataFrame:
+    """doc_id, component_id (the smallest doc_id reachable) for every row, by links of Jaccard similarity >= tenths / 10.
+
+    Fingerprints within the radius are the first candidates. What they miss is
+    found by prefix filtering, which loses no pair; sets already in one component
+    are not compared again. Every link is verified on the sets of shingles.
+    """
+    rows = materialize(_sets(docs, shingle).select("doc_id", "sid", "fp", "n"), "prints")
+    shared = materialize(_shared(docs, rows.count(), shingle, tenths), "shared")
+    heads = rows.groupBy("fp").agg(F.min("sid").alias("head"))
+    near = links(rows, radius).join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
+    same = rows.select("sid", "fp").join(heads, "fp").where("sid != head").select(F.col("sid").alias("a"), F.col("head").alias("b"))
+    first = materialize(near.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(same).distinct(), "near")
+    ends = shared.select("sid").union(first.select("a")).union(first.select("b")).distinct()
+    held = _sets(docs, shingle, _filter(ends)).select("sid", "fp", "n", "shingles")
+    sets = materialize(held.join(ends, "sid", "left_semi").dropDuplicates(["sid"]), "compared")
+    edges = materialize(_verified(first, sets, tenths), "verified")
+    for stars in (True, False):
+        edges = edges.unionByName(materialize(_verified(_pairs(shared, sets, edges, tenths, stars), sets, tenths), "verified"))
+    roots = components(edges).withColumnRenamed("node", "sid")
+    least = rows.groupBy("sid").agg(F.min("doc_id").alias("least")).join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    classes = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sid", "component_id")
+    return rows.select("doc_id", "sid").join(classes, "sid").select("doc_id", "component_id")
+
+
+def keep_one_similar(docs: DataFrame, shingle: int = 5, radius: int = 6, tenths: int = 8) -> DataFrame:
+    """``docs`` with one row of each group of similar texts: that of the smallest doc_id. Rows of a null doc_id stay."""
+    heads = similar(docs, shingle, radius, tenths).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(heads, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))

@@ -1,0 +1,57 @@
+"""Near-copies of the pipeline against brute-force similarity."""
+
+import random
+
+import pytest
+
+import corpus_pipeline
+from siltstone.llm import simhash
+
+RND = random.Random(9)
+
+
+def prose(n):
+    return [f"w{RND.randrange(4000)}" for _ in range(n)]
+
+
+def sets(words):
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def corpus():
+    passage, rows = prose(60), []
+    for _ in range(14):
+        base = prose(RND.randint(80, 200)) + passage
+        for _ in range(RND.randint(1, 6)):
+            words = list(base)
+            for _ in range(RND.randint(0, 5)):
+                words[RND.randrange(len(words))] = "edited"
+            rows.append(words)
+    return rows + [prose(3), prose(7), *[[*passage, *prose(RND.randint(0, 40))] for _ in range(12)]]
+
+
+@pytest.mark.parametrize("frequent", [3, 1000])
+def test_all_similar_pairs_link(spark, monkeypatch, frequent):
+    monkeypatch.setattr(simhash, "FREQUENT", frequent)
+    rows = corpus()
+    root = list(range(len(rows)))
+    far = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            x, y = sets(rows[i]), sets(rows[j])
+            if 10 * len(x & y) >= 8 * len(x | y):
+                far += (simhash.fingerprint(" ".join(rows[i]), 5) ^ simhash.fingerprint(" ".join(rows[j]), 5)).bit_count() > 6
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    assert far > 5
+    docs = spark.createDataFrame([(i, " ".join(w), "d") for i, w in enumerate(rows)], "doc_id long, text string, source string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.similar(docs).collect()}
+    assert got == dict(enumerate(root))
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
+
+
+def test_similar_edges(spark):
+    docs = spark.createDataFrame([(2, "same"), (2, "same"), (1, "Same "), (None, "same"), (3, None), (4, "")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.component_id) for r in simhash.similar(docs).collect()) == [(0, 1), (1, 1), (2, 1), (2, 1), (3, 3), (4, 3)]
+    assert simhash.keep_one_similar(docs.limit(0)).count() == 0
