@@ -34,7 +34,7 @@ def semantic_neighbors(vectors: DataFrame, key: str, vector: str, most: int = 8,
     # spread by hash into twice as many, so that none is much larger than asked
     parts = blocks if blocks == 1 else 2 * blocks
     held = vectors.where(F.size(vector) > 0).select(F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("b"), F.col(key).alias("id"), F.col(vector).cast("array<float>").alias("v"))
-    packed = held.groupBy("b").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+    packed = held.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("rows"))
     left = packed.select("b", F.col("rows").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("o"))
     right = packed.select(F.col("b").alias("o"), F.col("rows").alias("c"))
 
@@ -47,12 +47,16 @@ def semantic_neighbors(vectors: DataFrame, key: str, vector: str, most: int = 8,
                 for at in range(0, len(xi), 512):
                     score = x[at : at + 512] @ y.T
                     score[xi[at : at + 512, None] == yi[None, :]] = -np.inf
-                    k = min(most + 8, len(yi))
-                    top = np.argpartition(-score, k - 1, axis=1)[:, :k]
-                    own = np.repeat(xi[at : at + 512], k)
-                    value = np.take_along_axis(score, top, 1).ravel()
-                    ok = np.isfinite(value)
-                    yield pa.RecordBatch.from_arrays([pa.array(own[ok]), pa.array(yi[top].ravel()[ok]), pa.array(value[ok])], [key, "neighbor", "similarity"])
+                    # columns are in the order of ids: a row keeps what is well above its k-th score, then the smallest ids of what may round to it
+                    k = min(most, len(yi))
+                    least = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+                    ok = np.isfinite(score) & (score >= least - 2e-9)
+                    rounded = np.round(score, 9)
+                    for row in np.flatnonzero(ok.sum(axis=1) > k):
+                        held = np.flatnonzero(ok[row])
+                        ok[row, held[np.lexsort((held, -rounded[row, held]))[k:]]] = False
+                    own, top = np.nonzero(ok)
+                    yield pa.RecordBatch.from_arrays([pa.array(xi[at + own]), pa.array(yi[top]), pa.array(score[ok])], [key, "neighbor", "similarity"])
 
     pairs = left.join(right, "o").select("a", "c").mapInArrow(best, f"{key} long, neighbor long, similarity double")
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.round("similarity", 9).desc(), "neighbor"))
