@@ -9,8 +9,9 @@ with 1 for every zero divisor, so links weigh against a node. The subtree whose
 children's densities have the greatest sum is the text; the least density on its
 path to the body is the threshold that other subtrees beside that path must reach
 to belong to it too. Elements that are page furniture by their tag, role, class
-or id (fixed lists below) are cut out first and count nowhere, and an article or
-main element around the chosen subtree stands for it whole.
+or id (fixed lists below) are cut out first and count nowhere. An
+article or main element around the chosen subtree stands for it whole; one beside
+it must reach the threshold like any other subtree.
 
 Null or empty html, or a page without text, gives an empty text. Repeated rows
 are separate rows. Pages of any length and depth are parsed whole, without
@@ -71,6 +72,14 @@ WORDS = set(
 #: With these words beside it, or within an article, "header" is the text's own; with the others the element only lies beside furniture.
 OWN = set("article body content entry post story text".split())
 BESIDE = set("has no with without".split())
+#: Of WORDS, those that name sections of a text too: within an article they need links, a form or a word of LISTED.
+AMBIGUOUS = set(
+    "copyright discussion disclaimer feedback menu navigation notice notices privacy promotion recommendations recommended related response "
+    "responses reviews share sharing social".split()
+)
+LISTED = set("articles bar block box buttons cards container content form icons items links list news posts stories thread widget".split())
+#: Round an article these mark furniture too.
+PLAIN = set("ad ads advert advertisement advertising promo promoted recommendations recommended related sidebar sponsored sponsors widget widgets".split())
 CONTENT = ("article", "main")
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 
@@ -162,9 +171,14 @@ def parse(page: str) -> list[Node]:
             stack.append(node)
 
 
+def _compound(n: Node) -> bool:
+    """Whether a class or id names furniture by two words, such as related-posts or comment-list."""
+    return bool(n.words & AMBIGUOUS and n.words & LISTED)
+
+
 def _cut(nodes: list[Node]) -> None:
     """Marks furniture and everything in it."""
-    holds: set[int] = set()  # elements around an article or main element are never furniture by their words
+    holds: set[int] = set()  # elements around an article or main element are furniture only by what is plain (FURNITURE, roles, hiding, PLAIN words)
     inside: set[int] = set()
     for n in nodes:
         if n.tag in CONTENT:
@@ -178,12 +192,14 @@ def _cut(nodes: list[Node]) -> None:
         if n.parent and n.parent.cut:
             n.cut = True
             continue
-        if n.tag in ("html", "body") or id(n) in holds:
+        if n.tag in ("html", "body"):
             n.cut = False
+        elif id(n) in holds:
+            n.cut |= n.tag in ("aside", "nav", "footer") or n.tag != "main" and not n.words & BESIDE and (bool(n.words & PLAIN) or _compound(n))
         elif n.tag in FURNITURE or n.tag == "header" and id(n) not in inside:
             n.cut = True
         elif (words := n.words & WORDS) and not (n.tag == "main" or n.tag in HEADINGS or n.tag == "header" or n.words & BESIDE):
-            n.cut = words != {"header"} or not (id(n) in inside or n.words & OWN)
+            n.cut |= words != {"header"} or not (id(n) in inside or n.words & OWN)
 
 
 def _log(x: float) -> float:
@@ -240,10 +256,6 @@ def choose(nodes: list[Node]) -> list[Node]:
     for tag in CONTENT:
         if around := [n for n in path if n.tag == tag]:
             return [around[-1]]
-    held = [n for n in nodes if n.tag == "article" and not n.cut and n.C] or [n for n in nodes if n.tag == "main" and not n.cut and n.C]
-    if held:
-        tops = [n for n in held if n.density >= threshold] or [max(held, key=lambda n: n.C)]
-        return [n for n in tops if not _within(n, tops)]
     chosen = {id(best): best}
     onpath = {id(n) for n in path}
     for n in nodes:

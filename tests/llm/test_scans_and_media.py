@@ -192,3 +192,12 @@ def test_test_tables(spark):
         article = re.search(r"<article>(.*?)(?:</article>|$)", r.html, re.S)[1]
         blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", article))
         assert html_extract.main_text(r.html) == "\n".join(b for b in blocks if b)
+
+
+def test_density_decides_over_articles():
+    cards = "".join(f'<article><h3>Card {i}</h3><p>{"A teaser of another story. " * 4}</p></article>' for i in range(3))
+    for wrapper in ("<div class=teasers>{}</div>", "<aside>{}</aside>", "<div class=related>{}</div>", "<div hidden>{}</div>"):
+        text = html_extract.main_text(f"<html><body><div class=text>{ARTICLE}</div>{wrapper.format(cards)}</body></html>")
+        assert "\n".join(PARAGRAPHS) in text
+        if "teasers" not in wrapper:
+            assert "teaser" not in text
