@@ -9,7 +9,8 @@ with 1 for every zero divisor, so links weigh against a node. The subtree whose
 children's densities have the greatest sum is the text; the least density on its
 path to the body is the threshold that other subtrees beside that path must reach
 to belong to it too. Elements that are page furniture by their tag, role, class
-or id (fixed lists below) are cut out first and count nowhere. An
+or id (fixed lists below) are cut out first and count nowhere; within an article,
+words that name sections of a text too need links, a form or a second word. An
 article or main element around the chosen subtree stands for it whole; one beside
 it must reach the threshold like any other subtree.
 
@@ -176,6 +177,22 @@ def _compound(n: Node) -> bool:
     return bool(n.words & AMBIGUOUS and n.words & LISTED)
 
 
+def _linked(n: Node) -> bool:
+    """Whether more than half of a subtree's characters are in links, or it holds a form."""
+    chars = links = 0
+    todo = [n]
+    while todo:
+        x = todo.pop()
+        if x.tag == "form":
+            return True
+        if x.tag in RAW:
+            continue
+        own = sum(len("".join(html.unescape(c).split())) for c in x.content if isinstance(c, str))
+        chars, links = chars + own, links + own * x.link
+        todo.extend(c for c in x.content if isinstance(c, Node))
+    return 2 * links > chars or not chars
+
+
 def _cut(nodes: list[Node]) -> None:
     """Marks furniture and everything in it."""
     holds: set[int] = set()  # elements around an article or main element are furniture only by what is plain (FURNITURE, roles, hiding, PLAIN words)
@@ -199,7 +216,10 @@ def _cut(nodes: list[Node]) -> None:
         elif n.tag in FURNITURE or n.tag == "header" and id(n) not in inside:
             n.cut = True
         elif (words := n.words & WORDS) and not (n.tag == "main" or n.tag in HEADINGS or n.tag == "header" or n.words & BESIDE):
-            n.cut |= words != {"header"} or not (id(n) in inside or n.words & OWN)
+            if id(n) in inside and words <= AMBIGUOUS:
+                n.cut |= _compound(n) or _linked(n)
+            else:
+                n.cut |= words != {"header"} or not (id(n) in inside or n.words & OWN)
 
 
 def _log(x: float) -> float:

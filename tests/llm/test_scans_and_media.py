@@ -201,3 +201,12 @@ def test_density_decides_over_articles():
         assert "\n".join(PARAGRAPHS) in text
         if "teasers" not in wrapper:
             assert "teaser" not in text
+
+
+@pytest.mark.parametrize("name", ["discussion", "related-work", "response", "notice"])
+def test_sections_of_an_article_stay(name):
+    section = f"<section id={name}><h2>Section</h2><p>{'Words of this section count. ' * 6}</p></section>"
+    text = html_extract.main_text(f"<html><body><article>{ARTICLE}{section}</article></body></html>")
+    assert "Words of this section count." in text and "\n".join(PARAGRAPHS) in text
+    for furniture in ("<div class=related-posts><p>Read this too</p></div>", "<div class=related><a href=x>Read this too</a></div>"):
+        assert "Read this too" not in html_extract.main_text(f"<html><body><article>{ARTICLE}{furniture}</article></body></html>")
