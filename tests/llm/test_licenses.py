@@ -1,0 +1,27 @@
+"""Each sibling licence gets its own name."""
+
+import pytest
+
+from siltstone.llm import license_scan
+
+HEADERS = [
+    ("GPL-2.0", "program", ";", "General", "2"),
+    ("GPL-3.0", "program", ":", "General", "3"),
+    ("LGPL-2.1", "library", ";", "Lesser General", "2.1"),
+    ("LGPL-3.0", "program", ":", "Lesser General", "3"),
+    ("AGPL-3.0", "program", ":", "Affero General", "3"),
+]
+
+
+@pytest.mark.parametrize("name, what, sep, kind, version", HEADERS)
+def test_sibling_headers(name, what, sep, kind, version):
+    text = f"""Some prose before. This {what} is free software{sep} you can redistribute it and/or modify it under the terms of the
+    GNU {kind} Public License as published by the Free Software Foundation, either version {version} of the License, or (at your option)
+    any later version. Prose after it."""
+    assert [m[0] for m in license_scan.Scanner().matches(text)] == [name]
+
+
+@pytest.mark.parametrize("name", ["GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "Apache-2.0", "MPL-2.0", "CC0-1.0", "BSD-2-Clause", "BSD-3-Clause"])
+def test_full_texts(name):
+    text = license_scan.TEMPLATES[name][-1].replace("copyright holder", "Example Authors")
+    assert [m[0] for m in license_scan.Scanner().matches("Words before. " + text + " Words after.")] == [name]
