@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siltstone.llm.bpe_words import word_bpe
+from siltstone.llm.bpe_words import ended, word_bpe
 from siltstone.llm.common import map_arrow, materialize, renamed
 
 #: Rounds of multiplicative weights. It bounds the driver's work, not the result: what a round leaves is best-fit packed.
@@ -162,12 +162,12 @@ def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, capa
     bpe = word_bpe(tokenizer)
     part = TaskContext.get().partitionId()
     seen = np.zeros(capacity + 1, np.int64)
-    end = np.array([end_id], "<u4")
     for batch in batches:
-        ids, at = bpe.encode_column(batch.column("text"))
+        ids, at = ended(*bpe.encode_column(batch.column("text")), end_id)
+        ids = ids.astype("<u4")
         rows = []
         for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
-            own = np.concatenate([ids[at[i] : at[i + 1]].astype("<u4"), end])
+            own = ids[at[i] : at[i + 1]]
             cut = 0
             for piece in range(-(-len(own) // capacity)):
                 stop = (len(own) - 1) % capacity + 1 + piece * capacity

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from siltstone.llm.bpe_words import word_bpe
+from siltstone.llm.bpe_words import ended, word_bpe
 from siltstone.llm.common import map_arrow, renamed, scratch_path
 
 #: A segment is closed when it holds this many ids; a longer document has one of its own.
@@ -118,31 +118,29 @@ class EliasFano:
 def _segments(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
     bpe = word_bpe(tokenizer)
     part = TaskContext.get().partitionId()
-    doc_ids: list = []
-    rows: list[np.ndarray] = []
-    sizes: list[int] = []
-    seq = start = held = 0
+    held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []  # documents' names, ids, sizes
+    seq = start = n_held = 0
 
     def segment() -> pa.RecordBatch:
-        ids = np.concatenate(rows)
+        names, ids, sizes = pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
         bounds = EliasFano.encode(np.concatenate([[0], np.cumsum(sizes)])).to_bytes()
-        values = ([part], [seq], [start], [held], [bpe.dtype.itemsize], [doc_ids], [bounds], [ids.tobytes()])
+        values = ([part], [seq], [start], [n_held], [bpe.dtype.itemsize], [names], [bounds], [ids.tobytes()])
         types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], SEGMENT.names)
 
-    end = np.array([end_id], bpe.dtype)
     for batch in batches:
-        ids, at = bpe.encode_column(batch.column("text"))
-        for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
-            doc_ids.append(doc_id)
-            rows.append(np.concatenate([ids[at[i] : at[i + 1]], end]))
-            sizes.append(len(rows[-1]))
-            held += sizes[-1]
-            if held >= SEGMENT_IDS:
+        ids, at = ended(*bpe.encode_column(batch.column("text")), end_id)
+        doc = 0
+        while doc < batch.num_rows:
+            # up to and with the document that fills the segment
+            stop = min(int(np.searchsorted(at, at[doc] + SEGMENT_IDS - n_held)), batch.num_rows)
+            held.append((batch.column("doc_id").slice(doc, stop - doc), ids[at[doc] : at[stop]], np.diff(at[doc : stop + 1])))
+            n_held += int(at[stop] - at[doc])
+            doc = stop
+            if n_held >= SEGMENT_IDS:
                 yield segment()
-                seq, start, held = seq + 1, start + held, 0
-                doc_ids, rows, sizes = [], [], []
-    if rows:
+                seq, start, n_held, held = seq + 1, start + n_held, 0, []
+    if held:
         yield segment()
 
 

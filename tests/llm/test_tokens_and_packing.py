@@ -13,13 +13,14 @@ from siltstone.llm.bpe_words import WordBpe, word_bpe
 from siltstone.llm.token_output import EliasFano
 
 WORD, BYTE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
-ODD = ["", " ", "\n", "a  b", "a\n b", " a\nb", "x\x1cy", "café É", "中文 ß x", "don't 12 $%& <|endoftext|>", "a\r\nb\tc", "a \n \nb", "ΣΑΣ İ", "é x", "long " * 4000]
+ODD = ["", " ", "\n", "a  b", "a\n b", " a\nb", "x\x1cy", "café É", "中文 ß x", "don't 12 $%& <|endoftext|>", "a <|endoftext|> b", "x<|startoftext|>Y <|END", "('tis) 'S x's' -- \"Quoted,\" ÀÉ's!", "\n(a)\nb's 'll", "a\r\nb\tc", "a \n \nb", "ΣΑΣ İ", "é x", "long " * 4000]
+
+
+LIBRARY = {p: Tokenizer.from_file(p) for p in (WORD, BYTE)}
 
 
 def plain(path, text):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t.encode(text, add_special_tokens=False).ids
+    return LIBRARY[path].encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("path", [WORD, BYTE])
