@@ -130,10 +130,13 @@ def repeating():
     return rows
 
 
-@pytest.mark.parametrize(("length", "piece", "many"), [(100, 2 << 20, 256), (100, 700, 1), (50, 900, 2), (33, 2 << 20, 1), (64, 300, 256), (5, 2 << 20, 256)])
-def test_repeats(monkeypatch, length, piece, many):
+@pytest.mark.parametrize(
+    ("length", "piece", "many", "hold"),
+    [(100, 2 << 20, 256, 1 << 20), (100, 700, 1, 3), (100, 700, 256, 2), (50, 900, 2, 9), (33, 2 << 20, 1, 1), (64, 300, 256, 5), (5, 2 << 20, 256, 99), (190, 700, 9, 99), (191, 700, 256, 99), (200, 2 << 20, 9, 5), (300, 900, 9, 9)],
+)
+def test_repeats(monkeypatch, length, piece, many, hold):
     rows = repeating()
-    for name, value in (("SLICE", piece), ("MANY", many), ("COMBINE", 500)):
+    for name, value in (("SLICE", piece), ("MANY", many), ("HELD", hold), ("COMBINE", 500)):
         monkeypatch.setattr(suffix_dedup, name, value)
 
     got = run_patched(rows, length, suffix_dedup)
@@ -152,10 +155,10 @@ def run_patched(rows, length, module):
         table = pa.Table.from_batches(frame) if frame else None
         return iter(table.to_batches(max_chunksize=n)) if table is not None else iter([])
 
-    source = [pa.RecordBatch.from_pydict({"d": pa.array([i for i, _ in docs[k::3]], pa.int64()), "text": pa.array([texts[i] for i, _ in docs[k::3]], pa.string())}) for k in range(3)]
+    source = [pa.RecordBatch.from_pydict({"d": pa.array([i for i, _ in docs[k::3]], pa.int64()), "e": pa.array([7] * len(docs[k::3]), pa.int64()), "text": pa.array([texts[i] for i, _ in docs[k::3]], pa.string())}) for k in range(3)]
     sent = [b for s in source for b in module._send(iter([s]), length)]
     table = pa.Table.from_batches(sent).sort_by([(c, "ascending") for c in module.ROW_NAMES]) if sent else None
-    marks = [b for b in module._receive(iter(table.to_batches(max_chunksize=50)), size)] if table is not None else []
+    marks = [b for b in module._receive(iter(table.to_batches(max_chunksize=50)), length, size)] if table is not None else []
     pairs = [(d, m) for b in marks for d, m in zip(b.column("d").to_pylist(), b.column("mark").to_pylist(), strict=True)]
     todo = {}
     for d, m in pairs:
@@ -164,7 +167,7 @@ def run_patched(rows, length, module):
     ranked = []
     for part in (sorted(todo)[::2], sorted(todo)[1::2]):
         if part:
-            b = pa.RecordBatch.from_pydict({"d": pa.array(part, pa.int64()), "text": pa.array([texts[d] for d in part]), "marks": pa.array([todo[d] for d in part], pa.list_(pa.int64()))})
+            b = pa.RecordBatch.from_pydict({"d": pa.array(part, pa.int64()), "e": pa.array([7] * len(part), pa.int64()), "text": pa.array([texts[d] for d in part]), "marks": pa.array([todo[d] for d in part], pa.list_(pa.int64()))})
             ranked += list(module._rank(iter([b]), length))
     later = []
     if ranked:
@@ -198,6 +201,21 @@ def test_repeats_edges(spark):
     assert [r.n_removed for r in same] == [0, 0]
 
 
+def test_rows_that_share_a_doc_id(spark):
+    shared, own = prose(50), [prose(50) for _ in range(4)]
+    rows = [(0, shared), (1, shared), (1, own[0]), (1, shared + own[1]), (1, own[1]), (None, own[2]), (None, own[2] + "x"), (None, own[3]), (None, own[3])]
+    docs = documents(spark, rows).repartition(3)
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted({(-(1 << 63) if i is None else i, hashes[t], t) for i, t in rows})
+    place = {(i, t): n for n, (i, _, t) in enumerate(order)}
+    want = slow_repeats([(place[i, t], t) for i, _, t in order], 100)
+    got = suffix_dedup.digests(docs).collect()
+    key = lambda i, t: want[place[-(1 << 63) if i is None else i, t]]
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted((str(i), *key(i, t)) for i, t in rows)
+    kept = suffix_dedup.cut_texts(docs.select(F.col("doc_id").alias("d"), "text", F.col("t").alias("marks"), F.col("fp").alias("row")), 100, "d").collect()
+    assert sorted(hashlib.sha256(r.text.encode()).hexdigest() for r in kept) == sorted(key(i, t)[3] for i, t in rows)
+
+
 def test_cut_texts(spark):
     text = "é" * 40 + prose(60)
     docs = documents(spark, [(1, text), (2, "start " + text[1:] + " end"), (3, None)])
