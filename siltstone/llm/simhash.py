@@ -9,13 +9,17 @@ tables, and pairs that meet are compared in full. No link is lost or guessed.
 
 Tables hold distinct fingerprints only, range-sorted by (table, key,
 fingerprint), so a large bucket spreads over several tasks; its blocks are then
-compared pair by pair. Tasks emit spanning forests, never all pairs. Components
-come from alternating large and small stars on written tables.
+compared pair by pair, the pairs dealt out by their blocks. Tasks emit spanning
+forests, never all pairs. Components come from alternating large and small stars
+on written tables; what a large component is joined with is written first, so
+Spark broadcasts it if it is small and can split the join if not.
 
 Nulls and empties: a text without words, or null, has fingerprint zero and is
-linked like any other. Repeated rows are separate rows of one fingerprint. A null
-doc_id is no representative. An empty table gives no rows. Extra columns are
-ignored. Texts of any length are hashed whole.
+linked like any other. Repeated rows are separate rows of one fingerprint; where
+one row of a group stays, rows are told apart by doc_id and text, and of rows
+equal in both any one stays. A null doc_id is no representative, and its rows
+stay. An empty table gives no rows. Extra columns are ignored, or kept with the
+rows that stay. Texts of any length are hashed whole.
 """
 
 from __future__ import annotations
@@ -73,14 +77,15 @@ def _signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and its fingerprint as a signed 64-bit number."""
+    """doc_id, a hash of the text, and the fingerprint as a signed 64-bit number."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = [_signed(fingerprint(t, shingle)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("e"), pa.array(prints, pa.int64())], ["doc_id", "e", "fp"])
 
-    return map_arrow(renamed(docs, **{doc_id: "doc_id", text: "text"}), rows, "doc_id long, fp long")
+    own = renamed(docs, **{doc_id: "doc_id", text: "text"}).withColumn("e", F.xxhash64("text"))
+    return map_arrow(own, rows, "doc_id long, e long, fp long")
 
 
 def forest(x: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -165,8 +170,11 @@ def links(prints: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
     ordered = spread.repartitionByRange("t", "key", "fp").sortWithinPartitions("t", "key", "fp")
     found = materialize(map_arrow(ordered, lambda it: _buckets(it, radius, block), FOUND), "links")
     blocks = found.where("members is not null").select("t", "key", "members")
-    one, other = blocks.withColumnRenamed("members", "one"), blocks.withColumnRenamed("members", "other")
-    pairs = one.join(other, ["t", "key"]).where(F.col("one")[0] < F.col("other")[0]).select("one", "other")
+    # a block is named by its first member; only names are paired by bucket, members come to each pair by name
+    one = blocks.select("t", "key", F.col("members")[0].alias("x"), F.col("members").alias("one"))
+    other = one.withColumnsRenamed({"x": "y", "one": "other"})
+    names = materialize(one.select("t", "key", "x").join(other.select("t", "key", "y"), ["t", "key"]).where("x < y"), "block-pairs")
+    pairs = names.join(one, ["t", "key", "x"]).join(other, ["t", "key", "y"]).select("one", "other")
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,8 +190,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node that has an edge; the root is the component's smallest node.
 
     Alternating large and small stars; each round is a written table. A hub's
-    edges are aggregated before they move, and the joins are such that Spark can
-    split a hub's partition.
+    edges are aggregated before they move, and its least neighbour is written
+    before it is joined, so Spark can broadcast that or split a hub's partition.
     """
     up = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     edges = materialize(edges.where("a != b").select(*up).distinct(), "edges")
@@ -194,32 +202,48 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if open_ends.isEmpty():
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
+        large = materialize(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = materialize(small.unionAll(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
+def rooted(rows: DataFrame, key: str, edges: DataFrame) -> DataFrame:
+    """``rows`` with root, the component of their ``key`` under the edges, and component_id, its smallest doc_id."""
+    roots = components(edges).withColumnRenamed("node", key)
+    least = rows.groupBy(key).agg(F.min("doc_id").alias("least")).join(roots, key, "left")
+    least = materialize(least.withColumn("root", F.coalesce("root", key)), "rooted")
+    heads = materialize(least.groupBy("root").agg(F.min("least").alias("component_id")), "heads")
+    classes = materialize(least.join(heads, "root").select(key, "root", "component_id"), "classes")
+    return rows.join(classes, key)
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row for each root in ``groups`` (doc_id, e, root): the smallest doc_id's, of these the smallest hash's."""
+    named = groups.where("doc_id is not null")
+    first = named.groupBy("root").agg(F.min(F.struct("doc_id", "e")).alias("k")).select(F.col("k.doc_id").alias("d"), F.col("k.e").alias("e"))
+    first = materialize(first.distinct(), "first")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, F.col(f"`{doc_id}`").alias("d"), F.xxhash64(F.col(f"`{text}`")).alias("e"))
+    again = named.select(F.col("doc_id").alias("d"), "e").join(first, ["d", "e"], "left_semi").groupBy("d", "e").count().where("count > 1").select("d", "e")
+    again = materialize(again, "again")
+    kept = keyed.join(first, ["d", "e"], "left_semi")
+    if not again.isEmpty():
+        kept = kept.join(again, ["d", "e"], "left_anti").unionByName(keyed.join(again, ["d", "e"], "left_semi").dropDuplicates(["d", "e"]))
+    return kept.unionByName(keyed.where("d is null")).select("row.*")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, block: int = BLOCK) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id reachable) for every row of ``docs``."""
+    """doc_id, e, fp, root, component_id (the smallest doc_id reachable) for every row of ``docs``."""
     prints = materialize(fingerprints(docs, shingle), "fingerprints")
-    roots = components(links(prints, radius, block))
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    rooted = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    rooted = rooted.select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    heads = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(heads, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return rooted(prints, "fp", links(prints, radius, block))
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """``docs`` with one row of each group: that of the smallest doc_id. Rows of a null doc_id stay."""
-    groups = near_duplicates(docs, shingle, radius)
-    heads = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(heads, "doc_id", "left_semi")
-    return kept.unionByName(docs.where("doc_id is null"))
+    return one_of_each(docs, near_duplicates(docs, shingle, radius))
 
 
 def op2(docs: DataFrame) -> DataFrame:
@@ -231,7 +255,9 @@ def op2(docs: DataFrame) -> DataFrame:
 SHARED = 4
 #: Texts that are sampled for the order of shingles, and how often a frequent one occurs in them.
 SAMPLED, FREQUENT, MOST_FREQUENT = 10_000, 8, 500_000
-SETS = "doc_id long, sid long, fp long, n int, shingles array<long>"
+SETS = "doc_id long, e long, sid long, fp long, n int, shingles array<long>"
+#: Sets of one shingle that are compared in memory at once; more are dealt into blocks, and pairs of blocks are compared.
+BUCKET = 4096
 
 
 #: Bits of the filter that spares sets without candidates the exchange.
@@ -261,18 +287,19 @@ def _sets(docs: DataFrame, shingle: int, only: np.ndarray | None = None) -> Data
                 sets = [np.unique(h) for h in hashes]
                 columns = [
                     part.column("doc_id"),
+                    part.column("e"),
                     pa.array([_signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)) for x in sets], pa.int64()),
                     pa.array([_signed(_print(h)) for h in hashes], pa.int64()),
                     pa.array(list(map(len, sets)), pa.int32()),
                     pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())),
                 ]
-                out = pa.RecordBatch.from_arrays(columns, ["doc_id", "sid", "fp", "n", "shingles"])
+                out = pa.RecordBatch.from_arrays(columns, ["doc_id", "e", "sid", "fp", "n", "shingles"])
                 if only is not None:
                     place = out.column("sid").to_numpy() & (FILTER - 1)
                     out = out.filter(pa.array((only[place >> 5] >> (place & 31).astype(np.uint32) & 1).astype(bool)))
                 yield out
 
-    return map_arrow(renamed(docs, doc_id="doc_id", text="text"), rows, SETS)
+    return map_arrow(renamed(docs, doc_id="doc_id", text="text").withColumn("e", F.xxhash64("text")), rows, SETS)
 
 
 def _least_shared(n, tenths: int):
@@ -338,43 +365,60 @@ def _verified(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
     return both.where(F.col("common") * 10 >= tenths * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
 
 
+def _buckets_of(shared: DataFrame, named: DataFrame, stars: bool) -> DataFrame:
+    """m: the sets (sid, root, fp, n, block) of one shingle, or of a pair of its blocks, where they are of different components.
+
+    A shingle of more than BUCKET sets has them dealt into blocks, each of which
+    meets every other block (with ``stars`` only itself).
+    """
+    hot = shared.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > BUCKET)
+    hot = materialize(hot.select("h", F.ceil(F.col("c") / BUCKET).cast("int").alias("k")), "hot")
+    members = shared.join(named, "sid").join(hot, "h", "left").withColumn("block", F.pmod(F.xxhash64("sid"), F.coalesce("k", F.lit(1))).cast("int"))
+    others = F.array("block") if stars else F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1)
+    members = members.withColumn("other", F.explode(others))
+    group = F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+    dealt = members.select("h", *group, "root", F.struct("sid", "root", "fp", "n", "block").alias("one"))
+    return dealt.groupBy("h", "i", "j").agg(F.collect_list("one").alias("m"), F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("m")
+
+
 def _pairs(shared: DataFrame, sets: DataFrame, edges: DataFrame, tenths: int, stars: bool) -> DataFrame:
     """Pairs of different components that share a prefix shingle: all that the sizes allow, or each with the nearest of the largest component."""
     roots = components(edges).withColumnRenamed("node", "sid")
     named = sets.select("sid", "fp", "n").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    buckets = shared.join(named, "sid").groupBy("h").agg(F.collect_list(F.struct("sid", "root", "fp", "n")).alias("m"), F.min("root").alias("r"), F.max("root").alias("s"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for members in batch.column("m"):
-                sid, root, fp, n = (members.values.field(c).to_numpy().astype(np.int64) for c in ("sid", "root", "fp", "n"))
+                sid, root, fp, n, block = (members.values.field(c).to_numpy().astype(np.int64) for c in ("sid", "root", "fp", "n", "block"))
                 bound = _least_shared(n, tenths)
                 values, counts = np.unique(root, return_counts=True)
                 home = np.flatnonzero(root == values[counts.argmax()])
+                two = block.min() < block.max()
                 for i in range(len(sid)):
                     if stars:
                         if root[i] == root[home[0]]:
                             continue
                         near = home[[np.bitwise_count((fp[home] ^ fp[i]).view(np.uint64)).argmin()]]
                     else:
-                        near = np.flatnonzero((root[i + 1 :] != root[i]) & (np.minimum(n[i + 1 :], n[i]) >= np.maximum(bound[i + 1 :], bound[i]))) + i + 1
+                        fits = (root[i + 1 :] != root[i]) & (np.minimum(n[i + 1 :], n[i]) >= np.maximum(bound[i + 1 :], bound[i]))
+                        near = np.flatnonzero(fits & (block[i + 1 :] != block[i]) if two else fits) + i + 1
                     if len(near):
                         a, b = np.minimum(sid[near], sid[i]), np.maximum(sid[near], sid[i])
                         need = np.minimum(SHARED, np.minimum(bound[near], bound[i]))
                         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(need)], ["a", "b", "need"])
 
-    found = map_arrow(buckets.where("r < s").select("m"), rows, "a long, b long, need long").groupBy("a", "b").agg(F.count("*").alias("c"), F.min("need").alias("need"))
+    found = map_arrow(_buckets_of(shared, named, stars), rows, "a long, b long, need long").groupBy("a", "b").agg(F.count("*").alias("c"), F.min("need").alias("need"))
     return found.where("c >= need").select("a", "b")
 
 
 def similar(docs: DataFrame, shingle: int = 5, radius: int = 6, tenths: int = 8) -> DataFrame:
-    """doc_id, component_id (the smallest doc_id reachable) for every row, by links of Jaccard similarity >= tenths / 10.
+    """doc_id, e, sid, root, component_id (the smallest doc_id reachable) for every row, by links of Jaccard similarity >= tenths / 10.
 
     Fingerprints within the radius are the first candidates. What they miss is
     found by prefix filtering, which loses no pair; sets already in one component
     are not compared again. Every link is verified on the sets of shingles.
     """
-    rows = materialize(_sets(docs, shingle).select("doc_id", "sid", "fp", "n"), "prints")
+    rows = materialize(_sets(docs, shingle).select("doc_id", "e", "sid", "fp", "n"), "prints")
     shared = materialize(_shared(docs, rows.count(), shingle, tenths), "shared")
     heads = rows.groupBy("fp").agg(F.min("sid").alias("head"))
     near = links(rows, radius).join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
@@ -386,13 +430,9 @@ def similar(docs: DataFrame, shingle: int = 5, radius: int = 6, tenths: int = 8)
     edges = materialize(_verified(first, sets, tenths), "verified")
     for stars in (True, False):
         edges = edges.unionByName(materialize(_verified(_pairs(shared, sets, edges, tenths, stars), sets, tenths), "verified"))
-    roots = components(edges).withColumnRenamed("node", "sid")
-    least = rows.groupBy("sid").agg(F.min("doc_id").alias("least")).join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    classes = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sid", "component_id")
-    return rows.select("doc_id", "sid").join(classes, "sid").select("doc_id", "component_id")
+    return rooted(rows.select("doc_id", "e", "sid"), "sid", edges)
 
 
 def keep_one_similar(docs: DataFrame, shingle: int = 5, radius: int = 6, tenths: int = 8) -> DataFrame:
     """``docs`` with one row of each group of similar texts: that of the smallest doc_id. Rows of a null doc_id stay."""
-    heads = similar(docs, shingle, radius, tenths).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(heads, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    return one_of_each(docs, similar(docs, shingle, radius, tenths))

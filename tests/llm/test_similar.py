@@ -30,9 +30,10 @@ def corpus():
     return rows + [prose(3), prose(7), *[[*passage, *prose(RND.randint(0, 40))] for _ in range(12)]]
 
 
-@pytest.mark.parametrize("frequent", [3, 1000])
-def test_all_similar_pairs_link(spark, monkeypatch, frequent):
+@pytest.mark.parametrize(("frequent", "bucket"), [(3, 4096), (1000, 4)])
+def test_all_similar_pairs_link(spark, monkeypatch, frequent, bucket):
     monkeypatch.setattr(simhash, "FREQUENT", frequent)
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
     rows = corpus()
     root = list(range(len(rows)))
     far = 0
@@ -55,3 +56,12 @@ def test_similar_edges(spark):
     docs = spark.createDataFrame([(2, "same"), (2, "same"), (1, "Same "), (None, "same"), (3, None), (4, "")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.component_id) for r in simhash.similar(docs).collect()) == [(0, 1), (1, 1), (2, 1), (2, 1), (3, 3), (4, 3)]
     assert simhash.keep_one_similar(docs.limit(0)).count() == 0
+
+
+def test_one_row_of_each_group(spark):
+    a, b = " ".join(prose(40)), " ".join(prose(40))
+    rows = [(0, b, "x"), (1, a, "x"), (1, b, "y"), (1, a, "z"), (2, a.upper(), "x"), (None, a, "x"), (None, a, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(3)
+    for keep in (simhash.keep_one_similar, simhash.keep_one):
+        got = [(r.doc_id, r.text) for r in keep(docs).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, [(0, b), (1, a), (None, a), (None, a)])), keep
