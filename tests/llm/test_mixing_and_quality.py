@@ -159,13 +159,61 @@ def test_classifier_on_held_out_rows(spark):
     assert kept.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ") and kept.count() == sum(r.kept for r in got.values())
 
 
-def test_sparse_sites_shrink(spark):
-    rows = [("big", "x", 1.0)] * 80 + [("big", "x", 0.0)] * 20 + [("bad", "x", 0.0)] * 50 + [("tiny", "x", 0.0)] + [("big", "y", 0.0)]
-    known = spark.createDataFrame(rows, "host string, path string, y double")
-    got = {(r.host, r.path): r for r in quality.sites(known).collect()}
-    share = 80 / 152
-    assert got["bad", "x"].host_rate < got["tiny", "x"].host_rate < share and abs(got["big", "x"].path_rate - 0.8) < 0.05
-    assert got["bad", "x"].path_rate < 0.1 < got["big", "y"].path_rate
+def slow_posteriors(rows, llr, good):
+    """By the formulas, over Python lists: rows (id, host, path), evidence by id, labels by id."""
+    share = sum(good.values()) / len(good)
+    base = math.log(share / (1 - share))
+    y = [good.get(i, 1 / (1 + math.exp(-(llr[i] + base)))) for i, _, _ in rows]
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for (_, h, p), v in zip(rows, y, strict=True):
+        hosts[h].append(v)
+        paths[h, p].append(v)
+    n, mean = len(y), sum(y) / len(y)
+    k = quality.strength(mean, sum(len(v) * (sum(v) / len(v) - mean) ** 2 for v in hosts.values()) / n, mean * (1 - mean) * len(hosts) / n)
+    inner = sum(len(v) * (sum(v) / len(v) - sum(hosts[h]) / len(hosts[h])) ** 2 for (h, _), v in paths.items()) / n
+    kp = quality.strength(mean, inner, mean * (1 - mean) * len(paths) / n)
+    out = []
+    for (i, h, p), v in zip(rows, y, strict=True):
+        host = (sum(hosts[h]) - v + k * mean) / (len(hosts[h]) - 1 + k)
+        path = (sum(paths[h, p]) - v + kp * host) / (len(paths[h, p]) - 1 + kp)
+        bounded = min(0.99, max(0.01, path))
+        out.append((i, host, path, 1 / (1 + math.exp(-(llr[i] + math.log(bounded / (1 - bounded)))))))
+    return out
+
+
+def test_posteriors_by_hand(spark):
+    rows = [(i, t, RND.choice(["big", "big", "big", "h1", "h2", None]), RND.choice(["x", "y", None])) for i, t, _, _ in labelled(150)] + [(500, "lone words here", "rare", "x"), (501, "word " * 20000, "big", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)
+    good = {i: int(i % 5 < 3) for i in range(0, 150, 2)}
+    labels = spark.createDataFrame(list(good.items()), "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.judged(docs, labels).collect()}
+    want = slow_posteriors([(i, h, p) for i, _, h, p in rows], {i: r.llr for i, r in got.items()}, good)
+    for i, host, path, posterior in want:
+        assert np.allclose((got[i].host_rate, got[i].path_rate, got[i].posterior), (host, path, posterior), atol=1e-9)
+    assert len({round(r.host_rate, 3) for r in got.values()}) > 3
+
+
+def test_rows_that_share_a_doc_id_are_judged_apart(spark):
+    train = labelled(200)
+    rows = [(i, t, s) for i, t, s, _ in train] + [(900, train[0][1], "a"), (900, train[3][1], "a"), (None, train[0][1], "a"), (None, train[4][1], "a")]
+    labels = spark.createDataFrame([(i, q) for i, _, _, q in train], "doc_id long, quality int")
+    kept = [(r.doc_id, r.text) for r in quality.keep_good(documents(spark, rows), labels).collect()]
+    assert (900, train[0][1]) in kept and (900, train[3][1]) not in kept and (None, train[0][1]) in kept and (None, train[4][1]) not in kept
+
+
+def test_sample_is_bounded(spark):
+    train = labelled(300)
+    table = quality.features(documents(spark, [(i, t, s) for i, t, s, _ in train] * 2).repartition(7), "source", "lang")
+    labels = spark.createDataFrame([(i, float(q)) for i, _, _, q in train], "doc_id long, good double")
+    ids = []
+    fitted = quality.Regression
+    try:
+        quality.Regression = lambda x, y: ids.append(len(y)) or fitted(x, y)
+        quality.fit(table, labels, 100)
+        quality.fit(table.repartition(2), labels, 300)
+    finally:
+        quality.Regression = fitted
+    assert 60 < ids[0] <= 100 and ids[1] == 300
 
 
 def test_quality_edges(spark):
