@@ -13,12 +13,16 @@ take the whole numbers that their running sum of rates passes, which leaves an
 error of the order of the longest document; then one pass from long to short
 documents adds or removes the copies that fit into the error. Within a cell the
 copies go to documents in order of a salted hash, by counting, so a cell of any
-size is spread over tasks. Sums that decide are decimal, so reruns agree.
+size is spread over tasks of at most about SALTED rows. Sums that decide are
+decimal, so reruns agree. The sizes that a source's documents have meet in one
+row: their number is bounded by the longest text, not by the rows.
 
 Nulls and empties: a null text has no words; a null source is a source of its
 own, last in order; documents without words are taken with zero words. Repeated
-rows are mixed as separate documents. An empty table gives no rows. Extra
-columns are ignored, or kept where documents are repeated.
+rows are mixed as separate documents; where they are written out, rows equal in
+doc_id, text and source stand for each other. Texts of any length are counted
+whole. An empty table gives no rows. Extra columns are ignored, or kept where
+documents are repeated.
 """
 
 from __future__ import annotations
@@ -29,10 +33,10 @@ from pyspark.sql.window import Window
 
 from siltstone.llm.common import WORD, materialize, renamed
 
-#: Parts that the documents of one cell are spread over.
-SALTS = 64
-#: Bounds on the loops; both end far earlier, when nothing changes any more.
-MOST_STEPS, MOST_SHARES = 100, 1000
+#: Parts that the documents of one cell are spread over: this many, or one for each SALTED rows of the table.
+SALTS, SALTED = 64, 1 << 20
+#: Rounds after which the loops give up with an error; both end far earlier, when nothing changes any more.
+MOST_STEPS, MOST_SHARES = 200, 10_000
 
 DECIMAL = "decimal(38,6)"
 
@@ -45,8 +49,7 @@ def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     """The documents' sizes, without their texts, as a written table."""
     own = renamed(docs, **{doc_id: "doc_id", text: "text", source: "source"})
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source"))
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-    return materialize(own.select("doc_id", "source", key.alias("key"), word_count("text").alias("size"), salt.alias("salt")), "sizes")
+    return materialize(own.select("doc_id", F.xxhash64("text", "source").alias("e"), "source", key.alias("key"), word_count("text").alias("size")), "sizes")
 
 
 def numbered(sources: DataFrame) -> DataFrame:
@@ -77,6 +80,8 @@ def targets(sizes: DataFrame, weights: list[int], share: float, most: float) ->
         if not row.weight or (new := max(0.0, total - row.held) / row.weight) <= level:
             break
         level = new
+    else:
+        raise RuntimeError(f"shares did not settle in {MOST_SHARES} rounds")
     return table.select("key", "source_size", "cap", F.least("cap", F.col("weight") * F.lit(level)).alias("target"))
 
 
@@ -104,6 +109,8 @@ def tilts(cells: DataFrame, wanted: DataFrame, most: float) -> DataFrame:
         held = F.col("done") | F.coalesce(F.abs("off") <= F.greatest(F.lit(0.5), F.col("target") * 1e-9), F.lit(False))
         step = F.when(held, F.col("tilt")).when(inside & (F.abs(newton - F.col("tilt")) < 50), newton).otherwise(outside)
         state = materialize(at.select("key", "mean", "target", step.alias("tilt"), "low", "high", held.alias("done")), "tilt")
+    else:
+        raise RuntimeError(f"tilts did not settle in {MOST_STEPS} steps")
     return state.select("key", "mean", "tilt")
 
 
@@ -137,7 +144,7 @@ def cell_copies(cells: DataFrame, wanted: DataFrame, tilt: DataFrame, most: floa
 
 
 def mix(sizes: DataFrame, weights: list[int], share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies for every row of ``sized``.
+    """doc_id, e, source, size, source_size, target, copies for every row of ``sized``.
 
     ``most`` bounds a document's copies and a source's target; it should be whole.
     """
@@ -145,25 +152,34 @@ def mix(sizes: DataFrame, weights: list[int], share: float = 1.5, most: float =
     cells = materialize(sizes.where("size > 0").groupBy("key", "size").agg(F.count("*").alias("n")), "cells")
     copies = cell_copies(cells, wanted, tilts(cells, wanted, most), most)
 
+    salts = max(SALTS, -(-sizes.count() // SALTED))
+    sizes = sizes.withColumn("salt", F.pmod(F.xxhash64("doc_id", "e"), F.lit(salts)))
     salted = sizes.groupBy("key", "size", "salt").agg(F.count("*").alias("own"))
     before = Window.partitionBy("key", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     salted = salted.withColumn("base", F.coalesce(F.sum("own").over(before), F.lit(0)))
     salted = salted.join(copies, ["key", "size"], "left").join(wanted.select("key", "source_size", "target"), "key")
-    rank = F.row_number().over(Window.partitionBy("key", "size", "salt").orderBy(F.xxhash64("doc_id"), "doc_id")) - 1
+    rank = F.row_number().over(Window.partitionBy("key", "size", "salt").orderBy(F.xxhash64("doc_id"), "doc_id", "e")) - 1
     ranked = sizes.withColumn("rank", rank).join(salted.drop("own"), ["key", "size", "salt"])
     more = (F.col("base") + F.col("rank") < F.col("m") % F.col("n")).cast("long")
     number = F.coalesce(F.floor(F.col("m") / F.col("n")) + more, F.lit(0))
-    return ranked.select("doc_id", "source", "size", "source_size", "target", number.alias("copies"))
+    return ranked.select("doc_id", "e", "source", "size", "source_size", "target", number.alias("copies"))
 
 
 def repeated(docs: DataFrame, weights: list[int], share: float = 1.5, most: float = 2.0) -> DataFrame:
     """``docs`` as the mix takes them: a document's row as often as it has copies, with all its columns.
 
-    Rows that share a doc_id all come as often as the one of them with the most copies.
+    Rows equal in doc_id, text and source come as often as all of them together,
+    in the likeness of one.
     """
-    copies = mix(sized(docs), weights, share, most).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
-    copies = copies.select(F.col("doc_id").alias("__id"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("__copy"))
-    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    none = F.lit(-(1 << 63))
+    copies = mix(sized(docs), weights, share, most).groupBy(F.coalesce("doc_id", none).alias("d"), "e")
+    copies = materialize(copies.agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0"), "taken")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    taken = docs.select(row, F.coalesce("doc_id", none).alias("d"), F.xxhash64("text", "source").alias("e")).join(copies, ["d", "e"])
+    again = copies.where("rows > 1")
+    if not again.isEmpty():
+        taken = taken.where("rows = 1").unionByName(taken.where("rows > 1").dropDuplicates(["d", "e"]))
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def op5(docs: DataFrame) -> DataFrame:

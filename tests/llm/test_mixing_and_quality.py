@@ -269,6 +269,31 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, sf).count() == tables[4].count()
 
 
+def test_repeated_rows_stand_for_each_other(spark):
+    docs = documents(spark, [(1, "a b c", "x"), (1, "a b c", "x"), (1, "d e f g", "x"), (None, "h i", "x"), (2, "j", "y")])
+    count = Counter((r.doc_id, r.text) for r in mixing.repeated(docs, [3, 1, 2], share=2.0).collect())
+    assert count == {(1, "a b c"): 4, (1, "d e f g"): 2, (None, "h i"): 2, (2, "j"): 2}
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    text = good(80)
+    rows = [(1, text, "a", "en", 9), (1, text, "a", "en", 9), (2, text + " more", None, None, None), (3, None, "a", "en", 0), (4, "", None, "en", 0), (None, good(), "a", "en", 1), (5, good(20_000), "b", "en", 1)]
+    columns = "doc_id long, text string, source string, lang string, n_chars long, d string, e string, row string, marks string, copy int, fp long, root long"
+    labels = spark.createDataFrame([(1, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"file://{tmp_path}/labels.parquet")
+    for name, part in (("rows", rows), ("none", [])):
+        now = spark.createDataFrame([(*r, "d", "e", "row", "marks", 1, 2, 3) for r in part], columns)
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, now, f"file://{tmp_path}").write.parquet(f"file://{tmp_path}/{name}{k}")
+            assert k == 4 or spark.read.parquet(f"file://{tmp_path}/{name}{k}").columns == now.columns
+            now = spark.read.parquet(f"file://{tmp_path}/{name}{k}")
+        assert bool(now.count()) == bool(part)
+    kept = sorted(str(r.doc_id) for r in spark.read.parquet(f"file://{tmp_path}/rows1").collect())
+    assert kept == ["1", "3", "5", "None"]
+
+
 def test_entry_registers_all():
     import __spark_entry__
 
