@@ -274,12 +274,13 @@ def _filter(sids: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, shingle: int, only: np.ndarray | None = None) -> DataFrame:
-    """Every row's set of shingles, the set's own hash and the fingerprint; with a filter, at least of the sets in it.
+    """Every row's set of shingles, the set's own hash and the fingerprint; with a filter, at least of the sets in it, each once a task.
 
     Sets take more room than texts, so they are computed again where they are needed and never written whole.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -296,12 +297,23 @@ def _sets(docs: DataFrame, shingle: int, only: np.ndarray | None = None) -> Data
                 out = pa.RecordBatch.from_arrays(columns, ["doc_id", "e", "sid", "fp", "n", "shingles"])
                 if only is not None:
                     place = out.column("sid").to_numpy() & (FILTER - 1)
-                    out = out.filter(pa.array((only[place >> 5] >> (place & 31).astype(np.uint32) & 1).astype(bool)))
+                    inside = (only[place >> 5] >> (place & 31).astype(np.uint32) & 1).astype(bool)
+                    out = out.filter(pa.array(inside & _unseen(out.column("sid").to_pylist(), seen)))
                 yield out
 
     return map_arrow(renamed(docs, doc_id="doc_id", text="text").withColumn("e", F.xxhash64("text")), rows, SETS)
 
 
+def _unseen(sids: list[int], seen: set[int]) -> np.ndarray:
+    """Which of a task's sets come for the first time; exact copies of a text then cost one row a task."""
+    new = np.zeros(len(sids), bool)
+    for i, sid in enumerate(sids):
+        if sid not in seen:
+            seen.add(sid)
+            new[i] = True
+    return new
+
+
 def _least_shared(n, tenths: int):
     """The least overlap that a set of n has with a set of that similarity, in whole numbers."""
     return (n * tenths + 9) // 10
@@ -320,9 +332,11 @@ def _shared(docs: DataFrame, total: int, shingle: int, tenths: int) -> DataFrame
     frequent = np.sort(often.select("h").toArrow().column("h").to_numpy())
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
+                part = part.filter(pa.array(_unseen(part.column("sid").to_pylist(), seen)))
                 firsts = []
                 for x in part.column("shingles"):
                     x = x.values.to_numpy()
@@ -357,12 +371,18 @@ def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | N
     yield None
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
-    """The pairs (a, b) of sets whose Jaccard similarity is at least that, counted exactly."""
+def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, tenths: int) -> DataFrame:
+    """The pairs (a, b) of sets whose Jaccard similarity is at least that, counted exactly on the sets, which are computed for these pairs only."""
+    pairs = materialize(pairs, "candidates")
+    if pairs.isEmpty():
+        return pairs
+    ends = materialize(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct(), "ends")
+    sets = _sets(docs, shingle, _filter(ends)).select("sid", "shingles").join(ends, "sid", "left_semi").dropDuplicates(["sid"])
+    sets = materialize(sets, "compared")
     one = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x"))
     other = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(one, "a").join(other, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
-    return both.where(F.col("common") * 10 >= tenths * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
+    return materialize(both.where(F.col("common") * 10 >= tenths * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b"), "verified")
 
 
 def _buckets_of(shared: DataFrame, named: DataFrame, stars: bool) -> DataFrame:
@@ -381,10 +401,10 @@ def _buckets_of(shared: DataFrame, named: DataFrame, stars: bool) -> DataFrame:
     return dealt.groupBy("h", "i", "j").agg(F.collect_list("one").alias("m"), F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("m")
 
 
-def _pairs(shared: DataFrame, sets: DataFrame, edges: DataFrame, tenths: int, stars: bool) -> DataFrame:
+def _pairs(shared: DataFrame, named: DataFrame, edges: DataFrame, tenths: int, stars: bool) -> DataFrame:
     """Pairs of different components that share a prefix shingle: all that the sizes allow, or each with the nearest of the largest component."""
     roots = components(edges).withColumnRenamed("node", "sid")
-    named = sets.select("sid", "fp", "n").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    named = named.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -423,13 +443,11 @@ def similar(docs: DataFrame, shingle: int = 5, radius: int = 6, tenths: int = 8)
     heads = rows.groupBy("fp").agg(F.min("sid").alias("head"))
     near = links(rows, radius).join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
     same = rows.select("sid", "fp").join(heads, "fp").where("sid != head").select(F.col("sid").alias("a"), F.col("head").alias("b"))
-    first = materialize(near.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(same).distinct(), "near")
-    ends = shared.select("sid").union(first.select("a")).union(first.select("b")).distinct()
-    held = _sets(docs, shingle, _filter(ends)).select("sid", "fp", "n", "shingles")
-    sets = materialize(held.join(ends, "sid", "left_semi").dropDuplicates(["sid"]), "compared")
-    edges = materialize(_verified(first, sets, tenths), "verified")
+    first = near.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(same).distinct()
+    edges = _verified(first, docs, shingle, tenths)
+    named = materialize(rows.groupBy("sid").agg(F.min("fp").alias("fp"), F.min("n").alias("n")), "sets")
     for stars in (True, False):
-        edges = edges.unionByName(materialize(_verified(_pairs(shared, sets, edges, tenths, stars), sets, tenths), "verified"))
+        edges = edges.unionByName(_verified(_pairs(shared, named, edges, tenths, stars), docs, shingle, tenths))
     return rooted(rows.select("doc_id", "e", "sid"), "sid", edges)
 
 
