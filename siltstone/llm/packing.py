@@ -6,8 +6,9 @@ driver. There multiplicative weights solve the covering program whose columns
 are configurations (how many pieces of which lengths share one sequence): each
 round prices lengths by how little they are covered, and a knapsack dynamic
 program finds the configuration of the highest price. The fractional solution is
-rounded down to whole copies; what that leaves is best-fit packed on the
-histogram. Pieces then find their places by rank: the r-th piece of a length
+rounded to whole copies in a few ways, at any size of the input; what that leaves
+is best-fit packed on the histogram, and the way of the fewest sequences is
+taken. Pieces then find their places by rank: the r-th piece of a length
 takes the r-th slot of that length, so no piece is sent anywhere.
 
 Nulls and empties: a null text counts as empty and packs its end id alone.
@@ -35,8 +36,9 @@ from siltstone.llm.common import map_arrow, materialize, renamed
 ROUNDS = 400
 #: Learning rate of the weights.
 RATE = 0.5
-#: Share of the fractional solution that is rounded; the rest keeps short pieces for best fit to close gaps with.
-ROUNDED = 0.95
+#: Ways to round the fractional solution: the share of it that is taken, what is added before rounding down, and whether
+#: only full sequences are. What a share below one leaves keeps short pieces for best fit to close gaps with.
+ROUNDINGS = [(share, up, full) for share, up in ((0.95, 0.0), (1.0, 0.0), (1.0, 0.5), (1.0, 0.999)) for full in (True, False)]
 
 Config = tuple[tuple[int, int], ...]
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, local long"
@@ -105,35 +107,46 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[Config, int]]:
     return [(config, n) for group in [done, *rooms] for config, n in group.items()]
 
 
+def fractional(demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> dict[Config, float]:
+    """Multiplicative weights: configurations whose fractional copies cover ``demand`` about evenly."""
+    lengths = np.arange(capacity + 1)
+    step = float(demand @ lengths) / capacity / rounds
+    chosen: dict[Config, float] = defaultdict(float)
+    if not step:
+        return chosen
+    covered = np.zeros(capacity + 1)
+    need = np.maximum(demand, 1)
+    most = np.minimum(demand, np.maximum(demand / step, 1)).astype(np.int64)
+    for t in range(1, rounds + 1):
+        # lengths that lag behind t / rounds of their demand weigh exponentially more
+        lag = t / rounds - covered / need
+        weight = np.where(demand > 0, lengths * np.exp(np.clip(RATE * rounds * lag / 8, -30, 30)), 0.0)
+        config = best_configuration(weight, most, capacity)
+        for length, n in config.items():
+            covered[length] += n * step
+        chosen[tuple(sorted(config.items(), reverse=True))] += step
+    return chosen
+
+
 def plan(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[Config, int]]:
     """Configurations with copies that hold exactly ``counts[length]`` pieces of each length."""
-    left = np.array(counts, np.int64)
-    out: list[tuple[Config, int]] = []
-    if left[capacity]:
-        out.append((((capacity, 1),), int(left[capacity])))
-        left[capacity] = 0
-    demand = left.astype(float)
-    total = float(demand @ np.arange(capacity + 1))
-    step = total / capacity / rounds
-    covered = np.zeros(capacity + 1)
-    chosen: dict[Config, float] = defaultdict(float)
-    if step >= 1:
-        need = np.maximum(demand, 1)
-        for t in range(1, rounds + 1):
-            # lengths that lag behind t / rounds of their demand weigh exponentially more
-            lag = t / rounds - covered / need
-            weight = np.where(demand > 0, np.arange(capacity + 1) * np.exp(np.clip(RATE * rounds * lag / 8, -30, 30)), 0.0)
-            config = best_configuration(weight, np.maximum(demand / step, 1).astype(np.int64), capacity)
-            for length, n in config.items():
-                covered[length] += n * step
-            chosen[tuple(sorted(config.items(), reverse=True))] += step
-        for config, copies in sorted(chosen.items(), key=lambda x: (-sum(a * b for a, b in x[0]), x[0])):
-            copies = min([int(copies * ROUNDED + 1e-9), *(int(left[length]) // n for length, n in config)])
-            if copies and sum(length * n for length, n in config) == capacity:
+    demand = np.array(counts, np.int64)
+    whole: list[tuple[Config, int]] = [(((capacity, 1),), int(demand[capacity]))] if demand[capacity] else []
+    demand[capacity] = 0
+    filled = lambda config: sum(length * n for length, n in config)
+    order = sorted(fractional(demand, capacity, rounds).items(), key=lambda x: (-filled(x[0]), -x[1], x[0]))
+    plans = [best_fit(demand, capacity)]
+    for share, up, full in ROUNDINGS if order else []:
+        left = demand.copy()
+        out: list[tuple[Config, int]] = []
+        for config, copies in order:
+            copies = min([int(copies * share + up + 1e-9), *(int(left[length]) // n for length, n in config)])
+            if copies and not (full and filled(config) < capacity):
                 out.append((config, copies))
                 for length, n in config:
                     left[length] -= copies * n
-    return out + best_fit(left, capacity)
+        plans.append(out + best_fit(left, capacity))
+    return whole + min(plans, key=lambda configs: sum(n for _, n in configs))
 
 
 def slots(configs: list[tuple[Config, int]]) -> dict[str, np.ndarray]:

@@ -108,6 +108,28 @@ def test_plan_is_near_the_bound():
     assert sum(n for _, n in packing.plan(counts, 256, rounds=100)) <= 1.005 * -(-total // 256)
 
 
+def test_the_program_beats_best_fit():
+    for k in (1, 10, 300):
+        counts = np.zeros(101, np.int64)
+        counts[[51, 27, 26, 23]] = [6 * k, 6 * k, 6 * k, 12 * k]
+        assert sum(n for _, n in packing.best_fit(counts, 100)) == 11 * k or k > 1
+        assert sum(n for _, n in packing.plan(counts, 100)) <= 9 * k + (k > 1)
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.integers(1, 12), max_size=7))
+def test_plan_is_optimal_where_it_can_be_counted(lengths):
+    def fewest(rest, rooms):
+        if not rest:
+            return len(rooms)
+        options = {r for r in rooms if r >= rest[0]}
+        tries = [fewest(rest[1:], tuple(sorted([*rooms[: rooms.index(r)], *rooms[rooms.index(r) + 1 :], r - rest[0]]))) for r in options]
+        return min([*tries, fewest(rest[1:], (*rooms, 12 - rest[0]))])
+
+    got = sum(n for _, n in packing.plan(np.bincount(np.array(lengths, int), minlength=13), 12, rounds=40))
+    assert got == fewest(sorted(lengths, reverse=True), ())
+
+
 def test_knapsack():
     value = np.zeros(11)
     value[[3, 4, 5]] = [4.0, 5.0, 6.9]
