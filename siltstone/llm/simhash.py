@@ -203,8 +203,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
-        large = materialize(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
-        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))  # few rows for each: after large stars only local minima have many
         small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = materialize(small.unionAll(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
@@ -401,10 +401,9 @@ def _buckets_of(shared: DataFrame, named: DataFrame, stars: bool) -> DataFrame:
     return dealt.groupBy("h", "i", "j").agg(F.collect_list("one").alias("m"), F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("m")
 
 
-def _pairs(shared: DataFrame, named: DataFrame, edges: DataFrame, tenths: int, stars: bool) -> DataFrame:
+def _pairs(shared: DataFrame, named: DataFrame, roots: DataFrame, tenths: int, stars: bool) -> DataFrame:
     """Pairs of different components that share a prefix shingle: all that the sizes allow, or each with the nearest of the largest component."""
-    roots = components(edges).withColumnRenamed("node", "sid")
-    named = named.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    named = named.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -447,7 +446,9 @@ def similar(docs: DataFrame, shingle: int = 5, radius: int = 6, tenths: int = 8)
     edges = _verified(first, docs, shingle, tenths)
     named = materialize(rows.groupBy("sid").agg(F.min("fp").alias("fp"), F.min("n").alias("n")), "sets")
     for stars in (True, False):
-        edges = edges.unionByName(_verified(_pairs(shared, named, edges, tenths, stars), docs, shingle, tenths))
+        roots = components(edges)  # a forest of stars, from which the next components are soon found
+        more = _verified(_pairs(shared, named, roots, tenths, stars), docs, shingle, tenths)
+        edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more.select("a", "b"))
     return rooted(rows.select("doc_id", "e", "sid"), "sid", edges)
 
 
