@@ -26,7 +26,7 @@ class RetrievalPlan:
 
 
 # The depth presets.
-PLANS = {"shallow": RetrievalPlan(6, 8, 2400, 1), "normal": RetrievalPlan(12, 20, 6000, 2), "deep": RetrievalPlan(20, 40, 12000, 3)}
+PLANS = {"shallow": RetrievalPlan(6, 8, 2400, 1), "normal": RetrievalPlan(12, 20, 6000, 1), "deep": RetrievalPlan(20, 40, 12000, 2)}
 
 
 def retrieval_plan(depth: str = "normal", budget: int | None = None) -> RetrievalPlan:

@@ -141,6 +141,7 @@ def test_fusion(spark):
 def test_plans_grow():
     p = [retrieval.retrieval_plan(d) for d in ("shallow", "normal", "deep")]
     assert p[0].seeds < p[1].seeds < p[2].seeds and p[0].budget < p[1].budget < p[2].budget
+    assert [x.graph_depth for x in p] == [1, 1, 2]
     assert retrieval.retrieval_plan("deep", 99).budget == 99
     with pytest.raises(ValueError, match="since"):
         retrieval.Filters(since="2024-02-01", until="2024-01-01")
