@@ -256,25 +256,29 @@ SHARED = 4
 #: Texts that are sampled for the order of shingles, and how often a frequent one occurs in them.
 SAMPLED, FREQUENT, MOST_FREQUENT = 10_000, 8, 500_000
 SETS = "doc_id long, e long, sid long, fp long, n int, shingles array<long>"
+#: Pairs that a task gives out at once.
+PAIRS = 200_000
 #: Sets of one shingle that are compared in memory at once; more are dealt into blocks, and pairs of blocks are compared.
 BUCKET = 4096
 
 
-#: Bits of the filter that spares sets without candidates the exchange.
+#: Bits of the filter that spares texts without candidates the hashing.
 FILTER = 1 << 24
 
 
-def _filter(sids: DataFrame) -> np.ndarray:
-    """Bytes with the bits of these sets' places set; the driver gets at most FILTER / 32 rows."""
-    place = F.col("sid").bitwiseAND(F.lit(FILTER - 1))
-    words = sids.select(place.alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("bits")).toArrow()
+def _filter(hashes: DataFrame) -> np.ndarray:
+    """Words with the bits of these texts' hashes ``e`` set; the driver gets at most FILTER / 32 rows."""
+    place = F.col("e").bitwiseAND(F.lit(FILTER - 1))
+    words = hashes.select(place.alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("bits")).toArrow()
     out = np.zeros(FILTER // 32, np.uint32)
     out[words.column("w").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
     return out
 
 
 def _sets(docs: DataFrame, shingle: int, only: np.ndarray | None = None) -> DataFrame:
-    """Every row's set of shingles, the set's own hash and the fingerprint; with a filter, at least of the sets in it, each once a task.
+    """Every row's set of shingles, the set's own hash and the fingerprint; with a filter, at least of the texts in it, each once a task.
+
+    The filter is asked before a text is hashed, so texts without candidates cost a look.
 
     Sets take more room than texts, so they are computed again where they are needed and never written whole.
     """
@@ -284,6 +288,12 @@ def _sets(docs: DataFrame, shingle: int, only: np.ndarray | None = None) -> Data
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
+                if only is not None:
+                    e = part.column("e").to_numpy()
+                    place = e & (FILTER - 1)
+                    inside = (only[place >> 5] >> (place & 31).astype(np.uint32) & 1).astype(bool)
+                    part = part.filter(pa.array(inside))
+                    part = part.filter(pa.array(_unseen(part.column("e").to_pylist(), seen)))
                 hashes = [shingles(t, shingle) for t in part.column("text").to_pylist()]
                 sets = [np.unique(h) for h in hashes]
                 columns = [
@@ -294,12 +304,7 @@ def _sets(docs: DataFrame, shingle: int, only: np.ndarray | None = None) -> Data
                     pa.array(list(map(len, sets)), pa.int32()),
                     pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())),
                 ]
-                out = pa.RecordBatch.from_arrays(columns, ["doc_id", "e", "sid", "fp", "n", "shingles"])
-                if only is not None:
-                    place = out.column("sid").to_numpy() & (FILTER - 1)
-                    inside = (only[place >> 5] >> (place & 31).astype(np.uint32) & 1).astype(bool)
-                    out = out.filter(pa.array(inside & _unseen(out.column("sid").to_pylist(), seen)))
-                yield out
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "e", "sid", "fp", "n", "shingles"])
 
     return map_arrow(renamed(docs, doc_id="doc_id", text="text").withColumn("e", F.xxhash64("text")), rows, SETS)
 
@@ -371,13 +376,14 @@ def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | N
     yield None
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, tenths: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, shingle: int, tenths: int) -> DataFrame:
     """The pairs (a, b) of sets whose Jaccard similarity is at least that, counted exactly on the sets, which are computed for these pairs only."""
     pairs = materialize(pairs, "candidates")
     if pairs.isEmpty():
         return pairs
     ends = materialize(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct(), "ends")
-    sets = _sets(docs, shingle, _filter(ends)).select("sid", "shingles").join(ends, "sid", "left_semi").dropDuplicates(["sid"])
+    texts = rows.select("e", "sid").join(ends, "sid", "left_semi").groupBy("sid").agg(F.min("e").alias("e"))  # one text of each set is enough
+    sets = _sets(docs, shingle, _filter(texts)).select("sid", "shingles").join(ends, "sid", "left_semi").dropDuplicates(["sid"])
     sets = materialize(sets, "compared")
     one = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x"))
     other = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y"))
@@ -401,30 +407,59 @@ def _buckets_of(shared: DataFrame, named: DataFrame, stars: bool) -> DataFrame:
     return dealt.groupBy("h", "i", "j").agg(F.collect_list("one").alias("m"), F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("m")
 
 
+class _Pairs:
+    """Pairs of a batch's sets, given out in few record batches."""
+
+    def __init__(self, sid: np.ndarray, bound: np.ndarray):
+        self.sid, self.bound, self.rows = sid, bound, 0
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, one: np.ndarray, other: np.ndarray) -> None:
+        self.parts.append((one, other))
+        self.rows += len(one)
+
+    def taken(self) -> pa.RecordBatch:
+        one, other = (np.concatenate([p[k] for p in self.parts] or [np.zeros(0, np.int64)]) for k in (0, 1))
+        self.parts, self.rows = [], 0
+        a, b = np.minimum(self.sid[one], self.sid[other]), np.maximum(self.sid[one], self.sid[other])
+        need = np.minimum(SHARED, np.minimum(self.bound[one], self.bound[other]))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(need)], ["a", "b", "need"])
+
+
 def _pairs(shared: DataFrame, named: DataFrame, roots: DataFrame, tenths: int, stars: bool) -> DataFrame:
     """Pairs of different components that share a prefix shingle: all that the sizes allow, or each with the nearest of the largest component."""
     named = named.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for members in batch.column("m"):
-                sid, root, fp, n, block = (members.values.field(c).to_numpy().astype(np.int64) for c in ("sid", "root", "fp", "n", "block"))
-                bound = _least_shared(n, tenths)
-                values, counts = np.unique(root, return_counts=True)
-                home = np.flatnonzero(root == values[counts.argmax()])
-                two = block.min() < block.max()
-                for i in range(len(sid)):
-                    if stars:
-                        if root[i] == root[home[0]]:
-                            continue
-                        near = home[[np.bitwise_count((fp[home] ^ fp[i]).view(np.uint64)).argmin()]]
-                    else:
-                        fits = (root[i + 1 :] != root[i]) & (np.minimum(n[i + 1 :], n[i]) >= np.maximum(bound[i + 1 :], bound[i]))
-                        near = np.flatnonzero(fits & (block[i + 1 :] != block[i]) if two else fits) + i + 1
-                    if len(near):
-                        a, b = np.minimum(sid[near], sid[i]), np.maximum(sid[near], sid[i])
-                        need = np.minimum(SHARED, np.minimum(bound[near], bound[i]))
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(need)], ["a", "b", "need"])
+            lists = batch.column("m")
+            flat = lists.flatten()
+            sid, root, fp, n, block = (flat.field(c).to_numpy().astype(np.int64) for c in ("sid", "root", "fp", "n", "block"))
+            bound = _least_shared(n, tenths)
+            sizes = lists.value_lengths().to_numpy()
+            starts = np.cumsum(sizes) - sizes
+            two = starts[sizes == 2]
+            fits = (root[two] != root[two + 1]) & (np.minimum(n[two], n[two + 1]) >= np.maximum(bound[two], bound[two + 1]))
+            out = _Pairs(sid, bound)
+            out.add(two if stars else two[fits], two + 1 if stars else two[fits] + 1)
+            for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+                at = np.arange(start, start + size)
+                if stars:
+                    values, counts = np.unique(root[at], return_counts=True)
+                    home = at[root[at] == values[counts.argmax()]]
+                    away = at[root[at] != values[counts.argmax()]]
+                    out.add(away, home[[np.bitwise_count((fp[home] ^ fp[i]).view(np.uint64)).argmin() for i in away]])
+                else:
+                    apart = block[at].min() < block[at].max()
+                    for i in range(start, start + size - 1):
+                        rest = at[i + 1 - start :]
+                        fits = (root[rest] != root[i]) & (np.minimum(n[rest], n[i]) >= np.maximum(bound[rest], bound[i]))
+                        near = rest[fits & (block[rest] != block[i])] if apart else rest[fits]
+                        if len(near):
+                            out.add(np.full(len(near), i), near)
+                        if out.rows >= PAIRS:
+                            yield out.taken()
+            yield out.taken()
 
     found = map_arrow(_buckets_of(shared, named, stars), rows, "a long, b long, need long").groupBy("a", "b").agg(F.count("*").alias("c"), F.min("need").alias("need"))
     return found.where("c >= need").select("a", "b")
@@ -443,11 +478,11 @@ def similar(docs: DataFrame, shingle: int = 5, radius: int = 6, tenths: int = 8)
     near = links(rows, radius).join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
     same = rows.select("sid", "fp").join(heads, "fp").where("sid != head").select(F.col("sid").alias("a"), F.col("head").alias("b"))
     first = near.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(same).distinct()
-    edges = _verified(first, docs, shingle, tenths)
+    edges = _verified(first, docs, rows, shingle, tenths)
     named = materialize(rows.groupBy("sid").agg(F.min("fp").alias("fp"), F.min("n").alias("n")), "sets")
     for stars in (True, False):
         roots = components(edges)  # a forest of stars, from which the next components are soon found
-        more = _verified(_pairs(shared, named, roots, tenths, stars), docs, shingle, tenths)
+        more = _verified(_pairs(shared, named, roots, tenths, stars), docs, rows, shingle, tenths)
         edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more.select("a", "b"))
     return rooted(rows.select("doc_id", "e", "sid"), "sid", edges)
 
