@@ -84,3 +84,8 @@ def coverage(active: DataFrame, indexed: DataFrame, key: str) -> DataFrame:
     """Keys that an index misses or holds without need, as (key, issue)."""
     missing = active.select(key).join(indexed.select(key), key, "left_anti").withColumn("issue", F.lit("missing"))
     return missing.unionByName(indexed.select(key).distinct().join(active.select(key), key, "left_anti").withColumn("issue", F.lit("orphan")))
+
+
+def raw_score(score: Column) -> Column:
+    """What an explained search shows beside the rank: 1 / (1 + |score|)."""
+    return 1 / (1 + F.abs(score))

@@ -183,3 +183,36 @@ def carry_forward(old: DataFrame, gone: DataFrame) -> DataFrame:
 def contains_edges(table: DataFrame, parent: Column, child: Column) -> DataFrame:
     """``contains`` edges of a hierarchy."""
     return table.select(parent.alias("subject"), F.lit("contains").alias("predicate"), child.alias("object")).where("subject is not null and object is not null")
+
+
+OPEN_SETS = ["proposed", "confirmed", "partially_resolved"]
+
+
+def resolve_implicit(sets: DataFrame, members: DataFrame, claims: DataFrame) -> DataFrame:
+    """``sets`` (conflict_id, status) with open ones resolved where no member claim states a scope.
+
+    ``members``: conflict_id, claim_id. ``claims``: claim_id, conflict_scope; a blank scope is none.
+    """
+    scoped = claims.where(F.trim(F.coalesce("conflict_scope", F.lit(""))) != "").select("claim_id")
+    held = members.join(scoped, "claim_id", "left_semi").select("conflict_id").distinct().withColumn("stated", F.lit(True))
+    after = F.when(F.col("status").isin(*OPEN_SETS) & F.col("stated").isNull(), "resolved").otherwise(F.col("status"))
+    return sets.join(held, "conflict_id", "left").withColumn("status", after).drop("stated")
+
+
+def conflict_details(members: DataFrame, claims: DataFrame) -> DataFrame:
+    """(conflict_id, n_claims, n_positions, least, most): what a conflict set holds. ``claims``: claim_id, position."""
+    held = members.join(claims.select("claim_id", "position"), "claim_id")
+    return held.groupBy("conflict_id").agg(F.count_distinct("claim_id").alias("n_claims"), F.count_distinct("position").alias("n_positions"), F.min("position").alias("least"), F.max("position").alias("most"))
+
+
+def bounded_neighborhood(edges: DataFrame, start: DataFrame, depth: int, most_nodes: int = 500, most_edges: int = 1000) -> DataFrame:
+    """EDGE, depth, truncated: the nearest ``most_nodes`` nodes' first ``most_edges`` edges, and whether there are more.
+
+    The limits are the feature; both are top-k selections, so only their rows reach one task.
+    """
+    nodes = written(neighborhood(edges, start, depth))
+    order = [F.col("depth"), F.col("node")]
+    kept = nodes.orderBy(*order).limit(most_nodes)
+    found = written(neighborhood_edges(edges, kept).orderBy("depth", *EDGE).limit(most_edges + 1))
+    more = (nodes.count() > most_nodes) or (found.count() > most_edges)
+    return found.orderBy("depth", *EDGE).limit(most_edges).withColumn("truncated", F.lit(more))

@@ -85,3 +85,40 @@ class QueryCache:
         if key not in self.held:
             self.held[key] = self.embed(query)
         return self.held[key]
+
+
+def scan_metrics(changes: DataFrame) -> DataFrame:
+    """n_created, n_modified, n_deleted, n_renamed of classified changes; what was restored counts as modified."""
+    of = lambda *kinds: F.count_if(F.col("kind").isin(*kinds))
+    return changes.agg(of("created").alias("n_created"), of("modified", "restored").alias("n_modified"), of("deleted").alias("n_deleted"), of("renamed").alias("n_renamed"))
+
+
+#: The longest listing that is asked for at once.
+MOST_LISTED = 1000
+
+
+def feed(events: DataFrame, order: list[str], most: int = 100, only: dict[str, str] | None = None) -> DataFrame:
+    """The latest events, newest first, at most ``MOST_LISTED``: a top-k report. ``only``: column values they must have."""
+    for column, value in (only or {}).items():
+        events = events.where(F.col(column) == value)
+    return events.orderBy(*[F.desc(c) for c in order]).limit(min(most, MOST_LISTED))
+
+
+def dependents(targets: dict[str, tuple[DataFrame, str]], links: list[tuple[str, str, DataFrame, str]]) -> DataFrame:
+    """(kind, id, dependent, n): how many rows of each kind hang directly on every resource, zeros left out.
+
+    ``targets``: kind to (table, id column). ``links``: (kind, dependent kind, table, column with the resource's id).
+    """
+    out = None
+    for kind, dependent, rows, column in links:
+        held, key = targets[kind]
+        per = rows.groupBy(F.col(column).cast("string").alias("id")).agg(F.count("*").alias("n"))
+        per = per.join(held.select(F.col(key).cast("string").alias("id")), "id", "left_semi").select(F.lit(kind).alias("kind"), "id", F.lit(dependent).alias("dependent"), "n")
+        out = per if out is None else out.unionByName(per)
+    return out
+
+
+def operation_diff(log: DataFrame, resource: list[str], order: list[str]) -> DataFrame:
+    """resource, first_before, last_after, n: what all operations on a resource changed, together."""
+    step = F.struct(*order)
+    return log.groupBy(*resource).agg(F.min_by("before", step).alias("first_before"), F.max_by("after", step).alias("last_after"), F.count("*").alias("n"))

@@ -157,3 +157,32 @@ def inverse(changes: DataFrame) -> DataFrame:
     """The changes that undo ``changes``."""
     swapped = {"before": "after", "after": "before"}
     return changes.select(*[F.col(c).alias(swapped.get(c, c)) for c in changes.columns])
+
+
+def reuse_snapshots(previous: DataFrame, current: DataFrame, source: str) -> DataFrame:
+    """(source, reused, n_changed): whether a source's new listing equals its last, so that no snapshot is made.
+
+    Both have source, logical_path, blob_sha256. A source that was never listed is not reused.
+    """
+    keys = [source, "logical_path"]
+    both = previous.select(*keys, F.col("blob_sha256").alias("old"), F.lit(True).alias("was")).join(current.select(*keys, F.col("blob_sha256").alias("new"), F.lit(True).alias("now")), keys, "full_outer")
+    changed = F.col("was").isNull() | F.col("now").isNull() | ~F.col("old").eqNullSafe(F.col("new"))
+    per = both.groupBy(source).agg(F.count_if(changed).alias("n_changed"), F.count("was").alias("before"), F.count("now").alias("after"))
+    return per.where("after > 0").select(source, ((F.col("n_changed") == 0) & (F.col("before") > 0)).alias("reused"), "n_changed")
+
+
+# The stages of a run in order, and the states that no stage follows.
+STAGES = ["queued", "parsing", "normalized", "chunked", "publishing", "ready"]
+FINAL = ["ready", "cancelled"]
+
+
+def mark_stages(requests: DataFrame, run: str, order: list[str]) -> DataFrame:
+    """``requests`` (run, state, order...) with ``error``: ingestion_state_invalid once a run has ended."""
+    end = requests.where(F.col("state").isin(*FINAL)).groupBy(run).agg(F.min(F.struct(*order)).alias("end"))
+    return requests.join(end, run, "left").withColumn("error", F.when(F.struct(*order) > F.col("end"), "ingestion_state_invalid")).drop("end")
+
+
+def chunk_list(chunks: DataFrame, lineage: DataFrame, document: str) -> DataFrame:
+    """document, ordinal, chunk_id, lineage_kind, previous_chunk_id: chunks as they are listed, with where each comes from."""
+    held = chunks.join(lineage.select("chunk_id", "lineage_kind", "previous_chunk_id"), "chunk_id", "left")
+    return held.select(document, "ordinal", "chunk_id", F.coalesce("lineage_kind", F.lit("added")).alias("lineage_kind"), "previous_chunk_id")

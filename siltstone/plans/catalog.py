@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from siltstone.functions import text as tx
 from siltstone.functions import vectors as vx
-from siltstone.operators import chunking, claims, evidence, fulltext, graph, maintenance, retrieval, topics, vector, versioning
+from siltstone.operators import answers, chunking, claims, evidence, fulltext, graph, maintenance, retrieval, topics, vector, versioning
 from siltstone.sources import files, generations, parsers
 from siltstone.streaming import events as ev
 from siltstone.streaming.run import drain
@@ -627,6 +627,145 @@ def restorable_resources(spark, sf_dir):
     return maintenance.restorable(log, ["user_id"], ["ts", "event_id"])
 
 
+# -- answers, listings and runs -------------------------------------------------
+
+
+def turns_as_evidence(spark, sf_dir) -> DataFrame:
+    """Conversation turns as evidence for their conversation; long answers are disputed."""
+    c = table(spark, sf_dir, "conversations")
+    status = F.when((F.col("role") == "assistant") & (F.length("text") > 400), "disputed").otherwise("proposed")
+    return c.select("conv_id", F.col("turn").alias("position"), F.concat(F.lit("E"), F.col("turn").cast("string")).alias("evidence_key"), F.col("text").alias("content"), status.alias("claim_status"), F.lit("seed").alias("role"))
+
+
+@query
+def answer_deterministic(spark, sf_dir):
+    """An answer for each document's id as a conversation; those without turns have insufficient evidence."""
+    asked = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"))
+    found = answers.deterministic_answers(asked, turns_as_evidence(spark, sf_dir), "conv_id")
+    return found.select("conv_id", "result_kind", F.array_join("evidence_keys", ",").alias("evidence_keys"), F.array_join("statements", "\n").alias("statements"))
+
+
+@query
+def retrieval_records(spark, sf_dir):
+    """Conversations as runs: all turns are candidates, the user's are the context."""
+    c = table(spark, sf_dir, "conversations")
+    candidates = c.select("conv_id", F.col("role").alias("route"), F.col("turn").alias("chunk_id"), F.col("turn").alias("rank"))
+    items = c.where("role = 'user'").select("conv_id", F.col("turn").alias("position"), F.col("turn").alias("chunk_id"), F.length("text").alias("taken"))
+    return answers.run_records(candidates, items, "conv_id")
+
+
+@query
+def related_by_id(spark, sf_dir):
+    return answers.related_nodes(structure(spark, sf_dir), "nation:7").select("node", F.col("depth").cast("long").alias("depth"))
+
+
+@query
+def fts_raw_score(spark, sf_dir):
+    found = fulltext.bm25(chunks(spark, sf_dir), SEARCH, "doc_id", {"content": 1.0, "title": 1.5}, 20)
+    return found.select("doc_id", F.round(fulltext.raw_score(F.col("score")), 6).alias("raw_score"))
+
+
+def all_topics(spark, sf_dir) -> DataFrame:
+    """Brands, which have claims, and regions, which have none."""
+    brands = table(spark, sf_dir, "part").select(F.col("p_brand").alias("topic"))
+    return brands.unionByName(table(spark, sf_dir, "region").select(F.col("r_name").alias("topic"))).distinct()
+
+
+@query
+def topic_health_all(spark, sf_dir):
+    return topics.with_all_topics(topics.report(classified(spark, sf_dir), ["topic"]), all_topics(spark, sf_dir), ["topic"])
+
+
+@query
+def topic_gaps_all(spark, sf_dir):
+    return topics.gaps(topic_health_all(spark, sf_dir), ["topic"])
+
+
+@query
+def topic_local_graph(spark, sf_dir):
+    """Line items as claims of their brand about a part and a supplier; those of a returned item are rejected relations."""
+    x = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("claim_id"), "l_partkey", "l_suppkey", "l_returnflag")
+    brand = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("topic"))
+    node = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+    claim = x.join(brand, "l_partkey").select("topic", "claim_id", F.lit(None).cast("string").alias("node"), node("part", "l_partkey").alias("subject"), node("supplier", "l_suppkey").alias("object"))
+    status = F.when(F.col("l_returnflag") == "R", "rejected").otherwise("confirmed")
+    return topics.local_graph(claim, x.select(F.col("claim_id").alias("relation_id"), "claim_id", status.alias("status")), "topic")
+
+
+@query
+def artifact_dependencies(spark, sf_dir):
+    """Orders as artifacts built from parts, suppliers and a customer."""
+    x = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "artifact")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("artifact"), F.col("o_custkey").alias("id"))
+    of = lambda c: x.select("artifact", F.col(c).alias("id"))
+    return topics.dependencies({"part": of("l_partkey"), "supplier": of("l_suppkey"), "customer": o}, "artifact")
+
+
+def supplier_conflicts(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Suppliers' line items as claims of one conflict set each; a scope is stated by the ships' mode."""
+    x = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("claim_id"), F.col("l_suppkey").alias("conflict_id"), F.col("l_returnflag").alias("position"), F.when(F.col("l_quantity") >= 50, F.col("l_linestatus")).otherwise(F.lit(" ")).alias("conflict_scope"))
+    status = F.when(F.pmod("s_suppkey", F.lit(4)) == 0, "rejected").otherwise("proposed")
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("conflict_id"), status.alias("status")), x.select("conflict_id", "claim_id"), x.select("claim_id", "position", "conflict_scope")
+
+
+@query
+def conflict_sets_resolved(spark, sf_dir):
+    return graph.resolve_implicit(*supplier_conflicts(spark, sf_dir))
+
+
+@query
+def conflict_details(spark, sf_dir):
+    _, members, claim = supplier_conflicts(spark, sf_dir)
+    return graph.conflict_details(members, claim)
+
+
+@query
+def graph_bounded(spark, sf_dir):
+    start = spark.createDataFrame([("region:0",)], "node string")
+    found = graph.bounded_neighborhood(structure(spark, sf_dir), start, 2, 20, 15)
+    return found.select("subject", "object", F.col("depth").cast("long").alias("depth"), "truncated")
+
+
+@query
+def snapshot_reuse(spark, sf_dir):
+    """Documents by source and language as listings; Spanish texts of odd sources have changed since."""
+    d = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang").alias("source"), F.col("doc_id").alias("logical_path"), F.sha2("text", 256).alias("blob_sha256"))
+    now = d.withColumn("blob_sha256", F.when(F.endswith("source", F.lit("/es")), F.sha2("blob_sha256", 256)).otherwise(F.col("blob_sha256")))
+    return versioning.reuse_snapshots(d.where("not endswith(source, '/fr')"), now, "source")
+
+
+@query
+def ingestion_stages(spark, sf_dir):
+    """Events as requests on their user's run; a purchase ends it."""
+    state = F.when(F.col("event_type") == "purchase", "ready").otherwise("parsing")
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", state.alias("state"))
+    return versioning.mark_stages(e, "user_id", ["ts", "event_id"]).select("user_id", "event_id", "state", "error")
+
+
+@query
+def scan_metrics(spark, sf_dir):
+    return maintenance.scan_metrics(change_classify(spark, sf_dir))
+
+
+@query
+def event_feed(spark, sf_dir):
+    return maintenance.feed(table(spark, sf_dir, "events"), ["ts", "event_id"], 200, {"event_type": "click"}).select("event_id", "user_id", "event_type")
+
+
+@query
+def resource_dependents(spark, sf_dir):
+    t = lambda n: table(spark, sf_dir, n)
+    targets = {"part": (t("part"), "p_partkey"), "supplier": (t("supplier"), "s_suppkey"), "customer": (t("customer"), "c_custkey"), "nation": (t("nation"), "n_nationkey")}
+    links = [("part", "line", t("lineitem"), "l_partkey"), ("supplier", "line", t("lineitem"), "l_suppkey"), ("customer", "order", t("orders"), "o_custkey"), ("nation", "customer", t("customer"), "c_nationkey"), ("nation", "supplier", t("supplier"), "s_nationkey")]
+    return maintenance.dependents(targets, links)
+
+
+@query
+def operation_diff(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("before"), F.round("value", 6).alias("after"))
+    return maintenance.operation_diff(e, ["user_id"], ["ts", "event_id"])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents to lines, token-budgeted chunks, and the ten that answer a query best."""
     d = table(spark, sf_dir, "documents")

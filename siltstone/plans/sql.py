@@ -239,4 +239,46 @@ SQL: dict[str, str] = {
     "event_percentiles": "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type",
     "build_candidates": "SELECT doc_id AS source_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))",
     "restorable_resources": """SELECT user_id, NULL::VARCHAR AS before, event_type AS after FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 AND event_type = 'click'""",
+    "answer_deterministic": """WITH e AS (SELECT conv_id, turn, text, role = 'assistant' AND length(text) > 400 AS d FROM conversations),
+        l AS (SELECT *, list_transform(regexp_split_to_array(text, '\\r?\\n'), lambda x: trim(x)) AS ls FROM e),
+        s AS (SELECT *, substr(coalesce(list_filter(ls, lambda x: starts_with(x, '@claim '))[1], list_filter(ls, lambda x: x <> '' AND NOT starts_with(x, '#'))[1], text, ''), 1, 600) AS x,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, bool_or(d) OVER (PARTITION BY conv_id) AS any_d FROM l),
+        t AS (SELECT * FROM s WHERE n = 1 OR (any_d AND n = 2)),
+        a AS (SELECT conv_id, bool_or(d) AS c, string_agg('E' || turn, ',' ORDER BY turn) AS k, string_agg(x, chr(10) ORDER BY turn) AS st FROM t GROUP BY conv_id)
+        SELECT doc_id AS conv_id, CASE WHEN k IS NULL THEN 'insufficient_evidence' WHEN c THEN 'conflicted' ELSE 'answered' END AS result_kind, coalesce(k, '') AS evidence_keys, coalesce(st, '') AS statements
+        FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN a ON conv_id = doc_id""",
+    "retrieval_records": """SELECT conv_id, count(DISTINCT turn) AS n_candidates, count(*) FILTER (role = 'user') AS n_items, count(DISTINCT role) AS n_routes,
+        sha256(string_agg(turn || ':' || length(text), chr(10) ORDER BY turn) FILTER (role = 'user')) AS context_hash FROM conversations GROUP BY conv_id""",
+    "related_by_id": f"WITH {EDGES}, {STEPS} SELECT DISTINCT b AS node, 1::BIGINT AS depth FROM steps WHERE a = 'nation:7'",
+    "fts_raw_score": f"WITH {FTS} SELECT doc_id, round(1 / (1 + abs(score)), 6) AS raw_score FROM scored ORDER BY round(score, 9) DESC, doc_id LIMIT 20",
+    "topic_health_all": f"""WITH {claims()}, {REPORT} SELECT * FROM report UNION ALL
+        SELECT r_name, 0, 0, 0, 0, 'insufficient', 'unknown', 'no_supported_claim' FROM region WHERE r_name NOT IN (SELECT topic FROM report)
+        UNION ALL SELECT DISTINCT p_brand, 0, 0, 0, 0, 'insufficient', 'unknown', 'no_supported_claim' FROM part WHERE p_brand NOT IN (SELECT topic FROM report)""",
+    "topic_gaps_all": f"""WITH {claims()}, {REPORT} SELECT topic, 'high' AS severity, 'Which further evidence could settle the conflicting statements?' AS question FROM report WHERE n_conflict > 0
+        UNION ALL SELECT topic, 'medium', 'Which statements of a single source can others confirm?' FROM report WHERE n_single > 0
+        UNION ALL SELECT DISTINCT t, 'high', 'Which conclusions does the source material support directly?' FROM (SELECT r_name AS t FROM region UNION SELECT p_brand FROM part) WHERE t NOT IN (SELECT topic FROM report)""",
+    "topic_local_graph": """SELECT p_brand AS topic, (count(DISTINCT l_partkey) + count(DISTINCT l_suppkey))::BIGINT AS n_nodes, count(DISTINCT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey) FILTER (l_returnflag <> 'R') AS n_relations
+        FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand""",
+    "artifact_dependencies": """SELECT DISTINCT l_orderkey AS artifact, 'part' AS kind, l_partkey::VARCHAR AS dependency FROM lineitem UNION ALL SELECT DISTINCT l_orderkey, 'supplier', l_suppkey::VARCHAR FROM lineitem
+        UNION ALL SELECT DISTINCT o_orderkey, 'customer', o_custkey::VARCHAR FROM orders""",
+    "conflict_sets_resolved": """SELECT s_suppkey AS conflict_id, CASE WHEN s_suppkey % 4 = 0 THEN 'rejected' WHEN s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50 AND trim(l_linestatus) <> '') THEN 'proposed'
+        ELSE 'resolved' END AS status FROM supplier""",
+    "conflict_details": """SELECT l_suppkey AS conflict_id, count(DISTINCT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey) AS n_claims, count(DISTINCT l_returnflag) AS n_positions, min(l_returnflag) AS least, max(l_returnflag) AS most
+        FROM lineitem GROUP BY l_suppkey""",
+    "graph_bounded": f"""WITH RECURSIVE {EDGES}, {STEPS}, walk AS (SELECT 'region:0' AS node, 0 AS depth UNION SELECT b, depth + 1 FROM walk JOIN steps ON node = a WHERE depth < 2),
+        nodes AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node), kept AS (SELECT * FROM nodes ORDER BY depth, node LIMIT 20),
+        found AS (SELECT subject, object, least(x.depth, y.depth)::BIGINT AS depth FROM edges JOIN kept x ON subject = x.node JOIN kept y ON object = y.node)
+        SELECT *, (SELECT count(*) FROM nodes) > 20 OR (SELECT count(*) FROM found) > 15 AS truncated FROM found ORDER BY depth, subject, object LIMIT 15""",
+    "snapshot_reuse": """SELECT source || '/' || lang AS source, lang NOT IN ('es', 'fr') AS reused, count(*) FILTER (lang IN ('es', 'fr')) AS n_changed FROM documents GROUP BY source, lang""",
+    "ingestion_stages": """SELECT user_id, event_id, CASE event_type WHEN 'purchase' THEN 'ready' ELSE 'parsing' END AS state, CASE WHEN count(*) FILTER (event_type = 'purchase') OVER
+        (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 THEN 'ingestion_state_invalid' END AS error FROM events""",
+    "event_feed": "SELECT event_id, user_id, event_type FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id DESC LIMIT 200",
+    "resource_dependents": """SELECT 'part' AS kind, l_partkey::VARCHAR AS id, 'line' AS dependent, count(*) AS n FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part) GROUP BY l_partkey
+        UNION ALL SELECT 'supplier', l_suppkey::VARCHAR, 'line', count(*) FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier) GROUP BY l_suppkey
+        UNION ALL SELECT 'customer', o_custkey::VARCHAR, 'order', count(*) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer) GROUP BY o_custkey
+        UNION ALL SELECT 'nation', c_nationkey::VARCHAR, 'customer', count(*) FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation) GROUP BY c_nationkey
+        UNION ALL SELECT 'nation', s_nationkey::VARCHAR, 'supplier', count(*) FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation) GROUP BY s_nationkey""",
+    "operation_diff": "SELECT user_id, arg_min(event_type, (ts, event_id)) AS first_before, round(arg_max(value, (ts, event_id)), 6) AS last_after, count(*) AS n FROM events GROUP BY user_id",
 }
+SQL["scan_metrics"] = f"""SELECT count(*) FILTER (kind = 'created') AS n_created, count(*) FILTER (kind IN ('modified', 'restored')) AS n_modified, count(*) FILTER (kind = 'deleted') AS n_deleted,
+    count(*) FILTER (kind = 'renamed') AS n_renamed FROM ({SQL["change_classify"]})"""
