@@ -74,16 +74,18 @@ def drift(sentinels: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 class QueryCache:
-    """Embeddings of queries already asked, by space and text, with their hits."""
+    """Embeddings of the ``most`` queries asked last, by space and text, with the hits of those held."""
 
-    def __init__(self, embed):
-        self.embed, self.held, self.hits = embed, {}, {}
+    def __init__(self, embed, most: int = 10_000):
+        self.embed, self.most, self.held, self.hits = embed, most, {}, {}
 
     def get(self, space: str, query: str) -> list[float]:
         key = (space, query)
         self.hits[key] = self.hits.get(key, -1) + 1
-        if key not in self.held:
-            self.held[key] = self.embed(query)
+        self.held[key] = self.held.pop(key) if key in self.held else self.embed(query)
+        if len(self.held) > self.most:
+            oldest = next(iter(self.held))
+            del self.held[oldest], self.hits[oldest]
         return self.held[key]
 
 

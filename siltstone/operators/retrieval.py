@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,12 @@ def retrieval_plan(depth: str = "normal", budget: int | None = None) -> Retrieva
     return RetrievalPlan(p.seeds, p.claims, budget or p.budget, p.graph_depth)
 
 
+def _instant(text: str | None) -> datetime | None:
+    """An ISO 8601 time; UTC where it names no zone. Anything else is an error."""
+    found = datetime.fromisoformat(text) if text is not None else None
+    return found.replace(tzinfo=UTC) if found and found.tzinfo is None else found
+
+
 @dataclass(frozen=True)
 class Filters:
     """What a search is narrowed to; all of it is applied before the candidates are cut."""
@@ -46,7 +53,8 @@ class Filters:
     until: str | None = None
 
     def __post_init__(self):
-        if self.since and self.until and self.since > self.until:
+        since, until = (_instant(x) for x in (self.since, self.until))
+        if since and until and since > until:
             raise ValueError("since is after until")
 
     def apply(self, rows: DataFrame) -> DataFrame:
@@ -59,9 +67,9 @@ class Filters:
         if self.tag is not None:
             rows = rows.where(F.array_contains("tags", self.tag))
         if self.since is not None:
-            rows = rows.where(F.col("updated_at") >= F.lit(self.since).cast("timestamp"))
+            rows = rows.where(F.col("updated_at") >= F.lit(_instant(self.since)))
         if self.until is not None:
-            rows = rows.where(F.col("updated_at") <= F.lit(self.until).cast("timestamp"))
+            rows = rows.where(F.col("updated_at") <= F.lit(_instant(self.until)))
         return rows
 
 

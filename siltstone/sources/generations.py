@@ -28,13 +28,23 @@ class GenerationStore:
         if check and not (bad := check(self.read(generation))).isEmpty():
             raise ValueError(f"generation {generation} has bad rows, such as {bad.first()}")
         pointer = self.spark.createDataFrame([(generation, self.current())], "generation string, previous string")
-        pointer.coalesce(1).write.mode("overwrite").json(f"{self.root}/pointer")
+        # written whole beside the old one, which then makes way: at any moment one of the two can be read
+        pointer.coalesce(1).write.mode("overwrite").json(f"{self.root}/pointer-next")
+        fs, old = self._at("pointer")
+        _, new = self._at("pointer-next")
+        fs.delete(old, True)
+        fs.rename(new, old)
+
+    def _at(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def current(self) -> str | None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/pointer/_SUCCESS")
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return None
-        return self.spark.read.schema("generation string").json(f"{self.root}/pointer").first().generation
+        for name in ("pointer", "pointer-next"):
+            fs, path = self._at(f"{name}/_SUCCESS")
+            if fs.exists(path):
+                return self.spark.read.schema("generation string").json(f"{self.root}/{name}").first().generation
+        return None
 
     def read(self, generation: str | None = None) -> DataFrame:
         found = generation or self.current()

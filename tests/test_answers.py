@@ -1,8 +1,13 @@
 """Answers without a model, conflict resolution, snapshot reuse and run stages on small rows."""
 
+import shutil
+from datetime import datetime
+
+import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import answers, fulltext, graph, maintenance, topics, versioning
+from siltstone.operators import answers, fulltext, graph, maintenance, retrieval, topics, versioning
+from siltstone.sources.generations import GenerationStore
 
 ITEM = "q long, position int, evidence_key string, content string, claim_status string, role string"
 
@@ -76,3 +81,29 @@ def test_topics_without_claims(spark):
     all_ = topics.with_all_topics(topics.report(row, ["topic"]), known, ["topic"])
     assert {r.topic: r.health_status for r in all_.collect()} == {"t": "healthy", "bare": "insufficient"}
     assert [(r.topic, r.severity) for r in topics.gaps(all_, ["topic"]).collect()] == [("bare", "high")]
+
+
+def test_times_are_parsed(spark):
+    with pytest.raises(ValueError):
+        retrieval.Filters(since="2024-01-01T01:00:00+00:00", until="2024-01-01T01:30:00+01:00")
+    with pytest.raises(ValueError):
+        retrieval.Filters(since="yesterday")
+    rows = spark.createDataFrame([(1, datetime(2024, 1, 1)), (2, datetime(2024, 1, 3)), (3, None)], "k long, updated_at timestamp")
+    assert retrieval.Filters(since="2024-01-02").apply(rows).count() + retrieval.Filters(until="2024-01-02T00:00:00Z").apply(rows).count() == 2
+
+
+def test_cache_is_bounded():
+    cache = maintenance.QueryCache(lambda q: [float(len(q))], most=2)
+    for q in ("a", "bb", "a", "ccc"):
+        cache.get("s", q)
+    assert list(cache.held) == [("s", "a"), ("s", "ccc")] == list(cache.hits)
+
+
+def test_pointer_survives_a_stop(spark, tmp_path):
+    store = GenerationStore(spark, f"file://{tmp_path}")
+    for g in ("1", "2"):
+        store.write(g, spark.range(1))
+        store.activate(g)
+    assert store.current() == "2"
+    shutil.move(tmp_path / "pointer", tmp_path / "pointer-next")
+    assert store.current() == "2"
