@@ -66,4 +66,18 @@ QUERIES: dict[str, Query] = {
     "op10_decision_list": op10_decision_list,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others' models, tokenizers, fingerprints and formats have no SQL; tests hold them against brute force and round trips.
+ORACLE_SQL: dict[str, str] = {
+    "op8_suffix_dedup": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        c AS (SELECT doc_id, unnest(range(0, len(h) // 2 - 99, 512)) AS i, h FROM d WHERE len(h) >= 200),
+        x AS (SELECT doc_id, i, substr(h, 2 * i + 1, 1222) AS h FROM c),
+        s AS (SELECT doc_id, i, h, unnest(range(0, least(512, len(h) // 2 - 99))) AS j FROM x),
+        w AS (SELECT doc_id, i + j AS p, md5_number(substr(h, 2 * j + 1, 200)) AS k FROM s),
+        m AS (SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, p) > 1),
+        g AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS new FROM m),
+        r AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM g) GROUP BY doc_id, run),
+        q AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS pb FROM r),
+        t AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * pb + 1, 2 * (a - pb)), '' ORDER BY a) AS heads, max(b) AS last FROM q JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+        sha256(unhex(CASE WHEN last IS NULL THEN h ELSE heads || substr(h, 2 * last + 1) END)) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)""",
+}

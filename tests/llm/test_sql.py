@@ -1,0 +1,23 @@
+"""The SQL of this subpackage against its queries, also on odd rows."""
+
+import hashlib
+
+import duckdb
+import pytest
+
+from siltstone.llm.queries import ORACLE_SQL, QUERIES
+
+LONG = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(700))
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_matches_sql(spark, tmp_path, name):
+    rows = [(1, LONG), (2, None), (3, ""), (4, "x" * 99), (5, "y" * 300), (6, f"ä{LONG[50:400]}ö{LONG[:150]}"), (7, LONG), (8, f"{LONG[:120]}{LONG[300:420]}")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = duck.execute(ORACLE_SQL[name])
+    names = [x[0] for x in want.description]
+    got = sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).select(*names).collect())
+    assert got == sorted(want.fetchall())
+    assert dict((r[0], r[-1]) for r in got)[7] == hashlib.sha256(b"").hexdigest()
