@@ -165,6 +165,9 @@ def _buckets(batches: Iterator[pa.RecordBatch], radius: int, block: int) -> Iter
 def links(prints: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) that span the components of the distinct values of ``fp`` under the radius."""
     distinct = prints.select("fp").distinct()
+    # few bytes, so adaptive planning would put them in one task; each becomes a row a table
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = distinct.repartition(tasks, "fp")
     keyed = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks(radius))])
     spread = distinct.select("fp", F.explode(keyed).alias("k")).select(F.col("k.t").alias("t"), F.col("k.key").alias("key"), "fp")
     ordered = spread.repartitionByRange("t", "key", "fp").sortWithinPartitions("t", "key", "fp")
@@ -251,8 +254,10 @@ def op2(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Shared prefix shingles that a pair of similar sets has at least, where the sets are that large.
-SHARED = 4
+#: Shared prefix shingles that a pair of similar sets has at least: so many, and one for so many shingles of the smaller set.
+SHARED, SHARED_OF = 4, 20
+#: The part of these that sends a pair to the comparison with the nearest of a large component; what it misses is found after it.
+STAR_PART = 4
 #: Texts that are sampled for the order of shingles, and how often a frequent one occurs in them.
 SAMPLED, FREQUENT, MOST_FREQUENT = 10_000, 8, 500_000
 SETS = "doc_id long, e long, sid long, fp long, n int, shingles array<long>"
@@ -324,12 +329,17 @@ def _least_shared(n, tenths: int):
     return (n * tenths + 9) // 10
 
 
+def _prefix_shared(n, bound):
+    """How many shingles the prefixes of a set of n and of any similar set that is not smaller have in common at least."""
+    return np.minimum(SHARED + n // SHARED_OF, bound)
+
+
 def _shared(docs: DataFrame, total: int, shingle: int, tenths: int) -> DataFrame:
     """(h, sid): the shingles in the prefixes of two distinct sets or more.
 
     Shingles have one order for all sets, frequent ones last; any order is exact.
-    Two sets of the similarity have SHARED shingles (or as many as the smaller
-    bound allows) in common among the first n - bound + SHARED of each.
+    Of two sets of the similarity the first n - bound + s of each have s in
+    common, s being the lesser _prefix_shared of the two.
     """
     share = min(1.0, SAMPLED / max(1, total))
     sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
@@ -349,7 +359,7 @@ def _shared(docs: DataFrame, total: int, shingle: int, tenths: int) -> DataFrame
                         late = frequent[np.minimum(np.searchsorted(frequent, x), len(frequent) - 1)] == x
                         x = np.concatenate([x[~late], x[late]])
                     bound = _least_shared(len(x), tenths)
-                    firsts.append(x[: len(x) - bound + min(SHARED, bound)])
+                    firsts.append(x[: len(x) - bound + int(_prefix_shared(len(x), bound))])
                 sids = np.repeat(part.column("sid").to_numpy(), [len(x) for x in firsts])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*firsts, np.zeros(0, np.int64)])), pa.array(sids)], ["h", "sid"])
 
@@ -410,8 +420,8 @@ def _buckets_of(shared: DataFrame, named: DataFrame, stars: bool) -> DataFrame:
 class _Pairs:
     """Pairs of a batch's sets, given out in few record batches."""
 
-    def __init__(self, sid: np.ndarray, bound: np.ndarray):
-        self.sid, self.bound, self.rows = sid, bound, 0
+    def __init__(self, sid: np.ndarray, least: np.ndarray):
+        self.sid, self.least, self.rows = sid, least, 0
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, one: np.ndarray, other: np.ndarray) -> None:
@@ -422,7 +432,7 @@ class _Pairs:
         one, other = (np.concatenate([p[k] for p in self.parts] or [np.zeros(0, np.int64)]) for k in (0, 1))
         self.parts, self.rows = [], 0
         a, b = np.minimum(self.sid[one], self.sid[other]), np.maximum(self.sid[one], self.sid[other])
-        need = np.minimum(SHARED, np.minimum(self.bound[one], self.bound[other]))
+        need = np.minimum(self.least[one], self.least[other])
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(need)], ["a", "b", "need"])
 
 
@@ -440,7 +450,8 @@ def _pairs(shared: DataFrame, named: DataFrame, roots: DataFrame, tenths: int, s
             starts = np.cumsum(sizes) - sizes
             two = starts[sizes == 2]
             fits = (root[two] != root[two + 1]) & (np.minimum(n[two], n[two + 1]) >= np.maximum(bound[two], bound[two + 1]))
-            out = _Pairs(sid, bound)
+            least = _prefix_shared(n, bound)
+            out = _Pairs(sid, np.minimum(least, np.maximum(SHARED, least // STAR_PART)) if stars else least)
             out.add(two if stars else two[fits], two + 1 if stars else two[fits] + 1)
             for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
                 at = np.arange(start, start + size)
