@@ -124,20 +124,6 @@ def fit(table: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Regression
     return Regression(f.astype(float), good)
 
 
-def evidence(self, x: np.ndarray) -> np.ndarray:
-        """The log likelihood ratio of good against bad."""
-        return np.clip(self._standard(x) @ self.w[:-1] + self.w[-1] - self.base, -CLIP, CLIP)
-
-
-def fit(table: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Regression | None:
-    """From at most ``sample`` labelled rows; None unless both kinds are among them."""
-    rows = table.join(labels, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "good").select("f", "good").limit(sample).collect()
-    good = np.array([r.good for r in rows], float)
-    if not len(good) or good.min() == good.max():
-        return None
-    return Regression(np.array([r.f for r in rows], float), good)
-
-
 def evidence(table: DataFrame, model: Regression | None) -> DataFrame:
     """The rows with llr in place of their features."""
     if model is None:

@@ -216,6 +216,28 @@ def test_sample_is_bounded(spark):
     assert 60 < ids[0] <= 100 and ids[1] == 300
 
 
+def sent_to_driver(spark, work) -> int:
+    """Bytes of task results while ``work`` runs, without the 10 kB that a task's metrics take at most."""
+    sc = spark.sparkContext
+    store, jvm = sc._jsc.sc().statusStore(), sc._jvm
+    stages = lambda: store.stageList(jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    total = lambda: sum(max(0, x.resultSize() - 10_000 * x.numCompleteTasks()) for x in (stages().apply(i) for i in range(stages().size())))
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    before = total()
+    work()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    return total() - before
+
+
+def test_sample_on_the_driver_does_not_grow_with_partitions(spark):
+    train = labelled(500)
+    rows = [(i + 500 * k, t, s, q) for k in range(16) for i, t, s, q in train]
+    table = quality.features(documents(spark, [r[:3] for r in rows]), "source", "lang")
+    labels = spark.createDataFrame([(i, float(q)) for i, *_, q in rows], "doc_id long, good double")
+    for n in (2, 20):  # 400 rows of some 200 bytes, and counts
+        assert sent_to_driver(spark, lambda n=n: quality.fit(table.repartition(n), labels, 400)) < 200_000
+
+
 def test_quality_edges(spark):
     docs = documents(spark, [(1, "a b", None), (2, None, "s"), (2, None, "s")])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
