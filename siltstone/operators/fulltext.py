@@ -54,10 +54,15 @@ def bm25(rows: DataFrame, query: str, key: str, fields: dict[str, float], most:
     length = sum((F.greatest(F.length(f) - 2, F.lit(0)) for f in names), F.lit(0)).cast("double").alias("dl")
     counted = low.select(key, length, *tf)
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))])
-    some = sum((F.col(f"tf{i}") for i in range(len(words))), F.lit(0.0)) > 0
+    return scores(counted, stats, len(words), key, most)
+
+
+def scores(counted: DataFrame, stats: DataFrame, words: int, key: str, most: int) -> DataFrame:
+    """key, score of the best ``most``, from (key, dl, tf0, tf1, ...) and one row of n, avgdl, df0, df1, ..."""
+    some = sum((F.col(f"tf{i}") for i in range(words)), F.lit(0.0)) > 0
     hits = counted.where(some).join(F.broadcast(stats))  # one row of statistics
     score = F.lit(0.0)
-    for i in range(len(words)):
+    for i in range(words):
         t, d = F.col(f"tf{i}"), F.col(f"df{i}")
         idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - d + 0.5) / (d + 0.5)))
         score = score + idf * t * (K1 + 1) / (t + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

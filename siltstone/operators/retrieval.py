@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from siltstone.functions.text import excerpt
 from siltstone.operators import fulltext, vector
+from siltstone.operators.textindex import TextIndex
 
 RRF_K = 60
 TITLE_BOOST = 0.01
@@ -57,20 +58,24 @@ class Filters:
         if since and until and since > until:
             raise ValueError("since is after until")
 
-    def apply(self, rows: DataFrame) -> DataFrame:
+    def condition(self) -> Column:
+        held = F.lit(True)
         if self.source is not None:
-            rows = rows.where(F.col("source") == self.source)
+            held = held & (F.col("source") == self.source)
         if self.path_prefix is not None:
-            rows = rows.where(F.startswith(F.col("path"), F.lit(self.path_prefix)))
+            held = held & F.startswith(F.col("path"), F.lit(self.path_prefix))
         if self.media_type is not None:
-            rows = rows.where(F.col("media_type") == self.media_type)
+            held = held & (F.col("media_type") == self.media_type)
         if self.tag is not None:
-            rows = rows.where(F.array_contains("tags", self.tag))
+            held = held & F.array_contains("tags", self.tag)
         if self.since is not None:
-            rows = rows.where(F.col("updated_at") >= F.lit(_instant(self.since)))
+            held = held & (F.col("updated_at") >= F.lit(_instant(self.since)))
         if self.until is not None:
-            rows = rows.where(F.col("updated_at") <= F.lit(_instant(self.until)))
-        return rows
+            held = held & (F.col("updated_at") <= F.lit(_instant(self.until)))
+        return held
+
+    def apply(self, rows: DataFrame) -> DataFrame:
+        return rows.where(self.condition())
 
 
 def candidates(limit: int) -> int:
@@ -103,12 +108,14 @@ class SearchResult:
 
 def hybrid_search(
     chunks: DataFrame, query: str, key: str = "chunk_id", limit: int = 20, mode: str = "hybrid", vectors: DataFrame | None = None, query_vector: list[float] | None = None,
-    filters: Filters | None = None, fields: dict[str, float] | None = None, covered: bool = True,
+    filters: Filters | None = None, fields: dict[str, float] | None = None, covered: bool = True, index: TextIndex | None = None,
 ) -> SearchResult:
     """Search ``chunks`` (key, content, title, ...) by text, by ``vectors`` (key, embedding), or by both.
 
     Without a complete vector space a hybrid search falls back to text and warns.
-    Only the candidates, at most 100 a route, meet the chunks again.
+    With an ``index`` of the chunks the text route reads its postings; it must keep the
+    columns that ``filters`` name. Only the candidates, at most 100 a route, meet the
+    chunks again: their keys are in the plan, so the scan skips what holds none of them.
     """
     if not 1 <= limit <= 100:
         raise ValueError("limit must be from 1 to 100")
@@ -116,7 +123,11 @@ def hybrid_search(
     rows = (filters or Filters()).apply(chunks)
     routes = {}
     if mode in ("text", "hybrid"):
-        routes["fts"] = fulltext.search(rows, query, key, fields or {"content": 1.0, "title": 1.5}, "content", candidates(limit))
+        weights = fields or {"content": 1.0, "title": 1.5}
+        if index is not None and fulltext.query_tokens(query):
+            routes["fts"] = fulltext.ranked(index.search(query, weights, candidates(limit), (filters or Filters()).condition()), key)
+        else:
+            routes["fts"] = fulltext.search(rows, query, key, weights, "content", candidates(limit))
     if mode in ("vector", "hybrid"):
         if vectors is not None and query_vector is not None and covered:
             near = vector.nearest(vectors.join(rows.select(key), key, "left_semi"), query_vector, key, "embedding", candidates(limit))
@@ -126,7 +137,8 @@ def hybrid_search(
         else:
             out.warnings.append("vector space incomplete: text only")
     fused = fuse(routes, key)
-    held = rows.join(F.broadcast(fused), key)  # at most 200 candidates
+    found = [r[key] for r in fused.select(key).collect()]  # at most 200 candidates
+    held = rows.where(F.col(key).isin(found)).join(F.broadcast(fused), key)
     boosted = F.col("score") + F.when(F.contains(F.lower("title"), F.lit(query.lower())), TITLE_BOOST).otherwise(0.0)
     first = (fulltext.query_tokens(query) or [query])[0]
     out.rows = top(held.withColumn("score", boosted).withColumn("excerpt", excerpt("content", first)), key, limit)

@@ -37,6 +37,11 @@ def semantic_neighbors(vectors: DataFrame, key: str, vector: str, most: int = 8,
     packed = held.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("rows"))
     left = packed.select("b", F.col("rows").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("o"))
     right = packed.select(F.col("b").alias("o"), F.col("rows").alias("c"))
+    return best_of_blocks(left.join(right, "o").select("a", "c"), key, most)
+
+
+def best_of_blocks(pairs: DataFrame, key: str, most: int) -> DataFrame:
+    """key, neighbor, similarity, rank from pairs of blocks: ``a`` asks, ``c`` answers; both are arrays of (id, v) in order of id."""
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -58,9 +63,9 @@ def semantic_neighbors(vectors: DataFrame, key: str, vector: str, most: int = 8,
                     own, top = np.nonzero(ok)
                     yield pa.RecordBatch.from_arrays([pa.array(xi[at + own]), pa.array(yi[top]), pa.array(score[ok])], [key, "neighbor", "similarity"])
 
-    pairs = left.join(right, "o").select("a", "c").mapInArrow(best, f"{key} long, neighbor long, similarity double")
+    scored = pairs.mapInArrow(best, f"{key} long, neighbor long, similarity double")
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.round("similarity", 9).desc(), "neighbor"))
-    return pairs.withColumn("rank", rank.cast("long")).where(F.col("rank") <= most)
+    return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= most)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

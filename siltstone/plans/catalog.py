@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +12,11 @@ from pyspark.sql.window import Window
 
 from siltstone.functions import text as tx
 from siltstone.functions import vectors as vx
+from siltstone.operators import spaces as spaces_
 from siltstone.operators import answers, chunking, claims, evidence, fulltext, graph, maintenance, retrieval, topics, vector, versioning
+from siltstone.operators.textindex import TextIndex
 from siltstone.sources import files, generations, parsers
+from siltstone.sources.scratch import modified, shared_folder
 from siltstone.streaming import events as ev
 from siltstone.streaming.run import drain
 
@@ -40,6 +45,18 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.col("text").alias("content"), title.alias("title"), F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "source", F.lit("text/plain").alias("media_type"))
 
 
+def stored_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The index of ``chunks`` in the shared folder: built where there is none of these very files yet."""
+    files_ = sorted(table(spark, sf_dir, "documents").inputFiles())
+    root = f"{shared_folder(spark)}/siltstone-index-{hashlib.sha256(repr([(f, modified(spark, f)) for f in files_]).encode()).hexdigest()[:16]}"
+    index = TextIndex(spark, root, "doc_id", ["content", "title"], ["source", "path", "media_type"])
+    if index.current() is None:
+        generation = uuid.uuid4().hex
+        index.build(generation, chunks(spark, sf_dir))
+        index.activate(generation, chunks(spark, sf_dir))
+    return index
+
+
 # -- text ---------------------------------------------------------------------
 
 
@@ -264,7 +281,7 @@ def trigram_postings(spark, sf_dir):
 
 @query
 def fts_bm25_top20(spark, sf_dir):
-    found = fulltext.bm25(chunks(spark, sf_dir), SEARCH, "doc_id", {"content": 1.0, "title": 1.5}, 20)
+    found = stored_index(spark, sf_dir).search(SEARCH, {"content": 1.0, "title": 1.5}, 20)
     return found.select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -314,6 +331,50 @@ def vector_stale(spark, sf_dir):
     return vector.stale(*spaces(spark, sf_dir))
 
 
+@query
+def vector_probe_recall(spark, sf_dir):
+    """A stored space's neighbours, from as many cells as a sample needs for a recall of 0.95, against the exact ones."""
+    e = table(spark, sf_dir, "embeddings")
+    held = spaces_.VectorSpaces(spark, f"{shared_folder(spark)}/siltstone-spaces-{uuid.uuid4().hex}", "vec_id")
+    held.create("probed", "test:64", 64)
+    held.write("probed", e.select("vec_id", F.lit("").alias("content_hash"), "embedding"))
+    found = held.neighbors("probed", 8, held.probes_for("probed"))
+    counts = spaces_.recall(found, vector.semantic_neighbors(e, "vec_id", "embedding", 8), "vec_id")
+    return counts.select("n_queries", "n_wanted", (10 * F.col("n_found") >= 9 * F.col("n_wanted")).alias("recall_ok"))
+
+
+@query
+def vector_space_life(spark, sf_dir):
+    """Two spaces of the documents: one is activated, then makes way for the other; one with a hole is refused."""
+    d, e = spaces(spark, sf_dir)
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    rows = d.join(e, "chunk_id")
+    held = spaces_.VectorSpaces(spark, f"{shared_folder(spark)}/siltstone-spaces-{uuid.uuid4().hex}")
+    chunks_ = rows.select("chunk_id", "content_hash")
+    for name, own in (("first", rows), ("second", rows), ("holed", rows.where("chunk_id % 10 <> 3"))):
+        held.create(name, f"test:{name}", 64)
+        held.write(name, own)
+    for name in ("first", "holed", "second"):
+        try:
+            held.activate(name, chunks_)
+        except ValueError:
+            held.delete(name)
+    states = held.registry().select("space", "state", "active", "version")
+    first = held.coverage("second", chunks_).select("expected", "covered")
+    return states.join(first)  # one row
+
+
+@query
+def embedding_backlog(spark, sf_dir):
+    """Documents left when a build of eight batches was stopped after three."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"))
+    build = spaces_.EmbeddingBuild(spark, f"{shared_folder(spark)}/siltstone-build-{uuid.uuid4().hex}", "stand-in")
+    size = -(-d.select("content_hash").distinct().count() // 8)
+    stand_in = lambda h: F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.conv(F.substr(h, i * 8 - 7, F.lit(4)), 16, 10).cast("float"))
+    build.run(d.withColumn("text", F.col("content_hash")), stand_in, "text", size, stop_after=3)
+    return build.left(d).select("chunk_id", "content_hash")
+
+
 @query
 def fixture_embeddings(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select("item_id", vx.fixture_embedding(64, "fixture:stable")(F.col("text")).alias("v"))
@@ -322,7 +383,7 @@ def fixture_embeddings(spark, sf_dir):
 
 @query
 def rrf_hybrid(spark, sf_dir):
-    fts = fulltext.search(chunks(spark, sf_dir), SEARCH, "doc_id", {"content": 1.0, "title": 1.5}, "content", 80)
+    fts = fulltext.ranked(stored_index(spark, sf_dir).search(SEARCH, {"content": 1.0, "title": 1.5}, 80), "doc_id")
     near = vector.nearest(table(spark, sf_dir, "embeddings"), query_vector(spark, sf_dir), "vec_id", "embedding", 80)
     near = near.withColumn("rank", F.row_number().over(Window.orderBy(F.round("similarity", 9).desc(), "vec_id"))).withColumnRenamed("vec_id", "doc_id")
     fused = retrieval.fuse({"fts": fts, "vector": near}, "doc_id")
@@ -332,7 +393,8 @@ def rrf_hybrid(spark, sf_dir):
 
 @query
 def search_filtered(spark, sf_dir):
-    found = retrieval.hybrid_search(chunks(spark, sf_dir), "licensed under", key="doc_id", mode="text", filters=retrieval.Filters(source="src0", path_prefix="src0/"))
+    narrow = retrieval.Filters(source="src0", path_prefix="src0/")
+    found = retrieval.hybrid_search(chunks(spark, sf_dir), "licensed under", key="doc_id", mode="text", filters=narrow, index=stored_index(spark, sf_dir))
     return found.rows.select("doc_id", F.round("score", 9).alias("score"), "excerpt")
 
 
@@ -661,7 +723,7 @@ def related_by_id(spark, sf_dir):
 
 @query
 def fts_raw_score(spark, sf_dir):
-    found = fulltext.bm25(chunks(spark, sf_dir), SEARCH, "doc_id", {"content": 1.0, "title": 1.5}, 20)
+    found = stored_index(spark, sf_dir).search(SEARCH, {"content": 1.0, "title": 1.5}, 20)
     return found.select("doc_id", F.round(fulltext.raw_score(F.col("score")), 6).alias("raw_score"))
 
 

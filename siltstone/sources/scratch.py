@@ -22,3 +22,10 @@ def written(rows: DataFrame) -> DataFrame:
     path = f"{shared_folder(rows.sparkSession)}/siltstone-step-{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def modified(spark: SparkSession, path: str) -> tuple[int, int]:
+    """A file's size and time of modification, by whatever store holds it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
+    return status.getLen(), status.getModificationTime()
