@@ -1,5 +1,6 @@
 """The stored text index and vector spaces against scans, and their gates."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -165,7 +166,7 @@ def test_life_of_spaces(spark, tmp_path):
 
 
 def test_a_killed_build_repeats_nothing(spark, tmp_path):
-    rows = spark.createDataFrame([(i, f"{i % 30:064x}"[::-1], f"text {i % 30}") for i in range(100)], "chunk_id long, content_hash string, text string")
+    rows = spark.createDataFrame([(i, hashlib.sha256(b"%d" % (i % 30)).hexdigest(), f"text {i % 30}") for i in range(100)], "chunk_id long, content_hash string, text string")
     build = EmbeddingBuild(spark, f"file://{tmp_path}/build", "space")
     seen = spark.sparkContext.accumulator(0)
 
