@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
+from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -171,14 +174,49 @@ def assemble_context(seeds: DataFrame, graph: DataFrame, budget: int) -> DataFra
     return cut.select(F.concat(F.lit("E"), "position").alias("evidence_key"), "position", "chunk_id", "claim_id", "role", "taken", F.substr("content", F.lit(1), end).alias("excerpt"))
 
 
+#: Quotes with fewer letters and digits are found exactly or not at all.
+LEAST_NEAR = 4
+
+
+@cache
+def _plain(character: str) -> str:
+    folded = unicodedata.normalize("NFKC", character).lower()
+    return "".join(c for c in folded if unicodedata.category(c)[0] in "LN")
+
+
+def near(quote: str | None, content: str | None) -> tuple[int, int] | None:
+    """Start, from 1, and length in ``content`` of a quote by its letters and digits alone, each in NFKC and lower case."""
+    wanted = "".join(map(_plain, quote or ""))
+    if len(wanted) < LEAST_NEAR:
+        return None
+    parts = [_plain(c) for c in content or ""]
+    at = "".join(parts).find(wanted)
+    if at < 0:
+        return None
+    places = [i for i, p in enumerate(parts) for _ in p]  # of every folded character its own
+    first, last = places[at], places[at + len(wanted) - 1]
+    return first + 1, last - first + 1
+
+
 def locate(quote: Column, content: Column) -> Column:
-    """struct(start, length, exact): where a quote stands, exactly or among lower-case letters and digits; null if nowhere or under 4 characters."""
-    plain = lambda c: F.regexp_replace(F.lower(c), "[^\\p{L}\\p{N}]", "")
+    """struct(start, length, exact): where a quote stands, from 1 and in characters, exactly or by its letters and digits; null if nowhere.
+
+    A near match is mapped back: it covers the original's characters from the first
+    to the last that took part, whatever stands between them.
+    """
+
+    @F.pandas_udf("struct<start:int,length:int,exact:boolean>")
+    def by_letters(quotes: pd.Series, contents: pd.Series) -> pd.DataFrame:
+        found = [near(q, c) for q, c in zip(quotes, contents, strict=True)]
+        columns = {"start": [f and f[0] for f in found], "length": [f and f[1] for f in found]}
+        return pd.DataFrame(columns, dtype="Int32").assign(exact=pd.array([f and False for f in found], dtype="boolean"))
+
     at = F.instr(content, quote)
-    found = F.when((F.length(quote) >= 1) & (at > 0), F.struct(at.cast("int").alias("start"), F.length(quote).alias("length"), F.lit(True).alias("exact")))
-    near = (F.length(plain(quote)) >= 4) & F.contains(plain(content), plain(quote))
-    none = F.lit(None).cast("int")
-    return found.when(near, F.struct(none.alias("start"), none.alias("length"), F.lit(False).alias("exact")))
+    exact = (F.length(quote) >= 1) & (at > 0)
+    # texts of exact matches don't enter Python
+    left = by_letters(F.when(~F.coalesce(exact, F.lit(False)), quote), F.when(~F.coalesce(exact, F.lit(False)), content))
+    found = F.when(exact, F.struct(at.cast("int").alias("start"), F.length(quote).alias("length"), F.lit(True).alias("exact")))
+    return found.when(left["start"].isNotNull(), left)
 
 
 def validate_answer(statements: DataFrame, evidence: DataFrame) -> DataFrame:

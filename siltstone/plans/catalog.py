@@ -13,9 +13,9 @@ from pyspark.sql.window import Window
 from siltstone.functions import text as tx
 from siltstone.functions import vectors as vx
 from siltstone.operators import spaces as spaces_
-from siltstone.operators import answers, chunking, claims, evidence, fulltext, graph, maintenance, retrieval, topics, vector, versioning
+from siltstone.operators import answers, chunking, claims, evidence, fulltext, graph, impact, layers, maintenance, mentions, paging, retrieval, topics, vector, versioning
 from siltstone.operators.textindex import TextIndex
-from siltstone.sources import files, generations, parsers
+from siltstone.sources import digests, files, generations, parsers
 from siltstone.sources.scratch import modified, shared_folder
 from siltstone.streaming import events as ev
 from siltstone.streaming.run import drain
@@ -264,6 +264,12 @@ def watermark_digest(spark, sf_dir):
     return generations.watermark(d, "doc_id", "revision")
 
 
+@query
+def digest_tree(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.sha2("text", 256).alias("revision"))
+    return digests.digest_tree(d, "doc_id", "revision").select(F.col("level").cast("long").alias("level"), "prefix", "digest", "n")
+
+
 @query
 def redirect_closure(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("from"), F.lag("doc_id").over(Window.partitionBy(F.sha2("text", 256)).orderBy("doc_id")).alias("to"))
@@ -409,7 +415,17 @@ def grounding(spark, sf_dir):
     """Conversation turns as quotes from the turn before them."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     c = table(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(w)).where("before is not null")
-    return c.select("conv_id", "turn", F.coalesce(retrieval.locate(F.col("text"), F.col("before"))["exact"], F.lit(False)).alias("exact"))
+    found = c.select("conv_id", "turn", retrieval.locate(F.col("text"), F.col("before")).alias("at"))
+    return found.select("conv_id", "turn", F.coalesce("at.exact", F.lit(False)).alias("exact"), "at.start", "at.length")
+
+
+@query
+def grounding_offsets(spark, sf_dir):
+    """Words 6 to 15 of each document, in lower case and with dashes between, found again in its text."""
+    d = table(spark, sf_dir, "documents")
+    quote = F.lower(F.array_join(F.slice(F.split("text", " "), 6, 10), " - "))
+    found = d.select("doc_id", retrieval.locate(quote, F.col("text")).alias("at"))
+    return found.select("doc_id", "at.exact", "at.start", "at.length")
 
 
 # -- graph --------------------------------------------------------------------
@@ -814,6 +830,63 @@ def event_feed(spark, sf_dir):
     return maintenance.feed(table(spark, sf_dir, "events"), ["ts", "event_id"], 200, {"event_type": "click"}).select("event_id", "user_id", "event_type")
 
 
+@query
+def event_pages(spark, sf_dir):
+    """All events, read in seven pages by cursor."""
+    e = table(spark, sf_dir, "events").select("ts", "event_id", "user_id")
+    size = -(-e.count() // 7)
+    return paging.joined(list(paging.pages(e, ["ts", "event_id"], size, most=size))).select("page", "event_id", "user_id")
+
+
+@query
+def change_batch_keys(spark, sf_dir):
+    """Events as changes in batches of 500 with the keys by which they are handed over once."""
+    e = table(spark, sf_dir, "events").select(F.unix_micros("ts").alias("at"), "event_id", "user_id", "event_type")
+    return ev.change_batches(e, ["at", "event_id"], 500).groupBy("batch", "key").agg(F.count("*").alias("n"))
+
+
+@query
+def entity_mentions(spark, sf_dir):
+    """Documents that mention a benchmark item by its first three words."""
+    words = F.slice(F.filter(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+"), lambda w: w != ""), 1, 3)
+    aliases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("entity_id"), F.array_join(words, " ").alias("alias"))
+    return mentions.mentions(table(spark, sf_dir, "documents"), aliases, "doc_id", "text").select("doc_id", "entity_id", "alias", "start")
+
+
+@query
+def impact_closure(spark, sf_dir):
+    """All that hangs on one region, over ten kinds."""
+    t = lambda n: table(spark, sf_dir, n)
+    line = t("lineitem").withColumn("line", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    links = [
+        ("region", "nation", t("nation"), "n_regionkey", "n_nationkey"), ("nation", "supplier", t("supplier"), "s_nationkey", "s_suppkey"), ("nation", "customer", t("customer"), "c_nationkey", "c_custkey"),
+        ("customer", "order", t("orders"), "o_custkey", "o_orderkey"), ("order", "line", line, "l_orderkey", "line"), ("supplier", "line", line, "l_suppkey", "line"), ("line", "part", line, "line", "l_partkey"),
+        ("part", "document", t("documents").select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")), "a", "b"),
+        ("document", "embedding", t("embeddings").select(F.col("vec_id").alias("a"), F.col("vec_id").alias("b")), "a", "b"), ("document", "label", t("labels").select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")), "a", "b"),
+    ]
+    start = spark.createDataFrame([("region", "2")], "kind string, id string")
+    return impact.counts(impact.closure(start, links))
+
+
+@query
+def layered_union(spark, sf_dir):
+    """A graph of three layers, built from an older state of the documents, then brought up to date; ``built`` counts what that took."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.element_at(F.split("text", " "), 1).alias("word"), F.xxhash64("source", "lang", "text").cast("string").alias("version"))
+    edges = lambda kind, a, b: lambda docs: docs.select("doc_id", F.lit(kind).alias("predicate"), F.col(a).cast("string").alias("subject"), F.col(b).cast("string").alias("object"))
+    layers_ = {"structure": edges("contains", "source", "doc_id"), "language": edges("speaks", "doc_id", "lang"), "opening": edges("opens_with", "doc_id", "word")}
+    held = layers.LayeredGraph(spark, f"{shared_folder(spark)}/siltstone-layers-{uuid.uuid4().hex}", "doc_id", layers_)
+    older = F.col("doc_id") % 10 == 0
+    before = d.where("doc_id % 7 <> 3").withColumns({"lang": F.when(older, "older").otherwise(F.col("lang")), "version": F.when(older, "0").otherwise(F.col("version"))})
+    gone = d.where("doc_id % 50 = 1").withColumn("doc_id", -F.col("doc_id"))
+    held.build(before.unionByName(gone))
+    built = held.build(d)
+    out = None
+    for name in layers_:
+        rows = held.rows(name).select(F.lit(name).alias("layer"), "predicate", "subject", "object", F.lit(built[name]).cast("long").alias("built"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query
 def resource_dependents(spark, sf_dir):
     t = lambda n: table(spark, sf_dir, n)

@@ -148,8 +148,6 @@ SQL: dict[str, str] = {
     "chunk_jaccard_pairs": f"""SELECT doc_id, previous_id, round(CASE WHEN len(t) + len(p) = 0 THEN 1.0 ELSE len(list_intersect(t, p)) / (len(t) + len(p) - len(list_intersect(t, p))) END, 6)::DOUBLE AS similarity
         FROM (SELECT doc_id, {WORDS} AS t, lag(doc_id) OVER w AS previous_id, lag({WORDS}) OVER w AS p FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)) WHERE previous_id IS NOT NULL""",
     "duplicate_lineages": """SELECT sha256(text) AS sha256, count(*) AS n_documents, count(DISTINCT source) AS n_lineages, count(*) - count(DISTINCT source) AS n_reposts FROM documents GROUP BY 1""",
-    "watermark_digest": """WITH l AS (SELECT doc_id || ':' || sha256(text) AS line FROM documents), b AS (SELECT substr(sha256(line), 1, 3) AS bucket, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest, count(*) AS n FROM l GROUP BY 1)
-        SELECT sha256(string_agg(digest, chr(10) ORDER BY bucket)) AS watermark, sum(n)::BIGINT AS n FROM b""",
     "redirect_closure": """SELECT doc_id AS entity, first AS final FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS first FROM documents) WHERE doc_id <> first""",
     "trigram_postings": """SELECT term, count(DISTINCT item_id) AS df, count(*) AS tf FROM (SELECT item_id, unnest(list_transform(range(1, length(lower(text)) - 1), lambda i: substr(lower(text), i, 3))) AS term
         FROM benchmark WHERE length(text) >= 3) GROUP BY term""",
@@ -172,7 +170,6 @@ SQL: dict[str, str] = {
     "context_budget": f"""SELECT doc_id, source, tokens, position, used, least(tokens, 6000 - used)::BIGINT AS taken FROM (SELECT doc_id, source, tokens, row_number() OVER w AS position,
         coalesce(sum(tokens) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS used
         FROM (SELECT doc_id, source, {tokens('text')} AS tokens FROM documents) WINDOW w AS (PARTITION BY source ORDER BY doc_id)) WHERE 6000 - used >= 64""",
-    "grounding": """SELECT conv_id, turn, contains(before, text) AS exact FROM (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NOT NULL""",
     "graph_structure_edges": f"WITH {EDGES} SELECT * FROM edges",
     "graph_neighbors_2hop": f"""WITH RECURSIVE {EDGES}, {STEPS}, walk AS (SELECT 'customer:1' AS node, 0 AS depth UNION SELECT b, depth + 1 FROM walk JOIN steps ON node = a WHERE depth < 2)
         SELECT node, min(depth)::BIGINT AS depth FROM walk GROUP BY node""",
@@ -287,3 +284,39 @@ SQL["vector_space_life"] = """SELECT space, state, active, version::INTEGER AS v
     ('holed', 'deleted', false, 3)) v(space, state, active, version), (SELECT count(*) AS expected FROM documents JOIN embeddings ON doc_id = vec_id)"""
 SQL["embedding_backlog"] = """SELECT doc_id AS chunk_id, h AS content_hash FROM (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents) WHERE ('0x' || substr(h, 1, 8))::BIGINT % (
     SELECT ceil(n / ceil(n / 8))::BIGINT FROM (SELECT count(DISTINCT coalesce(text, ''))::DOUBLE AS n FROM documents)) >= 3"""
+#: Lines, their leaves and the levels above, to the root.
+TREE = """RECURSIVE l AS (SELECT doc_id || ':' || coalesce(sha256(text), '') AS line, count(*) AS n FROM documents GROUP BY 1),
+    d AS (SELECT coalesce(min(k), 0) AS depth FROM range(0, 12) t(k) WHERE (SELECT count(*) FROM documents) <= 128 * 16::DOUBLE ** k),
+    tree AS (SELECT depth AS level, substr(sha256(line), 1, depth) AS prefix, sha256(string_agg(line || '*' || n, chr(10) ORDER BY line)) AS digest, sum(n)::BIGINT AS n FROM l, d GROUP BY 1, 2
+    UNION ALL SELECT level - 1, substr(prefix, 1, level - 1), sha256(string_agg(prefix || ':' || digest, chr(10) ORDER BY prefix)), sum(n)::BIGINT FROM tree WHERE level > 0 GROUP BY level, substr(prefix, 1, level - 1))"""
+SQL["digest_tree"] = f"WITH {TREE} SELECT level, prefix, digest, n FROM tree"
+SQL["watermark_digest"] = f"WITH {TREE} SELECT digest AS watermark, n FROM tree WHERE level = 0"
+
+
+def near(rows: str) -> str:
+    """exact, start, length of ``quote`` in ``content`` of rows (id columns, quote, content), by letters and digits where it isn't there as it is."""
+    keep = "lambda x: regexp_full_match(x, '[\\p{L}\\p{N}]')"
+    return f"""SELECT * EXCLUDE (quote, content, chars, places, wanted, plain, spot), CASE WHEN spot > 0 THEN true WHEN hit > 0 THEN false END AS exact,
+        CASE WHEN spot > 0 THEN spot WHEN hit > 0 THEN places[hit] END::INTEGER AS start, CASE WHEN spot > 0 THEN length(quote) WHEN hit > 0 THEN places[hit + length(wanted) - 1] - places[hit] + 1 END::INTEGER AS length
+        FROM (SELECT *, CASE WHEN spot = 0 AND length(wanted) >= 4 THEN instr(plain, wanted) ELSE 0 END AS hit FROM (SELECT *, CASE WHEN length(quote) > 0 THEN instr(content, quote) ELSE 0 END AS spot,
+        array_to_string(list_filter(string_split(lower(quote), ''), {keep}), '') AS wanted, array_to_string(list_filter(chars, {keep}), '') AS plain,
+        list_filter(range(1, len(chars) + 1), lambda i: regexp_full_match(chars[i], '[\\p{{L}}\\p{{N}}]')) AS places FROM (SELECT *, string_split(lower(content), '') AS chars FROM ({rows}))))"""
+
+
+SQL["grounding"] = f"""SELECT conv_id, turn, coalesce(exact, false) AS exact, start, length FROM ({near("SELECT * FROM (SELECT conv_id, turn, text AS quote, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS content FROM conversations) WHERE content IS NOT NULL")})"""
+SQL["grounding_offsets"] = f"""SELECT doc_id, exact, start, length FROM ({near("SELECT doc_id, lower(array_to_string(string_split(text, ' ')[6:15], ' - ')) AS quote, text AS content FROM documents")})"""
+SQL["event_pages"] = """SELECT (row_number() OVER (ORDER BY ts, event_id) - 1) // (SELECT ceil(count(*) / 7)::BIGINT FROM events) + 1 AS page, event_id, user_id FROM events"""
+SQL["change_batch_keys"] = """WITH l AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS rank, sha256('{"at":' || epoch_us(ts) || ',"event_id":' || event_id || ',"user_id":' || user_id || ',"event_type":"' || event_type || '"}') AS h FROM events)
+    SELECT (rank - 1) // 500 AS batch, sha256(concat((rank - 1) // 500, chr(10), string_agg(h, chr(10) ORDER BY rank))) AS key, count(*) AS n FROM l GROUP BY (rank - 1) // 500"""
+SQL["entity_mentions"] = r"""WITH a AS (SELECT item_id AS entity_id, array_to_string(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')[1:3], ' ') AS alias FROM benchmark),
+    t AS (SELECT doc_id, ' ' || array_to_string(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> ''), ' ') || ' ' AS said FROM documents)
+    SELECT DISTINCT doc_id, entity_id, alias, instr(said, ' ' || alias || ' ')::BIGINT + 1 AS start FROM t JOIN a ON alias <> '' AND contains(said, ' ' || alias || ' ')"""
+SQL["impact_closure"] = """WITH n AS (SELECT n_nationkey FROM nation WHERE n_regionkey = 2), s AS (SELECT s_suppkey FROM supplier WHERE s_nationkey IN (FROM n)), c AS (SELECT c_custkey FROM customer WHERE c_nationkey IN (FROM n)),
+    o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (FROM c)), l AS (SELECT l_orderkey, l_linenumber, min(CASE WHEN l_suppkey IN (FROM s) THEN 3 ELSE 4 END) AS depth FROM lineitem
+    WHERE l_suppkey IN (FROM s) OR l_orderkey IN (FROM o) GROUP BY ALL), p AS (SELECT l_partkey, min(depth) + 1 AS depth FROM lineitem JOIN l USING (l_orderkey, l_linenumber) GROUP BY l_partkey),
+    d AS (SELECT DISTINCT doc_id, depth + 1 AS depth FROM documents JOIN p ON doc_id = l_partkey), r AS (SELECT 'region' AS kind, 0 AS depth UNION ALL SELECT 'nation', 1 FROM n UNION ALL SELECT 'supplier', 2 FROM s UNION ALL
+    SELECT 'customer', 2 FROM c UNION ALL SELECT 'order', 3 FROM o UNION ALL SELECT 'line', depth FROM l UNION ALL SELECT 'part', depth FROM p UNION ALL SELECT 'document', depth FROM d UNION ALL
+    SELECT 'embedding', depth + 1 FROM (SELECT DISTINCT vec_id, depth FROM embeddings JOIN d ON vec_id = doc_id) UNION ALL SELECT 'label', depth + 1 FROM (SELECT DISTINCT doc_id, depth FROM labels JOIN d USING (doc_id)))
+    SELECT kind, depth::BIGINT AS depth, count(*) AS n FROM r GROUP BY kind, depth"""
+SQL["layered_union"] = """SELECT * FROM (SELECT 'structure' AS layer, 'contains' AS predicate, source AS subject, doc_id::VARCHAR AS object FROM documents UNION ALL SELECT 'language', 'speaks', doc_id::VARCHAR, lang FROM documents UNION ALL
+    SELECT 'opening', 'opens_with', doc_id::VARCHAR, string_split(text, ' ')[1] FROM documents), (SELECT count(*) AS built FROM documents WHERE doc_id % 10 = 0 OR doc_id % 7 = 3)"""

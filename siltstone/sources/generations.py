@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.sources import digests
+
 
 class GenerationStore:
     """Versions of a table under one folder, of which a one-row pointer names the current one."""
@@ -69,15 +71,8 @@ def insert_ignore(current: DataFrame, fresh: DataFrame, keys: list[str]) -> Data
 
 
 def watermark(rows: DataFrame, key: str, version: str) -> DataFrame:
-    """A digest of all ``key:version`` lines, in order: equal inputs, equal digest.
-
-    Lines are first digested by the head of their own hash, so that one row for each of 4096 buckets meets at the end.
-    """
-    line = F.concat_ws(":", key, version)
-    buckets = rows.select(line.alias("line"), F.substring(F.sha2(line, 256), 1, 3).alias("bucket")).groupBy("bucket")
-    digests = buckets.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("digest"), F.count("*").alias("n"))
-    last = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda x: x["digest"]), "\n"), 256)
-    return digests.agg(last.alias("watermark"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    """watermark, n: a digest of all ``key:version`` lines: equal inputs, equal digest. See ``digests`` for tables that differ."""
+    return digests.root(rows, key, version)
 
 
 def manifest(entries: DataFrame, changes: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+from siltstone.sources.scratch import written
+
 
 def hint_buckets(events: DataFrame, ts: str, keys: list[str], width: str = "250 milliseconds", late: str | None = None) -> DataFrame:
     """Hints per key and bucket of time. On a stream, ``late`` is how long a bucket waits; batches need none."""
@@ -29,15 +31,58 @@ def sessions(events: DataFrame, ts: str, key: str, gap: str) -> DataFrame:
     return grouped.select(key, F.col("s.start").alias("session_start"), F.col("last").alias("session_end"), "n")
 
 
+def ranked(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with their ``rank`` from 1 in a total order: ``order``, then a hash of the whole row; equal rows take any of their ranks.
+
+    Range partitions are sorted and written, then counted; a row's rank is its place and
+    the counts of the partitions before. Where the bounds lie doesn't change it, so
+    neither do the number of partitions nor the sample that the bounds come from.
+    """
+    whole = F.sha2(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}), 256)
+    placed = rows.withColumn("_h", whole).repartitionByRange(*order, "_h").sortWithinPartitions(*order, "_h").withColumn("_at", F.monotonically_increasing_id())
+    placed = written(placed.withColumn("_part", F.shiftright("_at", 33)))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
+    counts = placed.groupBy("_part").agg(F.count("*").alias("n")).select("_part", before.alias("_before"))
+    within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(counts), "_part").withColumn("rank", F.col("_before") + within + 1).drop("_part", "_before", "_at")
+
+
 def change_batches(changes: DataFrame, order: list[str], most: int = 500) -> DataFrame:
-    """Changes in numbered batches of at most ``most``, with a key by which a batch handed over twice is known.
+    """Changes in numbered ``batch``es of ``most`` with the batch's ``key``: a digest of its number and rows.
 
-    Numbers come from counts of range partitions, so that no task holds them all.
+    The same changes give the same batches and keys on any number of partitions.
     """
-    placed = changes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
-    part = F.shiftright("at", 33)
-    within = F.floor(F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) / most)
-    return placed.withColumn("batch", F.concat_ws("-", part.cast("string"), within.cast("string"))).drop("at")
+    rows = ranked(changes, order).withColumn("batch", F.floor((F.col("rank") - 1) / most))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", "_h"))), lambda x: x["_h"])  # ``most`` at most
+    keys = rows.groupBy("batch").agg(F.sha2(F.concat_ws("\n", F.col("batch").cast("string"), F.array_join(lines, "\n")), 256).alias("key"))
+    return rows.join(keys, "batch").drop("_h", "rank")
+
+
+class Receipts:
+    """Which batches have been handed over. A batch that comes again meets its receipt."""
+
+    def __init__(self, spark, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def keys(self) -> DataFrame:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/receipts")
+        there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return self.spark.read.schema("key string").parquet(str(path)) if there else self.spark.createDataFrame([], "key string")
+
+    def hand_over(self, batches: DataFrame) -> DataFrame:
+        """Write batches without a receipt, one folder each, then their receipts; returns the keys that were new.
+
+        A crash in between leaves folders without a receipt, which the next hand-over replaces by the same rows.
+        """
+        new = written(batches.join(self.keys(), "key", "left_anti"))
+        new.write.partitionBy("key").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{self.root}/batches")
+        keys = new.select("key").distinct()
+        keys.write.mode("append").parquet(f"{self.root}/receipts")
+        return keys
+
+    def delivered(self) -> DataFrame:
+        """Rows of batches with a receipt."""
+        return self.spark.read.parquet(f"{self.root}/batches").join(self.keys().distinct(), "key", "left_semi")
 
 
 def without_own_writes(changes: DataFrame, receipts: DataFrame, ttl_seconds: int = 30) -> DataFrame:
