@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions.text import SPACE
 from siltstone.operators import evidence as ev
 from siltstone.operators import graph
 
@@ -20,7 +21,7 @@ EXCERPT = 600
 
 def excerpt_of(content: Column) -> Column:
     """The first line that states a claim, else the first that is no heading, else all; at most ``EXCERPT`` characters."""
-    lines = F.transform(F.split(F.coalesce(content, F.lit("")), "\\r?\\n"), lambda x: F.trim(x))
+    lines = F.transform(F.split(F.coalesce(content, F.lit("")), "\\r?\\n"), lambda x: F.regexp_replace(x, f"^[{SPACE}]+|[{SPACE}]+$", ""))
     stated = F.filter(lines, lambda x: F.startswith(x, F.lit(CLAIM_MARK)))
     plain = F.filter(lines, lambda x: (x != "") & ~F.startswith(x, F.lit("#")))
     return F.substring(F.coalesce(F.get(stated, 0), F.get(plain, 0), content, F.lit("")), 1, EXCERPT)

@@ -43,12 +43,6 @@ def neighborhood_edges(edges: DataFrame, nodes: DataFrame, predicates: list[str]
     return kept.join(a, "subject").join(b, "object").select(*EDGE, F.least("d1", "d2").alias("depth"))
 
 
-def bounded(rows: DataFrame, order: list, most: int) -> tuple[DataFrame, bool]:
-    """The first ``most`` rows, and whether there are more."""
-    more = rows.orderBy(*order).limit(most + 1).count() > most
-    return rows.orderBy(*order).limit(most), more
-
-
 def shortest_path(edges: DataFrame, start: str, end: str, most: int = 4, predicates: list[str] | None = None) -> DataFrame:
     """(depth, path): the shortest path of at most ``most`` steps, of several the first in order; no row if there is none.
 

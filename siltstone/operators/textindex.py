@@ -225,6 +225,20 @@ class TextIndex:
         numbers = sorted({term(w[i : i + 3]) for w in words for i in range(len(w) - 2)})
         return {r.term: r.n for r in self._read(generation, numbers).groupBy("term").agg(F.sum(F.size("lengths")).alias("n")).collect()}
 
+    def terms(self, field: str, generation: str | None = None) -> DataFrame:
+        """term, df, tf of every trigram of a field."""
+        generation = generation or self.current()
+        rows = self._postings(generation).where(F.col("field") == field)
+        if self.store.read(generation).count() > 1:
+            live = self.documents(generation).select(F.col(self.key).alias("k"), "part")
+            each = rows.select("term", "part", F.explode(F.arrays_zip("keys", "places")).alias("p")).select("term", "part", F.col("p.keys").alias("k"), F.size("p.places").alias("n"))
+            each = each.join(live, ["k", "part"], "left_semi").select("term", F.lit(1).alias("d"), "n")
+        else:
+            each = rows.select("term", F.size("keys").alias("d"), F.aggregate("places", F.lit(0), lambda s, p: s + F.size(p)).alias("n"))
+        per = each.groupBy("term").agg(F.sum("d").alias("df"), F.sum("n").alias("tf"))
+        of = lambda shift: F.lpad(F.hex(F.shiftright("term", shift).bitwiseAND(F.lit((1 << BITS) - 1))), 8, "0")
+        return per.select(F.decode(F.unhex(F.concat(of(2 * BITS), of(BITS), of(0))), "UTF-32").alias("term"), "df", "tf")
+
     def _postings(self, generation: str) -> DataFrame:
         schema = posting_schema(self._documents(generation).schema[self.key].dataType).add("part", T.IntegerType())
         return self.spark.read.schema(schema).parquet(self._path(generation, "postings"))

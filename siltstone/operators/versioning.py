@@ -171,8 +171,7 @@ def reuse_snapshots(previous: DataFrame, current: DataFrame, source: str) -> Dat
     return per.where("after > 0").select(source, ((F.col("n_changed") == 0) & (F.col("before") > 0)).alias("reused"), "n_changed")
 
 
-# The stages of a run in order, and the states that no stage follows.
-STAGES = ["queued", "parsing", "normalized", "chunked", "publishing", "ready"]
+# The states of a run that no stage follows.
 FINAL = ["ready", "cancelled"]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 CJK = "\\p{Han}\\p{Hiragana}\\p{Katakana}\\p{Hangul}"
 SPACE = "\\s\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}"
 LINK = "(?is)<a\\b[^>]*href\\s*=\\s*[\"'']([^\"'']+)[\"''][^>]*>(.*?)</a>"
-EARLY, LATE = "1996-01-01", "1996-07-01"
+EARLY = "1996-01-01"
 
 
 def tokens(c: str) -> str:
@@ -38,9 +38,10 @@ def page_text() -> str:
     return entities(f"regexp_replace({x}, '<[^>]+>', ' ', 'g')")
 
 
-def shipped(day: str) -> str:
+def shipped(day: str | None) -> str:
+    where = f"l_shipdate < TIMESTAMP '{day}'" if day else f"NOT (l_shipdate < TIMESTAMP '{EARLY}' AND l_returnflag = 'R')"
     return f"""(SELECT l_orderkey::VARCHAR AS logical_path, sha256(string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_linenumber)) AS h FROM lineitem
-        WHERE l_shipdate < TIMESTAMP '{day}' AND l_shipdate >= TIMESTAMP '{day}' - INTERVAL 12 MONTH GROUP BY l_orderkey)"""
+        WHERE {where} GROUP BY l_orderkey)"""
 
 
 def search(content: str, title: str, words: list[str], where: str = "TRUE") -> str:
@@ -71,7 +72,7 @@ def claims(before: str | None = None) -> str:
     """Common table expressions up to ``classified``."""
     where = f"WHERE l_shipdate < TIMESTAMP '{before}'" if before else ""
     return f"""lines AS (SELECT l_partkey AS claim_id, l_suppkey, l_returnflag, l_tax FROM lineitem {where}),
-    disputed AS (SELECT claim_id FROM lines GROUP BY claim_id HAVING max(l_tax) >= 0.08 AND min(l_tax) < 0.005 AND count(*) < 20),
+    disputed AS (SELECT claim_id FROM lines GROUP BY claim_id HAVING 6 * count(*) FILTER (l_tax >= 0.08) >= count(*) AND 6 * count(*) FILTER (l_tax < 0.005) >= count(*)),
     per AS (SELECT claim_id, count(DISTINCT l_suppkey) AS lineages, count(*) AS evidence, max(CASE l_returnflag WHEN 'N' THEN 2 WHEN 'R' THEN 1 ELSE 0 END) AS best FROM lines GROUP BY claim_id),
     parts AS (SELECT p_partkey AS claim_id, p_brand AS topic, CASE WHEN p_size <= 5 THEN 'user_confirmed' WHEN p_size >= 48 THEN 'rejected' ELSE 'proposed' END AS status,
         CASE p_size WHEN 20 THEN 'user_opinion' WHEN 30 THEN 'inference' ELSE 'fact' END AS epistemic FROM part),
@@ -128,9 +129,9 @@ SQL: dict[str, str] = {
     "gc_unreferenced": """SELECT DISTINCT sha256(text) AS sha256 FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)
         OR doc_id IN (SELECT vec_id FROM embeddings))""",
     "snapshot_diff": f"""SELECT coalesce(a.logical_path, b.logical_path) AS logical_path, CASE WHEN a.h IS NULL THEN 'added' WHEN b.h IS NULL THEN 'deleted' ELSE 'modified' END AS change_kind,
-        a.h AS previous_blob_sha256, b.h AS blob_sha256 FROM {shipped(EARLY)} a FULL JOIN {shipped(LATE)} b ON a.logical_path = b.logical_path WHERE a.h IS DISTINCT FROM b.h""",
+        a.h AS previous_blob_sha256, b.h AS blob_sha256 FROM {shipped(EARLY)} a FULL JOIN {shipped(None)} b ON a.logical_path = b.logical_path WHERE a.h IS DISTINCT FROM b.h""",
     "build_diff": f"""SELECT CASE WHEN a.h IS NULL THEN 'added' WHEN b.h IS NULL THEN 'removed' WHEN a.h = b.h THEN 'unchanged' ELSE 'modified' END AS change_kind, count(*) AS n
-        FROM {shipped(EARLY)} a FULL JOIN {shipped(LATE)} b ON a.logical_path = b.logical_path GROUP BY 1""",
+        FROM {shipped(EARLY)} a FULL JOIN {shipped(None)} b ON a.logical_path = b.logical_path GROUP BY 1""",
     "change_classify": """WITH prev AS (SELECT CASE WHEN lang = 'de' THEN source ELSE lang END || '/' || doc_id AS path, sha256(text) AS h, CASE WHEN lang = 'es' THEN 'deleted' ELSE 'active' END AS state, FALSE AS over FROM documents
         UNION ALL SELECT url, sha256(max(html)), 'missing_pending', length(max(html)) > 3000 FROM pages GROUP BY url),
         cur AS (SELECT lang || '/' || doc_id AS path, CASE WHEN lang = 'fr' THEN sha256(upper(text)) ELSE sha256(text) END AS h FROM documents),
@@ -149,8 +150,8 @@ SQL: dict[str, str] = {
         FROM (SELECT doc_id, {WORDS} AS t, lag(doc_id) OVER w AS previous_id, lag({WORDS}) OVER w AS p FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)) WHERE previous_id IS NOT NULL""",
     "duplicate_lineages": """SELECT sha256(text) AS sha256, count(*) AS n_documents, count(DISTINCT source) AS n_lineages, count(*) - count(DISTINCT source) AS n_reposts FROM documents GROUP BY 1""",
     "redirect_closure": """SELECT doc_id AS entity, first AS final FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS first FROM documents) WHERE doc_id <> first""",
-    "trigram_postings": """SELECT term, count(DISTINCT item_id) AS df, count(*) AS tf FROM (SELECT item_id, unnest(list_transform(range(1, length(lower(text)) - 1), lambda i: substr(lower(text), i, 3))) AS term
-        FROM benchmark WHERE length(text) >= 3) GROUP BY term""",
+    "trigram_postings": """SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest(list_transform(range(1, length(lower(text)) - 1), lambda i: substr(lower(text), i, 3))) AS term
+        FROM documents WHERE length(text) >= 3) GROUP BY term""",
     "fts_bm25_top20": f"WITH {FTS} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY round(score, 9) DESC, doc_id LIMIT 20",
     "fts_substring_fallback": "SELECT doc_id FROM documents WHERE contains(lower(text), 'zz') ORDER BY doc_id LIMIT 100",
     "knn_cosine_top20": f"WITH {NEAR} SELECT vec_id, round(similarity, 6) AS similarity FROM near ORDER BY round(similarity, 9) DESC, vec_id LIMIT 20",
@@ -179,8 +180,8 @@ SQL: dict[str, str] = {
     "graph_path": f"""WITH RECURSIVE {EDGES}, {STEPS}, walk AS (SELECT 'nation:0' AS node, ['nation:0'] AS path UNION ALL
         SELECT b, list_append(path, b) FROM walk JOIN steps ON node = a WHERE len(path) <= 2 AND NOT list_contains(path, b))
         SELECT (len(path) - 1)::BIGINT AS depth, array_to_string(path, '>') AS path FROM walk WHERE node = 'nation:5' ORDER BY depth, path LIMIT 1""",
-    "generation_diff": f"""WITH a AS (SELECT DISTINCT o_custkey AS subject, o_orderpriority AS object FROM orders WHERE o_orderdate < TIMESTAMP '{EARLY}' AND o_orderdate >= TIMESTAMP '{EARLY}' - INTERVAL 12 MONTH),
-        b AS (SELECT DISTINCT o_custkey AS subject, o_orderpriority AS object FROM orders WHERE o_orderdate < TIMESTAMP '{LATE}' AND o_orderdate >= TIMESTAMP '{LATE}' - INTERVAL 12 MONTH)
+    "generation_diff": f"""WITH a AS (SELECT DISTINCT o_custkey AS subject, o_orderpriority AS object FROM orders WHERE o_orderdate < TIMESTAMP '{EARLY}'),
+        b AS (SELECT DISTINCT o_custkey AS subject, o_orderpriority AS object FROM orders WHERE NOT (o_orderdate < TIMESTAMP '{EARLY}' AND o_orderstatus = 'F'))
         SELECT *, 'added' AS change FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""",
     "predicate_domain_check": f"""WITH {EDGES}, kinds AS (SELECT *, string_split(subject, ':')[1] AS s, string_split(object, ':')[1] AS o FROM edges)
         SELECT DISTINCT subject, predicate, object, CASE WHEN s NOT IN ('region', 'nation') THEN 'domain' WHEN o NOT IN ('nation', 'customer') THEN 'range' END AS issue FROM kinds""",
@@ -189,7 +190,7 @@ SQL: dict[str, str] = {
         UNION SELECT 'claim_subject', doc_id::VARCHAR FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
         UNION SELECT 'claim_evidence', doc_id::VARCHAR FROM labels WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)""",
     "claim_conflicts": """SELECT l_partkey, l_returnflag, count(*) AS n_claims, count(DISTINCT l_suppkey) AS n_positions FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_suppkey) > 1""",
-    "claim_confidence": f"""WITH {claims()} SELECT claim_id, status, score, confidence_level, sources || CASE WHEN sources = 1 THEN ' independent source lineage' ELSE ' independent source lineages' END AS reason FROM leveled""",
+    "claim_confidence": f"""WITH {claims()} SELECT claim_id, status, score, confidence_level, 'sources: ' || sources AS reason FROM leveled""",
     "evidence_expand": """WITH c AS (SELECT l_partkey || '-' || l_suppkey AS claim_id, min(l_partkey) AS subject, min(l_linestatus) = 'F' AS stale FROM lineitem GROUP BY l_partkey, l_suppkey),
         s AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'), x AS (SELECT * FROM lineitem WHERE l_orderkey IN (FROM s)),
         ents AS (SELECT DISTINCT l_partkey AS e FROM x),
@@ -201,10 +202,10 @@ SQL: dict[str, str] = {
         lineages AS independent_source_count, evidence AS evidence_count, evidence - lineages AS repost_count FROM classified""",
     "topic_sections": f"WITH {claims()}, {SECTIONS} SELECT * FROM sections",
     "topic_health": f"WITH {claims()}, {REPORT} SELECT * FROM report",
-    "topic_gaps": f"""WITH {claims()}, {REPORT} SELECT topic, 'high' AS severity, 'Which further evidence could settle the conflicting statements?' AS question FROM report WHERE n_conflict > 0
-        UNION ALL SELECT topic, 'medium', 'Which statements of a single source can others confirm?' FROM report WHERE n_single > 0""",
+    "topic_gaps": f"""WITH {claims()}, {REPORT} SELECT topic, 'high' AS severity, 'Claims contradict each other: what would show which of them holds?' AS question FROM report WHERE n_conflict > 0
+        UNION ALL SELECT topic, 'medium', 'Some claims rest on one source: is there a second one?' FROM report WHERE n_single > 0""",
     "topic_section_changes": f"""WITH a AS (WITH {claims(EARLY)}, {SECTIONS} SELECT topic, section, n_claims || '|' || confidence_level || '|' || health_status AS d FROM sections),
-        b AS (WITH {claims(LATE)}, {SECTIONS} SELECT topic, section, n_claims || '|' || confidence_level || '|' || health_status AS d FROM sections)
+        b AS (WITH {claims()}, {SECTIONS} SELECT topic, section, n_claims || '|' || confidence_level || '|' || health_status AS d FROM sections)
         SELECT coalesce(a.topic, b.topic) AS topic, coalesce(a.section, b.section) AS section, CASE WHEN a.d IS NULL THEN 'added' WHEN b.d IS NULL THEN 'removed' WHEN a.d = b.d THEN 'unchanged' ELSE 'modified' END AS change
         FROM a FULL JOIN b ON a.topic = b.topic AND a.section = b.section""",
     "impact_cascade": """WITH s AS (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3), o AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_suppkey IN (FROM s)),
@@ -236,8 +237,8 @@ SQL: dict[str, str] = {
     "event_percentiles": "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type",
     "build_candidates": "SELECT doc_id AS source_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))",
     "restorable_resources": """SELECT user_id, NULL::VARCHAR AS before, event_type AS after FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 AND event_type = 'click'""",
-    "answer_deterministic": """WITH e AS (SELECT conv_id, turn, text, role = 'assistant' AND length(text) > 400 AS d FROM conversations),
-        l AS (SELECT *, list_transform(regexp_split_to_array(text, '\\r?\\n'), lambda x: trim(x)) AS ls FROM e),
+    "answer_deterministic": f"""WITH e AS (SELECT conv_id, turn, text, role = 'assistant' AND length(text) > 400 AS d FROM conversations),
+        l AS (SELECT *, list_transform(regexp_split_to_array(text, '\\r?\\n'), lambda x: regexp_replace(x, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')) AS ls FROM e),
         s AS (SELECT *, substr(coalesce(list_filter(ls, lambda x: starts_with(x, '@claim '))[1], list_filter(ls, lambda x: x <> '' AND NOT starts_with(x, '#'))[1], text, ''), 1, 600) AS x,
         row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, bool_or(d) OVER (PARTITION BY conv_id) AS any_d FROM l),
         t AS (SELECT * FROM s WHERE n = 1 OR (any_d AND n = 2)),
@@ -251,9 +252,9 @@ SQL: dict[str, str] = {
     "topic_health_all": f"""WITH {claims()}, {REPORT} SELECT * FROM report UNION ALL
         SELECT r_name, 0, 0, 0, 0, 'insufficient', 'unknown', 'no_supported_claim' FROM region WHERE r_name NOT IN (SELECT topic FROM report)
         UNION ALL SELECT DISTINCT p_brand, 0, 0, 0, 0, 'insufficient', 'unknown', 'no_supported_claim' FROM part WHERE p_brand NOT IN (SELECT topic FROM report)""",
-    "topic_gaps_all": f"""WITH {claims()}, {REPORT} SELECT topic, 'high' AS severity, 'Which further evidence could settle the conflicting statements?' AS question FROM report WHERE n_conflict > 0
-        UNION ALL SELECT topic, 'medium', 'Which statements of a single source can others confirm?' FROM report WHERE n_single > 0
-        UNION ALL SELECT DISTINCT t, 'high', 'Which conclusions does the source material support directly?' FROM (SELECT r_name AS t FROM region UNION SELECT p_brand FROM part) WHERE t NOT IN (SELECT topic FROM report)""",
+    "topic_gaps_all": f"""WITH {claims()}, {REPORT} SELECT topic, 'high' AS severity, 'Claims contradict each other: what would show which of them holds?' AS question FROM report WHERE n_conflict > 0
+        UNION ALL SELECT topic, 'medium', 'Some claims rest on one source: is there a second one?' FROM report WHERE n_single > 0
+        UNION ALL SELECT DISTINCT t, 'high', 'No claim is recorded yet: what do the documents say about this topic?' FROM (SELECT r_name AS t FROM region UNION SELECT p_brand FROM part) WHERE t NOT IN (SELECT topic FROM report)""",
     "topic_local_graph": """SELECT p_brand AS topic, (count(DISTINCT l_partkey) + count(DISTINCT l_suppkey))::BIGINT AS n_nodes, count(DISTINCT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey) FILTER (l_returnflag <> 'R') AS n_relations
         FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand""",
     "artifact_dependencies": """SELECT DISTINCT l_orderkey AS artifact, 'part' AS kind, l_partkey::VARCHAR AS dependency FROM lineitem UNION ALL SELECT DISTINCT l_orderkey, 'supplier', l_suppkey::VARCHAR FROM lineitem

@@ -1,4 +1,4 @@
-"""Schemas of the engine's tables and the values its enumerations allow."""
+"""Schemas of the engine's tables."""
 
 from __future__ import annotations
 
@@ -13,16 +13,8 @@ CHUNK = (
     "ordinal int, content_text string, content_hash string, block_kind string, token_estimate int, heading_path array<string>, "
     "source_start_line int, source_end_line int, anchor_key string"
 )
-ENTRY = "logical_path string, blob_sha256 string"
 OBSERVATION = (
     "observation_id string, relative_path string, normalized_path_key string, file_identity string, content_hash string, "
     "state string, missing_since timestamp, version int"
 )
 INVENTORY = "relative_path string, normalized_path_key string, file_identity string, content_hash string"
-
-# The enumerations.
-SOURCE_KINDS = ["file", "markdown", "directory", "obsidian", "web", "text", "jsonl"]
-CHANGE_KINDS = ["created", "modified", "deleted", "renamed", "restored"]
-CONCLUSIONS = ["consensus", "single_source", "user_opinion", "inference", "conflict", "unknown"]
-CONFIDENCE_LEVELS = ["high", "medium", "low", "disputed", "unknown"]
-DIRECTNESS = ["direct", "paraphrase", "inferred"]

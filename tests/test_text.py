@@ -74,7 +74,7 @@ def test_confidence(spark):
     alone, many = level("inferred", 1, False, "none"), level("direct", 4, False, "confirmed")
     assert many.score > alone.score and many.level == "high" and level("direct", 9, True, "confirmed").level == "disputed"
     assert alone.score == round(0.6 * 0.16 + 0.4 * 0.18 + 0.35 * 0.18 + 0.6 * 0.1 + 0.85 * 0.14 + 0.16 + 0.5 * 0.08, 4)
-    assert alone.reasons[0] == "1 independent source lineage"
+    assert alone.reasons == ["sources: 1", "closeness: inferred", "contradicted: no", "checked by a person: no"]
 
 
 def test_vectors(spark):
