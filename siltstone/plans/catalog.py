@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from siltstone.functions import text as tx
 from siltstone.functions import vectors as vx
 from siltstone.operators import spaces as spaces_
-from siltstone.operators import answers, chunking, claims, evidence, fulltext, graph, impact, layers, maintenance, mentions, paging, retrieval, topics, vector, versioning
+from siltstone.operators import answers, chunking, claims, evidence, fulltext, graph, impact, layers, maintenance, mentions, pages, paging, retrieval, topics, vector, versioning
 from siltstone.operators.textindex import TextIndex
 from siltstone.sources import digests, files, generations, parsers
 from siltstone.sources.scratch import modified, shared_folder
@@ -565,14 +565,26 @@ def topic_section_changes(spark, sf_dir):
     return topics.section_changes(a, b, ["topic", "section"], "digest")
 
 
-@query
-def topic_pages(spark, sf_dir):
-    c = classified(spark, sf_dir)
+def topic_items(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Everything on the brands' pages, and their claims."""
+    held, lines = part_claims(spark, sf_dir)
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("claim_id"), F.col("p_name").alias("statement"), "p_size")
+    x = table(spark, sf_dir, "lineitem")
+    day = lambda f: F.date_format(f("l_shipdate"), "yyyy-MM-dd")
+    times = x.groupBy(F.col("l_partkey").alias("claim_id")).agg(day(F.min).alias("first"), day(F.max).alias("last"))
+    short = F.col("p_size") < 10
+    c = topics.classify(held, lines).join(parts, "claim_id").join(times, "claim_id").withColumns({"valid_from": F.when(short, F.col("first")), "valid_to": F.when(short, F.col("last"))})
     r = topics.report(c, ["topic"])
-    return topics.page_ir(r, topics.sections(c, ["topic"]), topics.gaps(r, ["topic"]), "topic")
+    edges = x.select(F.col("l_partkey").alias("claim_id"), F.col("l_suppkey").alias("object")).distinct().join(c.select("topic", "claim_id"), "claim_id")
+    edges = edges.select("topic", F.concat_ws("-", "claim_id", "object").alias("relation_id"), F.col("claim_id").alias("subject"), F.lit("supplied_by").alias("predicate"), "object")
+    proof = lines.select("claim_id", "chunk_id", F.col("source_lineage_key").alias("source_id"))
+    return pages.items("topic", r, c, proof, edges, topics.gaps(r, ["topic"])), c
 
 
-# -- integrity and operations -------------------------------------------------
+@query
+def topic_pages(spark, sf_dir):
+    found, claims_ = topic_items(spark, sf_dir)
+    return pages.rated(pages.components(found, "topic"), claims_, "topic")
 
 
 @query

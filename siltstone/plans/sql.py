@@ -321,3 +321,28 @@ SQL["impact_closure"] = """WITH n AS (SELECT n_nationkey FROM nation WHERE n_reg
     SELECT kind, depth::BIGINT AS depth, count(*) AS n FROM r GROUP BY kind, depth"""
 SQL["layered_union"] = """SELECT * FROM (SELECT 'structure' AS layer, 'contains' AS predicate, source AS subject, doc_id::VARCHAR AS object FROM documents UNION ALL SELECT 'language', 'speaks', doc_id::VARCHAR, lang FROM documents UNION ALL
     SELECT 'opening', 'opens_with', doc_id::VARCHAR, string_split(text, ' ')[1] FROM documents), (SELECT count(*) AS built FROM documents WHERE doc_id % 10 = 0 OR doc_id % 7 = 3)"""
+
+
+def added_up(value: str) -> str:
+    limbs = ", ".join(f"sum(('0x' || substr(sha256({value}), {1 + 15 * k}, 15))::BIGINT)" for k in range(4))
+    return f"sha256(concat_ws('|', count(*), {limbs}))"
+
+
+ITEMS = """named AS (SELECT c.*, p_name AS statement, CASE WHEN p_size < 10 THEN first END AS valid_from, CASE WHEN p_size < 10 THEN last END AS valid_to FROM classified c JOIN part ON p_partkey = claim_id
+    JOIN (SELECT l_partkey, strftime(min(l_shipdate), '%Y-%m-%d') AS first, strftime(max(l_shipdate), '%Y-%m-%d') AS last FROM lineitem GROUP BY l_partkey) ON l_partkey = claim_id),
+    cited AS (SELECT topic, claim_id, l_orderkey || '-' || l_linenumber AS chunk_id, l_suppkey AS source_id FROM named JOIN lineitem ON l_partkey = claim_id),
+    asked AS (SELECT topic, 'high' AS severity, 'Claims contradict each other: what would show which of them holds?' AS question FROM report WHERE n_conflict > 0
+        UNION ALL SELECT topic, 'medium', 'Some claims rest on one source: is there a second one?' FROM report WHERE n_single > 0),
+    items AS (SELECT topic, 'hero' AS component, 'hero' AS kind, topic AS item_id, to_json({'health': health_status, 'confidence': confidence_level, 'claims': n_claims, 'rule': decisive_rule})::VARCHAR AS item FROM report
+    UNION ALL SELECT topic, 'cards-' || conclusion_type, 'conclusion_cards', claim_id::VARCHAR, to_json({'claim': claim_id, 'statement': statement, 'confidence': confidence_level})::VARCHAR FROM named WHERE conclusion_type <> 'conflict'
+    UNION ALL SELECT topic, 'evidence', 'evidence_blocks', chunk_id, to_json({'claim': claim_id, 'chunk': chunk_id, 'source': source_id})::VARCHAR FROM cited
+    UNION ALL SELECT topic, 'timeline', 'timeline', claim_id::VARCHAR, to_json({'claim': claim_id, 'start': valid_from, 'end': valid_to})::VARCHAR FROM named WHERE valid_from IS NOT NULL
+    UNION ALL SELECT topic, 'comparison', 'comparison_matrix', claim_id::VARCHAR, to_json({'claim': claim_id, 'category': conclusion_type, 'sources': lineages})::VARCHAR FROM named
+        WHERE topic IN (SELECT topic FROM named GROUP BY topic HAVING count(*) > 1)
+    UNION ALL SELECT DISTINCT topic, 'graph', 'knowledge_graph', claim_id || '-' || source_id, to_json({'source': claim_id, 'label': 'supplied_by', 'target': source_id})::VARCHAR FROM cited
+    UNION ALL SELECT topic, 'conflicts', 'conflicts', claim_id::VARCHAR, to_json({'claim': claim_id, 'statement': statement, 'confidence': confidence_level})::VARCHAR FROM named WHERE conclusion_type = 'conflict'
+    UNION ALL SELECT topic, 'gaps', 'knowledge_gaps', sha256(question), to_json({'severity': severity, 'question': question})::VARCHAR FROM asked
+    UNION ALL SELECT topic, 'sources', 'source_directory', source_id::VARCHAR, to_json({'source': source_id, 'citations': count(*)})::VARCHAR FROM cited GROUP BY topic, source_id)"""
+SQL["topic_pages"] = f"""WITH {claims()}, {REPORT}, {SECTIONS}, {ITEMS}, made AS (SELECT topic, component, kind, count(*) AS n_items, {added_up("item_id || chr(10) || item")} AS content_hash,
+    {added_up("item_id")} AS dependency_hash FROM items GROUP BY topic, component, kind)
+    SELECT made.*, s.confidence_level, s.health_status FROM made LEFT JOIN sections s ON s.topic = made.topic AND component = CASE section WHEN 'conflict' THEN 'conflicts' ELSE 'cards-' || section END"""

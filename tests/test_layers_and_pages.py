@@ -1,13 +1,14 @@
 """Digest trees, cursors, mentions, layered builds, impact and plans, batches handed over once, quotes mapped back."""
 
 import hashlib
+import json
 import unicodedata
 from datetime import UTC, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import impact, mentions, paging, retrieval
+from siltstone.operators import impact, mentions, pages, paging, retrieval
 from siltstone.operators.layers import LayeredGraph
 from siltstone.sources import digests
 from siltstone.streaming import events as ev
@@ -86,6 +87,33 @@ def iter_from(rows, cursor):
         cursor = after
 
 
+def test_page_components(spark):
+    claims = spark.createDataFrame(
+        [("t", 1, "one", "consensus", "high", 2, "2024", None), ("t", 2, "t<w>o", "conflict", "disputed", 1, None, None), ("u", 3, "three", "single_source", "low", 1, None, None), (None, 4, "four", "inference", "low", 1, None, None)],
+        "topic string, claim_id long, statement string, conclusion_type string, confidence_level string, independent_source_count long, valid_from string, valid_to string",
+    )
+    reports = spark.createDataFrame([("t", "needs_review", "disputed", 2, "rule"), ("u", "degraded", "low", 1, "rule"), ("v", "insufficient", "unknown", 0, "none")], "topic string, health_status string, confidence_level string, n_claims long, decisive_rule string")
+    evidence = spark.createDataFrame([(1, "c1", "s1"), (1, "c2", "s2"), (2, "c1", "s1"), (9, "c9", "s9")], "claim_id long, chunk_id string, source_id string")
+    relations = spark.createDataFrame([("t", "r1", "a", "p", "b")], "topic string, relation_id string, subject string, predicate string, object string")
+    gaps = spark.createDataFrame([("v", "high", "what?")], "topic string, severity string, question string")
+    found = pages.items("topic", reports, claims, evidence, relations, gaps)
+    parts = pages.rated(pages.components(found, "topic"), claims, "topic")
+    got = {(r.topic, r.component): (r.n_items, r.confidence_level, r.health_status) for r in parts.collect()}
+    assert got == {
+        ("t", "hero"): (1, None, None), ("t", "cards-consensus"): (1, "high", "healthy"), ("t", "evidence"): (3, None, None), ("t", "timeline"): (1, None, None), ("t", "comparison"): (2, None, None), ("t", "graph"): (1, None, None),
+        ("t", "conflicts"): (1, "disputed", "needs_review"), ("t", "sources"): (2, None, None), ("u", "hero"): (1, None, None), ("u", "cards-single_source"): (1, "low", "degraded"), ("v", "hero"): (1, None, None), ("v", "gaps"): (1, None, None),
+        (None, "cards-inference"): (1, None, None),
+    }
+    assert pages.invalid(found, parts, "topic").where("topic is not null").count() == 0
+    assert [r.component for r in pages.invalid(found.where("item_id <> 'c2'"), parts, "topic").where("topic is not null").collect()] == ["evidence"]
+    hashes = lambda f: {(r.topic, r.component): r.content_hash for r in pages.components(f, "topic").collect()}
+    assert hashes(found) == hashes(found.repartition(5)) and hashes(found.unionByName(found))["t", "hero"] != hashes(found)["t", "hero"]
+    shown = json.loads(pages.page(parts, "topic").where("topic = 'v'").first().page)
+    assert [c["kind"] for c in shown["components"]] == ["knowledge_gaps", "hero"] or len(shown["components"]) == 2
+    lines = [r.value for r in pages.html(found, "topic").where("topic = 't'").orderBy("no").collect()]
+    assert lines[0].startswith("<!doctype html>") and lines[-1].endswith("</html>") and len(lines) == 2 + 12 and "t&lt;w&gt;o" in "".join(lines) and "<w>" not in "".join(lines)
+
+
 # -- mentions -------------------------------------------------------------------
 
 
