@@ -23,13 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as
-    in local tests, a temporary folder of this machine is made and set.
+    It is the session's ``spark.checkpoint.dir``. Where that is unset and all runs
+    on this machine, a temporary folder is made and set; elsewhere it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="siltstone-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -50,6 +52,16 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing will read any more."""
+    for table_ in tables:
+        spark = table_.sparkSession
+        files = table_.inputFiles()
+        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent() if files else None
+        if path is not None and path.getName().startswith("siltstone-"):
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete this library's scratch tables; call it when results are written."""
     jvm = spark.sparkContext._jvm

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import map_arrow, materialize, renamed
+from siltstone.llm.common import discard, map_arrow, materialize, renamed
 
 BITS = 64
 SEED = 42
@@ -388,7 +388,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, shingle: int,
     one = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x"))
     other = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(one, "a").join(other, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
-    return materialize(both.where(F.col("common") * 10 >= tenths * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b"), "verified")
+    verified = materialize(both.where(F.col("common") * 10 >= tenths * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b"), "verified")
+    discard(pairs, ends, sets)
+    return verified
 
 
 def _buckets_of(shared: DataFrame, named: DataFrame, stars: bool) -> DataFrame:
@@ -484,7 +486,9 @@ def similar(docs: DataFrame, shingle: int = 5, radius: int = 6, tenths: int = 8)
         roots = components(edges)  # a forest of stars, from which the next components are soon found
         more = _verified(_pairs(shared, named, roots, tenths, stars), docs, rows, shingle, tenths)
         edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more.select("a", "b"))
-    return rooted(rows.select("doc_id", "e", "sid"), "sid", edges)
+    found = rooted(rows.select("doc_id", "e", "sid"), "sid", edges)
+    discard(shared, named)
+    return found
 
 
 def keep_one_similar(docs: DataFrame, shingle: int = 5, radius: int = 6, tenths: int = 8) -> DataFrame:
