@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from siltstone.llm import mixing, packing, quality, simhash, suffix_dedup
 from siltstone.llm.common import materialize, table
 
-#: Near-duplicates: five-word shingles of a Jaccard similarity of 8 tenths; 58 of 64 equal fingerprint bits are looked at first.
-SHINGLE, RADIUS, TENTHS = 5, 6, 8
+#: Near-duplicates: five-word shingles of a Jaccard similarity of 8 tenths; 61 of 64 equal fingerprint bits are looked at first.
+SHINGLE, RADIUS, TENTHS = 5, 3, 8
 #: Shortest repeat that is cut, in bytes.
 REPEAT = 100
 
