@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from siltstone.functions import text as tx
 from siltstone.functions import vectors as vx
 from siltstone.operators import spaces as spaces_
-from siltstone.operators import answers, chunking, claims, evidence, fulltext, graph, impact, layers, maintenance, mentions, pages, paging, retrieval, topics, vector, versioning
+from siltstone.operators import answers, chunking, claims, evidence, fulltext, graph, impact, layers, maintenance, mentions, pages, paging, records, retrieval, topics, vector, versioning
 from siltstone.operators.textindex import TextIndex
 from siltstone.sources import digests, files, generations, parsers
 from siltstone.sources.scratch import modified, shared_folder
@@ -397,6 +397,19 @@ def rrf_hybrid(spark, sf_dir):
     return out.select("doc_id", F.round("score", 9).alias("score"), F.size("routes").cast("long").alias("n_routes"))
 
 
+@query
+def retrieval_items(spark, sf_dir):
+    """A hybrid run's candidates by route, kept and read again: rank, and whether the fused result took them."""
+    fts = fulltext.ranked(stored_index(spark, sf_dir).search(SEARCH, {"content": 1.0, "title": 1.5}, 80), "doc_id")
+    near = vector.nearest(table(spark, sf_dir, "embeddings"), query_vector(spark, sf_dir), "vec_id", "embedding", 80)
+    near = near.withColumn("rank", F.row_number().over(Window.orderBy(F.round("similarity", 9).desc(), "vec_id"))).select(F.col("vec_id").alias("doc_id"), "rank", F.col("similarity").alias("score"))
+    routes = {"fts": fts, "vector": near}
+    taken = retrieval.top(retrieval.fuse(routes, "doc_id"), "doc_id", 20)
+    kept = records.RetrievalRecords(spark, f"{shared_folder(spark)}/siltstone-runs-{uuid.uuid4().hex}")
+    run = kept.add(SEARCH, "hybrid", records.candidate_rows(routes, taken, "doc_id"), taken.select("doc_id", "score"))
+    return kept.of(run, "candidates").select("route", "doc_id", "rank", "selected")
+
+
 @query
 def search_filtered(spark, sf_dir):
     narrow = retrieval.Filters(source="src0", path_prefix="src0/")
@@ -899,6 +912,47 @@ def layered_union(spark, sf_dir):
     return out
 
 
+@query
+def topic_history(spark, sf_dir):
+    """Two versions of all topics' reports, the first from early claims, and what changed with each."""
+    held = records.TopicVersions(spark, f"{shared_folder(spark)}/siltstone-topics-{uuid.uuid4().hex}")
+    for version, day in enumerate((EARLY, None)):
+        held.publish(topics.report(classified(spark, sf_dir, day), ["topic"]), version)
+    return held.history("topic", F.concat_ws("|", "n_claims", "n_consensus", "n_conflict", "n_single", "health_status", "confidence_level"))
+
+
+@query
+def entity_merges(spark, sf_dir):
+    """Suppliers, of which three in four were merged into the one before: aliases of those that stand."""
+    s = table(spark, sf_dir, "supplier")
+    merges = s.where("s_suppkey % 4 <> 0").select(F.col("s_suppkey").alias("from"), (F.col("s_suppkey") - 1).alias("to"))
+    return records.merged_entities(s.select(F.col("s_suppkey").alias("entity_id"), F.col("s_name").alias("alias")), graph.redirects(merges))
+
+
+@query
+def moderated_relations(spark, sf_dir):
+    """Customers' orders as relations, with events as decisions on the customer's: the last one counts."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("relation_id"), F.lit("active").alias("status")).distinct()
+    decision = F.when(F.col("event_type") == "purchase", "confirm").when(F.col("event_type") == "click", "reject").otherwise("none")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("relation_id"), decision.alias("decision"), "ts", "event_id")
+    return records.moderated(o, e, "relation_id", ["ts", "event_id"])
+
+
+@query
+def deep_verify(spark, sf_dir):
+    """Index and vectors missing or without need, series with gaps, links across documents, statements without evidence."""
+    t = lambda n: table(spark, sf_dir, n)
+    d, index = t("documents"), stored_index(spark, sf_dir)
+    out = index.uncovered(index.current(), chunks(spark, sf_dir)).select(F.concat(F.lit("fts_"), "issue").alias("check"), F.col("doc_id").cast("string").alias("id"))
+    out = out.unionByName(evidence.uncovered(d, t("embeddings"), "doc_id", "vec_id", "vector_missing")).unionByName(evidence.orphans(t("embeddings"), d, "vec_id", "doc_id", "vector_orphan"))
+    out = out.unionByName(records.gaps_in_sequence(t("conversations"), "conv_id", "turn"))
+    links = t("orders").select("o_orderkey", (F.col("o_custkey") + F.when(F.col("o_orderkey") % 50 == 0, 1).otherwise(0)).alias("o_custkey"))
+    out = out.unionByName(records.cross_document(links, t("orders"), "o_orderkey", "o_custkey"))
+    cited = t("labels").select(F.col("doc_id").alias("statement_id"), F.col("doc_id").alias("evidence_key"))
+    proof = t("embeddings").select(F.col("vec_id").alias("evidence_key"))
+    return out.unionByName(records.unsupported(d.select(F.col("doc_id").alias("statement_id")), cited, proof))
+
+
 @query
 def resource_dependents(spark, sf_dir):
     t = lambda n: table(spark, sf_dir, n)

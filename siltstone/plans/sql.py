@@ -346,3 +346,19 @@ ITEMS = """named AS (SELECT c.*, p_name AS statement, CASE WHEN p_size < 10 THEN
 SQL["topic_pages"] = f"""WITH {claims()}, {REPORT}, {SECTIONS}, {ITEMS}, made AS (SELECT topic, component, kind, count(*) AS n_items, {added_up("item_id || chr(10) || item")} AS content_hash,
     {added_up("item_id")} AS dependency_hash FROM items GROUP BY topic, component, kind)
     SELECT made.*, s.confidence_level, s.health_status FROM made LEFT JOIN sections s ON s.topic = made.topic AND component = CASE section WHEN 'conflict' THEN 'conflicts' ELSE 'cards-' || section END"""
+SQL["retrieval_items"] = f"""WITH {FTS}, {NEAR}, routes AS (SELECT 'fts' AS route, doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored QUALIFY rank <= 80
+    UNION ALL SELECT 'vector', vec_id, row_number() OVER (ORDER BY round(similarity, 9) DESC, vec_id) AS rank FROM near QUALIFY rank <= 80),
+    best AS (SELECT doc_id FROM routes GROUP BY doc_id ORDER BY round(sum(1.0::DOUBLE / (60 + rank)), 9) DESC, doc_id LIMIT 20)
+    SELECT route, doc_id, rank, doc_id IN (FROM best) AS selected FROM routes"""
+SQL["topic_history"] = f"""WITH a AS (WITH {claims(EARLY)}, {REPORT} SELECT topic, concat_ws('|', n_claims, n_consensus, n_conflict, n_single, health_status, confidence_level) AS d FROM report),
+    b AS (WITH {claims()}, {REPORT} SELECT topic, concat_ws('|', n_claims, n_consensus, n_conflict, n_single, health_status, confidence_level) AS d FROM report)
+    SELECT 1::BIGINT AS version, topic, 'added' AS change FROM a UNION ALL SELECT 2, coalesce(a.topic, b.topic), CASE WHEN a.d IS NULL THEN 'added' WHEN b.d IS NULL THEN 'removed' WHEN a.d = b.d THEN 'unchanged' ELSE 'modified' END
+    FROM a FULL JOIN b ON a.topic = b.topic"""
+SQL["entity_merges"] = "SELECT DISTINCT s_suppkey - s_suppkey % 4 AS entity_id, s_name AS alias FROM supplier"
+SQL["moderated_relations"] = """SELECT relation_id, CASE last WHEN 'purchase' THEN 'user_confirmed' WHEN 'click' THEN 'rejected' ELSE 'active' END AS status FROM (SELECT DISTINCT o_custkey AS relation_id FROM orders)
+    LEFT JOIN (SELECT user_id, arg_max(event_type, (ts, event_id)) AS last FROM events GROUP BY user_id) ON user_id = relation_id"""
+SQL["deep_verify"] = """SELECT 'vector_missing' AS check, doc_id::VARCHAR AS id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) UNION ALL
+    SELECT 'vector_orphan', vec_id::VARCHAR FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents) UNION ALL
+    SELECT 'sequence', conv_id::VARCHAR FROM conversations GROUP BY conv_id HAVING count(*) <> count(DISTINCT turn) OR min(turn) <> 1 OR max(turn) <> count(*) UNION ALL
+    SELECT 'cross_document', o_orderkey::VARCHAR FROM orders WHERE o_orderkey % 50 = 0 UNION ALL
+    SELECT 'unsupported_statement', doc_id::VARCHAR FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IN (SELECT vec_id FROM embeddings))"""
