@@ -13,6 +13,12 @@ from pyspark.sql import types as T
 CJK = "\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsHangul}"
 SPACE = "\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
 
+#: The same classes for Java's expressions, whose scripts are dear: an ASCII character is settled before any is asked for.
+NOT_ASCII = "[^\\x00-\\x7f]"
+CJK_CLASS = f"[{NOT_ASCII}&&[{CJK}]]"
+SPACE_CLASS = f"[\\s[{NOT_ASCII}&&[{SPACE}]]]"
+EITHER_CLASS = f"[\\s[{NOT_ASCII}&&[{CJK}{SPACE}]]]"
+
 ColumnOrName = Column | str
 
 
@@ -36,8 +42,8 @@ def count_matches(text: ColumnOrName, pattern: str) -> Column:
 
 def token_estimate(text: ColumnOrName) -> Column:
     """One token for each CJK character and for every four others that aren't white space."""
-    other = F.length(F.regexp_replace(_c(text), f"[{CJK}{SPACE}]", ""))
-    return (count_matches(text, f"[{CJK}]") + F.ceil(other / 4)).cast("long")
+    other = F.length(F.regexp_replace(_c(text), f"{EITHER_CLASS}++", ""))
+    return (count_matches(text, CJK_CLASS) + F.ceil(other / 4)).cast("long")
 
 
 def detect_language(text: ColumnOrName) -> Column:
@@ -49,9 +55,9 @@ def detect_language(text: ColumnOrName) -> Column:
 def tidy(text: ColumnOrName) -> Column:
     """Line ends, trailing blanks and blank lines made uniform; trimmed. All of normalize_text but the normal form."""
     x = F.regexp_replace(_c(text), "\\r\\n?", "\n")
-    x = F.regexp_replace(x, "[\\t ]+(?=\\n|\\z)", "")
+    x = F.regexp_replace(x, "[\\t ]++(?=\\n|\\z)", "")
     x = F.regexp_replace(x, "\\n{3,}", "\n\n")
-    return F.regexp_replace(x, f"\\A[{SPACE}]+|[{SPACE}]+\\z", "")
+    return F.regexp_replace(x, f"\\A{SPACE_CLASS}++|{SPACE_CLASS}++\\z", "")
 
 
 def normalize_text(text: ColumnOrName) -> Column:
@@ -60,7 +66,7 @@ def normalize_text(text: ColumnOrName) -> Column:
 
 def normalize_label(text: ColumnOrName) -> Column:
     """NFKC, trimmed, white space made single, lower case."""
-    return F.lower(F.trim(F.regexp_replace(nfkc(_c(text)), f"[{SPACE}]+", " ")))
+    return F.lower(F.trim(F.regexp_replace(nfkc(_c(text)), f"{SPACE_CLASS}++", " ")))
 
 
 def sha256(text: ColumnOrName) -> Column:

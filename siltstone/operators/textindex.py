@@ -114,7 +114,10 @@ def postings(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
                     yield _block(texts[f][at:stop], batch.column(key).slice(at, stop - at), lengths[at:stop], block, f, names)
                 at, block = stop, block + 1
 
-    return rows.select(key, *fields).mapInArrow(index, schema)
+    cores, few = rows.sparkSession.sparkContext.defaultParallelism, rows.select(key, *fields)
+    if few.rdd.getNumPartitions() < cores:  # one small file, say
+        few = few.repartition(cores)
+    return few.mapInArrow(index, schema)
 
 
 def cover(word: str, counts: dict[int, int]) -> list[tuple[int, int]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,6 +102,11 @@ def embedding_input(title, path, content):
     return F.concat_ws("\n", *[F.nullif(c, F.lit("")) for c in (title, path, content)])
 
 
+def query_input(instruction: str, query: str) -> str:
+    """What is embedded for a query: its space's instruction, then the query in NFKC."""
+    return f"{instruction}\nQuery: {unicodedata.normalize('NFKC', query).strip()}"
+
+
 def compare_spaces(chunks: DataFrame, one: DataFrame, other: DataFrame, fingerprints: tuple[str, str]) -> DataFrame:
     """Coverage of two spaces side by side; their scores compare only under one fingerprint."""
     a, b = (coverage(chunks, s).select(*[F.col(c).alias(f"{c}_{i}") for c in ("expected", "covered", "stored")]) for i, s in ((1, one), (2, other)))

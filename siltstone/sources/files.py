@@ -72,6 +72,38 @@ def read_pages(pages: DataFrame) -> DataFrame:
     return pages.select(path.alias("logical_path"), content.alias("content"), F.length(content).cast("long").alias("size_bytes"), F.lit("text/html").alias("media_type"))
 
 
+def read_source(spark: SparkSession, uri: str, kind: str | None = None, text: str | None = None, pages: DataFrame | None = None, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+    """The entries of a source: logical_path, content, size_bytes, media_type.
+
+    ``kind``: file, markdown, directory, obsidian, web, text or jsonl; by default what the uri says.
+    Text comes with the call, as from standard input. Pages are those of ``pages`` (url, html) that
+    have the uri, or lie below it.
+    """
+    found = kind or {"stdin": "text", "web": "web", "path": "directory"}[source_kind(uri)]
+    if found == "text":
+        if text is None:
+            raise ValueError("a source of text needs its text")
+        rows = read_text(spark, "stdin.txt" if uri == "-" else uri, text)
+    elif found == "web":
+        if pages is None:
+            raise ValueError("a source of pages needs the fetched pages")
+        rows = read_pages(pages.where((F.col("url") == uri) | F.startswith(F.col("url"), F.lit(uri.rstrip("/") + "/"))))
+    elif found in ("file", "markdown", "directory", "obsidian", "jsonl"):
+        rows = read_files(spark, uri, include, exclude, markdown_only=found in ("markdown", "obsidian"))
+        if found == "jsonl":
+            rows = rows.where(F.col("media_type") == MEDIA_TYPES["jsonl"])
+    else:
+        raise ValueError(f"no source of kind {found}")
+    return rows.select("logical_path", "content", "size_bytes", "media_type")
+
+
+def settled(now: DataFrame, before: DataFrame, at, seconds: int = 2) -> DataFrame:
+    """Files of a scan (logical_path, size_bytes, mtime) that a scan before saw alike and that nobody has written for ``seconds`` at the time ``at``."""
+    old = before.select("logical_path", F.col("size_bytes").alias("s"), F.col("mtime").alias("m"))
+    quiet = F.unix_micros(F.lit(at).cast("timestamp")) - F.unix_micros("mtime") >= seconds * 1_000_000
+    return now.join(old, "logical_path").where((F.col("size_bytes") == F.col("s")) & (F.col("mtime") == F.col("m")) & quiet).drop("s", "m")
+
+
 def source_identity(spec: Column, name: Column) -> Column:
     """The same source added again has the same id."""
     return F.concat(F.lit("source:src_"), F.substring(F.sha2(F.to_json(F.struct(spec.alias("spec"), name.alias("name"))), 256), 1, 32))
