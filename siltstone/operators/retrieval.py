@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.functions.text import excerpt
-from siltstone.operators import fulltext, vector
+from siltstone.operators import fulltext, ordered, vector
 from siltstone.operators.textindex import TextIndex
 
 RRF_K = 60
@@ -149,10 +149,16 @@ def hybrid_search(
 
 
 def budget_cut(rows: DataFrame, order: list, tokens: str, budget: int, partition: list[str] | None = None) -> DataFrame:
-    """Rows in order while ``LEAST_LEFT`` tokens are left; the last one is clipped to what is left: adds ``position``, ``used`` and ``taken``."""
-    w = Window.partitionBy(*(partition or [])).orderBy(*order)
-    before = F.coalesce(F.sum(tokens).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    marked = rows.withColumn("position", F.row_number().over(w).cast("long")).withColumn("used", before.cast("long"))
+    """Rows in order while ``LEAST_LEFT`` tokens are left; the last one is clipped to what is left: adds ``position``, ``used`` and ``taken``.
+
+    Without a partition the rows are one context, a cut result; partitions in the order of columns may be of any size.
+    """
+    if partition and all(isinstance(c, str) for c in order):
+        marked = ordered.running_sum(rows, partition, order, tokens).withColumnRenamed("before", "used")
+    else:
+        w = Window.partitionBy(*(partition or [])).orderBy(*order)
+        before = F.coalesce(F.sum(tokens).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        marked = rows.withColumn("position", F.row_number().over(w).cast("long")).withColumn("used", before.cast("long"))
     left = F.lit(budget) - F.col("used")
     return marked.where(left >= LEAST_LEFT).withColumn("taken", F.least(F.col(tokens), left).cast("long"))
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siltstone.operators import ordered
+
 
 def snapshot_diff(previous: DataFrame, current: DataFrame) -> DataFrame:
     """(logical_path, change_kind, previous_blob_sha256, blob_sha256) of paths whose blob differs."""
@@ -61,9 +63,10 @@ def classify_changes(previous: DataFrame, current: DataFrame, now, delete_grace_
 
 def revisions(blobs: DataFrame, document: str, order: list[str], digest: str) -> DataFrame:
     """Adds ``sequence`` and whether a version reuses the revision before it, its hash being the same."""
-    w = Window.partitionBy(document).orderBy(*order)
-    marked = blobs.withColumn("reused", F.lag(digest).over(w).eqNullSafe(F.col(digest)) & (F.row_number().over(w) > 1))
-    return marked.withColumn("sequence", F.sum(F.when(F.col("reused"), 0).otherwise(1)).over(w).cast("long"))
+    marked = ordered.previous(blobs, [document], order, [digest])
+    marked = marked.withColumn("reused", F.col("previous").isNotNull() & F.col(f"previous.{digest}").eqNullSafe(F.col(digest))).drop("previous")
+    marked = ordered.running_sum(marked.withColumn("new", (~F.col("reused")).cast("long")), [document], order, "new")
+    return marked.withColumn("sequence", (F.col("before") + F.col("new")).cast("long")).drop("before", "new", "position")
 
 
 def next_sequence(existing: DataFrame, fresh: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from siltstone.functions import text as tx
 from siltstone.functions import vectors as vx
 from siltstone.operators import spaces as spaces_
-from siltstone.operators import answers, chunking, claims, evidence, fulltext, graph, impact, layers, maintenance, mentions, pages, paging, records, retrieval, topics, vector, versioning
+from siltstone.operators import answers, chunking, claims, evidence, fulltext, graph, impact, layers, maintenance, mentions, ordered, pages, paging, records, retrieval, topics, vector, versioning
 from siltstone.operators.textindex import TextIndex
 from siltstone.sources import digests, files, generations, parsers
 from siltstone.sources.scratch import modified, shared_folder
@@ -237,8 +237,8 @@ def revision_reuse(spark, sf_dir):
 @query
 def chunk_jaccard_pairs(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source", tx.tokens("text").alias("t"))
-    w = Window.partitionBy("source").orderBy("doc_id")
-    pairs = d.select("doc_id", "t", F.lag("doc_id").over(w).alias("previous_id"), F.lag("t").over(w).alias("p")).where("previous_id is not null")
+    pairs = ordered.previous(d, ["source"], ["doc_id"], ["doc_id", "t"]).where("previous is not null")
+    pairs = pairs.select("doc_id", "t", F.col("previous.doc_id").alias("previous_id"), F.col("previous.t").alias("p"))
     return pairs.select("doc_id", "previous_id", F.round(tx.jaccard(F.col("t"), F.col("p")), 6).alias("similarity"))
 
 
