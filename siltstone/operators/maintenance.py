@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from siltstone.operators import ordered
 
 
 def config_fingerprint(versions: dict[str, str], config: dict) -> str:
@@ -30,22 +32,33 @@ def build_candidates(sources: DataFrame, runs: DataFrame, config: str) -> DataFr
     return sources.withColumn("run_key", run_key(F.col("snapshot_id"), config)).join(ready, "run_key", "left_anti")
 
 
+#: Lines of a bin, as a power of two.
+BIN_BITS = 6
+
+
 def chunk_at_line(lines: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
     """Each line's chunk (key, ordinal, start_line, end_line): the first that holds the line, else the document's first.
 
-    The range is a residual of an equi-join on the document, whose chunks are few.
+    A range join by bins of lines: a line meets only the chunks that reach into its bin.
     """
     first = chunks.groupBy(key).agg(F.min("ordinal").alias("first"))
-    hit = lines.join(chunks.select(key, "ordinal", "start_line", "end_line"), key, "left").groupBy(key, "line")
+    bins = F.sequence(F.shiftright("start_line", BIN_BITS), F.shiftright(F.greatest("start_line", "end_line"), BIN_BITS))
+    held = chunks.select(key, "ordinal", "start_line", "end_line", F.explode(bins).alias("_bin"))
+    hit = lines.select(key, "line", F.shiftright("line", BIN_BITS).alias("_bin")).join(held, [key, "_bin"], "left").groupBy(key, "line")
     held = hit.agg(F.min(F.when(F.col("line").between(F.col("start_line"), F.col("end_line")), F.col("ordinal"))).alias("inside"))
     return held.join(first, key, "left").select(key, "line", F.coalesce("inside", "first").alias("ordinal"), F.col("inside").isNotNull().alias("inside"))
 
 
 def percentiles(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, float]) -> DataFrame:
-    """Nearest-rank percentiles of each group."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    placed = rows.where(F.col(value).isNotNull()).withColumn("at", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
-    return placed.groupBy(*keys).agg(*[F.max(F.when(F.col("at") == F.greatest(F.lit(1), F.ceil(F.lit(r) * F.col("n"))), F.col(value))).alias(name) for name, r in ranks.items()])
+    """Nearest-rank percentiles of each group, which may be of any size: equal values are counted first, then counts are summed in order."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    placed = ordered.running_sum(counts, keys, [value], "_c")
+    totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_total")).withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = reduce(lambda x, y: x & y, [placed[k].eqNullSafe(totals[f"_{k}"]) for k in keys])
+    held = placed.join(totals, same).drop(*(f"_{k}" for k in keys))
+    at = lambda r: F.greatest(F.lit(1), F.ceil(F.lit(r) * F.col("_total")))
+    inside = lambda r: (at(r) > F.col("before")) & (at(r) <= F.col("before") + F.col("_c"))
+    return held.groupBy(*keys).agg(*[F.max(F.when(inside(r), F.col(value))).alias(name) for name, r in ranks.items()])
 
 
 def restorable(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

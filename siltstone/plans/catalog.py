@@ -417,6 +417,14 @@ def search_filtered(spark, sf_dir):
     return found.rows.select("doc_id", F.round("score", 9).alias("score"), "excerpt")
 
 
+@query
+def search_hybrid(spark, sf_dir):
+    """By text and by vector at once, on the stored index."""
+    held = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    found = retrieval.hybrid_search(chunks(spark, sf_dir), SEARCH, key="doc_id", vectors=held, query_vector=query_vector(spark, sf_dir), index=stored_index(spark, sf_dir))
+    return found.rows.select("doc_id", F.round("score", 9).alias("score"), F.transform("routes", lambda r: r["route"]).cast("string").alias("routes"))
+
+
 @query
 def context_budget(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source", tx.token_estimate("text").alias("tokens"))

@@ -362,3 +362,8 @@ SQL["deep_verify"] = """SELECT 'vector_missing' AS check, doc_id::VARCHAR AS id
     SELECT 'sequence', conv_id::VARCHAR FROM conversations GROUP BY conv_id HAVING count(*) <> count(DISTINCT turn) OR min(turn) <> 1 OR max(turn) <> count(*) UNION ALL
     SELECT 'cross_document', o_orderkey::VARCHAR FROM orders WHERE o_orderkey % 50 = 0 UNION ALL
     SELECT 'unsupported_statement', doc_id::VARCHAR FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IN (SELECT vec_id FROM embeddings))"""
+SQL["search_hybrid"] = f"""WITH {FTS}, {NEAR}, routes AS (SELECT doc_id, 'fts' AS route, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored QUALIFY rank <= 80
+    UNION ALL SELECT vec_id, 'vector', row_number() OVER (ORDER BY round(similarity, 9) DESC, vec_id) AS rank FROM near WHERE vec_id IN (SELECT doc_id FROM documents) QUALIFY rank <= 80),
+    fused AS (SELECT doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score, '[' || string_agg(route, ', ' ORDER BY route) || ']' AS routes FROM routes GROUP BY doc_id),
+    boosted AS (SELECT doc_id, score + CASE WHEN contains(lower({FIRST_LINE}), 'licensed apache') THEN 0.01 ELSE 0 END AS score, routes FROM fused JOIN documents USING (doc_id))
+    SELECT doc_id, round(score, 9) AS score, routes FROM boosted ORDER BY round(score, 9) DESC, doc_id LIMIT 20"""
