@@ -2,12 +2,14 @@
 
 An index has generations. Each is a folder of three tables:
 
-* ``postings``: (bucket, part, term, field, block, keys, lengths, places). A term is a
+* ``postings``: (bucket, part, term, field, block, docs, counts, places). A term is a
   trigram of lower-case characters as one number. A row holds one term's documents in
-  one field and one block, with each document's places. A block is what one task read
-  at once, so building moves rows of whole blocks and no text. Files are partitioned
-  by ``bucket``, a hash of the term, and sorted by term: a query's terms name the
-  folders and the row groups that are read.
+  one field and one block: their numbers in the block, how often each has the term and
+  where, numbers and places as differences, which pack well. A block is what one task
+  read at once, so building moves rows of whole blocks and no text. Files are
+  partitioned by ``bucket``, a hash of the term, and sorted by term: a query's terms
+  name the folders and the row groups that are read. Folders from ``KEYS`` on have
+  for each block the keys and lengths of its documents.
 * ``documents``: (key, part, length, version, ...) with the lengths that scores need,
   a hash of the indexed fields, and columns to filter by.
 * ``parts``: one row for each part, in order. A refresh adds a part with the changed
@@ -44,6 +46,8 @@ from siltstone.sources.generations import GenerationStore
 
 #: Hash partitions of the terms, and characters of text in a block.
 BUCKETS, BLOCK_CHARS = 64, 8 << 20
+#: From this number on, the folders of the blocks' keys, dealt by block.
+KEYS = BUCKETS
 #: Bits of a character in a term's number.
 BITS = 21
 
@@ -65,8 +69,23 @@ def _terms(text: str) -> tuple[np.ndarray, np.ndarray]:
     return (c[:-2] << 2 * BITS) | (c[1:-1] << BITS) | c[2:], np.arange(len(c) - 2)
 
 
-def _block(texts: list[str], keys: pa.Array, lengths: np.ndarray, block: int, field: str, names: list[str]) -> pa.RecordBatch:
-    """One row for each term: keys, lengths and places of its documents, in the order of ``texts``."""
+def _steps(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Differences within groups that begin at ``starts``; the first of each stays."""
+    out = np.diff(values, prepend=0)
+    out[starts] = values[starts]
+    return out.astype(np.int32)
+
+
+def _sums(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Running sums within groups of these sizes."""
+    total = np.cumsum(steps, dtype=np.int64)
+    starts = np.cumsum(sizes) - sizes
+    before = np.where(starts > 0, total[np.maximum(starts, 1) - 1], 0) if len(total) else starts
+    return total - np.repeat(before, sizes)
+
+
+def _block(texts: list[str], block: int, field: str) -> dict[str, pa.Array]:
+    """One row for each term: documents by their number in ``texts``, counts and places."""
     found = [_terms(t) for t in texts]
     doc = np.repeat(np.arange(len(texts)), [len(p) for _, p in found])
     terms, places = (np.concatenate([np.zeros(0, np.int64), *c]) for c in zip(*found, strict=True))
@@ -77,25 +96,24 @@ def _block(texts: list[str], keys: pa.Array, lengths: np.ndarray, block: int, fi
     changed[new_term] = True
     new_doc = np.flatnonzero(changed)
     row_at = np.append(np.searchsorted(new_doc, new_term), len(new_doc)).astype(np.int32)
-    place_at = np.append(new_doc, len(doc)).astype(np.int32)
-    each = doc[new_doc]
-    listed = lambda values: pa.ListArray.from_arrays(pa.array(row_at), values)
     numbers = terms[new_term]
-    columns = [
-        pa.array([bucket_of(x) for x in numbers.tolist()], pa.int32()), pa.array(numbers), pa.array([field] * len(numbers), pa.string()), pa.array(np.full(len(numbers), block)),
-        listed(keys.take(pa.array(each))), listed(pa.array(lengths[each].astype(np.int32))), listed(pa.ListArray.from_arrays(pa.array(place_at), pa.array(places.astype(np.int32)))),
-    ]
-    return pa.RecordBatch.from_arrays(columns, names)
+    listed = lambda at, values: pa.ListArray.from_arrays(pa.array(at), pa.array(values.astype(np.int32)))
+    return {
+        "bucket": pa.array([bucket_of(x) for x in numbers.tolist()], pa.int32()), "term": pa.array(numbers), "field": pa.array([field] * len(numbers), pa.string()), "block": pa.array(np.full(len(numbers), block)),
+        "docs": listed(row_at, _steps(doc[new_doc], row_at[:-1])), "counts": listed(row_at, np.diff(np.append(new_doc, len(doc)))),
+        "places": listed(np.append(new_term, len(doc)).astype(np.int32), _steps(places, new_doc)),
+    }
 
 
 def posting_schema(kind: T.DataType) -> T.StructType:
     """Of postings whose keys are of this kind."""
     longs = T.ArrayType(T.IntegerType())
-    return T.StructType().add("bucket", T.IntegerType()).add("term", T.LongType()).add("field", T.StringType()).add("block", T.LongType()).add("keys", T.ArrayType(kind)).add("lengths", longs).add("places", T.ArrayType(longs))
+    schema = T.StructType().add("bucket", T.IntegerType()).add("term", T.LongType()).add("field", T.StringType()).add("block", T.LongType())
+    return schema.add("docs", longs).add("counts", longs).add("places", longs).add("keys", T.ArrayType(kind)).add("lengths", longs)
 
 
 def postings(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(bucket, term, field, block, keys, lengths, places) of rows with a key and lower-case fields."""
+    """The rows of ``posting_schema`` of rows with a key and lower-case fields."""
     schema = posting_schema(rows.schema[key].dataType)
     names = schema.names
 
@@ -107,11 +125,20 @@ def postings(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
             texts = {f: batch.column(f).to_pylist() for f in fields}
             sizes = np.array([[len(t) for t in texts[f]] for f in fields], np.int64).reshape(len(fields), batch.num_rows)
             lengths, ends = np.maximum(sizes - 2, 0).sum(axis=0), np.cumsum(sizes.sum(axis=0))
+            longs = pa.list_(pa.int32())
             at = 0
             while at < batch.num_rows:
                 stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_CHARS, "right")))
+                kind = pa.list_(batch.schema.field(key).type)
                 for f in fields:
-                    yield _block(texts[f][at:stop], batch.column(key).slice(at, stop - at), lengths[at:stop], block, f, names)
+                    own = _block(texts[f][at:stop], block, f)
+                    n = len(own["term"])
+                    own |= {"keys": pa.nulls(n, kind), "lengths": pa.nulls(n, longs)}
+                    yield pa.RecordBatch.from_arrays([own[c] for c in names], names)
+                whole = pa.array([0, stop - at], pa.int32())
+                none = pa.nulls(1, longs)
+                ids, sizes_ = pa.ListArray.from_arrays(whole, batch.column(key).slice(at, stop - at)), pa.ListArray.from_arrays(whole, pa.array(lengths[at:stop].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array([KEYS + (block ^ block >> 32) % BUCKETS], pa.int32()), pa.array([-1]), pa.array([""]), pa.array([block]), none, none, none, ids, sizes_], names)
                 at, block = stop, block + 1
 
     cores, few = rows.sparkSession.sparkContext.defaultParallelism, rows.select(key, *fields)
@@ -120,6 +147,47 @@ def postings(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return few.mapInArrow(index, schema)
 
 
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document of posting rows: its number, and its places shifted by the term's offset in the word."""
+    for batch in batches:
+        lists = {c: batch.column(c) for c in ("docs", "counts", "places")}
+        per_row = lists["docs"].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        counts = lists["counts"].flatten().to_numpy().astype(np.int64)
+        doc = _sums(lists["docs"].flatten().to_numpy(), per_row)
+        row = np.repeat(np.arange(batch.num_rows), per_row)
+        offset = batch.column("offset").to_numpy()[row]
+        places = _sums(lists["places"].flatten().to_numpy(), counts) - np.repeat(offset, counts)
+        at = np.append(0, np.cumsum(counts)).astype(np.int32)
+        taken = [batch.column(c).take(pa.array(row)) for c in ("word", "part", "field", "block", "needed")]
+        yield pa.RecordBatch.from_arrays([*taken, pa.array(doc.astype(np.int32)), pa.ListArray.from_arrays(pa.array(at), pa.array(places.astype(np.int32)))], ["word", "part", "field", "block", "needed", "doc", "places"])
+
+
+def _living(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Posting rows with the documents alone whose numbers are in ``alive``; rows that have none left go."""
+    for batch in batches:
+        out = {c: [] for c in ("docs", "counts", "places")}
+        keep = []
+        columns = {c: batch.column(c) for c in (*out, "alive")}
+        for i in range(batch.num_rows):
+            docs, counts, places, alive = (columns[c][i].values.to_numpy() for c in ("docs", "counts", "places", "alive"))
+            numbers = np.cumsum(docs)
+            live = np.isin(numbers, alive)
+            if live.any():
+                keep.append(i)
+                out["docs"].append(np.diff(numbers[live], prepend=0).astype(np.int32))
+                out["counts"].append(counts[live])
+                out["places"].append(places[np.repeat(live, counts)])
+        rest = [batch.column(c).take(pa.array(keep, pa.int64())) for c in ("bucket", "term", "field", "block", "part")]
+        yield pa.RecordBatch.from_arrays([*rest, *(pa.array(v, pa.list_(pa.int32())) for v in out.values())], ["bucket", "term", "field", "block", "part", *out])
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Posting rows as they are written: a bucket's blocks over several tasks where the session has more tasks than buckets."""
+    tasks = max(BUCKETS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    share = F.pmod(F.xxhash64("block"), F.lit(-(-tasks // BUCKETS)))
+    return rows.repartition(tasks, "bucket", share).sortWithinPartitions("bucket", "term", "field", "block")
+
+
 def cover(word: str, counts: dict[int, int]) -> list[tuple[int, int]]:
     """(term, offset) of trigrams that together hold every character of a word, rare ones first."""
     grams = sorted((counts.get(term(word[i : i + 3]), 0), i) for i in range(len(word) - 2))
@@ -167,8 +235,7 @@ class TextIndex:
     def _write(self, generation: str, part: int, rows: DataFrame, unique: bool) -> None:
         rows = rows if unique else self._once(rows)
         held = postings(self._lower(rows), self.key, self.fields).withColumn("part", F.lit(part))
-        dealt = held.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term", "field", "block")
-        dealt.write.partitionBy("bucket").mode("append").parquet(self._path(generation, "postings"))
+        _dealt(held).write.partitionBy("bucket").option("compression", "zstd").mode("append").parquet(self._path(generation, "postings"))
         self.versions(rows).withColumn("part", F.lit(part)).withColumn("gone", F.lit(False)).write.mode("append").parquet(self._path(generation, "documents"))
 
     def build(self, generation: str, rows: DataFrame, unique: bool = True) -> None:
@@ -199,13 +266,13 @@ class TextIndex:
     def merge(self, generation: str, into: str) -> None:
         """A new generation of one part from the postings that count, without reading texts."""
         live = self.documents(generation)
-        rows = self._postings(generation).select("bucket", "term", "field", "block", "part", F.explode(F.arrays_zip("keys", "lengths", "places")).alias("p"))
-        rows = rows.withColumn(self.key, F.col("p.keys")).join(live.select(self.key, "part"), [self.key, "part"], "left_semi")
         # blocks of different parts share numbers: the part tells them apart
         both = F.col("block") * F.lit(1 << 10) + F.col("part") % (1 << 10)
-        rows = rows.groupBy("bucket", "term", "field", both.alias("block")).agg(F.sort_array(F.collect_list("p")).alias("p"))
-        rows = rows.select("bucket", "term", "field", "block", F.col("p.keys").alias("keys"), F.col("p.lengths").alias("lengths"), F.col("p.places").alias("places"), F.lit(0).alias("part"))
-        rows.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term", "field", "block").write.partitionBy("bucket").parquet(self._path(into, "postings"))
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in self._postings(generation).schema if f.name in ("keys", "lengths")]
+        kept = self._living(generation).select("bucket", "term", "field", both.alias("block"), "docs", "counts", "places", *none)
+        names = self._postings(generation).where(F.col("bucket") >= KEYS).withColumn("block", both).select(*kept.columns)
+        rows = kept.unionByName(names).withColumn("part", F.lit(0))
+        _dealt(rows).write.partitionBy("bucket").option("compression", "zstd").parquet(self._path(into, "postings"))
         live.withColumn("part", F.lit(0)).withColumn("gone", F.lit(False)).write.parquet(self._path(into, "documents"))
         self.store.write(into, self.spark.createDataFrame([(0,)], "part int"))
 
@@ -226,19 +293,27 @@ class TextIndex:
     def frequencies(self, words: list[str], generation: str) -> dict[int, int]:
         """Documents and fields that hold each trigram of the words, from one narrow column of their rows."""
         numbers = sorted({term(w[i : i + 3]) for w in words for i in range(len(w) - 2)})
-        return {r.term: r.n for r in self._read(generation, numbers).groupBy("term").agg(F.sum(F.size("lengths")).alias("n")).collect()}
+        return {r.term: r.n for r in self._read(generation, numbers).groupBy("term").agg(F.sum(F.size("docs")).alias("n")).collect()}
+
+    def _numbers(self, generation: str) -> DataFrame:
+        """(part, block, doc, key, length) of every document of every part: its number in its block."""
+        names = self._postings(generation).where(F.col("bucket") >= KEYS)
+        return names.select("part", "block", F.posexplode(F.arrays_zip("keys", "lengths")).alias("doc", "p")).select("part", "block", "doc", F.col("p.keys").alias(self.key), F.col("p.lengths").alias("length"))
+
+    def _living(self, generation: str) -> DataFrame:
+        """Postings of the documents that count; a block's living numbers are joined to its rows."""
+        rows = self._postings(generation).where(F.col("bucket") < KEYS).drop("keys", "lengths")
+        if self.store.read(generation).count() == 1:
+            return rows
+        live = self._numbers(generation).join(self.documents(generation).select(self.key, "part"), [self.key, "part"], "left_semi")
+        alive = live.groupBy("part", "block").agg(F.collect_list("doc").alias("alive"))  # a block's documents
+        joined = rows.join(alive, ["part", "block"]).select("bucket", "term", "field", "block", "part", "docs", "counts", "places", "alive")
+        return joined.mapInArrow(_living, "bucket int, term long, field string, block long, part int, docs array<int>, counts array<int>, places array<int>")
 
     def terms(self, field: str, generation: str | None = None) -> DataFrame:
         """term, df, tf of every trigram of a field."""
-        generation = generation or self.current()
-        rows = self._postings(generation).where(F.col("field") == field)
-        if self.store.read(generation).count() > 1:
-            live = self.documents(generation).select(F.col(self.key).alias("k"), "part")
-            each = rows.select("term", "part", F.explode(F.arrays_zip("keys", "places")).alias("p")).select("term", "part", F.col("p.keys").alias("k"), F.size("p.places").alias("n"))
-            each = each.join(live, ["k", "part"], "left_semi").select("term", F.lit(1).alias("d"), "n")
-        else:
-            each = rows.select("term", F.size("keys").alias("d"), F.aggregate("places", F.lit(0), lambda s, p: s + F.size(p)).alias("n"))
-        per = each.groupBy("term").agg(F.sum("d").alias("df"), F.sum("n").alias("tf"))
+        rows = self._living(generation or self.current()).where(F.col("field") == field)
+        per = rows.groupBy("term").agg(F.sum(F.size("docs")).alias("df"), F.sum(F.size("places")).alias("tf"))
         of = lambda shift: F.lpad(F.hex(F.shiftright("term", shift).bitwiseAND(F.lit((1 << BITS) - 1))), 8, "0")
         return per.select(F.decode(F.unhex(F.concat(of(2 * BITS), of(BITS), of(0))), "UTF-32").alias("term"), "df", "tf")
 
@@ -260,13 +335,14 @@ class TextIndex:
         # narrow: which blocks hold all of a word's trigrams
         whole = read.select("term", "field", "block", "part").join(wanted, "term").groupBy(*where, "needed").agg(F.count("*").alias("n")).where("n = needed").select(*where)
         rows = read.join(wanted, "term").join(whole, where, "left_semi")
-        each = rows.select(*where, "offset", "needed", F.explode(F.arrays_zip("keys", "lengths", "places")).alias("p"))
-        each = each.select("word", "part", "field", "needed", F.col("p.keys").alias(self.key), F.col("p.lengths").alias("length"), F.transform("p.places", lambda x: x - F.col("offset")).alias("places"))
-        met = each.groupBy("word", "part", "field", self.key, "length", "needed").agg(F.collect_list("places").alias("all")).where(F.size("all") == F.col("needed"))
+        opened = rows.select(*where, "offset", "needed", "docs", "counts", "places").mapInArrow(_opened, "word int, part int, field string, block long, needed int, doc int, places array<int>")
+        met = opened.groupBy("word", "part", "field", "block", "doc", "needed").agg(F.collect_list("places").alias("all")).where(F.size("all") == F.col("needed"))
         places = F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(1))), F.col("all")[0], lambda a, b: F.array_intersect(a, b))
-        met = met.select("word", "part", "field", self.key, "length", places.alias("places"))
+        met = met.select("word", "part", "field", "block", "doc", places.alias("places"))
         tf = reduce(lambda rest, i: F.when(F.col("word") == i, _apart(F.col("places"), len(words[i]))).otherwise(rest), range(len(words)), F.lit(0))
-        return met.select("word", "part", "field", self.key, "length", tf.alias("tf")).where("tf > 0")
+        met = met.select("word", "part", "field", "block", "doc", tf.alias("tf")).where("tf > 0")
+        names = self._postings(generation).where(F.col("bucket") >= KEYS).select("part", "block", "keys", "lengths")
+        return met.join(names, ["part", "block"]).select("word", "part", "field", F.col("keys")[F.col("doc")].alias(self.key), F.col("lengths")[F.col("doc")].alias("length"), "tf")
 
     def counted(self, words: list[str], weights: dict[str, float], generation: str, keep: Column | None = None) -> tuple[DataFrame, DataFrame]:
         """What ``fulltext.scores`` takes: term counts of the documents that hold a word, and statistics of all (that ``keep`` holds for)."""
