@@ -256,6 +256,8 @@ SHARED = 4
 #: Texts that are sampled for the order of shingles, and how often a frequent one occurs in them.
 SAMPLED, FREQUENT, MOST_FREQUENT = 10_000, 8, 500_000
 SETS = "doc_id long, e long, sid long, fp long, n int, shingles array<long>"
+#: Sets of the largest component that the others are tried with for their many links, and how often.
+HUBS, STARS = 2, 2
 #: Pairs that a task gives out at once.
 PAIRS = 200_000
 #: Sets of one shingle that are compared in memory at once; more are dealt into blocks, and pairs of blocks are compared.
@@ -325,11 +327,13 @@ def _least_shared(n, tenths: int):
 
 
 def _shared(docs: DataFrame, total: int, shingle: int, tenths: int) -> DataFrame:
-    """(h, sid): the shingles in the prefixes of two distinct sets or more.
+    """(h, sid, pos): the shingles in the prefixes of two distinct sets or more, and their place in the set's order.
 
     Shingles have one order for all sets, frequent ones last; any order is exact.
     Two sets of the similarity have SHARED shingles (or as many as the smaller
-    bound allows) in common among the first n - bound + SHARED of each.
+    bound allows) in common among the first n - bound + SHARED of each. Of the k-th that
+    they have in common both have at least overlap - k + 1 left, itself among them, so a
+    shingle further back needn't pair them.
     """
     share = min(1.0, SAMPLED / max(1, total))
     sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
@@ -350,25 +354,27 @@ def _shared(docs: DataFrame, total: int, shingle: int, tenths: int) -> DataFrame
                         x = np.concatenate([x[~late], x[late]])
                     bound = _least_shared(len(x), tenths)
                     firsts.append(x[: len(x) - bound + min(SHARED, bound)])
-                sids = np.repeat(part.column("sid").to_numpy(), [len(x) for x in firsts])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*firsts, np.zeros(0, np.int64)])), pa.array(sids)], ["h", "sid"])
+                sizes = np.array([len(x) for x in firsts], np.int64)
+                sids = np.repeat(part.column("sid").to_numpy(), sizes)
+                pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*firsts, np.zeros(0, np.int64)])), pa.array(sids), pa.array(pos.astype(np.int32))], ["h", "sid", "pos"])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = sid = np.zeros(0, np.int64)
+        h, sid, pos = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         for batch in _then_none(batches):
             if batch is not None:
-                h, sid = np.concatenate([h, batch.column("h").to_numpy()]), np.concatenate([sid, batch.column("sid").to_numpy()])
+                h, sid, pos = (np.concatenate([x, batch.column(c).to_numpy()]) for x, c in ((h, "h"), (sid, "sid"), (pos, "pos")))
                 new = np.concatenate([[True], (h[1:] != h[:-1]) | (sid[1:] != sid[:-1])])[: len(h)]
-                h, sid = h[new], sid[new]
+                h, sid, pos = h[new], sid[new], pos[new]
             whole = len(h) if batch is None else int(np.searchsorted(h, h[-1])) if len(h) else 0
-            x, y = h[:whole], sid[:whole]
-            h, sid = h[whole:], sid[whole:]
+            x, y, z = h[:whole], sid[:whole], pos[:whole]
+            h, sid, pos = h[whole:], sid[whole:], pos[whole:]
             same = x[1:] == x[:-1]
             several = np.concatenate([[False], same])[: len(x)] | np.concatenate([same, [False]])[: len(x)]
-            yield pa.RecordBatch.from_arrays([pa.array(x[several]), pa.array(y[several])], ["h", "sid"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[several]), pa.array(y[several]), pa.array(z[several])], ["h", "sid", "pos"])
 
-    pieces = map_arrow(_sets(docs, shingle).select("sid", "shingles"), prefixes, "h long, sid long")
-    return map_arrow(pieces.repartition("h").sortWithinPartitions("h", "sid"), runs, "h long, sid long")
+    pieces = map_arrow(_sets(docs, shingle).select("sid", "shingles"), prefixes, "h long, sid long, pos int")
+    return map_arrow(pieces.repartition("h").sortWithinPartitions("h", "sid"), runs, "h long, sid long, pos int")
 
 
 def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -394,7 +400,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, shingle: int,
 
 
 def _buckets_of(shared: DataFrame, named: DataFrame, stars: bool) -> DataFrame:
-    """m: the sets (sid, root, fp, n, block) of one shingle, or of a pair of its blocks, where they are of different components.
+    """m: the sets (sid, root, fp, n, block, degree, pos) of one shingle, or of a pair of its blocks, where they are of different components.
 
     A shingle of more than BUCKET sets has them dealt into blocks, each of which
     meets every other block (with ``stars`` only itself).
@@ -405,7 +411,7 @@ def _buckets_of(shared: DataFrame, named: DataFrame, stars: bool) -> DataFrame:
     others = F.array("block") if stars else F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1)
     members = members.withColumn("other", F.explode(others))
     group = F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
-    dealt = members.select("h", *group, "root", F.struct("sid", "root", "fp", "n", "block").alias("one"))
+    dealt = members.select("h", *group, "root", F.struct("sid", "root", "fp", "n", "block", "degree", "pos").alias("one"))
     return dealt.groupBy("h", "i", "j").agg(F.collect_list("one").alias("m"), F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("m")
 
 
@@ -428,20 +434,33 @@ class _Pairs:
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(need)], ["a", "b", "need"])
 
 
-def _pairs(shared: DataFrame, named: DataFrame, roots: DataFrame, tenths: int, stars: bool) -> DataFrame:
-    """Pairs of different components that share a prefix shingle: all that the sizes allow, or each with the nearest of the largest component."""
+def _pairs(shared: DataFrame, named: DataFrame, roots: DataFrame, links_: DataFrame, tenths: int, stars: bool) -> DataFrame:
+    """Pairs of different components that share a prefix shingle: all that the sizes allow, or each with some of the largest component.
+
+    These are the nearest by fingerprint and the HUBS with the most links (a, b) so far:
+    copies with edits of their own are often nearer to what they were copied from than to each other.
+    """
+    degrees = links_.select(F.col("a").alias("sid")).unionAll(links_.select(F.col("b").alias("sid"))).groupBy("sid").agg(F.count("*").alias("degree"))
     named = named.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    named = named.join(degrees, "sid", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("m")
             flat = lists.flatten()
-            sid, root, fp, n, block = (flat.field(c).to_numpy().astype(np.int64) for c in ("sid", "root", "fp", "n", "block"))
+            sid, root, fp, n, block, degree, pos = (flat.field(c).to_numpy().astype(np.int64) for c in ("sid", "root", "fp", "n", "block", "degree", "pos"))
             bound = _least_shared(n, tenths)
             sizes = lists.value_lengths().to_numpy()
             starts = np.cumsum(sizes) - sizes
             two = starts[sizes == 2]
-            fits = (root[two] != root[two + 1]) & (np.minimum(n[two], n[two + 1]) >= np.maximum(bound[two], bound[two + 1]))
+
+            def fitting(i, j, root=root, n=n, bound=bound, pos=pos):
+                """Different components, sizes near enough, and early enough to be one of a similar pair's first SHARED common shingles."""
+                overlap = -(-tenths * (n[i] + n[j]) // (10 + tenths))
+                early = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= overlap - (SHARED - 1)
+                return (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= np.maximum(bound[i], bound[j])) & early
+
+            fits = fitting(two, two + 1)
             out = _Pairs(sid, bound)
             out.add(two if stars else two[fits], two + 1 if stars else two[fits] + 1)
             for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
@@ -451,11 +470,13 @@ def _pairs(shared: DataFrame, named: DataFrame, roots: DataFrame, tenths: int, s
                     home = at[root[at] == values[counts.argmax()]]
                     away = at[root[at] != values[counts.argmax()]]
                     out.add(away, home[[np.bitwise_count((fp[home] ^ fp[i]).view(np.uint64)).argmin() for i in away]])
+                    for hub in home[np.lexsort((sid[home], -degree[home]))[:HUBS]]:
+                        out.add(away, np.full(len(away), hub))
                 else:
                     apart = block[at].min() < block[at].max()
                     for i in range(start, start + size - 1):
                         rest = at[i + 1 - start :]
-                        fits = (root[rest] != root[i]) & (np.minimum(n[rest], n[i]) >= np.maximum(bound[rest], bound[i]))
+                        fits = fitting(i, rest)
                         near = rest[fits & (block[rest] != block[i])] if apart else rest[fits]
                         if len(near):
                             out.add(np.full(len(near), i), near)
@@ -482,10 +503,12 @@ def similar(docs: DataFrame, shingle: int = 5, radius: int = 6, tenths: int = 8)
     first = near.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(same).distinct()
     edges = _verified(first, docs, rows, shingle, tenths)
     named = materialize(rows.groupBy("sid").agg(F.min("fp").alias("fp"), F.min("n").alias("n")), "sets")
-    for stars in (True, False):
+    every = edges
+    for stars in (*[True] * STARS, False):
         roots = components(edges)  # a forest of stars, from which the next components are soon found
-        more = _verified(_pairs(shared, named, roots, tenths, stars), docs, rows, shingle, tenths)
+        more = _verified(_pairs(shared, named, roots, every, tenths, stars), docs, rows, shingle, tenths)
         edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more.select("a", "b"))
+        every = every.unionByName(more.select("a", "b"))
     found = rooted(rows.select("doc_id", "e", "sid"), "sid", edges)
     discard(shared, named)
     return found
