@@ -257,7 +257,7 @@ SHARED = 4
 SAMPLED, FREQUENT, MOST_FREQUENT = 10_000, 8, 500_000
 SETS = "doc_id long, e long, sid long, fp long, n int, shingles array<long>"
 #: Sets of the largest component that the others are tried with for their many links, and how often.
-HUBS, STARS = 2, 2
+HUBS, STARS = 2, 1
 #: Pairs that a task gives out at once.
 PAIRS = 200_000
 #: Sets of one shingle that are compared in memory at once; more are dealt into blocks, and pairs of blocks are compared.
