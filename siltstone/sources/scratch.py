@@ -12,7 +12,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``. Where none is set, a temporary folder if all runs on this machine; else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="siltstone-")
         spark.sparkContext.setCheckpointDir(found)
