@@ -19,6 +19,15 @@ CJK_CLASS = f"[{NOT_ASCII}&&[{CJK}]]"
 SPACE_CLASS = f"[\\s[{NOT_ASCII}&&[{SPACE}]]]"
 EITHER_CLASS = f"[\\s[{NOT_ASCII}&&[{CJK}{SPACE}]]]"
 
+#: Characters that ``upper_each`` keeps: their capitals take more than one character, or are younger than SQL's tables.
+NO_CAPITAL = (
+    "\u0149\u019b\u01f0\u0264\u0390\u03b0\u0587\u1c8a\u1e96-\u1e9a\u1f50\u1f52\u1f54\u1f56\u1f88-\u1f8f\u1f98-\u1f9f\u1fa8-\u1faf\u1fb2\u1fb4\u1fb6\u1fb7\u1fbc\u1fc2"
+    "\u1fc4\u1fc6\u1fc7\u1fcc\u1fd2\u1fd3\u1fd6\u1fd7\u1fe2-\u1fe4\u1fe6\u1fe7\u1ff2\u1ff4\u1ff6\u1ff7\u1ffc\ua7cd\ua7db\ufb00-\ufb06\ufb13-\ufb17\U00010d70-\U00010d85"
+)
+#: Characters that have a capital of one character, though Spark's ``upper`` writes more than one.
+SMALL = "ß" + "".join(chr(c + i) for c in (0x1F80, 0x1F90, 0x1FA0) for i in range(8)) + "ᾳῃῳ"
+CAPITAL = "ẞ" + "".join(chr(c + i) for c in (0x1F88, 0x1F98, 0x1FA8) for i in range(8)) + "ᾼῌῼ"
+
 ColumnOrName = Column | str
 
 
@@ -69,6 +78,14 @@ def normalize_label(text: ColumnOrName) -> Column:
     return F.lower(F.trim(F.regexp_replace(nfkc(_c(text)), f"{SPACE_CLASS}++", " ")))
 
 
+def upper_each(text: ColumnOrName) -> Column:
+    """Upper case of each character by itself, as SQL has it: ß becomes ẞ, and one that has no single capital stays."""
+    x = F.translate(_c(text), SMALL, CAPITAL)
+    pieces = F.split(x, f"(?<=[{NO_CAPITAL}])|(?=[{NO_CAPITAL}])")
+    apart = F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(f"[{NO_CAPITAL}]"), p).otherwise(F.upper(p))), "")
+    return F.when(x.rlike(f"[{NO_CAPITAL}]"), apart).otherwise(F.upper(x))
+
+
 def sha256(text: ColumnOrName) -> Column:
     return F.sha2(_c(text), 256)
 

@@ -222,7 +222,7 @@ def observations(spark, sf_dir) -> DataFrame:
 @query
 def change_classify(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    digest = F.when(F.col("lang") == "fr", F.sha2(F.upper("text"), 256)).otherwise(F.sha2("text", 256))
+    digest = F.when(F.col("lang") == "fr", F.sha2(tx.upper_each("text"), 256)).otherwise(F.sha2("text", 256))
     path = F.concat_ws("/", "lang", "doc_id")
     now = d.select(path.alias("relative_path"), F.lower(path).alias("normalized_path_key"), F.lit(None).cast("string").alias("file_identity"), digest.alias("content_hash"))
     return versioning.classify_changes(observations(spark, sf_dir), now, "2024-01-01 00:01:00", 30_000)

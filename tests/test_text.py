@@ -1,5 +1,6 @@
 import re
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -34,6 +35,15 @@ def test_normalize_text_is_the_parsers(spark):
     assert got == [normalize_text(t) for t in texts]
 
 
+def test_upper_case_is_that_of_sql(spark):
+    texts = ["Straße ŉ\nﬁn ᾳ ᾼ ÿé", "ß", "plain", "", None, *(chr(i) for i in range(1, 0x1E000) if not 0xD800 <= i < 0xE000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    got = [r.x for r in rows.orderBy("i").select(tx.upper_each("t").alias("x")).collect()]
+    sql = duckdb.connect()
+    sql.register("rows", rows.orderBy("i").toArrow())
+    assert got == [x for (x,) in sql.execute("SELECT upper(t) FROM rows ORDER BY i").fetchall()]
+
+
 def test_jaccard(spark):
     pairs = [("a b c", "b c d"), ("", ""), ("a", ""), ("A-b", "a B")]
     rows = spark.createDataFrame(pairs, ["a", "b"]).select(tx.jaccard(tx.tokens("a"), tx.tokens("b")).alias("x")).collect()
