@@ -1,8 +1,8 @@
 """URL filters: host and path rules, and association rules mined from labelled URLs.
 
 A URL becomes a set of tokens: its top-level domain, the words of its host, its path's
-segments (numbers by their length), extension and query keys. FP-growth finds the
-token combinations that are frequent among labelled URLs. A combination of at most
+segments (numbers by their length), extension and query keys. Token combinations that
+are frequent among labelled URLs are counted size by size. A combination of at most
 ``longest`` tokens becomes a rule for a verdict if
 
 * the URLs with it that have the verdict are at least ``support`` per mille of all
@@ -17,11 +17,10 @@ tokens, and the best rule decides: highest confidence, then most URLs, then most
 tokens, then block before allow, then last in order. Where a fixed rule fits,
 it decides; where nothing fits, the URL is allowed.
 
-FP-growth runs on Spark's own distributed trees, combined before the shuffle. A
-labelled URL enters it with its first ``widest`` tokens (host first), which bounds
-the combinations of one URL; matching knows no such bound. Only one number, the
-count of labelled URLs, comes to the driver; Spark's fit also takes the frequent
-single tokens there, at most ``1000 * widest / support``.
+All tokens of a labelled URL are mined. Rare ones go first, then a combination grows
+only from frequent ones, by tokens that follow in order, so each is made once for each
+distinct set and its counts are combined before the shuffle. Only the numbers of
+allowed and blocked URLs come to the driver.
 
 A null URL, or one without ``://``, has an empty host and path and no tokens: it is
 allowed unless a fixed rule says otherwise. Null labels aren't mined. Repeated rows
@@ -32,8 +31,8 @@ empty table gives no rows. Extra columns are ignored.
 from __future__ import annotations
 
 import string
+from functools import reduce
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +40,7 @@ from siltstone.llm.common import materialize, renamed
 
 ALLOW, BLOCK = "allow", "block"
 #: Thresholds of the query's rules.
-SUPPORT, LEAST, CONFIDENCE, LONGEST, WIDEST = 5, 5, 80, 3, 12
+SUPPORT, LEAST, CONFIDENCE, LONGEST = 5, 5, 80, 3
 
 # The rules of the query, verdict and host with the start of a path.
 RULES = [(ALLOW, "org/"), (BLOCK, "example.org/es/"), (BLOCK, "example.org/en/1"), (ALLOW, "com/fr/"), (BLOCK, "com/de/")]
@@ -80,23 +79,42 @@ def tokens(url: str = "url") -> Column:
     return F.array_distinct(F.filter(F.concat(tld, host, path, ext, keys), lambda t: ~t.rlike("(?s)^[a-z]+=$")))
 
 
-def mine(labelled: DataFrame, support: int = SUPPORT, least: int = LEAST, confidence: int = CONFIDENCE, longest: int = LONGEST, widest: int = WIDEST) -> DataFrame:
+def frequent(labelled: DataFrame, needed: int, longest: int = LONGEST) -> DataFrame:
+    """Token combinations (items, in order) of at most ``longest`` that ``needed`` URLs of one verdict have: how many are allowed, how many blocked."""
+    counts = [F.sum(v).alias(v) for v in (ALLOW, BLOCK)]
+    enough = F.greatest(ALLOW, BLOCK) >= needed
+    sets = labelled.groupBy("tokens").agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in (ALLOW, BLOCK)])
+    sets = materialize(sets.withColumn("id", F.monotonically_increasing_id()), "url-sets")
+    each = sets.select("id", ALLOW, BLOCK, F.explode("tokens").alias("token"))
+    single = materialize(each.groupBy("token").agg(*counts).where(enough), "url-tokens")
+    # rare tokens are in no frequent combination; without them many sets are the same
+    common = each.join(single.select("token"), "token").groupBy("id", ALLOW, BLOCK).agg(F.sort_array(F.collect_set("token")).alias("rest"))
+    held = common.groupBy("rest").agg(*counts).select(F.array().cast("array<string>").alias("items"), "rest", ALLOW, BLOCK)
+    held = materialize(held, "url-common")
+    found = single.select(F.array("token").alias("items"), ALLOW, BLOCK)
+    levels = [found]
+    for size in range(1, longest + 1):
+        held = held.select("items", "rest", ALLOW, BLOCK, F.posexplode("rest").alias("at", "token"))
+        held = held.select(F.array_append("items", F.col("token")).alias("items"), F.slice("rest", F.col("at") + 2, F.size("rest")).alias("rest"), ALLOW, BLOCK)
+        if size > 1:
+            found = materialize(held.groupBy("items").agg(*counts).where(enough), f"url-combinations-{size}")
+            levels.append(found)
+        held = held.where(F.size("rest") > 0).join(found.select("items"), "items", "left_semi")
+    return reduce(DataFrame.unionByName, levels)
+
+
+def mine(labelled: DataFrame, support: int = SUPPORT, least: int = LEAST, confidence: int = CONFIDENCE, longest: int = LONGEST) -> DataFrame:
     """Rules from ``labelled`` (tokens, verdict): verdict, items, and how many URLs have both and the items alone."""
-    spark = labelled.sparkSession
-    labelled = labelled.where(F.col("verdict").isin(ALLOW, BLOCK)).select(F.array_append(F.slice("tokens", 1, widest), F.concat(F.lit("="), "verdict")).alias("items"))
-    n = labelled.count()
+    labelled = labelled.where(F.col("verdict").isin(ALLOW, BLOCK)).select("tokens", "verdict")
+    totals = labelled.agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in (ALLOW, BLOCK)]).first()
+    n = totals[ALLOW] + totals[BLOCK]
     if not n:
-        return spark.createDataFrame([], RULE)
+        return labelled.sparkSession.createDataFrame([], RULE)
     needed = max(least, -(-n * support // 1000))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (needed - 0.5) / n), numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions"))).fit(labelled)
-    sets = model.freqItemsets.where(F.size("items") <= longest + 1).select(F.array_sort("items").alias("items"), "freq")
-    sets = materialize(sets, "token-sets")
-    said = F.get("items", F.lit(0))  # "=" sorts before every token
-    has = said.startswith("=")
-    both = sets.where(has).select(F.substring(said, 2, 9).alias("verdict"), F.slice("items", 2, longest).alias("items"), F.col("freq").alias("n_both"))
-    totals = both.where(F.size("items") == 0).select("verdict", F.col("n_both").alias("n_verdict"))
-    alone = sets.where(~has).select("items", F.col("freq").alias("n_items"))
-    rules = both.join(alone, "items").join(totals, "verdict")
+    sets = frequent(labelled, needed, longest)
+    all_ = F.col(ALLOW) + F.col(BLOCK)
+    said = F.explode(F.array(*[F.struct(F.lit(v).alias("verdict"), F.col(v).alias("n_both"), F.lit(totals[v]).alias("n_verdict")) for v in (ALLOW, BLOCK)])).alias("said")
+    rules = sets.select("items", all_.alias("n_items"), said).select("said.*", "items", "n_items").where(F.col("n_both") >= needed)
     rules = rules.where((100 * F.col("n_both") >= confidence * F.col("n_items")) & (F.col("n_both") * n > F.col("n_items") * F.col("n_verdict")))
     return pruned(materialize(rules.select("verdict", "items", "n_both", "n_items"), "url-rules"), longest)
 

@@ -136,6 +136,27 @@ def test_url_filter_like_plain_python(spark):
     assert any(r[5] and r[4] == "block" for r in got) and any(r[5] and r[4] == "allow" for r in got)
 
 
+def test_rules_use_tokens_behind_the_twelfth(spark):
+    segments = "/".join(f"s{i}" for i in range(14))
+    urls = [f"http://a{i % 3}.com/{'de' if i % 2 else 'fr'}/{segments}/{'pills' if i % 2 else 'news'}" for i in range(40)]
+    urls += [f"http://b.net/x/{word}" for word in ("pills", "news", "other")]
+    got = ur.op11(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).orderBy("page_id").collect()
+    assert [(r.verdict, r.pattern) for r in got[-3:]] == [("block", "path=pills"), ("allow", "path=news"), ("allow", None)]
+
+
+def test_frequent_combinations_are_all_those_of_up_to_three(spark):
+    rng = random.Random(8)
+    rows = [(rng.sample([f"t{i}" for i in range(18)], rng.randrange(17)), rng.choice(["allow", "block", "block"])) for _ in range(120)]
+    got = {tuple(r["items"]): (r.allow, r.block) for r in ur.frequent(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 9).collect()}
+    want = {}
+    for tokens, said in rows:
+        for k in (1, 2, 3):
+            for items in itertools.combinations(sorted(tokens), k):
+                a, b = want.get(items, (0, 0))
+                want[items] = (a + (said == "allow"), b + (said == "block"))
+    assert got == {i: c for i, c in want.items() if max(c) >= 9} != {}
+
+
 def test_url_filter_without_labels(spark):
     schema = "page_id long, url string"
     assert ur.op11(spark.createDataFrame([], schema)).count() == 0
