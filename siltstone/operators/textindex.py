@@ -2,11 +2,12 @@
 
 An index has generations. Each is a folder of three tables:
 
-* ``postings``: (bucket, part, term, field, block, docs, counts, places). A term is a
+* ``postings``: (bucket, part, term, field, block, n_docs, n_places, docs, counts,
+  places). A term is a
   trigram of lower-case characters as one number. A row holds one term's documents in
   one field and one block: their numbers in the block, how often each has the term and
-  where, numbers and places as differences, which pack well. A block is what one task
-  read at once, so building moves rows of whole blocks and no text. Files are
+  where, numbers and places as differences in as few bytes as they take. A block is what one
+  task read at once, so building moves rows of whole blocks and no text. Files are
   partitioned by ``bucket``, a hash of the term, and sorted by term: a query's terms
   name the folders and the row groups that are read. Folders from ``KEYS`` on have
   for each block the keys and lengths of its documents.
@@ -36,6 +37,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,7 +47,9 @@ from siltstone.operators import fulltext
 from siltstone.sources.generations import GenerationStore
 
 #: Hash partitions of the terms, and characters of text in a block.
-BUCKETS, BLOCK_CHARS = 64, 8 << 20
+BUCKETS, BLOCK_CHARS = 64, 4 << 20
+#: Places of postings that are unpacked at once.
+PLACES = 1 << 20
 #: From this number on, the folders of the blocks' keys, dealt by block.
 KEYS = BUCKETS
 #: Bits of a character in a term's number.
@@ -61,14 +65,6 @@ def bucket_of(number: int, buckets: int = BUCKETS) -> int:
     return zlib.crc32(str(number).encode()) % buckets
 
 
-def _terms(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers and places of a text's trigrams."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    if len(c) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return (c[:-2] << 2 * BITS) | (c[1:-1] << BITS) | c[2:], np.arange(len(c) - 2)
-
-
 def _steps(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Differences within groups that begin at ``starts``; the first of each stays."""
     out = np.diff(values, prepend=0)
@@ -84,24 +80,69 @@ def _sums(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total - np.repeat(before, sizes)
 
 
+def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Numbers in as few bytes of seven bits as they take, the last of a number below 128; a row of them up to each of ``ends``."""
+    size = sum((values >= 1 << bits).astype(np.int8) for bits in (7, 14, 21, 28)) + np.int8(1)
+    stops = np.cumsum(size, dtype=np.int32)
+    out = np.empty(int(stops[-1]) if len(stops) else 0, np.uint8)
+    for k in range(int(size.max(initial=0))):
+        has = np.flatnonzero(size > k)
+        out[stops[has] - size[has] + k] = values[has] >> 7 * k & 127 | np.where(size[has] > k + 1, 128, 0)
+    offsets = np.append(0, np.append(0, stops)[ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    """The numbers of ``_packed`` rows, one row's after another's."""
+    column = column.fill_null(b"")
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    if not len(column) or offsets[0] == offsets[-1]:
+        return np.zeros(0, np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    last = np.flatnonzero(data < 128)
+    first = np.append(0, last[:-1] + 1)
+    out = (data[first] & 127).astype(np.int64)
+    for k in range(1, int((last - first).max()) + 1):
+        has = np.flatnonzero(last - first >= k)
+        out[has] |= (data[first[has] + k] & 127).astype(np.int64) << 7 * k
+    return out
+
+
 def _block(texts: list[str], block: int, field: str) -> dict[str, pa.Array]:
     """One row for each term: documents by their number in ``texts``, counts and places."""
-    found = [_terms(t) for t in texts]
-    doc = np.repeat(np.arange(len(texts)), [len(p) for _, p in found])
-    terms, places = (np.concatenate([np.zeros(0, np.int64), *c]) for c in zip(*found, strict=True))
+    sizes = np.array([len(t) for t in texts], np.int32)
+    grams = np.maximum(sizes - 2, 0)
+    c = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    # characters by their number among those of the block, in order: terms sort as narrow numbers
+    number = np.zeros(int(c.max(initial=0)) + 1, np.int32)
+    number[c] = 1
+    chars = np.flatnonzero(number)
+    number[chars] = np.arange(len(chars))
+    c = number[c]
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), grams)
+    places = np.arange(len(doc), dtype=np.int32) - np.repeat(np.cumsum(grams, dtype=np.int32) - grams, grams)
+    at = places + np.repeat(np.cumsum(sizes, dtype=np.int32) - sizes, grams)
+    n = len(chars)
+    terms = np.zeros(len(at), np.uint32 if n**3 < 1 << 32 else np.int64)
+    for i in range(3):
+        terms *= terms.dtype.type(n)
+        terms += c[at + i].astype(terms.dtype)
+    del c, at, number
     order = np.argsort(terms, kind="stable")  # documents and places stay in order
     terms, places, doc = terms[order], places[order], doc[order]
-    new_term = np.flatnonzero(np.diff(terms, prepend=-1))
-    changed = np.diff(doc, prepend=-1) != 0
-    changed[new_term] = True
+    del order
+    changed = np.ones(len(terms), bool)
+    changed[1:] = terms[1:] != terms[:-1]
+    new_term = np.flatnonzero(changed)
+    changed[1:] |= doc[1:] != doc[:-1]
     new_doc = np.flatnonzero(changed)
-    row_at = np.append(np.searchsorted(new_doc, new_term), len(new_doc)).astype(np.int32)
-    numbers = terms[new_term]
-    listed = lambda at, values: pa.ListArray.from_arrays(pa.array(at), pa.array(values.astype(np.int32)))
+    row_at, place_at = np.append(np.searchsorted(new_doc, new_term), len(new_doc)), np.append(new_term, len(doc))
+    numbers = terms[new_term].astype(np.int64)
+    numbers = (chars[numbers // n**2] << 2 * BITS) | (chars[numbers // n % n] << BITS) | chars[numbers % n] if len(numbers) else numbers
     return {
         "bucket": pa.array([bucket_of(x) for x in numbers.tolist()], pa.int32()), "term": pa.array(numbers), "field": pa.array([field] * len(numbers), pa.string()), "block": pa.array(np.full(len(numbers), block)),
-        "docs": listed(row_at, _steps(doc[new_doc], row_at[:-1])), "counts": listed(row_at, np.diff(np.append(new_doc, len(doc)))),
-        "places": listed(np.append(new_term, len(doc)).astype(np.int32), _steps(places, new_doc)),
+        "n_docs": pa.array(np.diff(row_at).astype(np.int32)), "n_places": pa.array(np.diff(place_at).astype(np.int32)),
+        "docs": _packed(_steps(doc[new_doc], row_at[:-1]), row_at[1:]), "counts": _packed(np.diff(np.append(new_doc, len(doc))), row_at[1:]), "places": _packed(_steps(places, new_doc), place_at[1:]),
     }
 
 
@@ -109,7 +150,11 @@ def posting_schema(kind: T.DataType) -> T.StructType:
     """Of postings whose keys are of this kind."""
     longs = T.ArrayType(T.IntegerType())
     schema = T.StructType().add("bucket", T.IntegerType()).add("term", T.LongType()).add("field", T.StringType()).add("block", T.LongType())
-    return schema.add("docs", longs).add("counts", longs).add("places", longs).add("keys", T.ArrayType(kind)).add("lengths", longs)
+    for name in ("n_docs", "n_places"):
+        schema = schema.add(name, T.IntegerType())
+    for name in ("docs", "counts", "places"):
+        schema = schema.add(name, T.BinaryType())
+    return schema.add("keys", T.ArrayType(kind)).add("lengths", longs)
 
 
 def postings(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -122,8 +167,7 @@ def postings(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
 
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            texts = {f: batch.column(f).to_pylist() for f in fields}
-            sizes = np.array([[len(t) for t in texts[f]] for f in fields], np.int64).reshape(len(fields), batch.num_rows)
+            sizes = np.array([pc.utf8_length(batch.column(f)).to_numpy() for f in fields], np.int64).reshape(len(fields), batch.num_rows)
             lengths, ends = np.maximum(sizes - 2, 0).sum(axis=0), np.cumsum(sizes.sum(axis=0))
             longs = pa.list_(pa.int32())
             at = 0
@@ -131,14 +175,14 @@ def postings(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
                 stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_CHARS, "right")))
                 kind = pa.list_(batch.schema.field(key).type)
                 for f in fields:
-                    own = _block(texts[f][at:stop], block, f)
+                    own = _block(batch.column(f).slice(at, stop - at).to_pylist(), block, f)
                     n = len(own["term"])
                     own |= {"keys": pa.nulls(n, kind), "lengths": pa.nulls(n, longs)}
                     yield pa.RecordBatch.from_arrays([own[c] for c in names], names)
                 whole = pa.array([0, stop - at], pa.int32())
-                none = pa.nulls(1, longs)
+                none, nothing = pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary())
                 ids, sizes_ = pa.ListArray.from_arrays(whole, batch.column(key).slice(at, stop - at)), pa.ListArray.from_arrays(whole, pa.array(lengths[at:stop].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array([KEYS + (block ^ block >> 32) % BUCKETS], pa.int32()), pa.array([-1]), pa.array([""]), pa.array([block]), none, none, none, ids, sizes_], names)
+                yield pa.RecordBatch.from_arrays([pa.array([KEYS + (block ^ block >> 32) % BUCKETS], pa.int32()), pa.array([-1]), pa.array([""]), pa.array([block]), none, none, nothing, nothing, nothing, ids, sizes_], names)
                 at, block = stop, block + 1
 
     cores, few = rows.sparkSession.sparkContext.defaultParallelism, rows.select(key, *fields)
@@ -147,16 +191,26 @@ def postings(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return few.mapInArrow(index, schema)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], most: int = PLACES) -> Iterator[pa.RecordBatch]:
+    """Posting rows, so many at once as have ``most`` places together, one at least."""
+    for batch in batches:
+        ends = np.cumsum(batch.column("n_places").to_numpy(), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document of posting rows: its number, and its places shifted by the term's offset in the word."""
-    for batch in batches:
-        lists = {c: batch.column(c) for c in ("docs", "counts", "places")}
-        per_row = lists["docs"].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        counts = lists["counts"].flatten().to_numpy().astype(np.int64)
-        doc = _sums(lists["docs"].flatten().to_numpy(), per_row)
+    for batch in _slices(batches):
+        per_row = batch.column("n_docs").to_numpy().astype(np.int64)
+        counts = _unpacked(batch.column("counts"))
+        doc = _sums(_unpacked(batch.column("docs")), per_row)
         row = np.repeat(np.arange(batch.num_rows), per_row)
         offset = batch.column("offset").to_numpy()[row]
-        places = _sums(lists["places"].flatten().to_numpy(), counts) - np.repeat(offset, counts)
+        places = _sums(_unpacked(batch.column("places")), counts) - np.repeat(offset, counts)
         at = np.append(0, np.cumsum(counts)).astype(np.int32)
         taken = [batch.column(c).take(pa.array(row)) for c in ("word", "part", "field", "block", "needed")]
         yield pa.RecordBatch.from_arrays([*taken, pa.array(doc.astype(np.int32)), pa.ListArray.from_arrays(pa.array(at), pa.array(places.astype(np.int32)))], ["word", "part", "field", "block", "needed", "doc", "places"])
@@ -164,21 +218,23 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _living(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Posting rows with the documents alone whose numbers are in ``alive``; rows that have none left go."""
-    for batch in batches:
+    for batch in _slices(batches):
         out = {c: [] for c in ("docs", "counts", "places")}
-        keep = []
-        columns = {c: batch.column(c) for c in (*out, "alive")}
+        keep, n_docs, n_places = [], [], []
         for i in range(batch.num_rows):
-            docs, counts, places, alive = (columns[c][i].values.to_numpy() for c in ("docs", "counts", "places", "alive"))
+            docs, counts, places = (_unpacked(batch.column(c).slice(i, 1)) for c in out)
             numbers = np.cumsum(docs)
-            live = np.isin(numbers, alive)
+            live = np.isin(numbers, batch.column("alive")[i].values.to_numpy())
             if live.any():
                 keep.append(i)
-                out["docs"].append(np.diff(numbers[live], prepend=0).astype(np.int32))
+                out["docs"].append(np.diff(numbers[live], prepend=0))
                 out["counts"].append(counts[live])
                 out["places"].append(places[np.repeat(live, counts)])
+                n_docs.append(int(live.sum()))
+                n_places.append(len(out["places"][-1]))
         rest = [batch.column(c).take(pa.array(keep, pa.int64())) for c in ("bucket", "term", "field", "block", "part")]
-        yield pa.RecordBatch.from_arrays([*rest, *(pa.array(v, pa.list_(pa.int32())) for v in out.values())], ["bucket", "term", "field", "block", "part", *out])
+        lists = [_packed(np.concatenate([np.zeros(0, np.int64), *v]), np.cumsum([len(x) for x in v], dtype=np.int64)) for v in out.values()]
+        yield pa.RecordBatch.from_arrays([*rest, pa.array(n_docs, pa.int32()), pa.array(n_places, pa.int32()), *lists], ["bucket", "term", "field", "block", "part", "n_docs", "n_places", *out])
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -269,7 +325,7 @@ class TextIndex:
         # blocks of different parts share numbers: the part tells them apart
         both = F.col("block") * F.lit(1 << 10) + F.col("part") % (1 << 10)
         none = [F.lit(None).cast(f.dataType).alias(f.name) for f in self._postings(generation).schema if f.name in ("keys", "lengths")]
-        kept = self._living(generation).select("bucket", "term", "field", both.alias("block"), "docs", "counts", "places", *none)
+        kept = self._living(generation).select("bucket", "term", "field", both.alias("block"), "n_docs", "n_places", "docs", "counts", "places", *none)
         names = self._postings(generation).where(F.col("bucket") >= KEYS).withColumn("block", both).select(*kept.columns)
         rows = kept.unionByName(names).withColumn("part", F.lit(0))
         _dealt(rows).write.partitionBy("bucket").option("compression", "zstd").parquet(self._path(into, "postings"))
@@ -293,7 +349,7 @@ class TextIndex:
     def frequencies(self, words: list[str], generation: str) -> dict[int, int]:
         """Documents and fields that hold each trigram of the words, from one narrow column of their rows."""
         numbers = sorted({term(w[i : i + 3]) for w in words for i in range(len(w) - 2)})
-        return {r.term: r.n for r in self._read(generation, numbers).groupBy("term").agg(F.sum(F.size("docs")).alias("n")).collect()}
+        return {r.term: r.n for r in self._read(generation, numbers).groupBy("term").agg(F.sum("n_docs").alias("n")).collect()}
 
     def _numbers(self, generation: str) -> DataFrame:
         """(part, block, doc, key, length) of every document of every part: its number in its block."""
@@ -307,13 +363,13 @@ class TextIndex:
             return rows
         live = self._numbers(generation).join(self.documents(generation).select(self.key, "part"), [self.key, "part"], "left_semi")
         alive = live.groupBy("part", "block").agg(F.collect_list("doc").alias("alive"))  # a block's documents
-        joined = rows.join(alive, ["part", "block"]).select("bucket", "term", "field", "block", "part", "docs", "counts", "places", "alive")
-        return joined.mapInArrow(_living, "bucket int, term long, field string, block long, part int, docs array<int>, counts array<int>, places array<int>")
+        joined = rows.join(alive, ["part", "block"]).select("bucket", "term", "field", "block", "part", "n_docs", "n_places", "docs", "counts", "places", "alive")
+        return joined.mapInArrow(_living, "bucket int, term long, field string, block long, part int, n_docs int, n_places int, docs binary, counts binary, places binary")
 
     def terms(self, field: str, generation: str | None = None) -> DataFrame:
         """term, df, tf of every trigram of a field."""
         rows = self._living(generation or self.current()).where(F.col("field") == field)
-        per = rows.groupBy("term").agg(F.sum(F.size("docs")).alias("df"), F.sum(F.size("places")).alias("tf"))
+        per = rows.groupBy("term").agg(F.sum("n_docs").alias("df"), F.sum("n_places").alias("tf"))
         of = lambda shift: F.lpad(F.hex(F.shiftright("term", shift).bitwiseAND(F.lit((1 << BITS) - 1))), 8, "0")
         return per.select(F.decode(F.unhex(F.concat(of(2 * BITS), of(BITS), of(0))), "UTF-32").alias("term"), "df", "tf")
 
@@ -335,7 +391,7 @@ class TextIndex:
         # narrow: which blocks hold all of a word's trigrams
         whole = read.select("term", "field", "block", "part").join(wanted, "term").groupBy(*where, "needed").agg(F.count("*").alias("n")).where("n = needed").select(*where)
         rows = read.join(wanted, "term").join(whole, where, "left_semi")
-        opened = rows.select(*where, "offset", "needed", "docs", "counts", "places").mapInArrow(_opened, "word int, part int, field string, block long, needed int, doc int, places array<int>")
+        opened = rows.select(*where, "offset", "needed", "n_docs", "n_places", "docs", "counts", "places").mapInArrow(_opened, "word int, part int, field string, block long, needed int, doc int, places array<int>")
         met = opened.groupBy("word", "part", "field", "block", "doc", "needed").agg(F.collect_list("places").alias("all")).where(F.size("all") == F.col("needed"))
         places = F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(1))), F.col("all")[0], lambda a, b: F.array_intersect(a, b))
         met = met.select("word", "part", "field", "block", "doc", places.alias("places"))

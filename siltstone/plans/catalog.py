@@ -48,7 +48,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_index(spark: SparkSession, sf_dir: str) -> TextIndex:
     """The index of ``chunks`` in the shared folder: built where there is none of these very files yet."""
     files_ = sorted(table(spark, sf_dir, "documents").inputFiles())
-    root = f"{shared_folder(spark)}/siltstone-index-{hashlib.sha256(repr([(f, modified(spark, f)) for f in files_]).encode()).hexdigest()[:16]}"
+    root = f"{shared_folder(spark)}/siltstone-index2-{hashlib.sha256(repr([(f, modified(spark, f)) for f in files_]).encode()).hexdigest()[:16]}"
     index = TextIndex(spark, root, "doc_id", ["content", "title"], ["source", "path", "media_type"])
     if index.current() is None:
         generation = uuid.uuid4().hex

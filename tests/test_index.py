@@ -2,12 +2,13 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import fulltext, retrieval, vector
+from siltstone.operators import fulltext, retrieval, textindex, vector
 from siltstone.operators.spaces import EmbeddingBuild, VectorSpaces, recall
 from siltstone.operators.textindex import TextIndex, cover, term
 
@@ -185,3 +186,22 @@ def test_a_killed_build_repeats_nothing(spark, tmp_path):
     build.run(rows, embed, "text", size=4)
     assert build.done().count() == 30 == seen.value and build.left(rows).count() == 0
     assert build.run(rows, embed, "text", size=4) == 0
+
+
+def test_numbers_in_few_bytes_come_back():
+    rng = np.random.default_rng(2)
+    rows = [rng.integers(0, 1 << int(b), int(n)) for b, n in zip(rng.integers(1, 31, 60), rng.integers(0, 40, 60), strict=True)]
+    column = textindex._packed(np.concatenate(rows), np.cumsum([len(r) for r in rows]))
+    assert [textindex._unpacked(column.slice(i, 1)).tolist() for i in range(60)] == [r.tolist() for r in rows]
+    assert textindex._unpacked(column.slice(7, 30)).tolist() == np.concatenate(rows[7:37]).tolist()
+    assert len(textindex._packed(np.zeros(1000, np.int32), np.array([1000]))[0].as_py()) == 1000  # an array of int takes 4,000
+
+
+def test_a_block_is_indexed_in_little_memory():
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.integers(97, 123, 4000))) + "ß中" for _ in range(200)]
+    tracemalloc.start()
+    textindex._block(texts, 0, "content")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 75 * 800_000, peak
