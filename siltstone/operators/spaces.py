@@ -233,7 +233,8 @@ class VectorSpaces:
         sizes = F.create_map(*[x for c in found for x in (F.lit(c.cell), F.lit(-(-c.n // block)))])
         part = F.pmod(F.xxhash64("id"), F.element_at(sizes, F.col("cell")))
         rows = held.withColumn("part", part).groupBy("cell", "part").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("c"))
-        share = F.pmod(F.xxhash64("id", F.lit(1)), F.element_at(sizes, F.col("cell")) * probes)
+        shares = F.create_map(*[x for c in found for x in (F.lit(c.cell), F.lit(-(-c.n * probes // block)))])
+        share = F.pmod(F.xxhash64("id", F.lit(1)), F.element_at(shares, F.col("cell")))
         asking = queries.withColumn("share", share).groupBy("cell", "share").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("a"))
         return vector.best_of_blocks(asking.join(rows, "cell").select("a", "c"), key, most)
 

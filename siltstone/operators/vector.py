@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 import unicodedata
 from collections.abc import Iterator
 
@@ -13,8 +15,10 @@ from pyspark.sql.window import Window
 
 from siltstone.functions.vectors import cosine
 
-#: Vectors in one block of a blocked comparison.
-BLOCK = 4096
+#: Vectors in one block of a blocked comparison: each goes to every other block, so that many are worth it.
+BLOCK = 65_536
+#: Vectors of a block that ask, and that answer, in one matrix product; how many answer in the first.
+ASKING, ANSWERING, FIRST = 512, 4096, 256
 
 
 def nearest(vectors: DataFrame, query: list[float], key: str, vector: str, most: int = 100) -> DataFrame:
@@ -26,19 +30,21 @@ def nearest(vectors: DataFrame, query: list[float], key: str, vector: str, most:
 def semantic_neighbors(vectors: DataFrame, key: str, vector: str, most: int = 8, block: int = BLOCK) -> DataFrame:
     """For each vector its ``most`` nearest others: key, neighbor, similarity, rank.
 
-    Vectors are dealt into blocks of a bounded size; each pair of blocks is one
-    matrix product that keeps only a row's best, so the pairs of single vectors
-    never exist as rows. The work is that of the exact comparison asked for.
+    Vectors are dealt into blocks of a bounded size; each pair of blocks is a row,
+    compared by matrix products that keep only a row's best, so the pairs of single
+    vectors never exist as rows. The work is that of the exact comparison asked for.
     """
     total = vectors.count()
-    blocks = max(1, -(-total // block))
-    # spread by hash into twice as many, so that none is much larger than asked
-    parts = blocks if blocks == 1 else 2 * blocks
+    # spread by hash into twice as many as hold them, so that none is much larger than asked, and into enough for all tasks
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = 1 if total <= min(block, ANSWERING) else max(2 * -(-total // block), math.ceil(2 * tasks**0.5))
     held = vectors.where(F.size(vector) > 0).select(F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("b"), F.col(key).alias("id"), F.col(vector).cast("array<float>").alias("v"))
     packed = held.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("rows"))
-    left = packed.select("b", F.col("rows").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("o"))
-    right = packed.select(F.col("b").alias("o"), F.col("rows").alias("c"))
-    return best_of_blocks(left.join(right, "o").select("a", "c"), key, most)
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = packed.select("b", F.col("rows").alias("a"), every.alias("o"))
+    right = packed.select(F.col("b").alias("o"), F.col("rows").alias("c"), every.alias("b"))
+    # by pair: a block's number alone would bring all its pairs to one task
+    return best_of_blocks(left.hint("merge").join(right, ["b", "o"]).select("a", "c"), key, most)
 
 
 def best_of_blocks(pairs: DataFrame, key: str, most: int) -> DataFrame:
@@ -48,27 +54,49 @@ def best_of_blocks(pairs: DataFrame, key: str, most: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 a, c = batch.column("a")[i].values, batch.column("c")[i].values
-                x, y = (_unit(np.stack([np.asarray(v, np.float64) for v in s.field("v").to_pylist()])) for s in (a, c))
+                x, y = (_unit(_stacked(s.field("v"))) for s in (a, c))
                 xi, yi = a.field("id").to_numpy(), c.field("id").to_numpy()
-                for at in range(0, len(xi), 512):
-                    score = x[at : at + 512] @ y.T
-                    score[xi[at : at + 512, None] == yi[None, :]] = -np.inf
-                    # columns are in the order of ids: a row keeps what is well above its k-th score, then the smallest ids of what may round to it
-                    k = min(most, len(yi))
-                    least = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
-                    ok = np.isfinite(score) & (score >= least - 2e-9)
-                    rounded = np.round(score, 9)
-                    for row in np.flatnonzero(ok.sum(axis=1) > k):
-                        held = np.flatnonzero(ok[row])
-                        ok[row, held[np.lexsort((held, -rounded[row, held]))[k:]]] = False
-                    own, top = np.nonzero(ok)
-                    yield pa.RecordBatch.from_arrays([pa.array(xi[at + own]), pa.array(yi[top]), pa.array(score[ok])], [key, "neighbor", "similarity"])
+                bad = np.flatnonzero(~np.isfinite(y).all(axis=1))
+                # a few answers first: what is worse than a row's k-th score so far is never sorted
+                slices = [0, *range(min(FIRST, len(yi)), len(yi), ANSWERING), len(yi)]
+                for at in range(0, len(xi), ASKING):
+                    asking, ids = x[at : at + ASKING], xi[at : at + ASKING]
+                    itself = np.searchsorted(yi, ids)
+                    own, top, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+                    floor = np.full((len(ids), 1), -np.inf)
+                    for on, end in itertools.pairwise(slices):
+                        product = asking @ y[on:end].T
+                        product[:, bad[(bad >= on) & (bad < end)] - on] = -np.inf
+                        here = np.flatnonzero((itself >= on) & (itself < end))
+                        here = here[yi[itself[here]] == ids[here]]
+                        product[here, itself[here] - on] = -np.inf
+                        if not on and end > most:
+                            floor = np.partition(product, end - most, axis=1)[:, end - most, None]
+                        row, column = np.nonzero(product >= floor - 2e-9)  # and what may round to it
+                        found = product[row, column]
+                        own, top, score = (np.concatenate(p) for p in ((own, row), (top, on + column), (score, found)))
+                        finite = np.isfinite(score)
+                        # in order of rounded scores, then of ids
+                        order = np.lexsort((top[finite], -np.round(score[finite], 9), own[finite]))
+                        own, top, score = own[finite][order], top[finite][order], score[finite][order]
+                        place = np.arange(len(own)) - np.searchsorted(own, own)
+                        own, top, score = own[place < most], top[place < most], score[place < most]
+                        last = place[place < most] == most - 1
+                        floor[own[last], 0] = score[last]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(yi[top]), pa.array(score)], [key, "neighbor", "similarity"])
 
     scored = pairs.mapInArrow(best, f"{key} long, neighbor long, similarity double")
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.round("similarity", 9).desc(), "neighbor"))
     return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= most)
 
 
+def _stacked(vectors: pa.Array) -> np.ndarray:
+    """Vectors of one length as the rows of a matrix."""
+    if len(vectors) and vectors.value_lengths().unique().to_pylist() != [len(vectors[0])]:
+        raise ValueError("vectors of different lengths")
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     size = np.linalg.norm(x, axis=1, keepdims=True)
     return x / np.where(size > 0, size, 1)
