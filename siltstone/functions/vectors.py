@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import operator
 import unicodedata
 
 import numpy as np
@@ -12,6 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Features of texts that are kept at once.
+FEATURES = 1 << 16
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -43,21 +48,35 @@ def vector_hash(v: Column | str) -> Column:
     return F.sha2(F.array_join(F.transform(v, lambda x: F.format_number(x.cast("double"), 5)), ","), 256)
 
 
+class Slots(dict):
+    """Where a feature counts, made once; in the second half, against."""
+
+    def __init__(self, salt: str, dimensions: int):
+        self.salt, self.dimensions, self.made = salt, dimensions, 0
+
+    def __missing__(self, feature: str) -> int:
+        if len(self) >= FEATURES:
+            self.clear()
+        d = hashlib.sha256(f"{self.salt}\n{feature}".encode()).digest()
+        self.made += 1
+        self[feature] = (d[0] << 8 | d[1]) % self.dimensions + self.dimensions * (d[2] % 2)
+        return self[feature]
+
+
 def fixture_embedding(dimensions: int, salt: str):
     """A deterministic embedding: signed feature hashing of words and character bi- and trigrams."""
 
-    def one(text: str) -> list[float]:
+    def one(text: str, slots: Slots) -> list[float]:
         x = unicodedata.normalize("NFKC", text or "").lower()
-        features = set(x.split()) | {x[i : i + n] for n in (2, 3) for i in range(len(x) - n + 1)}
-        out = np.zeros(dimensions, np.float32)
-        for f in features:
-            d = hashlib.sha256(f"{salt}\n{f}".encode()).digest()
-            out[(d[0] << 8 | d[1]) % dimensions] += 1 if d[2] % 2 == 0 else -1
-        return out.tolist()
+        two = list(map(operator.add, x, x[1:]))
+        features = {*x.split(), *two, *map(operator.add, two, x[2:])}
+        n = np.bincount(np.fromiter(map(slots.__getitem__, features), np.int64, len(features)), minlength=2 * dimensions)
+        return (n[:dimensions] - n[dimensions:]).astype(np.float32).tolist()
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(text: pd.Series) -> pd.Series:
-        return text.map(one)
+        slots = Slots(salt, dimensions)
+        return text.map(lambda x: one(x, slots))
 
     # or Catalyst would move it into the lambdas of later expressions, once for each use
     return embed.asNondeterministic()

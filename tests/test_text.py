@@ -1,4 +1,6 @@
+import hashlib
 import re
+import unicodedata
 
 import duckdb
 import pytest
@@ -150,3 +152,19 @@ def test_jsonl_and_bad_input():
 def test_plain_text():
     d = parse_one("n.txt", "text/plain", "plain-text", b"\xef\xbb\xbffirst line\nmore\n\n\nsecond")
     assert d["title"] == "first line" and [(b["source_start_line"], b["source_end_line"]) for b in d["blocks"]] == [(1, 2), (5, 5)]
+
+
+def test_fixture_embeddings_hash_a_feature_once(spark):
+    def plain(text):
+        x = unicodedata.normalize("NFKC", text or "").lower()
+        out = [0.0] * 16
+        for f in set(x.split()) | {x[i : i + n] for n in (2, 3) for i in range(len(x) - n + 1)}:
+            d = hashlib.sha256(f"s\n{f}".encode()).digest()
+            out[(d[0] << 8 | d[1]) % 16] += 1 if d[2] % 2 == 0 else -1
+        return out
+
+    texts = ["Größe und ＡＢ ab", "a", "", None, "the same the same"] * 2
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(vx.fixture_embedding(16, "s")("t").alias("v")).collect()
+    assert [r.v for r in rows] == [plain(t) for t in texts]
+    slots = vx.Slots("s", 16)
+    assert len({slots["ab"] for _ in range(5)}) == slots.made == 1
