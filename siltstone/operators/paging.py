@@ -5,6 +5,9 @@ beyond it, as a range predicate that reaches the scan, so a page costs no sort o
 was read before and neither repeats nor skips a row when new ones come in: those that
 come after the cursor are seen later, those before it are not part of this reading.
 Order columns must tell all rows apart; nulls come first.
+
+A page of more than ``ONE_TASK`` rows is not sorted into one task: rows are numbered by
+ranges, narrow, and the page is what lies between two cursors.
 """
 
 from __future__ import annotations
@@ -19,8 +22,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The longest page.
+from siltstone.operators import ordered
+
+#: The longest page, and the longest that one task may sort and hand over.
 MOST = 10_000
+ONE_TASK = 10_000
 
 
 def cursor_of(row, order: list[str], kinds: dict[str, str]) -> str:
@@ -52,12 +58,32 @@ def beyond(cursor: str, order: list[str], descending: bool = False) -> Column:
     return after
 
 
-def page(rows: DataFrame, order: list[str], size: int = 100, cursor: str | None = None, descending: bool = False, most: int = MOST) -> tuple[DataFrame, str | None]:
-    """The next ``size`` rows and the cursor behind them; no rows leave the cursor as it was."""
+def _ends(rows: DataFrame, order: list[str], size: int, descending: bool) -> list[str]:
+    """Cursors of every ``size``-th row and of the last: one for each page."""
+    held = ordered.running_sum(rows.select(*order).withColumn("_one", F.lit(1)), [], order, "_one")
+    total = held.count()
+    place = total + 1 - F.col("position") if descending else F.col("position")
+    found = held.where((place % size == 0) | (place == total)).select(*order, place.alias("_place")).orderBy("_place").collect()
+    return [cursor_of(r, order, dict(rows.dtypes)) for r in found]
+
+
+def _to(rows: DataFrame, end: str, order: list[str], descending: bool) -> DataFrame:
+    return rows.where(~F.coalesce(beyond(end, order, descending), F.lit(False)))
+
+
+def _checked(size: int, most: int) -> None:
     if not 1 <= size <= most:
         raise ValueError(f"size must be from 1 to {most}")
+
+
+def page(rows: DataFrame, order: list[str], size: int = 100, cursor: str | None = None, descending: bool = False, most: int = MOST) -> tuple[DataFrame, str | None]:
+    """The next ``size`` rows and the cursor behind them; no rows leave the cursor as it was."""
+    _checked(size, most)
     if cursor is not None:
         rows = rows.where(beyond(cursor, order, descending))
+    if size > ONE_TASK:
+        ends = _ends(rows, order, size, descending)
+        return (_to(rows, ends[0], order, descending), ends[0]) if ends else (rows.limit(0), cursor)
     sides = [F.desc_nulls_last(c) if descending else F.asc_nulls_first(c) for c in order]
     found = rows.orderBy(*sides).limit(size)
     last = found.select(*order).tail(1)
@@ -66,7 +92,13 @@ def page(rows: DataFrame, order: list[str], size: int = 100, cursor: str | None
 
 def pages(rows: DataFrame, order: list[str], size: int, descending: bool = False, most: int = MOST) -> Iterator[DataFrame]:
     """Page after page to the end of what is there."""
+    _checked(size, most)
     cursor = None
+    if size > ONE_TASK:  # all ends at once: a page is two bounds
+        for end in _ends(rows, order, size, descending):
+            yield _to(rows.where(beyond(cursor, order, descending)) if cursor else rows, end, order, descending)
+            cursor = end
+        return
     while True:
         found, after = page(rows, order, size, cursor, descending, most)
         if after == cursor:

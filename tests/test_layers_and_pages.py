@@ -56,6 +56,21 @@ def test_pages_join_to_the_table(spark, descending):
         assert got == [r.b for r in sorted(rows_.collect(), key=key, reverse=descending)]
 
 
+def test_long_pages_are_not_sorted_by_one_task(spark, monkeypatch):
+    monkeypatch.setattr(paging, "ONE_TASK", 3)
+    rows = spark.createDataFrame([(i % 5 or None, i) for i in range(23)], "a long, b long").repartition(3)
+    for descending in (False, True):
+        want = sorted([(i % 5 or -1, i) for i in range(23)], reverse=descending)
+        found = list(paging.pages(rows, ["a", "b"], 4, descending))
+        assert [sorted(r.b for r in p.collect()) for p in found] == [sorted(b for _, b in want[k : k + 4]) for k in range(0, 23, 4)]
+        assert "Limit" not in found[1]._jdf.queryExecution().executedPlan().toString()
+    first, cursor = paging.page(rows, ["a", "b"], 12)
+    second, _ = paging.page(rows, ["a", "b"], 12, cursor)
+    assert [p.count() for p in (first, second)] == [12, 11]
+    none, cursor = paging.page(rows.where("false"), ["a", "b"], 5)
+    assert none.count() == 0 and cursor is None
+
+
 def test_new_rows_are_neither_lost_nor_repeated(spark):
     ts = lambda i: datetime(2024, 1, 1) + timedelta(seconds=i)
     rows = spark.createDataFrame([(ts(i), i) for i in range(10)], "ts timestamp, id long")
