@@ -236,9 +236,10 @@ def revision_reuse(spark, sf_dir):
 
 @query
 def chunk_jaccard_pairs(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", tx.tokens("text").alias("t"))
-    pairs = ordered.previous(d, ["source"], ["doc_id"], ["doc_id", "t"]).where("previous is not null")
-    pairs = pairs.select("doc_id", "t", F.col("previous.doc_id").alias("previous_id"), F.col("previous.t").alias("p"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    # texts move: as arrays of tokens they are several times as large
+    pairs = ordered.previous(d, ["source"], ["doc_id"], ["doc_id", "text"]).where("previous is not null")
+    pairs = pairs.select("doc_id", tx.tokens("text").alias("t"), F.col("previous.doc_id").alias("previous_id"), tx.tokens("previous.text").alias("p"))
     return pairs.select("doc_id", "previous_id", F.round(tx.jaccard(F.col("t"), F.col("p")), 6).alias("similarity"))
 
 

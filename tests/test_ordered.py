@@ -45,3 +45,12 @@ def test_budget_and_revisions(spark):
     want = rows.withColumn("reused", again).withColumn("sequence", F.sum(F.when(F.col("reused"), 0).otherwise(1)).over(w))
     got = versioning.revisions(rows, "k", ["at"], "d")
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_pairs_of_documents_move_texts_not_tokens(spark, monkeypatch):
+    from siltstone.plans import catalog
+
+    seen, real = [], ordered.previous
+    monkeypatch.setattr(ordered, "previous", lambda rows, *rest: (seen.append(dict(rows.dtypes)), real(rows, *rest))[1])
+    catalog.chunk_jaccard_pairs(spark, "/root/testdata/sf0.001")
+    assert seen and "array<string>" not in seen[0].values()
