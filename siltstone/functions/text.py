@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +28,13 @@ NO_CAPITAL = (
 SMALL = "ß" + "".join(chr(c + i) for c in (0x1F80, 0x1F90, 0x1FA0) for i in range(8)) + "ᾳῃῳ"
 CAPITAL = "ẞ" + "".join(chr(c + i) for c in (0x1F88, 0x1F98, 0x1FA8) for i in range(8)) + "ᾼῌῼ"
 
+#: Any character but those, of common scripts, that neither change in NFC nor join one before; a text without it is in NFC.
+MAY_COMPOSE = "[^\\x00-\\u02ff\\u0400-\\u0482\\u048a-\\u052f\\u1e00-\\u1eff\\u2002-\\u200f\\u2010-\\u205f\\u2190-\\u21ff\\u2200-\\u2328\\u2500-\\u2a00\\u3001-\\u3029\\u3041-\\u3096\\u309b-\\u30ff\\u3400-\\u4dbf\\u4e00-\\u9fff\\uac00-\\ud7a3\\uff01-\\uff60\\x{1f300}-\\x{1faff}]"
+#: Any character beyond Latin, looked for first: one range is cheap to look for, many are not.
+NOT_LATIN = "[^\\x00-\\u02ff]"
+#: Rows that are Python strings at a time in a task.
+SLICE = 256
+
 ColumnOrName = Column | str
 
 
@@ -35,14 +42,20 @@ def _c(x: ColumnOrName) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-@F.pandas_udf(T.StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
+def _normal(text: pa.Array, form: str) -> pa.Array:
+    parts = (text.slice(at, SLICE).to_pylist() for at in range(0, len(text), SLICE))
+    done = [pa.array([x if x is None or x.isascii() else unicodedata.normalize(form, x) for x in part], pa.string()) for part in parts]
+    return pa.concat_arrays(done) if done else text
+
+
+@F.arrow_udf(T.StringType())
+def nfc(text: pa.Array) -> pa.Array:
+    return _normal(text, "NFC")
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+@F.arrow_udf(T.StringType())
+def nfkc(text: pa.Array) -> pa.Array:
+    return _normal(text, "NFKC")
 
 
 def count_matches(text: ColumnOrName, pattern: str) -> Column:
@@ -70,7 +83,9 @@ def tidy(text: ColumnOrName) -> Column:
 
 
 def normalize_text(text: ColumnOrName) -> Column:
-    return nfc(tidy(text))
+    """Python sees only texts that the normal form may change."""
+    asked = F.when(_c(text).rlike(NOT_LATIN) & _c(text).rlike(MAY_COMPOSE), tidy(text))
+    return F.coalesce(nfc(asked), tidy(text))
 
 
 def normalize_label(text: ColumnOrName) -> Column:

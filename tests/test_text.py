@@ -1,8 +1,10 @@
 import hashlib
 import re
+import tracemalloc
 import unicodedata
 
 import duckdb
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -37,6 +39,29 @@ def test_normalize_text_is_the_parsers(spark):
     assert got == [normalize_text(t) for t in texts]
 
 
+def test_normal_form_is_asked_of_few_texts(spark):
+    inert = re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), tx.MAY_COMPOSE))
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    canonical = (unicodedata.decomposition(c).split() for c in every)
+    seconds = {chr(int(d[1], 16)) for d in canonical if len(d) == 2 and d[0][0] != "<"} | {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+    assert not [c for c in every if not inert.search(c) and (unicodedata.combining(c) or unicodedata.normalize("NFC", c) != c or c in seconds)]
+    texts = ["Stra\u00dfe \u4e2d\u6587\u3001\u304c \ud55c", "e\u0301", "\u304b\u3099", "\u1112\u1161\u11ab", "\uac00\u11a8", "\u2126", "\U0001f600", "q\u0307\u0323", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string").orderBy("i")
+    assert [r.x for r in rows.select(tx.normalize_text("t").alias("x")).collect()] == [t and normalize_text(t) for t in texts]
+    asked = rows.select(F.col("t").rlike(tx.MAY_COMPOSE).alias("x")).collect()
+    assert [r.x for r in asked] == [False, True, True, True, True, True, False, True, None]
+
+
+def test_normal_form_holds_few_texts_at_a_time():
+    texts = pa.array(["e\u0301" * 2000] * 8000)
+    tracemalloc.start()
+    done = tx.nfc.func(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert done[7999].as_py() == "\u00e9" * 2000
+    assert peak < 8_000_000  # all at once are 64 MB
+
+
 def test_upper_case_is_that_of_sql(spark):
     texts = ["Straße ŉ\nﬁn ᾳ ᾼ ÿé", "ß", "plain", "", None, *(chr(i) for i in range(1, 0x1E000) if not 0xD800 <= i < 0xE000)]
     rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
