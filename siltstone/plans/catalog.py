@@ -16,7 +16,7 @@ from siltstone.operators import spaces as spaces_
 from siltstone.operators import answers, chunking, claims, evidence, fulltext, graph, impact, layers, maintenance, mentions, ordered, pages, paging, records, retrieval, topics, vector, versioning
 from siltstone.operators.textindex import TextIndex
 from siltstone.sources import digests, files, generations, parsers
-from siltstone.sources.scratch import modified, shared_folder
+from siltstone.sources.scratch import modified, shared_folder, written
 from siltstone.streaming import events as ev
 from siltstone.streaming.run import drain
 
@@ -596,6 +596,7 @@ def topic_items(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     times = x.groupBy(F.col("l_partkey").alias("claim_id")).agg(day(F.min).alias("first"), day(F.max).alias("last"))
     short = F.col("p_size") < 10
     c = topics.classify(held, lines).join(parts, "claim_id").join(times, "claim_id").withColumns({"valid_from": F.when(short, F.col("first")), "valid_to": F.when(short, F.col("last"))})
+    c = written(c.select("topic", "claim_id", "statement", "conclusion_type", "role", "confidence_level", "independent_source_count", "valid_from", "valid_to"))  # all parts of the pages read it
     r = topics.report(c, ["topic"])
     edges = x.select(F.col("l_partkey").alias("claim_id"), F.col("l_suppkey").alias("object")).distinct().join(c.select("topic", "claim_id"), "claim_id")
     edges = edges.select("topic", F.concat_ws("-", "claim_id", "object").alias("relation_id"), F.col("claim_id").alias("subject"), F.lit("supplied_by").alias("predicate"), "object")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import impact, mentions, pages, paging, retrieval
 from siltstone.operators.layers import LayeredGraph
+from siltstone.plans import catalog
 from siltstone.sources import digests
 from siltstone.streaming import events as ev
 
@@ -102,6 +103,19 @@ def iter_from(rows, cursor):
         cursor = after
 
 
+def test_topic_pages_works_claims_out_once(spark):
+    plan = catalog.topic_pages(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_orderkey") == 3  # evidence, its sources and the graph; claims are written once
+
+
+def test_page_digest_is_exact(spark):
+    ids = [f"i{i}" for i in range(3000)] + ["i1", None]
+    found = spark.createDataFrame([("t", "a", "k", i, "x") for i in ids], "topic string, component string, kind string, item_id string, item string")
+    r = pages.components(found, "topic").first()
+    digest = lambda of: hashlib.sha256("|".join([str(len(ids)), *(str(sum(int(hashlib.sha256(v.encode()).hexdigest()[15 * k : 15 * k + 15], 16) for v in of)) for k in range(4))]).encode()).hexdigest()
+    assert r.n_items == len(ids) and r.dependency_hash == digest([i for i in ids if i]) and r.content_hash == digest([f"{i}\nx" if i else "x" for i in ids])
+
+
 def test_page_components(spark):
     claims = spark.createDataFrame(
         [("t", 1, "one", "consensus", "high", 2, "2024", None), ("t", 2, "t<w>o", "conflict", "disputed", 1, None, None), ("u", 3, "three", "single_source", "low", 1, None, None), (None, 4, "four", "inference", "low", 1, None, None)],
