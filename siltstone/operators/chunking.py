@@ -7,14 +7,18 @@ import re
 from collections import Counter, deque
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from siltstone.schemas import CHUNK
 
 CJK = re.compile("[ᄀ-ᇿ⺀-⿕々〇〡-〩〸-〻ぁ-ゖゝ-ゟァ-ヺヽ-ヿㄱ-ㆎㇰ-ㇿ㐀-䶿一-鿿ꥠ-ꥼ가-힣豈-龎ｦ-ﾝ\U00020000-\U000323af]")
 BLANK = re.compile(r"[\s﻿]")
+#: Characters of chunks that a task holds as Python objects before it hands them on.
+HELD = 1 << 20
 SENTENCE = re.compile(r"(?<=[。！？.!?])\s*")
 
 
@@ -123,15 +127,29 @@ def chunk_blocks(blocks: list[dict], most: int, overlap: int) -> list[dict]:
 
 
 def chunk(documents: DataFrame, most: int = 800, overlap: int = 80, key: str = "document_id", key_type: str = "string") -> DataFrame:
-    """CHUNK rows for each document of (key, blocks). A document is one row, so nothing is shuffled."""
-    names = [key, *[c.strip().split()[0] for c in CHUNK.split(", ")]]
+    """CHUNK rows for each document of (key, blocks). A document is one row, so nothing is shuffled; one at a time is held as Python objects."""
+    kind = f"{key} {key_type}, {CHUNK}"
+    schema = to_arrow_schema(T.StructType.fromDDL(kind))
+    names = ["kind", "text", "heading_path", "source_start_line", "source_end_line"]
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [{key: k} | c for k, blocks in zip(b[key], b["blocks"], strict=True) for c in chunk_blocks(list(blocks), most, overlap)]
-            yield pd.DataFrame(found, columns=names)
-
-    return documents.select(key, "blocks").mapInPandas(rows, f"{key} {key_type}, {CHUNK}")
+            keys, sizes, every = b.column(0), b.column(1).value_lengths(), b.column(1).flatten()
+            columns = dict(zip((f.name for f in every.type), every.flatten(), strict=True))
+            at, found, held = 0, [], 0
+            for k, size in zip(keys, sizes, strict=True):
+                n = size.as_py() or 0
+                values = (columns[c].slice(at, n).to_pylist() for c in names)
+                made = chunk_blocks([dict(zip(names, v, strict=True)) for v in zip(*values, strict=True)], most, overlap)
+                found += [{key: k.as_py()} | c for c in made]
+                at, held = at + n, held + sum(len(c["content_text"]) for c in made)
+                if held >= HELD:
+                    yield pa.RecordBatch.from_pylist(found, schema)
+                    found, held = [], 0
+            yield pa.RecordBatch.from_pylist(found, schema)
+
+    used = F.transform("blocks", lambda x: F.struct(*[x[c].alias(c) for c in names]))
+    return documents.select(key, used.alias("blocks")).mapInArrow(rows, kind)
 
 
 def line_blocks(texts: DataFrame, key: str, text: str = "text") -> DataFrame:

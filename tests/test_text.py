@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import scoring
 from siltstone.functions import text as tx
 from siltstone.functions import vectors as vx
-from siltstone.operators.chunking import chunk_blocks, estimate, split_text
+from siltstone.operators.chunking import chunk, chunk_blocks, estimate, line_documents, split_text
 from siltstone.sources.parsers import normalize_text, parse_one
 
 
@@ -62,6 +62,22 @@ def test_normal_form_holds_few_texts_at_a_time():
     assert peak < 8_000_000  # all at once are 64 MB
 
 
+def in_arrow(monkeypatch, rows, made):
+    """The batches that ``made`` gives in a task, from all ``rows`` in one batch."""
+    kept = {}
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, f, schema: kept.update(rows=self, f=f))
+    made(rows)
+    return kept["f"](kept["rows"].toArrow().combine_chunks().to_batches())
+
+
+def test_chunks_leave_a_task_in_small_batches(spark, monkeypatch):
+    texts = spark.createDataFrame([(i, None if i == 7 else f"line {i}\n\n" + "word " * 2000) for i in range(300)], "doc_id long, text string")
+    batches = list(in_arrow(monkeypatch, texts, lambda t: chunk(line_documents(t, "doc_id"), key="doc_id", key_type="long")))
+    assert len(batches) == 3 and max(b.nbytes for b in batches) < 2_000_000
+    assert {r["doc_id"] for b in batches for r in b.to_pylist()} == set(range(300)) - {7}
+    assert [r["content_text"] for r in batches[0].to_pylist() if r["doc_id"] == 3][0].startswith("line 3")
+
+
 def test_upper_case_is_that_of_sql(spark):
     texts = ["Straße ŉ\nﬁn ᾳ ᾼ ÿé", "ß", "plain", "", None, *(chr(i) for i in range(1, 0x1E000) if not 0xD800 <= i < 0xE000)]
     rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
