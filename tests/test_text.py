@@ -14,7 +14,8 @@ from siltstone.functions import scoring
 from siltstone.functions import text as tx
 from siltstone.functions import vectors as vx
 from siltstone.operators.chunking import chunk, chunk_blocks, estimate, line_documents, split_text
-from siltstone.sources.parsers import normalize_text, parse_one
+from siltstone.sources.files import read_pages
+from siltstone.sources.parsers import normalize_text, parse, parse_one
 
 
 def one(spark, column, **values):
@@ -78,6 +79,12 @@ def test_chunks_leave_a_task_in_small_batches(spark, monkeypatch):
     assert [r["content_text"] for r in batches[0].to_pylist() if r["doc_id"] == 3][0].startswith("line 3")
 
 
+def test_documents_leave_a_task_in_small_batches(spark, monkeypatch):
+    pages = spark.createDataFrame([(f"x://h/{i}", f"<title>t{i}</title><p>" + "word " * 2000) for i in range(300)], "url string, html string")
+    batches = list(in_arrow(monkeypatch, pages, lambda p: parse(read_pages(p))))
+    assert len(batches) == 3 and [r["title"] for b in batches for r in b.to_pylist()] == [f"t{i}" for i in range(300)]
+
+
 def test_upper_case_is_that_of_sql(spark):
     texts = ["Straße ŉ\nﬁn ᾳ ᾼ ÿé", "ß", "plain", "", None, *(chr(i) for i in range(1, 0x1E000) if not 0xD800 <= i < 0xE000)]
     rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
