@@ -2,8 +2,8 @@
 
 ``closure`` walks from a start along every link table to a fixed point. A round joins
 the frontier, what was first reached in the round before, with each table by a
-semi-join and drops what is known by an anti-join; rounds end when nothing is new, so
-cycles end too. Only each round's count reaches the driver.
+semi-join and drops what is known by an anti-join, which kinds met for the first time
+need not; whole numbers move as such. Rounds end when nothing is new, so cycles end too. Only each round's count reaches the driver.
 
 A plan keeps the digest of a closure and of the rows in it. It is refused when it has
 expired, when it was applied before, or when the closure has another digest by then.
@@ -28,24 +28,45 @@ MOST_ROUNDS = 1000
 PLAN = "plan_id string, action string, digest string, n long, created_at timestamp, expires_at timestamp"
 
 
+WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def _dependents(frontier: DataFrame, kind: str, table: DataFrame, a: str, b: str) -> DataFrame:
+    """(id) of the dependents that ``table`` gives to the frontier's resources of one kind."""
+    pairs = table.select(F.col(a).alias("id"), F.col(b).alias("to")).where("id is not null and to is not null")
+    known, held = frontier.where(F.col("kind") == kind).select("id"), dict(pairs.dtypes)["id"]
+    if held in WHOLE:
+        known = known.select(F.col("id").try_cast(held).alias("n"), "id").where(F.col("n").cast("string") == F.col("id")).select(F.col("n").alias("id"))
+    else:
+        pairs = pairs.withColumn("id", F.col("id").cast("string"))
+    return pairs.join(known, "id", "left_semi").select(F.col("to").cast("string").alias("id"))
+
+
 def closure(start: DataFrame, links: list[tuple[str, str, DataFrame, str, str]]) -> DataFrame:
     """(kind, id, depth) of ``start`` (kind, id) and all that hangs on it.
 
     A link is (kind, dependent kind, table, column of the id, column of the dependent's id). Rows with a null id link nothing.
     """
     frontier = written(start.select("kind", F.col("id").cast("string").alias("id")).where("id is not null").distinct().withColumn("depth", F.lit(0)))
-    reached = frontier
+    reached, met = frontier, set()
     for depth in range(1, MOST_ROUNDS):
         kinds = {r.kind for r in frontier.select("kind").distinct().collect()}  # as many as there are kinds
-        found = None
+        met |= kinds
+        found: dict[str, DataFrame] = {}
         for kind, target, table, a, b in links:
             if kind in kinds:
-                pairs = table.select(F.col(a).cast("string").alias("id"), F.col(b).cast("string").alias("to")).where("id is not null and to is not null")
-                hit = pairs.join(frontier.where(F.col("kind") == kind).select("id"), "id", "left_semi").select(F.lit(target).alias("kind"), F.col("to").alias("id"))
-                found = hit if found is None else found.unionByName(hit)
-        if found is None:
+                hit = _dependents(frontier, kind, table, a, b)
+                found[target] = found[target].unionByName(hit) if target in found else hit
+        if not found:
             return reached
-        frontier = written(found.distinct().join(reached.select("kind", "id"), ["kind", "id"], "left_anti").withColumn("depth", F.lit(depth)))
+        fresh = None
+        for target, ids in found.items():
+            new = ids.distinct()
+            if target in met:
+                new = new.join(reached.where(F.col("kind") == target).select("id"), "id", "left_anti")
+            new = new.select(F.lit(target).alias("kind"), "id", F.lit(depth).alias("depth"))
+            fresh = new if fresh is None else fresh.unionByName(new)
+        frontier = written(fresh)
         if frontier.isEmpty():
             return reached
         reached = reached.unionByName(frontier)

@@ -116,6 +116,17 @@ def test_page_digest_is_exact(spark):
     assert r.n_items == len(ids) and r.dependency_hash == digest([i for i in ids if i]) and r.content_hash == digest([f"{i}\nx" if i else "x" for i in ids])
 
 
+def test_closure_drops_what_is_known_only_of_kinds_met_before(spark, monkeypatch):
+    plans, write = [], impact.written
+    monkeypatch.setattr(impact, "written", lambda rows: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or write(rows))
+    ab = spark.createDataFrame([(1, 10), (2, 20), (7, 70), (1, 10), (None, 30), (2, None)], "a long, b int")
+    bb = spark.createDataFrame([("10", "11"), ("11", "10"), ("010", "12")], "a string, b string")
+    start = spark.createDataFrame([("a", "1"), ("a", "07"), ("a", "x"), ("a", None)], "kind string, id string")
+    got = {tuple(r) for r in impact.closure(start, [("a", "b", ab, "a", "b"), ("b", "b", bb, "a", "b")]).collect()}
+    assert got == {("a", "1", 0), ("a", "07", 0), ("a", "x", 0), ("b", "10", 1), ("b", "11", 2)}
+    assert ["LeftAnti" in p for p in plans] == [False, False, True, True] and "a#" in plans[1]
+
+
 def test_page_components(spark):
     claims = spark.createDataFrame(
         [("t", 1, "one", "consensus", "high", 2, "2024", None), ("t", 2, "t<w>o", "conflict", "disputed", 1, None, None), ("u", 3, "three", "single_source", "low", 1, None, None), (None, 4, "four", "inference", "low", 1, None, None)],
