@@ -7,10 +7,11 @@ An index has generations. Each is a folder of three tables:
   trigram of lower-case characters as one number. A row holds one term's documents in
   one field and one block: their numbers in the block, how often each has the term and
   where, numbers and places as differences in as few bytes as they take. A block is what one
-  task read at once, so building moves rows of whole blocks and no text. Files are
-  partitioned by ``bucket``, a hash of the term, and sorted by term: a query's terms
-  name the folders and the row groups that are read. Folders from ``KEYS`` on have
-  for each block the keys and lengths of its documents.
+  task read at once and writes itself: building moves neither text nor postings from
+  task to task. Files are partitioned by ``bucket``, a hash of the term, and sorted by
+  term, in pages of a few rows: a query's terms name the folders and the pages that are
+  read. ``merge`` deals a bucket's rows together. Folders from ``KEYS`` on have for each
+  block the keys and lengths of its documents.
 * ``documents``: (key, part, length, version, ...) with the lengths that scores need,
   a hash of the indexed fields, and columns to filter by.
 * ``parts``: one row for each part, in order. A refresh adds a part with the changed
@@ -48,6 +49,10 @@ from siltstone.sources.generations import GenerationStore
 
 #: Hash partitions of the terms, and characters of text in a block.
 BUCKETS, BLOCK_CHARS = 64, 4 << 20
+#: Characters of text for a task where the rows come in many small partitions: each task writes a file for each bucket.
+TASK_CHARS = 32 * BLOCK_CHARS
+#: Rows of a page of a file: what is read for a term, besides its own rows.
+PAGE_ROWS = 256
 #: Places of postings that are unpacked at once.
 PLACES = 1 << 20
 #: From this number on, the folders of the blocks' keys, dealt by block.
@@ -186,8 +191,12 @@ def postings(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
                 at, block = stop, block + 1
 
     cores, few = rows.sparkSession.sparkContext.defaultParallelism, rows.select(key, *fields)
-    if few.rdd.getNumPartitions() < cores:  # one small file, say
+    parts = few.rdd.getNumPartitions()
+    if parts < cores:  # one small file, say
         few = few.repartition(cores)
+    elif parts > 4 * cores:
+        chars = few.agg(F.sum(reduce(lambda a, b: a + b, [F.length(f) for f in fields]))).first()[0] or 0
+        few = few.coalesce(max(cores, -(-chars // TASK_CHARS)))  # moves no rows
     return few.mapInArrow(index, schema)
 
 
@@ -238,10 +247,16 @@ def _living(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
-    """Posting rows as they are written: a bucket's blocks over several tasks where the session has more tasks than buckets."""
+    """Posting rows by bucket, a bucket's blocks over several tasks where the session has more tasks than buckets."""
     tasks = max(BUCKETS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     share = F.pmod(F.xxhash64("block"), F.lit(-(-tasks // BUCKETS)))
-    return rows.repartition(tasks, "bucket", share).sortWithinPartitions("bucket", "term", "field", "block")
+    return rows.repartition(tasks, "bucket", share)
+
+
+def _write_postings(rows: DataFrame, path: str, mode: str) -> None:
+    """Every task's rows as its own files, one for each bucket, in order of terms."""
+    ordered = rows.sortWithinPartitions("bucket", "term", "field", "block")
+    ordered.write.partitionBy("bucket").option("compression", "zstd").option("parquet.page.row.count.limit", PAGE_ROWS).mode(mode).parquet(path)
 
 
 def cover(word: str, counts: dict[int, int]) -> list[tuple[int, int]]:
@@ -291,7 +306,7 @@ class TextIndex:
     def _write(self, generation: str, part: int, rows: DataFrame, unique: bool) -> None:
         rows = rows if unique else self._once(rows)
         held = postings(self._lower(rows), self.key, self.fields).withColumn("part", F.lit(part))
-        _dealt(held).write.partitionBy("bucket").option("compression", "zstd").mode("append").parquet(self._path(generation, "postings"))
+        _write_postings(held, self._path(generation, "postings"), "append")
         self.versions(rows).withColumn("part", F.lit(part)).withColumn("gone", F.lit(False)).write.mode("append").parquet(self._path(generation, "documents"))
 
     def build(self, generation: str, rows: DataFrame, unique: bool = True) -> None:
@@ -328,7 +343,7 @@ class TextIndex:
         kept = self._living(generation).select("bucket", "term", "field", both.alias("block"), "n_docs", "n_places", "docs", "counts", "places", *none)
         names = self._postings(generation).where(F.col("bucket") >= KEYS).withColumn("block", both).select(*kept.columns)
         rows = kept.unionByName(names).withColumn("part", F.lit(0))
-        _dealt(rows).write.partitionBy("bucket").option("compression", "zstd").parquet(self._path(into, "postings"))
+        _write_postings(_dealt(rows), self._path(into, "postings"), "errorifexists")
         live.withColumn("part", F.lit(0)).withColumn("gone", F.lit(False)).write.parquet(self._path(into, "documents"))
         self.store.write(into, self.spark.createDataFrame([(0,)], "part int"))
 

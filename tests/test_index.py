@@ -82,6 +82,22 @@ def test_refresh_merge_and_the_gate(spark, tmp_path):
             assert found(ix.search(query, WEIGHTS, 30, generation=generation)) == found(fulltext.bm25(after, query, "doc_id", WEIGHTS, 30)), (generation, query)
 
 
+def test_building_moves_no_postings(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("siltstone.operators.textindex.BLOCK_CHARS", 1500)
+    docs, ix = documents(spark), index(spark, tmp_path)
+    for generation, rows, tasks in (("few", docs.coalesce(4), 4), ("many", docs.repartition(60), 4)):  # of small partitions several to a task
+        ix.build(generation, rows)
+        ix.activate(generation, docs)
+        made = F.shiftright("block", 32).alias("made")
+        wrote = F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).cast("long").alias("wrote")
+        pairs = [tuple(r) for r in ix._postings(generation).select(made, wrote).distinct().collect()]
+        assert len(pairs) == tasks and all(a == b for a, b in pairs), generation
+    assert found(ix.search(QUERIES[0], WEIGHTS, 30)) == found(fulltext.bm25(docs, QUERIES[0], "doc_id", WEIGHTS, 30))
+    monkeypatch.setattr("siltstone.operators.textindex.TASK_CHARS", 1000)
+    ix.build("large", docs.repartition(60))
+    assert ix._postings("large").select(F.shiftright("block", 32)).distinct().count() > 8
+
+
 def test_repeated_keys_and_empty_tables(spark, tmp_path):
     rows = spark.createDataFrame([(1, "apache", None, "s"), (1, "banana", None, "s"), (None, "apache", None, "s")], "doc_id long, content string, title string, source string")
     ix = index(spark, tmp_path)
