@@ -33,6 +33,8 @@ from siltstone.sources.scratch import written
 
 #: Vectors that centroids are trained on, rounds of k-means, most cells.
 SAMPLE, TURNS, MOST_CELLS = 20_000, 12, 4096
+#: Vectors that are held against all centroids at once.
+SCORED = 1024
 REGISTRY = "space string, state string, active boolean, fingerprint string, dimensions int, version int"
 
 
@@ -125,7 +127,9 @@ class VectorSpaces:
             raise ValueError(f"space {space} is {entry.state}")
         size = norm("embedding")
         bad = F.col(key).isNull() | F.col("embedding").isNull() | (F.size("embedding") != entry.dimensions) | F.isnan(size) | (size == 0) | (size == float("inf"))
-        unit = F.when(F.coalesce(bad, F.lit(True)), F.raise_error(F.lit("invalid vector"))).otherwise(F.transform("embedding", lambda x: (x / size).cast("float")))
+        # the length as an array of one, or it would be worked out anew for each component
+        scaled = F.transform(F.array(size), lambda s: F.transform("embedding", lambda x: (x / s).cast("float")))[0]
+        unit = F.when(F.coalesce(bad, F.lit(True)), F.raise_error(F.lit("invalid vector"))).otherwise(scaled)
         held = written(rows.select(key, "content_hash", unit.alias("v")))
         total = held.count()
         wanted = cells or min(MOST_CELLS, max(1, int(total**0.5)))
@@ -135,10 +139,11 @@ class VectorSpaces:
 
         def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                score = _matrix(batch.column("v"), middle.shape[1]) @ middle.T
-                own = score.argmax(axis=1) if len(score) else np.zeros(0, np.int64)
-                near = score[np.arange(len(own)), own]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32)), pa.array(near)], [*batch.schema.names, "cell", "near"])
+                for rows in (batch.slice(at, SCORED) for at in range(0, batch.num_rows, SCORED)):
+                    score = _matrix(rows.column("v"), middle.shape[1]) @ middle.T
+                    own = score.argmax(axis=1)
+                    near = score[np.arange(len(own)), own]
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(own.astype(np.int32)), pa.array(near)], [*batch.schema.names, "cell", "near"])
 
         dealt = held.mapInArrow(assigned, f"{key} {self.kind}, content_hash string, v array<float>, cell int, near double").hint("rebalance", "cell")
         dealt.write.partitionBy("cell").parquet(self._path(space, "vectors"))
@@ -211,32 +216,67 @@ class VectorSpaces:
         return int(ranks[min(len(ranks) - 1, int(np.ceil(share * len(ranks))) - 1)]) + 1
 
     def neighbors(self, space: str, most: int = 8, probes: int = 8, block: int = vector.BLOCK) -> DataFrame:
-        """key, neighbor, similarity, rank of every vector's best in its ``probes`` nearest cells.
+        """key, neighbor, similarity, rank of every vector's best in its ``probes`` nearest cells, and in any as near as the last of them.
 
-        Cells are cut into blocks of a bounded size; a block of vectors and a block of
-        the queries that probe its cell are one matrix product.
+        Cells that are near each other lie in one block of a bounded size, a cell larger
+        than that in several. A block moves once to each block that one of its vectors
+        probes, however many cells of it: as often as there are blocks at most.
         """
         found, key = self.cells(space), self.key
         middle = np.array([c.centroid for c in found]).reshape(len(found), -1)
-        numbers = np.array([c.cell for c in found], np.int32)
+        place = np.zeros(max((c.cell for c in found), default=0) + 1, np.int64)
+        place[[c.cell for c in found]] = np.arange(len(found))
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        first, parts = _blocks(middle, np.array([c.n for c in found], np.int64), block, tasks)
+        by_block = np.argsort(first, kind="stable")
+        numbers, starts = np.unique(first[by_block], return_index=True)
+        many = np.zeros(max(first, default=0) + 1, np.int64)
+        many[first] = parts
         probes = min(probes, len(found))
         held = self.vectors(space).select(F.col(key).alias("id"), "v", "cell")
 
-        def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             for batch in batches:
-                score = _matrix(batch.column("v"), middle.shape[1]) @ middle.T
-                top = np.argsort(-score, axis=1, kind="stable")[:, :probes]
-                at = np.repeat(np.arange(batch.num_rows), top.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), batch.column("v").take(pa.array(at)), pa.array(numbers[top.ravel()])], ["id", "v", "cell"])
-
-        queries = held.select("id", "v").mapInArrow(asked, f"id {self.kind}, v array<float>, cell int")
-        sizes = F.create_map(*[x for c in found for x in (F.lit(c.cell), F.lit(-(-c.n // block)))])
-        part = F.pmod(F.xxhash64("id"), F.element_at(sizes, F.col("cell")))
-        rows = held.withColumn("part", part).groupBy("cell", "part").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("c"))
-        shares = F.create_map(*[x for c in found for x in (F.lit(c.cell), F.lit(-(-c.n * probes // block)))])
-        share = F.pmod(F.xxhash64("id", F.lit(1)), F.element_at(shares, F.col("cell")))
-        asking = queries.withColumn("share", share).groupBy("cell", "share").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("a"))
-        return vector.best_of_blocks(asking.join(rows, "cell").select("a", "c"), key, most)
+                for rows in (batch.slice(at, SCORED) for at in range(0, batch.num_rows, SCORED)):
+                    score = _matrix(rows.column("v"), middle.shape[1]) @ middle.T
+                    reach = np.partition(score, -probes, axis=1)[:, -probes] - 1e-12  # products differ in their last digits
+                    yield rows, place[rows.column("cell").to_numpy()], score, reach
+
+        def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows, own, _, reach in reached(batches):
+                columns = [*rows.columns[:2], *map(pa.array, (own.astype(np.int32), reach, first[own], parts[own]))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "v", "cell", "reach", "first", "parts"])
+
+        def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, own, score, reach in reached(batches):
+                row, at = np.nonzero(np.logical_or.reduceat((score >= reach[:, None])[:, by_block], starts, axis=1))
+                b, o = np.divmod(np.unique(first[own[row]] * (first.max() + 1) + numbers[at]), first.max() + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (b, many[b], o, many[o])], ["b", "bs", "o", "os"])
+
+        rows = held.mapInArrow(dealt, f"id {self.kind}, v array<float>, cell int, reach double, first long, parts long")
+        rows = rows.withColumn("b", F.col("first") + F.pmod(F.xxhash64("id"), "parts"))
+        packed = rows.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("id", "v", "cell", "reach"))).alias("rows"))
+        every = lambda c: F.explode(F.sequence(F.col(c), F.col(c) + F.col(f"{c}s") - 1)).alias(c)
+        pairs = held.mapInArrow(met, "b long, bs long, o long, os long").distinct()
+        pairs = written(pairs.select(every("b"), "o", "os").select("b", every("o")))
+        left = packed.join(pairs, "b").select("b", "o", F.col("rows").alias("a"))
+        right = packed.select(F.col("b").alias("o"), F.col("rows").alias("c")).join(pairs, "o")
+        return vector.best_of_blocks(left.hint("merge").join(right, ["b", "o"]).select("a", "c"), key, most, middle)
+
+
+def _blocks(middle: np.ndarray, sizes: np.ndarray, block: int, tasks: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each cell its block's number and 1, or the first and the number of its blocks, if it is larger than one."""
+    total = int(sizes.sum())
+    most = total if total <= min(block, vector.ANSWERING) else max(1, min(block, int(total / (2 * tasks**0.5))))
+    first, parts = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes // max(most, 1)))
+    coarse = centroids(middle, max(1, total // max(most, 1))) if total else middle
+    number, held = -1, most
+    for i in np.argsort(np.argmax(middle @ coarse.T, axis=1), kind="stable") if total else []:
+        if held + sizes[i] > most:
+            number, held = number + 1, 0
+        first[i], held = number, held + sizes[i]
+        number += int(parts[i]) - 1
+    return first, parts
 
 
 def recall(found: DataFrame, exact: DataFrame, key: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 import unicodedata
 from collections.abc import Iterator
@@ -17,7 +16,7 @@ from siltstone.functions.vectors import cosine
 
 #: Vectors in one block of a blocked comparison: each goes to every other block, so that many are worth it.
 BLOCK = 65_536
-#: Vectors of a block that ask, and that answer, in one matrix product; how many answer in the first.
+#: Vectors of a block that ask, and that answer at most, in one matrix product; how many answer in the first.
 ASKING, ANSWERING, FIRST = 512, 4096, 256
 
 
@@ -47,49 +46,78 @@ def semantic_neighbors(vectors: DataFrame, key: str, vector: str, most: int = 8,
     return best_of_blocks(left.hint("merge").join(right, ["b", "o"]).select("a", "c"), key, most)
 
 
-def best_of_blocks(pairs: DataFrame, key: str, most: int) -> DataFrame:
-    """key, neighbor, similarity, rank from pairs of blocks: ``a`` asks, ``c`` answers; both are arrays of (id, v) in order of id."""
+def best_of_blocks(pairs: DataFrame, key: str, most: int, middle: np.ndarray | None = None) -> DataFrame:
+    """key, neighbor, similarity, rank from pairs of blocks: ``a`` asks, ``c`` answers; both are arrays of (id, v) in order of id.
+
+    With ``middle``, the centroids of cells by number, both have each vector's ``cell``
+    and its ``reach`` too: cells whose centroids it meets with a lower product don't answer it.
+
+    Single precision picks what may be among a row's best, double precision scores it.
+    """
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 a, c = batch.column("a")[i].values, batch.column("c")[i].values
-                x, y = (_unit(_stacked(s.field("v"))) for s in (a, c))
-                xi, yi = a.field("id").to_numpy(), c.field("id").to_numpy()
-                bad = np.flatnonzero(~np.isfinite(y).all(axis=1))
-                # a few answers first: what is worse than a row's k-th score so far is never sorted
-                slices = [0, *range(min(FIRST, len(yi)), len(yi), ANSWERING), len(yi)]
+                raw, y = _stacked(a.field("v")), _unit(_stacked(c.field("v")))
+                x, xi, yi = _unit(raw), a.field("id").to_numpy(), c.field("id").to_numpy()
+                if middle is not None:  # those who ask the same cells, one after another
+                    order = np.argsort(a.field("cell").to_numpy(), kind="stable")
+                    raw, x, xi, reach = raw[order], x[order], xi[order], a.field("reach").to_numpy()[order, None]
+                    cells, of = np.unique(c.field("cell").to_numpy(), return_inverse=True)
+                usable = np.isfinite(y).all(axis=1)
                 for at in range(0, len(xi), ASKING):
-                    asking, ids = x[at : at + ASKING], xi[at : at + ASKING]
-                    itself = np.searchsorted(yi, ids)
-                    own, top, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-                    floor = np.full((len(ids), 1), -np.inf)
-                    for on, end in itertools.pairwise(slices):
-                        product = asking @ y[on:end].T
-                        product[:, bad[(bad >= on) & (bad < end)] - on] = -np.inf
-                        here = np.flatnonzero((itself >= on) & (itself < end))
-                        here = here[yi[itself[here]] == ids[here]]
-                        product[here, itself[here] - on] = -np.inf
-                        if not on and end > most:
-                            floor = np.partition(product, end - most, axis=1)[:, end - most, None]
-                        row, column = np.nonzero(product >= floor - 2e-9)  # and what may round to it
-                        found = product[row, column]
-                        own, top, score = (np.concatenate(p) for p in ((own, row), (top, on + column), (score, found)))
-                        finite = np.isfinite(score)
-                        # in order of rounded scores, then of ids
-                        order = np.lexsort((top[finite], -np.round(score[finite], 9), own[finite]))
-                        own, top, score = own[finite][order], top[finite][order], score[finite][order]
-                        place = np.arange(len(own)) - np.searchsorted(own, own)
-                        own, top, score = own[place < most], top[place < most], score[place < most]
-                        last = place[place < most] == most - 1
-                        floor[own[last], 0] = score[last]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(yi[top]), pa.array(score)], [key, "neighbor", "similarity"])
+                    ids, within, used = xi[at : at + ASKING], None, usable
+                    if middle is not None:
+                        within = raw[at : at + ASKING] @ middle[cells].T >= reach[at : at + ASKING]
+                        used = usable & within.any(axis=0)[of]
+                    column = np.flatnonzero(used)
+                    answers, names = (y, yi) if used.all() else (y[column], yi[column])
+                    own, top, score = _best(x[at : at + ASKING], ids, answers, names, most, None if within is None else (within, of[column]))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(names[top]), pa.array(score)], [key, "neighbor", "similarity"])
 
     scored = pairs.mapInArrow(best, f"{key} long, neighbor long, similarity double")
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.round("similarity", 9).desc(), "neighbor"))
     return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= most)
 
 
+def _best(x: np.ndarray, ids: np.ndarray, y: np.ndarray, names: np.ndarray, most: int, probed: tuple | None) -> tuple:
+    """Rows of ``x``, of ``y`` and their products, ``most`` a row: the best that aren't the row itself, of the cells that it probes."""
+    x4, y4 = x.astype(np.float32), y.astype(np.float32)
+    slack = 2e-9 + (x.shape[1] + 8) * 2.0**-23  # what single precision, and rounding to nine digits, may change
+    own, top, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    floor, on = np.full(len(x), -np.inf), 0
+    while on < len(y):
+        # a few answers first: what is worse than a row's k-th score so far is never scored or sorted
+        end = min(len(y), on + (min(ANSWERING, 3 * on) or FIRST))
+        product = x4 @ y4[on:end].T
+        if not on:
+            if probed:
+                product[~probed[0][:, probed[1][:end]]] = -np.inf
+            if end > most:  # one more, as it may be the row itself
+                floor = np.partition(product, end - most - 1, axis=1)[:, end - most - 1] - slack
+        row, column = np.divmod(np.flatnonzero(product >= (floor - slack).astype(np.float32)[:, None]), end - on)
+        keep = names[on + column] != ids[row]
+        if probed:
+            keep &= probed[0][row, probed[1][on + column]]
+        row, column = row[keep], column[keep]
+        if len(row) * 16 > product.size:
+            found = (x @ y[on:end].T)[row, column]
+        else:
+            found = np.einsum("ij,ij->i", x[row], y[on + column])
+        on_top = found >= floor[row] - 2e-9  # and what may round to it
+        own, top, score = (np.concatenate(p) for p in ((own, row[on_top]), (top, on + column[on_top]), (score, found[on_top])))
+        # in order of rounded scores, then of ids, in which they come
+        order = np.argsort(4.0 * own - np.round(score, 9), kind="stable")
+        own, top, score = own[order], top[order], score[order]
+        place = np.arange(len(own)) - np.searchsorted(own, own)
+        own, top, score, place = (p[place < most] for p in (own, top, score, place))
+        last = place == most - 1
+        floor[own[last]] = score[last]
+        on = end
+    return own, top, score
+
+
 def _stacked(vectors: pa.Array) -> np.ndarray:
     """Vectors of one length as the rows of a matrix."""
     if len(vectors) and vectors.value_lengths().unique().to_pylist() != [len(vectors[0])]:

@@ -153,6 +153,31 @@ def test_probing_and_exact_search(spark, tmp_path):
     assert got.n_queries == 400 and got.n_found >= 0.9 * got.n_wanted
 
 
+def test_vectors_move_to_blocks_not_to_cells(spark, tmp_path, monkeypatch):
+    """However many cells are probed, a vector goes once to each block; its neighbours are the best of those cells."""
+    rows = vectors(spark, 500).withColumn("embedding", F.when(F.col("chunk_id") % 5 > 1, F.array(*[F.lit(float(i % 3)) for i in range(16)])).otherwise(F.col("embedding")))
+    held = VectorSpaces(spark, f"file://{tmp_path}/spaces")
+    held.create("a", "f", 16)
+    held.write("a", rows, cells=12)
+    moved, compare = [], vector.best_of_blocks
+    monkeypatch.setattr(vector, "best_of_blocks", lambda pairs, *rest: moved.append(pairs) or compare(pairs, *rest))
+    v, cells = held.vectors("a").orderBy("chunk_id").toPandas(), held.cells("a")
+    x = np.stack(v.v).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    score = np.round(x @ x.T, 9)
+    near = np.stack(v.v).astype(float) @ np.array([c.centroid for c in cells]).T
+    for probes, block in ((1, 40), (3, 40), (3, 4096), (len(cells), 40), (len(cells), 4096)):
+        got = {(r.chunk_id, r["rank"]): r.neighbor for r in held.neighbors("a", 5, probes, block).collect()}
+        want = {}
+        for i, best in enumerate(np.argsort(-near, axis=1)[:, :probes]):
+            probed = [j for j in np.flatnonzero(v.cell.isin([cells[k].cell for k in best])) if j != i]
+            want |= {(i, k + 1): j for k, j in enumerate(sorted(probed, key=lambda j: (-score[i, j], j))[:5])}
+        assert got == want
+    assert max(c.n for c in cells) >= 300
+    assert moved[-1].agg(F.sum(F.size("a")), F.max(F.size("c"))).first() == (500, 500)
+    assert moved[1].agg(F.max(F.size("a"))).first()[0] < 100
+
+
 def test_life_of_spaces(spark, tmp_path):
     rows = vectors(spark, 50)
     held = VectorSpaces(spark, f"file://{tmp_path}/spaces")
